@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import secrets, sharding
+from factloom.llm import bpe, packing, secrets, sharding
 from factloom.session import table
 
 
@@ -16,6 +16,15 @@ def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.jump_shards(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every whole text's ids and of the bytes decoded from them."""
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), bpe.MULTI, offsets=False)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
+    encoded = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"))
+    decoded = bpe.decode(encoded, bpe.MULTI, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, digest and spans of the secrets in every whole text."""
     docs = table(spark, sf_dir, "documents")
@@ -31,8 +40,21 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=2048)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text."""
+    return bpe.count_tokens(table(spark, sf_dir, "documents"), bpe.GPT, limit=512)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jump_shards": op2_jump_shards,
+    "op3_byte_bpe": op3_byte_bpe,
     "op6_secret_scan": op6_secret_scan,
+    "op9_pack_sequences": op9_pack_sequences,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {}
