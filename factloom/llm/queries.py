@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, packing, secrets, sharding
+from factloom.llm import bpe, packing, secrets, sharding, simhash
 from factloom.session import table
 
 
@@ -25,6 +25,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest doc_id that it reaches."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, digest and spans of the secrets in every whole text."""
     docs = table(spark, sf_dir, "documents")
@@ -53,6 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jump_shards": op2_jump_shards,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_simhash": op4_simhash,
     "op6_secret_scan": op6_secret_scan,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_token_counts": op10_token_counts,
