@@ -7,10 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, packing, secrets, sharding, simhash, vectors
+from factloom.llm import bpe, labelled, packing, quality, secrets, sharding, simhash, toxicity, vectors
 from factloom.session import table
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    """Fitted to a bounded sample of the labels outside the held-out fold."""
+    return quality.fit(*labelled.labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", 3, 1, quality.SAMPLE))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Fitted to a bounded sample of the labels outside the held-out fold."""
+    return toxicity.fit(*labelled.labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2, toxicity.SAMPLE))
+
+
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text's quality."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality_model(spark, docs, sf_dir))
+    return scored.select("doc_id", labelled.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 24 shards by its id."""
     return sharding.jump_shards(table(spark, sf_dir, "documents"), shards=24)
@@ -51,6 +68,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text's toxicity."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", labelled.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest inner products of every twentieth vector."""
     return vectors.exact_top_k(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
@@ -67,11 +91,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_fm": op1_quality_fm,
     "op2_jump_shards": op2_jump_shards,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_secret_scan": op6_secret_scan,
+    "op7_toxicity_zstd": op7_toxicity_zstd,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_token_counts": op10_token_counts,
