@@ -119,21 +119,22 @@ def fit(texts: list[str], labels: list[int], rank: int = RANK, rounds: int = 60,
     return model
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """Columns doc_id, score (0 to 1, higher: better) and predicted (1 from ``threshold`` on), of whole texts.
+def score(docs: DataFrame, model: Model, threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",), into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns in ``keep``, score (0 to 1, higher: better) and predicted (1 from ``threshold`` on), of whole texts.
 
-    Null and empty texts are scored by their having no word. Null doc_ids stay null; repeated rows are scored each;
-    other columns are not read; an empty table gives no rows.
+    Null and empty texts are scored by their having no word. What is kept stays as it is, null doc_ids too; the names in ``into`` must not be kept ones; repeated rows are scored each;
+    other columns are read only if kept; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            texts, out = batch.column(1).to_pylist(), []
+            texts, out = batch.column(0).to_pylist(), []
             for i in range(0, len(texts), 256):
                 out.append(model.score(np.stack([features.row(t) for t in texts[i : i + 256]])))
             scores = np.concatenate([*out, np.zeros(0)]).astype("f8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], names=[*keep, into[0]])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("_whole_text"), *keep)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(run, f"{fields}, {into[0]} double").withColumn(into[1], (F.col(into[0]) >= threshold).cast("int"))

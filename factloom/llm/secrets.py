@@ -117,22 +117,27 @@ def markov_ratio(token: Column, weights: list[float], alphabet: str = ALPHABET)
     return F.aggregate(chars, start, step, lambda acc: acc["sum"]) / F.greatest(F.length(token) - 1, F.lit(1))
 
 
+def _scanned(docs: DataFrame, weights: list[float], threshold: float) -> DataFrame:
+    """The rows with columns _text (null as empty), _base and _spans."""
+    text = F.col("_text")
+    rows = docs.withColumn("_text", F.coalesce("text", F.lit("")))
+    rows = rows.withColumn("_base", F.array_sort(F.concat(*[match_spans(text, k, i, p, g, n) for i, (k, p, g, n) in enumerate(KINDS)])))
+    tokens = match_spans(text, "markov", len(KINDS), TOKEN, None, 20)
+    rows = rows.withColumn("_free", F.filter(tokens, lambda t: ~F.exists("_base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))))
+    random = F.filter("_free", lambda t: markov_ratio(t["value"], weights) > threshold)
+    return rows.withColumn("_spans", F.when(F.size("_free") == 0, F.col("_base")).otherwise(F.array_sort(F.concat("_base", random)))).drop("_free")
+
+
 def scan_secrets(docs: DataFrame, weights: list[float], threshold: float = 0.7) -> DataFrame:
     """Columns doc_id, text, base and spans: arrays of (start, order, kind, end, value) in order of start, then kind.
 
     ``base`` has the matches of the fixed patterns, ``spans`` those and the tokens that the Markov models take for
     random (kind "markov": mean ratio above ``threshold``, and no base span inside). Null texts count as empty;
-    a null doc_id stays null; repeated rows are scanned each; other columns are not read.
+    a null doc_id stays null; repeated rows are scanned each; other columns are not read; an empty table gives no
+    rows.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    text = F.col("text")
-    base = F.array_sort(F.concat(*[match_spans(text, k, i, p, g, n) for i, (k, p, g, n) in enumerate(KINDS)]))
-    rows = rows.withColumn("base", base)
-    tokens = match_spans(text, "markov", len(KINDS), TOKEN, None, 20)
-    free = F.filter(tokens, lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    rows = rows.withColumn("free", free)
-    random = F.filter("free", lambda t: markov_ratio(t["value"], weights) > threshold)
-    return rows.select("doc_id", "text", "base", F.when(F.size("free") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", random))).alias("spans"))
+    rows = _scanned(docs.select("doc_id", "text"), weights, threshold)
+    return rows.select("doc_id", F.col("_text").alias("text"), F.col("_base").alias("base"), F.col("_spans").alias("spans"))
 
 
 def span_text(spans: Column) -> Column:
@@ -140,18 +145,19 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, weights: list[float], mask: str = "[SECRET]") -> DataFrame:
-    """doc_id and text, each span of text that holds a secret replaced by ``mask``; spans that overlap share one."""
-    found = scan_secrets(docs, weights)
+def redact(docs: DataFrame, weights: list[float], mask: str = "[SECRET]", threshold: float = 0.7) -> DataFrame:
+    """The same rows and columns, with ``mask`` in ``text`` for each stretch that secrets cover; those that overlap
+    share one. Texts without a secret, and null ones, stay as they are."""
+    rows = _scanned(docs, weights, threshold)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
-        kept = F.when(s["start"] > acc["at"], F.concat(acc["parts"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))))
-        kept = kept.when((s["start"] == 0) & (acc["at"] == 0), F.array(F.lit(mask))).when(s["start"] == acc["at"], F.concat(acc["parts"], F.array(F.lit(mask)))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), kept.alias("parts"))
+        gap = F.substring(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"])
+        inside = (s["start"] < acc["at"]) & (acc["at"] > 0)
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["parts"]).otherwise(F.concat(acc["parts"], F.array(gap, F.lit(mask)))).alias("parts"))
 
-    whole = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.select("doc_id", F.when(F.size("spans") == 0, F.col("text")).otherwise(whole).alias("text"), F.size("spans").alias("n_spans"))
+    whole = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
+    return rows.withColumn("text", F.when(F.size("_spans") == 0, F.col("text")).otherwise(whole)).drop("_text", "_base", "_spans")
 
 
 def trained_weights(spark: SparkSession, docs: DataFrame) -> list[float]:

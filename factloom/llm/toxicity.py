@@ -142,18 +142,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
     return w
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """Columns doc_id, score (0 to 1, higher: more toxic) and predicted (1 from ``threshold`` on), of whole texts.
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",), into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns in ``keep``, score (0 to 1, higher: more toxic) and predicted (1 from ``threshold`` on), of whole texts.
 
-    Null and empty texts have no window, and get the score of one that nothing shortens. Null doc_ids stay null;
-    repeated rows are scored each; other columns are not read; an empty table gives no rows.
+    Null and empty texts have no window, and get the score of one that nothing shortens. What is kept stays as it is, null doc_ids too; the names in ``into`` must not be kept ones;
+    repeated rows are scored each; other columns are read only if kept; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = model.scorer()
         for batch in batches:
-            out = pa.array([model.score(features(x)) for x in batch.column(1).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), out], names=["doc_id", "score"])
+            out = pa.array([model.score(features(x)) for x in batch.column(0).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], out], names=[*keep, into[0]])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("_whole_text"), *keep)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(run, f"{fields}, {into[0]} double").withColumn(into[1], (F.col(into[0]) >= threshold).cast("int"))
