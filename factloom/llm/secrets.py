@@ -58,8 +58,8 @@ def labelled_samples(docs: DataFrame, docs_bound: int = SAMPLE_DOCS, random_boun
     """Labelled samples (token, label): 1 for random strings, 0 for ordinary identifiers.
 
     Random strings are digests of running numbers, in hexadecimal, Base64 and capitals with digits. Ordinary
-    identifiers are the words of 8 or more letters of ``docs_bound`` documents, those whose ids have the smallest
-    checksums, as they stand and joined by ``_`` and ``-``.
+    identifiers are the words of 8 or more letters of about ``docs_bound`` documents, those whose ids' hashes are
+    below a bar set by their number, as they stand and joined by ``_`` and ``-``.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.col("id").cast("string"), 256)
@@ -74,7 +74,8 @@ def labelled_samples(docs: DataFrame, docs_bound: int = SAMPLE_DOCS, random_boun
         ).alias("token"),
         F.lit(1).alias("label"),
     )
-    few = docs.orderBy(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), "doc_id", "text").limit(docs_bound)
+    share = min(1.0, docs_bound / max(1, docs.count()))
+    few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
     words = few.select(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z][A-Za-z]{7,}"), F.lit(0)).alias("w"))
     joined = words.select(F.explode(F.concat(F.col("w"), F.transform("w", lambda x, i: F.concat(x, F.lit("_"), F.lower(F.coalesce(F.get("w", i + 1), x)))), F.transform("w", lambda x, i: F.concat(F.lower(x), F.lit("-"), F.lower(F.coalesce(F.get("w", i + 1), x)))))).alias("token"))
     built_in = ["get_user_name_by_id", "max_retry_count_seconds", "content-security-policy-report", "HttpRequestHandlerFactory", "DEFAULT_CONNECTION_TIMEOUT", "application/octet-stream", "usr/local/share/applications", "test_case_2024_first_half", "version-2-final-draft-3", "BufferedInputStreamReader"]
