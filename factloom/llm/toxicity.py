@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that a model is fitted to, at most for each label; codes in a window; beginnings of words, in letters.
-SAMPLE, WINDOW, STEMS = 3000, 96, (3, 4, 5, 7)
+SAMPLE, WINDOW, STEMS = 2500, 96, (3, 4, 5, 7)
 WORD = re.compile(r"[^\W\d_]+")
 CACHE = 300_000
 
@@ -109,18 +109,30 @@ def fit(texts: list[str], labels: list[int], ordinary_size: int = 8192, toxic_si
     empty = Model(b"\0" * 8, b"\0" * 8, {}, [float(np.log(share / (1 - share))), 0.0, 0.0, 0.0])
     if len(set(labels)) < 2:
         return empty
-    seen = [[t for w in WORD.findall(x.lower()) for t in terms(w)] for x in texts]
+    words = lambda i: map(str.lower, WORD.findall(texts[i]))
     odd = [i for label in (0, 1) for i in [i for i, y in enumerate(labels) if y == label][::2]]
     held = [Counter(), Counter()]
     n = [1, 1]
     for i in odd:
-        held[labels[i]].update(set(seen[i]))
+        held[labels[i]].update({t for w in set(words(i)) for t in terms(w)})
         n[labels[i]] += 1
+        if len(held[0]) > 1_000_000:  # terms held once so far would not be used; this bounds the table
+            held[0] = Counter({t: c for t, c in held[0].items() if c > 1})
     marked = {t for t, c in held[1].items() if c >= least and c / n[1] >= ratio * (held[0][t] + 0.5) / n[0]}
     common = {t for t, c in held[0].items() if c >= least} - marked
     codes = {t: code(t) for t in sorted(marked | common)}
-    stream = lambda i, keep: b"".join(codes[t] for t in seen[i] if t in keep)
-    parts = lambda label, keep: [s[k : k + 8 * WINDOW] for i in odd if labels[i] == label and (s := stream(i, keep)) for k in range(0, len(s), 8 * WINDOW)]
+    del held
+
+    def parts(label: int, keep: set[str], most: int = 4 << 20) -> list[bytes]:
+        """Code windows of one label's odd rows; the trainer needs a few hundred times a dictionary's size, not more."""
+        out, size = [], 0
+        for i in odd:
+            if labels[i] == label and size < most:
+                s = b"".join(codes[t] for w in words(i) for t in terms(w) if t in keep)
+                out += [s[k : k + 8 * WINDOW] for k in range(0, len(s), 8 * WINDOW)]
+                size += len(s)
+        return out
+
     ordinary, toxic = _dictionary(parts(0, common), ordinary_size), _dictionary(parts(1, marked), toxic_size)
     inside = {t for t, c in codes.items() if c in ordinary or c in toxic}
     model = Model(ordinary, toxic, {t: codes[t] for t in sorted(inside)})
