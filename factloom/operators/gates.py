@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.text import word_runs
+
 
 def derive_reveal(facts: DataFrame, volumes: DataFrame, overrides: DataFrame, debuts: DataFrame) -> DataFrame:
     """Columns fact_id, reveal and reason of facts (fact_id, subject, predicate, reveal, own, cited, volume).
@@ -47,8 +49,7 @@ def _hits(texts: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFram
     """
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     rows = texts.select(F.col(key), words.alias("_w")).where(F.size("_w") > 0)
-    n = F.size("_w")
-    grams = F.array_distinct(F.concat(F.col("_w"), *[F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i, k=k: F.array_join(F.slice("_w", i + 1, F.lit(k)), " ")) for k in (2, 3)]))
+    grams = F.array_distinct(F.concat(F.col("_w"), word_runs(F.col("_w"), 2), word_runs(F.col("_w"), 3)))
     return rows.select(key, F.explode(grams).alias("_g")).join(lexicon.select(F.lower("term").alias("_g"), "term", "ch"), "_g").select(key, "term", "ch").distinct()
 
 

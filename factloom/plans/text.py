@@ -1 +1,209 @@
-"""To come."""
+"""Text functions on the given tables; inputs of the needed form are put together from names, brands and ids."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from factloom.functions import text as t
+from factloom.operators import texts as x
+from factloom.plans.registry import query
+from factloom.session import table
+from factloom.sources.tables import STATEMENTS, statements
+
+
+def _parts(spark, sf_dir, **columns):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), *[F.expr(e).alias(n) for n, e in columns.items()])
+
+
+def _pairs(c, *fields):
+    return F.array_join(F.transform(c, lambda p: F.concat_ws("=", *[F.coalesce(p[f].cast("string"), F.lit("-")) for f in fields])), "|")
+
+
+@query("b1_strip_invisible", "SELECT doc_id, length(text) AS n FROM documents")
+def strip(spark, sf_dir):
+    marked = F.concat(F.lit("​﻿"), "text", F.lit("⁠"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(t.strip_invisible(marked)).cast("long").alias("n"))
+
+
+_FOLD = "lower(strip_accents(string_split(text, chr(10))[1]))"
+
+
+@query("b2_slugify", f"WITH s AS (SELECT doc_id, trim(regexp_replace({_FOLD}, '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents) SELECT doc_id, CASE WHEN s = '' THEN 'unknown' ELSE s END AS slug FROM s")
+def slugify(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", t.slugify(F.col("text")).alias("slug"))
+
+
+@query("b3_normalise_key", "SELECT doc_id, regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g') AS key FROM documents")
+def key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", t.normalise_key(F.col("text")).alias("key"))
+
+
+@query("b4_name_variants", "SELECT p_partkey AS k, p_name || ' the ' || p_brand || ' (' || p_type || ')' || '|' || p_name || ' the ' || p_brand || '|' || p_name || '|' || p_brand AS forms FROM part")
+def variants(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="p_name || ' the ' || p_brand || ' (' || p_type || ')'")
+    return p.select("k", F.array_join(t.name_variants(F.col("c")), "|").alias("forms"))
+
+
+@query("b5_split_qualified", "SELECT p_partkey AS k, p_name || '=former|' || p_brand || '=current|' || p_type || '=captain' AS parts FROM part")
+def qualified(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="p_name || ' (formerly);  ' || p_brand || ' ;x; ' || p_type || ' (Captain)'")
+    return p.select("k", _pairs(t.qualified_parts(F.col("c")), "name", "status").alias("parts"))
+
+
+@query("b6_split_relations", "SELECT p_partkey AS k, p_name || '=brother|' || p_brand || '=-' AS parts FROM part")
+def relations(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="p_name || ' (Brother); ' || p_brand || '; x'")
+    return p.select("k", _pairs(t.relation_parts(F.col("c")), "name", "relation").alias("parts"))
+
+
+@query("b7_split_credits", "SELECT p_partkey AS k, p_name || '|' || p_type AS names FROM part")
+def credit(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="'Voice: ' || p_name || ' (young); unknown · ' || p_type || ' ep. 12-30; 77'")
+    return p.select("k", F.array_join(t.credit_parts(F.col("c")), "|").alias("names"))
+
+
+@query("b8_parse_owner_chain", "SELECT p_partkey AS k, '0=' || p_name || '=false|1=' || p_brand || '=false|2=' || p_type || CASE WHEN p_size > 20 THEN '=false' ELSE '=true' END AS links FROM part")
+def chain(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="p_name || ', of old → ' || p_brand || ' → ' || p_type || if(p_size > 20, ' (destroyed in war)', '')")
+    return p.select("k", _pairs(t.owner_chain(F.col("c")), "pos", "owner", "current").alias("links"))
+
+
+@query("b9_value_variants", "SELECT p_partkey AS k, p_name || ' (' || p_type || ') · 1,' || lpad(CAST(p_size AS VARCHAR), 3, '0') || '|' || p_name || ' · 1,' || lpad(CAST(p_size AS VARCHAR), 3, '0') || '|' || p_name || ' (' || p_type || ')|' || p_name || '|1,' || lpad(CAST(p_size AS VARCHAR), 3, '0') || '|1' || lpad(CAST(p_size AS VARCHAR), 3, '0') || '|' || p_name || ' (' || p_type || ') · 1' || lpad(CAST(p_size AS VARCHAR), 3, '0') AS forms FROM part")
+def value_variants(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="p_name || ' (' || p_type || ') · 1,' || lpad(cast(p_size as string), 3, '0')")
+    return p.select("k", F.array_join(t.value_variants(F.col("c")), "|").alias("forms"))
+
+
+@query("b10_position", "SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 AND p_size > 1 THEN CAST(p_size - 1 AS INTEGER) END AS position, CASE WHEN p_partkey % 3 < 2 AND p_size > 1 THEN CAST(p_size - 1 AS INTEGER) END AS loose FROM part")
+def position(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="case p_partkey % 3 when 0 then 'Chapter ' || (p_size - 1) || ' (x)' when 1 then 'vol ' || (p_size - 1) else 'none' end")
+    return p.select("k", t.position(F.col("c")).alias("position"), t.loose_position(F.col("c")).alias("loose"))
+
+
+@query("b11_position_list", "SELECT p_partkey AS k, array_to_string(list_sort(list_distinct(list_concat(range(p_size, p_size + 4), [p_size + 2, 700, 1400]))), ',') AS positions FROM part")
+def positions(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="'see ' || p_size || '-' || (p_size + 3) || ' and ' || (p_size + 2) || ', 700-1400'")
+    return p.select("k", F.array_join(t.position_list(F.col("c")).cast("array<string>"), ",").alias("positions"))
+
+
+@query("b12_largest_amount", "SELECT p_partkey AS k, CASE WHEN p_partkey >= 1000 THEN CAST(greatest(p_partkey, 2000) AS BIGINT) ELSE CAST(2000 AS BIGINT) END AS amount FROM part")
+def amount(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="'from ' || p_partkey || ' to 2,000 or ' || p_size")
+    return p.select("k", t.largest_amount(F.col("c")).alias("amount"))
+
+
+@query("b13_strip_markup", "SELECT p_partkey AS k, 'The ' || p_name || ' of ' || p_brand || ' is ' || p_type || '.' AS text FROM part")
+def markup(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="\"== The ==\n'''[[\" || p_type || '|' || p_name || \"]]''' of [[\" || p_brand || ']]<ref>x</ref> {{a|{{b}}|c}}is [[File:x.png|thumb|see [[y]]]]<b>' || p_type || '</b>.'")
+    return p.select("k", t.strip_markup(F.col("c")).alias("text"))
+
+
+@query("b14_parse_infobox", "SELECT p_partkey AS k, p_name AS name, 'x ' || p_type || ' · ' || p_brand AS kind FROM part")
+def infobox(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="'intro {{Char Box\n| Name = ' || p_name || '\n| kind = x {{nowrap|}}' || p_type || '\n| kind2=' || p_brand || '\n|empty=\n}} tail'")
+    out = x.parse_infobox(p, "k", "c", "char box", {"name": ["ename", "name"], "kind": ["kind", "kind2", "empty"]}, ("kind",))
+    return out.withColumn("kind", F.replace("kind", F.lit("{{nowrap|}}"), F.lit("")))
+
+
+@query("b15_extract_mentions", "SELECT p_partkey AS k, p_name AS name, 'flashback' AS kind FROM part UNION ALL SELECT p_partkey, p_brand, 'full' FROM part")
+def mentions(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="'x [[no]]\n== Characters ==\n* [[' || p_name || '|n]] (Flashback)\n* [[' || p_brand || ']] and [[File:z]]\n* [[' || p_brand || ']]\n[[not a bullet]]\n== Next ==\n* [[after]]'")
+    return x.extract_mentions(p.withColumn("c", F.regexp_replace("c", "Brand#", "Brand ")), "k", "c").withColumn("name", F.regexp_replace("name", "^Brand ", "Brand#"))
+
+
+@query("b16_pair_turns", f"WITH {STATEMENTS} SELECT statement_id, volume, length(question) AS q, length(answer) AS a FROM statements")
+def turns(spark, sf_dir):
+    return statements(spark, sf_dir).select("statement_id", "volume", F.length("question").cast("long").alias("q"), F.length("answer").cast("long").alias("a"))
+
+
+@query("b16_pair_markers", "SELECT p_partkey AS k, CAST(0 AS INTEGER) AS n, 'who is ' || p_name || '?' AS question, 'it is ' || p_brand AS answer FROM part UNION ALL SELECT p_partkey, 2, 'and ' || p_type || '?', 'long ago' FROM part")
+def pair_markers(spark, sf_dir):
+    from factloom.operators.statements import pair_markers as pair
+
+    p = _parts(spark, sf_dir, c="'intro Q: who is ' || p_name || '? A: it is ' || p_brand || ' Q: no answer Q: and ' || p_type || '? A: long ago Q: x A: y'")
+    return pair(p, "k", "c")
+
+
+@query("b17_signature", "SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN p_type END AS name FROM part")
+def signature(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="case p_partkey % 3 when 0 then 'P.N. ' || p_name || '.' when 1 then 'P.N. anon. from ' || p_type || '!' else 'P.N. 12345a. from x!' end")
+    return p.select("k", t.signature(F.col("c"), [r"P\.N\. ([^.]*)\.", r"from ([^!]*)!"], ("anon",)).alias("name"))
+
+
+@query("b18_credits_tail", "SELECT p_partkey AS k, p_name AS body, CASE WHEN p_size > 9 THEN p_brand END AS credits FROM part")
+def credits_tail(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="p_name || ' Volume 7' || if(p_size > 9, ' Translators: ' || p_brand, '')")
+    return p.select("k", t.credits_tail(F.col("c")).alias("x")).select("k", "x.body", "x.credits")
+
+
+@query("b19_flatten_tables", "SELECT p_partkey AS k, 'a [h · i  ||  ' || p_name || ' · ' || p_brand || '] b' AS text FROM part")
+def flatten(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="'a {| class=x\n! h !! i\n|-\n| ' || p_name || ' || ' || p_brand || '\n|} b'")
+    return p.select("k", t.flatten_tables(F.col("c")).alias("text"))
+
+
+@query("b20_unpivot_tables", "SELECT p_partkey AS k, p_name AS name, 'age' AS field, CAST(p_size AS VARCHAR) AS value, false AS refused FROM part UNION ALL SELECT p_partkey, p_brand, 'age', '7', false FROM part UNION ALL SELECT p_partkey, NULL, 'type', NULL, true FROM part UNION ALL SELECT p_partkey, 'Z', 'age', p_type, false FROM part")
+def unpivot(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="'[Name · ' || p_name || ' · ' || p_brand || ' || Age · ' || p_size || ' · 7 || Type · x || Odd · 1 · 2] and [no · name || Age · Z] [note · Name · Age || x · Z · ' || p_type || '] [a || b]'")
+    return x.unpivot_positional_tables(p, "k", "c", ("age", "type")).where("not (value <=> 'Z')")
+
+
+@query("b21_attribute_attachments", "SELECT p_partkey AS doc, 'd' || p_size AS file, CAST(1 AS BIGINT) AS item, 'deferred' AS part FROM part UNION ALL SELECT p_partkey, 'q', 1, 'question' FROM part UNION ALL SELECT p_partkey, 'a', 1, 'answer' FROM part UNION ALL SELECT p_partkey, 'h', 2, 'deferred' FROM part")
+def attachments(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="'[[File:d' || p_size || ']]\nQ: x [[File:q|thumb]]\nA: y\n[[File:a]]\n== Next ==\n[[File:h]]\nQ: z\n'")
+    return x.attribute_attachments(p, "k", "c")
+
+
+@query("b22_sanitise", "SELECT doc_id, CASE WHEN length(c) > 300 THEN substr(c, 1, 300) || '…' ELSE c END AS text FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '(?i)token|password', '[marker]', 'g') AS c FROM documents)")
+def sanitise(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", t.sanitise(F.col("text"), ["(?i)token|password"], 300).alias("text"))
+
+
+@query("b23_quality_gate", """SELECT doc_id AS id, n_chars AS score, CASE WHEN source = 'src3' THEN 'moderated' WHEN n_chars < 400 THEN 'score' WHEN doc_id < 30 THEN 'age' WHEN length(trim(text)) < 500 THEN 'text' END AS reason,
+  CASE WHEN NOT (source = 'src3' OR n_chars < 400 OR doc_id < 30 OR length(trim(text)) < 500) THEN regexp_replace(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 120), '\\s+\\S*$', '') || '…' END AS summary FROM documents""")
+def gate(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    posts = d.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("doc_id").cast("int")).alias("day"), "text", "source")
+    return x.quality_gate(posts, F.col("source") == "src3", 400, F.date_add(F.lit("2020-01-01").cast("date"), 30), 500, 120)
+
+
+_RULES = [("(?i)^eco", "cheap"), ("(?i)promo|std", "special"), ("O", "other")]
+
+
+@query("b26_classify", "SELECT p_partkey AS k, CASE WHEN regexp_matches(p_type, '(?i)^eco') THEN 'cheap' WHEN regexp_matches(p_type, '(?i)promo|std') THEN 'special' WHEN regexp_matches(p_type, 'O') THEN 'other' ELSE 'none' END AS label FROM part")
+def classify(spark, sf_dir):
+    return _parts(spark, sf_dir, c="p_type").select("k", t.classify(F.col("c"), _RULES, "none").alias("label"))
+
+
+@query("b27_rank", "SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN 60 WHEN p_type = 'ECONOMY' THEN 1 WHEN p_type = 'PROMO' THEN 2 ELSE 60 END AS rank FROM part")
+def rank(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="if(p_partkey % 4 = 0, 'Former ', '') || p_type || '; PROMO'")
+    return p.select("k", t.rank(F.col("c"), [("^economy", 1), ("^promo", 2)]).alias("rank"))
+
+
+@query("b28_tags", "SELECT p_partkey AS k, array_to_string(list_concat(CASE WHEN p_name LIKE '%red%' THEN ['colour'] ELSE [] END, CASE WHEN p_name LIKE '%small%' THEN ['size'] ELSE [] END, [CASE WHEN p_size * 3 >= 100 THEN 'main' WHEN p_size * 3 >= 20 THEN 'recurring' ELSE 'minor' END]), ',') AS tags FROM part")
+def tags(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="upper(p_name)", n="p_size * 3")
+    return p.select("k", F.array_join(t.tags(F.col("c"), {"red": "colour", "small": "size"}, F.col("n")), ",").alias("tags"))
+
+
+@query("b29_equivalent", "SELECT p_partkey AS k, p_partkey % 4 < 3 OR p_size = 7 AS same FROM part")
+def equivalent(spark, sf_dir):
+    p = _parts(spark, sf_dir, a="if(p_partkey % 4 = 2, p_size || ' of 900', p_name || if(p_partkey % 4 = 3, ' ' || p_size, ''))", b="case p_partkey % 4 when 0 then upper(p_name) when 1 then p_name || ' (' || p_type || ')' when 2 then '900 and ' || p_size || ' or 5' else '7 things' end")
+    return p.select("k", t.equivalent(F.col("a"), F.col("b")).alias("same"))
+
+
+@query("b30_entry_text", "SELECT p_partkey AS k, p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_type AS text FROM part")
+def entry(spark, sf_dir):
+    p = _parts(spark, sf_dir, a="p_name", b="p_brand", c="array(p_type, p_type)")
+    return p.select("k", t.entry_text([F.col("a"), F.col("b")], [F.col("c")]).alias("text"))
+
+
+@query("b31_score_filenames", """WITH f AS (SELECT p_name || '-' || p_type || '.png' AS file, p_brand AS page, p_name, p_type FROM part GROUP BY ALL), tg AS (SELECT p_name || ' ' || p_size AS target, p_brand AS page, p_name, p_partkey FROM part),
+  pr AS (SELECT target, file, CASE WHEN w1 + w2 > 0 THEN w1 + w2 + CASE WHEN lower(file) LIKE '%promo%' THEN 3 ELSE 0 END ELSE 0 END AS score FROM (SELECT tg.target, f.file, (SELECT coalesce(sum(length(w)), 0) FROM (SELECT DISTINCT unnest(string_split(tg.p_name, ' ')) AS w) WHERE list_contains(list_concat(string_split(f.p_name, ' '), [lower(f.p_type)]), w)) AS w1, 0 AS w2 FROM tg JOIN f USING (page)))
+  SELECT target, arg_min(file, (-score, file)) AS file, CAST(max(score) AS INTEGER) AS score FROM pr GROUP BY target""")
+def filenames(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    files = p.select(F.concat("p_name", F.lit("-"), "p_type", F.lit(".png")).alias("file"), F.col("p_brand").alias("page")).distinct()
+    targets = p.select(F.concat_ws(" ", "p_name", "p_size").alias("target"), F.col("p_brand").alias("page")).distinct()
+    return x.score_filenames(targets, files, {"promo": 3})
