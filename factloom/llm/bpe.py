@@ -202,7 +202,7 @@ def decode(encoded: DataFrame, vocabulary: str = MULTI, keep: tuple[str, ...] =
             out = [b"".join(map(table.__getitem__, flat[a:b].tolist())) for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.binary())], names=[*keep, "bytes"])
 
-    rows = encoded.select(F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), *keep)
+    rows = encoded.select(F.coalesce("ids", F.array().cast("array<int>")).alias("_token_ids"), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     return rows.mapInArrow(run, f"{fields}, bytes binary")
 
