@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Zero-width and direction marks, word joiner, byte order mark.
 INVISIBLE = "[\\u200B-\\u200F\\u202A-\\u202E\\u2060\\uFEFF]"
@@ -15,7 +16,7 @@ def strip_invisible(c: Column) -> Column:
     return F.regexp_replace(c, INVISIBLE, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(values: pd.Series) -> pd.Series:
     """Compatibility-decomposed text without combining marks; there is no such function in Spark."""
     import unicodedata
@@ -136,7 +137,7 @@ def largest_amount(c: Column, floor: int = 1000) -> Column:
     return F.array_max(F.filter(amounts, lambda x: x >= floor))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_markup(values: pd.Series) -> pd.Series:
     """Wiki markup as text. Templates nest, so they go innermost first until none is left."""
     import re
@@ -156,7 +157,7 @@ def strip_markup(values: pd.Series) -> pd.Series:
     return values.map(plain)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def flatten_tables(values: pd.Series) -> pd.Series:
     """Each ``{| ... |}`` block as ``[cell · cell || cell]``, the rest untouched."""
     import re

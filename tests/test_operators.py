@@ -1,0 +1,145 @@
+"""Examples of single operators that need their branches shown."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.functions import text as t
+from factloom.operators import edges, evidence, facts, gates, profile, reconcile, resolution, statements, texts, timelines
+from factloom.operators.pages import image_alt_audit
+from factloom.sources import catalogue
+
+EVIDENCE = [
+    ("Does Nami like oranges?", "Nami likes oranges a lot.", ("canon", "serious", "near")),
+    ("What of Nami?", "Nami is not fond of oranges.", None),
+    ("What of Nami?", "Oranges? That is a secret, Nami. Later: Nami has oranges.", None),
+    ("Is it true about oranges?", "Yes, exactly.", ("canon", "confirmation", "confirmed")),
+    ("Is it true about oranges?", "Yes, but wait and see.", None),
+    ("Nami " + "x " * 60 + "oranges", "ok", ("likely", "serious", "wide")),
+    ("Nami likes oranges", "haha, just kidding", ("canon", "joke", "near")),
+    ("nothing", "at all", None),
+]
+
+
+@pytest.mark.parametrize("question,answer,want", EVIDENCE)
+def test_evidence_branches(question, answer, want):
+    assert evidence.evaluate(question, answer, "Nami", "oranges", ["oranges", "oranges"]) == want
+
+
+def test_evidence_by_variant_and_digits():
+    assert evidence.evaluate("q", "Nami has 1500 coins", "Nami", "1,500 (old)", ["1,500 (old)", "1,500", "1500"]) == ("likely", "serious", "variant")
+    assert evidence.evaluate("q", "Nami is 87 or so", "Nami", "87cm", ["87cm"]) == ("likely", "ambiguous", "digits")
+
+
+def test_verify_takes_the_earliest_canon_statement(spark):
+    rows = [("s1", 1, "Nami", "x " * 60 + "oranges"), ("s2", 2, "What?", "Nami likes oranges."), ("s3", 3, "What?", "Nami likes oranges."), ("s4", 4, "What?", "Zoro sleeps.")]
+    s = spark.createDataFrame(rows, "statement_id string, ordinal long, question string, answer string")
+    claims = spark.createDataFrame([(1, "Nami", "likes", "oranges"), (2, "Zoro", "likes", "oranges"), (3, "Nami", "likes", None)], "claim_id long, name string, predicate string, value string")
+    got = evidence.verify_claims(claims, s).collect()
+    assert [(r["claim_id"], r["statement_id"], r["tier"]) for r in got] == [(1, "s2", "canon")]
+    f = spark.createDataFrame([("Zoro", "likes", "sleep", "canon")], "name string, predicate string, value string, tier string")
+    verdicts = {r["claim_id"]: r["verdict"] for r in evidence.prove_claims(claims, f, s).collect()}
+    assert verdicts[1] == "confirmed" and verdicts[2] == "contradicted"
+
+
+def test_authority_only_overrides_from_the_gap_on(spark):
+    first = spark.createDataFrame([("A", 10, "cover"), ("B", 10, "cover"), ("C", 10, "cover")], "subject string, position int, kind string")
+    records = spark.createDataFrame([("a", 5), ("b", 6), ("c", 90)], "subject string, position int")
+    got = {r["subject"]: (r["position"], r["kind"], r["overridden"]) for r in facts.apply_authority(first, records).collect()}
+    assert got == {"A": (5, "full", True), "B": (10, "cover", False), "C": (10, "cover", False)}
+
+
+def test_first_rows_win_ties(spark):
+    obs = spark.createDataFrame([(3, "x", "cover", 2), (3, "x", "full", 1), (5, "x", "full", 0), (None, "x", "full", 9)], "position int, subject string, kind string, ordinal long")
+    assert facts.debuts(obs.where("position is not null")).first()["kind"] == "full"
+    got = {r["predicate"]: (r["value"], list(r["positions"])) for r in facts.derive_facts(obs).collect()}
+    assert got == {"first_position": (3, [3]), "appearances": (2, [3, 5]), "cover_appearances": (1, [3])}
+
+
+def test_conflicts_compare_with_the_first_only(spark):
+    rows = [("s", "age", "19 (then 21)", 0), ("s", "age", "21", 1), ("s", "age", "19", 2), ("u", "age", "7", 0), ("u", "age", "8", 1), ("u", "note", "a", 0), ("u", "note", "b", 1)]
+    f = spark.createDataFrame(rows, "subject string, predicate string, value string, ordinal long")
+    got = [(r["subject"], r["predicate"]) for r in reconcile.find_conflicts(f, ("note",)).collect()]
+    assert got == [("u", "age")]
+
+
+def test_slugs_see_natural_numbers(spark):
+    base = spark.createDataFrame([("x", 1), ("x", 2), ("x-2", 3), ("y", 4)], "base string, ordinal long")
+    taken = spark.createDataFrame([("y",), ("y-2",)], "slug string")
+    got = {r["ordinal"]: r["slug"] for r in resolution.unique_slugs(base, taken).collect()}
+    assert got == {1: "x", 2: "x-2", 3: "x-2-2", 4: "y-3"}
+
+
+def test_loose_names(spark):
+    records = spark.createDataFrame([("T-Bone",), ("Monkey Karp",)], "name string")
+    index = spark.createDataFrame([("old sailor", "T-Bone")], "alias_key string, name string")
+    names = spark.createDataFrame([("T Bone",), ("Monkey Carp (Jr.)",), ("Old Sailor the Great",), ("nobody",), (None,)], "n string")
+    got = {r["n"]: (r["record"], r["how"]) for r in resolution.resolve_loose(names, "n", records, index).collect()}
+    assert got == {"T Bone": ("T-Bone", "name"), "Monkey Carp (Jr.)": ("Monkey Karp", "swapped"), "Old Sailor the Great": ("T-Bone", "alias")}
+
+
+def test_asof_over_ranges(spark):
+    events = spark.createDataFrame([(k,) for k in (-5, 1, 10, 4000, 9000, 50000)], "key long")
+    mapping = spark.createDataFrame([(1, [3, 9]), (8999, [7])], "key long, positions array<int>")
+    got = {r["key"]: (r["position"], r["how"]) for r in edges.asof_position(events, mapping).collect()}
+    assert got == {-5: (9, "filler"), 1: (9, "exact"), 10: (7, "filler"), 4000: (7, "filler"), 9000: (7, "filler"), 50000: (7, "filler")}
+
+
+def test_owner_chain_resets_after_an_unknown_link(spark):
+    chains = spark.createDataFrame([("i", 0, "A", False), ("i", 1, "?", False), ("i", 2, "B", True)], "item_id string, pos int, owner string, current boolean")
+    index = spark.createDataFrame([("a", "id:a"), ("b", "id:b")], "alias_key string, entity_id string")
+    got = {r["from_id"]: r["from_owner"] for r in edges.edges_owns(chains, index).collect()}
+    assert got == {"id:a": None, "id:b": None}
+
+
+def test_rungs_take_the_highest_earned(spark):
+    rows = [(1, "base", 5, [(10, 20, "early"), (15, None, "late"), (15, None, "later")]), (2, "base", 7, []), (3, "base", 7, [(99, None, "never")])]
+    e = spark.createDataFrame(rows, "entry_id long, label string, gate int, rungs array<struct<ch:int,max_ch:int,label:string>>")
+    got = {r["entry_id"]: (r["label"], r["gate"]) for r in gates.resolve_rungs(e, 25).collect()}
+    assert got == {1: ("later", 15), 2: ("base", 7)}
+
+
+def test_terms_of_several_words(spark):
+    e = spark.createDataFrame([(1, "The Grand Line, at last", 3), (2, "grand old line", 3), (3, "", 3), (4, None, 3)], "entry_id long, text string, gate int")
+    lexicon = spark.createDataFrame([("grand line", 9)], "term string, ch int")
+    got = {r["entry_id"]: r["gate"] for r in gates.raise_for_terms(e, lexicon).collect()}
+    assert got == {1: 9, 2: 3, 3: 3, 4: 3}
+
+
+def test_dates_are_made_to_increase(spark):
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    rows = [(1, 1, day(30), False, False), (1, 2, day(10), False, True), (1, 3, day(8), False, False), (1, 4, day(20), False, False)]
+    tl = spark.createDataFrame(rows, "series long, position long, day date, approximate boolean, hard boolean")
+    got = [(r["position"], r["day"], r["approximate"], r["warned"]) for r in timelines.enforce_increasing(tl).orderBy("position").collect()]
+    assert got == [(1, day(3), True, False), (2, day(10), False, True), (3, day(8), False, False), (4, day(20), False, False)]
+
+
+def test_markup_tables_and_boxes(spark):
+    df = spark.createDataFrame([(1, "{{Box|a=x [[p|q]]|b={{n|1|2}}y|c=}}", "[[File:a.png|x]]'''B''' {{t|{{u}}}}[[p|q]]<ref>z</ref>")], "k long, box string, m string")
+    r = texts.parse_infobox(df, "k", "box", "box", {"one": ["zz", "a"], "two": ["b", "c"]}, ("two",)).first()
+    assert (r["one"], r["two"]) == ("x [[p|q]]", "{{n|1|2}}y")
+    assert df.select(t.strip_markup(F.col("m"))).first()[0] == "B q"
+    image = image_alt_audit(spark.createDataFrame([(1, '<p>\n<img src="a">\n<img alt="" src="b"><img src="${c}">')], "page_id long, html string"))
+    assert sorted((r["line"], r["verdict"]) for r in image.collect()) == [(2, "missing"), (3, "empty")]
+
+
+def test_pairs_of_turns(spark):
+    rows = [(1, 0, "user", "first question"), (1, 1, "system", "ignored text"), (1, 2, "assistant", "the answer"), (1, 3, "user", "second one"), (1, 4, "user", "third one"), (1, 5, "assistant", "ok"), (1, 6, "assistant", "more")]
+    got = statements.pair_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [(r["turn"], r["answer"]) for r in got] == [(0, "the answer")]
+
+
+def test_round_trips(spark, tmp_path):
+    (tmp_path / "log.csv").write_text("chapter,name,type\n1, A ,Cover\nx,B,full\n2,,full\n3,C,\n")
+    assert sorted(map(tuple, catalogue.read_observations(spark, str(tmp_path / "log.csv")).collect())) == [(1, "A", "cover"), (3, "C", "full")]
+    (tmp_path / "m.json").write_text('﻿{"x": {"size": 1}, "note": "text", "y": {"size": 2}}')
+    assert sorted(map(tuple, catalogue.read_records(spark, str(tmp_path / "m.json"), "map", "size int").collect())) == [("x", 1), ("y", 2)]
+    (tmp_path / "w.json").write_text('{"crews": [{"size": 3}, 7]}')
+    assert [r["size"] for r in catalogue.read_records(spark, str(tmp_path / "w.json"), "wrapped", "size int", "crews").collect()] == [3]
+
+
+def test_gaps_and_groups(spark):
+    df = spark.createDataFrame([(1,), (4,), (6,)], "n long")
+    assert sorted(r["n"] for r in profile.sequence_gaps(df, "n", spark.createDataFrame([(5,)], "n int")).collect()) == [2, 3]
+    assert profile.sequence_gaps(df.where("n > 9"), "n").count() == 0
