@@ -363,3 +363,55 @@ def test_secret_digest_of_nothing(spark):
     one = spark.createDataFrame([(1, "plain")], "doc_id long, text string")
     found = secrets.scan_secrets(one, [0.0] * len(secrets.ALPHABET) ** 2).select(F.sha2(secrets.span_text(F.col("base")).cast("binary"), 256).alias("h")).first()
     assert found["h"] == hashlib.sha256(b"").hexdigest()
+
+
+# --- similarity of 0.8 ---------------------------------------------------------------------------------------
+
+
+def test_similar_documents(spark, docs, none, monkeypatch):
+    from factloom.llm import similar
+
+    monkeypatch.setattr(similar, "SMALL", 20)
+    rng = np.random.default_rng(8)
+    texts, base = [], [f"w{i}" for i in rng.integers(0, 5000, 300)]
+    for i in range(120):  # copies of one text with one word changed: similarity 0.93 or more to it
+        copy = list(base)
+        copy[int(rng.integers(0, 300))] = f"new{i}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(f"w{i}" for i in rng.integers(0, 5000, 300)) for _ in range(80)] + ["", None, "short one", "Short  ONE"]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(None, "x")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(rows).collect()}
+    assert all(got[i] == 0 for i in range(120)) and all(got[i] == i for i in range(120, 200))
+    assert got[201] == 200 and got[203] == 202 and None not in got
+    assert similar.similar_documents(none).count() == 0
+    assert {r["doc_id"] for r in similar.similar_documents(docs).collect()} == {r["doc_id"] for r in docs.collect()} - {None}
+
+
+def test_similarity_plan():
+    from factloom.llm.similar import Plan
+
+    assert Plan.of(10, 0.8, 0.95).width == 16 and Plan.of(10**8, 0.8, 0.95).width == 21
+    assert Plan.of(10, 0.9, 0.95).blocks < Plan.of(10, 0.8, 0.95).blocks
+
+
+# --- pipeline ------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    folder = "/root/testdata/sf0.001"
+    source = spark.read.parquet(f"{folder}/documents.parquet")
+    docs, seen = source, []
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, docs, folder)
+        assert kept.columns == source.columns
+        rows = kept.toPandas()
+        assert set(rows["doc_id"]) <= set(docs.toPandas()["doc_id"]) and rows["doc_id"].is_unique
+        seen.append((name, len(rows)))
+        docs = spark.createDataFrame(rows, source.schema)
+    counts = [n for _, n in seen]
+    assert counts == sorted(counts, reverse=True) and counts[2] < source.count() and counts[3] == counts[2]
+    assert not [t for t in rows["text"] if base_spans(t)]
+    assert all(len(t) == n for t, n in zip(rows["text"], rows["n_chars"]))
+    pieces = corpus_pipeline.pack_sequences(spark, docs, folder).collect()
+    assert {r["doc_id"] for r in pieces} == set(rows["doc_id"])
