@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from factloom.functions.text import equivalent, value_variants, word_runs
 
@@ -42,21 +43,27 @@ def mention_index(names: DataFrame, docs: DataFrame, key: str, text: str, order:
     return ranked.select("name", key, "rank", F.substring(F.col(text), at, F.lit(snippet)).alias("snippet"))
 
 
-def linkify(docs: DataFrame, key: str, text: str, names: list[str], link: str = "[[{}]]") -> DataFrame:
-    """Columns key and text with names wrapped as links, the longest form first; names under 3 characters are skipped.
+def linkify(docs: DataFrame, key: str, text: str, names: DataFrame, link: str = "[[{}]]") -> DataFrame:
+    """Columns key and text with names (form) wrapped as links, the longest form first; forms under 3 characters are skipped.
 
-    ``names`` is the catalogue's list of forms, small by its nature, and goes out as one compiled pattern.
+    Documents first meet the forms that they hold by join, so that a text is searched for these only.
     """
-    forms = sorted({n for n in names if len(n) >= 3}, key=lambda n: (-len(n), n))
+    met = mentions(names.where(F.length("form") >= 3).select(F.col("form").alias("name"), "form"), docs, key, text)
+    own = met.groupBy(key).agg(F.sort_array(F.collect_set("name")).alias("_forms"))
 
-    @F.pandas_udf("string")
-    def wrap(values: pd.Series) -> pd.Series:
+    def wrap(texts: pd.Series, forms: pd.Series) -> pd.Series:
         import re
 
-        pattern = re.compile(r"\b(?:" + "|".join(map(re.escape, forms)) + r")\b", re.I)
-        return values.map(lambda s: s if s is None or not forms else pattern.sub(lambda m: link.format(m[0]), s))
+        def one(s: str | None, found) -> str | None:
+            if s is None or found is None or not len(found):
+                return s
+            pattern = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(found, key=lambda n: (-len(n), n)))) + r")(?!\w)", re.I)
+            return pattern.sub(lambda m: link.format(m[0]), s)
 
-    return docs.select(key, wrap(F.col(text)).alias("text"))
+        return pd.Series([one(s, f) for s, f in zip(texts, forms)], dtype=object)
+
+    rows = docs.select(key, F.col(text).alias("_t")).join(own, key, "left")
+    return rows.select(key, F.pandas_udf(wrap, StringType())("_t", "_forms").alias("text"))
 
 
 @dataclass(frozen=True)

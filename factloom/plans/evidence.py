@@ -26,8 +26,7 @@ def mention_index(spark, sf_dir):
 
 @query("f2_linkify")
 def linkify(spark, sf_dir):
-    names = [x["name"] for x in _names(spark, sf_dir).limit(500).collect()]
-    return e.linkify(table(spark, sf_dir, "documents"), "doc_id", "text", names)
+    return e.linkify(table(spark, sf_dir, "documents"), "doc_id", "text", _names(spark, sf_dir))
 
 
 def _claims(spark, sf_dir):

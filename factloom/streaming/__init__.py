@@ -1,0 +1 @@
+"""Nothing here yet: the catalogue's work is batch work. Ledgers are brought forward by ``operators.facts.merge_facts``."""

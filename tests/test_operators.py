@@ -143,3 +143,10 @@ def test_gaps_and_groups(spark):
     df = spark.createDataFrame([(1,), (4,), (6,)], "n long")
     assert sorted(r["n"] for r in profile.sequence_gaps(df, "n", spark.createDataFrame([(5,)], "n int")).collect()) == [2, 3]
     assert profile.sequence_gaps(df.where("n > 9"), "n").count() == 0
+
+
+def test_links_take_the_longest_form(spark):
+    docs = spark.createDataFrame([(1, "Blue Ring and blue sea, bluering"), (2, None), (3, "none")], "k long, text string")
+    names = spark.createDataFrame([("blue",), ("blue ring",), ("an",)], "form string")
+    got = {r["k"]: r["text"] for r in evidence.linkify(docs, "k", "text", names).collect()}
+    assert got == {1: "[[Blue Ring]] and [[blue]] sea, bluering", 2: None, 3: "none"}
