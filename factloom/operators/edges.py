@@ -200,7 +200,7 @@ def facts_without_edge(facts: DataFrame, links: DataFrame) -> DataFrame:
 
 def check_edges(edges: DataFrame, ids: DataFrame, unique: tuple[str, ...]) -> DataFrame:
     """Columns ordinal and problem of edges (shard, from_id, to_id, src, ordinal): later ones of a pair, missing and unknown ends."""
-    natural = r"^(ch:\d+|arc:[a-z0-9-]+|sbs:vol\d{3,}-q\d{4,})$"
+    natural = r"^(ch:\d+|arc:[a-z0-9-]+|st:vol\d{3,}-q\d{4,})$"
     known = ids.select(F.col("id").alias("_id"), F.lit(True).alias("_known"))
     rows = edges
     for end in ("from", "to"):

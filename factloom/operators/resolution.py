@@ -77,9 +77,9 @@ def unique_slugs(df: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def natural_keys(df: DataFrame, position: str, volume: str, item: str) -> DataFrame:
-    """The rows with ``position_key`` (ch:N) and ``item_key`` (sbs:volNNN-qNNNN)."""
+    """The rows with ``position_key`` (ch:N) and ``item_key`` (st:volNNN-qNNNN)."""
     pad = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
-    return df.withColumn("position_key", F.concat(F.lit("ch:"), F.col(position).cast("string"))).withColumn("item_key", F.concat(F.lit("sbs:vol"), pad(volume, 3), F.lit("-q"), pad(item, 4)))
+    return df.withColumn("position_key", F.concat(F.lit("ch:"), F.col(position).cast("string"))).withColumn("item_key", F.concat(F.lit("st:vol"), pad(volume, 3), F.lit("-q"), pad(item, 4)))
 
 
 def build_aliases(records: DataFrame, groups: DataFrame) -> DataFrame:

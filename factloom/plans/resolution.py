@@ -40,7 +40,7 @@ def slugs(spark, sf_dir):
     return r.unique_slugs(base, base.where("base like 'red-%'").select(F.col("base").alias("slug")).distinct())
 
 
-@query("c4_natural_keys", "SELECT conv_id, turn, 'ch:' || turn AS position_key, 'sbs:vol' || lpad(CAST(conv_id AS VARCHAR), greatest(3, 3), '0') || '-q' || lpad(CAST(turn AS VARCHAR), 4, '0') AS item_key FROM conversations")
+@query("c4_natural_keys", "SELECT conv_id, turn, 'ch:' || turn AS position_key, 'st:vol' || lpad(CAST(conv_id AS VARCHAR), greatest(3, 3), '0') || '-q' || lpad(CAST(turn AS VARCHAR), 4, '0') AS item_key FROM conversations")
 def natural(spark, sf_dir):
     return r.natural_keys(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "turn", "conv_id", "turn")
 

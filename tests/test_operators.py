@@ -11,34 +11,34 @@ from factloom.operators.pages import image_alt_audit
 from factloom.sources import catalogue
 
 EVIDENCE = [
-    ("Does Nami like oranges?", "Nami likes oranges a lot.", ("canon", "serious", "near")),
-    ("What of Nami?", "Nami is not fond of oranges.", None),
-    ("What of Nami?", "Oranges? That is a secret, Nami. Later: Nami has oranges.", None),
+    ("Does Adah like oranges?", "Adah likes oranges a lot.", ("canon", "serious", "near")),
+    ("What of Adah?", "Adah is not fond of oranges.", None),
+    ("What of Adah?", "Oranges? That is a secret, Adah. Later: Adah has oranges.", None),
     ("Is it true about oranges?", "Yes, exactly.", ("canon", "confirmation", "confirmed")),
     ("Is it true about oranges?", "Yes, but wait and see.", None),
-    ("Nami " + "x " * 60 + "oranges", "ok", ("likely", "serious", "wide")),
-    ("Nami likes oranges", "haha, just kidding", ("canon", "joke", "near")),
+    ("Adah " + "x " * 60 + "oranges", "ok", ("likely", "serious", "wide")),
+    ("Adah likes oranges", "haha, just kidding", ("canon", "joke", "near")),
     ("nothing", "at all", None),
 ]
 
 
 @pytest.mark.parametrize("question,answer,want", EVIDENCE)
 def test_evidence_branches(question, answer, want):
-    assert evidence.evaluate(question, answer, "Nami", "oranges", ["oranges", "oranges"]) == want
+    assert evidence.evaluate(question, answer, "Adah", "oranges", ["oranges", "oranges"]) == want
 
 
 def test_evidence_by_variant_and_digits():
-    assert evidence.evaluate("q", "Nami has 1500 coins", "Nami", "1,500 (old)", ["1,500 (old)", "1,500", "1500"]) == ("likely", "serious", "variant")
-    assert evidence.evaluate("q", "Nami is 87 or so", "Nami", "87cm", ["87cm"]) == ("likely", "ambiguous", "digits")
+    assert evidence.evaluate("q", "Adah has 1500 coins", "Adah", "1,500 (old)", ["1,500 (old)", "1,500", "1500"]) == ("likely", "serious", "variant")
+    assert evidence.evaluate("q", "Adah is 87 or so", "Adah", "87cm", ["87cm"]) == ("likely", "ambiguous", "digits")
 
 
 def test_verify_takes_the_earliest_canon_statement(spark):
-    rows = [("s1", 1, "Nami", "x " * 60 + "oranges"), ("s2", 2, "What?", "Nami likes oranges."), ("s3", 3, "What?", "Nami likes oranges."), ("s4", 4, "What?", "Zoro sleeps.")]
+    rows = [("s1", 1, "Adah", "x " * 60 + "oranges"), ("s2", 2, "What?", "Adah likes oranges."), ("s3", 3, "What?", "Adah likes oranges."), ("s4", 4, "What?", "Bert sleeps.")]
     s = spark.createDataFrame(rows, "statement_id string, ordinal long, question string, answer string")
-    claims = spark.createDataFrame([(1, "Nami", "likes", "oranges"), (2, "Zoro", "likes", "oranges"), (3, "Nami", "likes", None)], "claim_id long, name string, predicate string, value string")
+    claims = spark.createDataFrame([(1, "Adah", "likes", "oranges"), (2, "Bert", "likes", "oranges"), (3, "Adah", "likes", None)], "claim_id long, name string, predicate string, value string")
     got = evidence.verify_claims(claims, s).collect()
     assert [(r["claim_id"], r["statement_id"], r["tier"]) for r in got] == [(1, "s2", "canon")]
-    f = spark.createDataFrame([("Zoro", "likes", "sleep", "canon")], "name string, predicate string, value string, tier string")
+    f = spark.createDataFrame([("Bert", "likes", "sleep", "canon")], "name string, predicate string, value string, tier string")
     verdicts = {r["claim_id"]: r["verdict"] for r in evidence.prove_claims(claims, f, s).collect()}
     assert verdicts[1] == "confirmed" and verdicts[2] == "contradicted"
 
@@ -72,11 +72,11 @@ def test_slugs_see_natural_numbers(spark):
 
 
 def test_loose_names(spark):
-    records = spark.createDataFrame([("T-Bone",), ("Monkey Karp",)], "name string")
-    index = spark.createDataFrame([("old sailor", "T-Bone")], "alias_key string, name string")
-    names = spark.createDataFrame([("T Bone",), ("Monkey Carp (Jr.)",), ("Old Sailor the Great",), ("nobody",), (None,)], "n string")
+    records = spark.createDataFrame([("K-Row",), ("Marlo Karp",)], "name string")
+    index = spark.createDataFrame([("old miller", "K-Row")], "alias_key string, name string")
+    names = spark.createDataFrame([("K Row",), ("Marlo Carp (Jr.)",), ("Old Miller the Great",), ("nobody",), (None,)], "n string")
     got = {r["n"]: (r["record"], r["how"]) for r in resolution.resolve_loose(names, "n", records, index).collect()}
-    assert got == {"T Bone": ("T-Bone", "name"), "Monkey Carp (Jr.)": ("Monkey Karp", "swapped"), "Old Sailor the Great": ("T-Bone", "alias")}
+    assert got == {"K Row": ("K-Row", "name"), "Marlo Carp (Jr.)": ("Marlo Karp", "swapped"), "Old Miller the Great": ("K-Row", "alias")}
 
 
 def test_asof_over_ranges(spark):
@@ -101,8 +101,8 @@ def test_rungs_take_the_highest_earned(spark):
 
 
 def test_terms_of_several_words(spark):
-    e = spark.createDataFrame([(1, "The Grand Line, at last", 3), (2, "grand old line", 3), (3, "", 3), (4, None, 3)], "entry_id long, text string, gate int")
-    lexicon = spark.createDataFrame([("grand line", 9)], "term string, ch int")
+    e = spark.createDataFrame([(1, "The North Road, at last", 3), (2, "north old road", 3), (3, "", 3), (4, None, 3)], "entry_id long, text string, gate int")
+    lexicon = spark.createDataFrame([("north road", 9)], "term string, ch int")
     got = {r["entry_id"]: r["gate"] for r in gates.raise_for_terms(e, lexicon).collect()}
     assert got == {1: 9, 2: 3, 3: 3, 4: 3}
 
@@ -135,8 +135,8 @@ def test_round_trips(spark, tmp_path):
     assert sorted(map(tuple, catalogue.read_observations(spark, str(tmp_path / "log.csv")).collect())) == [(1, "A", "cover"), (3, "C", "full")]
     (tmp_path / "m.json").write_text('﻿{"x": {"size": 1}, "note": "text", "y": {"size": 2}}')
     assert sorted(map(tuple, catalogue.read_records(spark, str(tmp_path / "m.json"), "map", "size int").collect())) == [("x", 1), ("y", 2)]
-    (tmp_path / "w.json").write_text('{"crews": [{"size": 3}, 7]}')
-    assert [r["size"] for r in catalogue.read_records(spark, str(tmp_path / "w.json"), "wrapped", "size int", "crews").collect()] == [3]
+    (tmp_path / "w.json").write_text('{"teams": [{"size": 3}, 7]}')
+    assert [r["size"] for r in catalogue.read_records(spark, str(tmp_path / "w.json"), "wrapped", "size int", "teams").collect()] == [3]
 
 
 def test_gaps_and_groups(spark):
