@@ -141,7 +141,7 @@ def encoder(tokenizer) -> Chunked:
     def many(parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    return Chunked(many)
+    return Chunked(many, CACHE // 2)
 
 
 def _quiet() -> None:
