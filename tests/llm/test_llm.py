@@ -394,6 +394,80 @@ def test_similarity_plan():
     assert Plan.of(10, 0.9, 0.95).blocks < Plan.of(10, 0.8, 0.95).blocks
 
 
+def _family(sizes, seed):
+    """Texts of 204 different words (200 shingles); ``sizes`` are (start, end) of the run of words taken from one long base."""
+    return [" ".join(f"{seed}w{i}" for i in range(a, b)) for a, b in sizes]
+
+
+def _components(texts, similarity=0.8):
+    """Brute force over sets of shingles of five words."""
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if label[i] != label[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return label
+
+
+def test_similar_documents_of_hot_groups_keep_their_chains(spark, monkeypatch):
+    from factloom.llm import similar
+
+    monkeypatch.setattr(similar, "SMALL", 8)
+    monkeypatch.setattr(similar, "DEALT", 16)
+    # windows over one base, 12 shingles apart: neighbours have 188/212 = 0.89, every second 0.79, so a chain of 60
+    chain = _family([(12 * i, 12 * i + 204) for i in range(60)], "c")
+    # a template in half of each text: all meet in hot keys, none is similar; and 40 near copies of one such text
+    rng = np.random.default_rng(3)
+    shared = [f"t{i}" for i in range(140)]
+    template = [" ".join(shared + [f"u{x}" for x in rng.integers(0, 10**6, 60)]) for _ in range(150)]
+    near = []
+    for i in range(40):
+        words = template[0].split()
+        words[int(rng.integers(0, 200))] = f"n{i}"
+        near.append(" ".join(words))
+    texts = chain + template + near
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == _components(texts)
+
+
+def test_similar_documents_takes_the_bar_exactly(spark):
+    from factloom.llm import similar
+
+    # pairs of windows of n shingles that share n - d: (n - d) / (n + d)
+    wanted = {0.75: (210, 30), 0.79: (179, 21), 0.8: (180, 20), 0.82: (182, 18), 0.85: (185, 15)}
+    texts, kinds = [], []
+    for s, (n, d) in wanted.items():
+        assert abs((n - d) / (n + d) - s) < 1e-9
+        for i in range(100):
+            texts += _family([(0, n + 4), (d, n + d + 4)], f"{n}x{i}y")
+            kinds.append(s)
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    joined = {s: sum(got[2 * i + 1] == 2 * i for i, k in enumerate(kinds) if k == s) for s in wanted}
+    assert joined[0.75] == joined[0.79] == 0 and min(joined[0.8], joined[0.82], joined[0.85]) >= 98
+
+
+def test_similar_documents_deals_large_keys(spark):
+    """A key of any size goes to cells of about ``small`` a side, where any two members of different components meet once."""
+    from factloom.llm import similar
+
+    rows = [(1, i, 0 if i < 700 else i - i % 2) for i in range(1000)] + [(2, i, i % 3) for i in range(9)] + [(3, i, 0) for i in range(500)]
+    cells = {}
+    for r in similar._dealt_cells(spark.createDataFrame(rows, "key long, node long, comp long"), 32).collect():
+        cells.setdefault((r["key"], r["lo"], r["hi"]), []).append(r)
+    met = {}
+    for (key, lo, hi), members in cells.items():
+        assert len(members) <= 4 * 32
+        for x in (m for m in members if m["side"] == lo):
+            for y in (m for m in members if m["side"] == hi):
+                if x["comp"] != y["comp"] and (lo != hi or x["node"] < y["node"]):
+                    pair = (key, *sorted((x["node"], y["node"])))
+                    met[pair] = met.get(pair, 0) + 1
+    assert set(met.values()) == {1}
+    assert set(met) == {(k, a, b) for k, a, ca in rows for k2, b, cb in rows if k == k2 and a < b and ca != cb}
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------
 
 
