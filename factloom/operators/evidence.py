@@ -104,6 +104,33 @@ def digit_proximity(text: str, name: str, value: str, window: int) -> tuple[int,
     return None
 
 
+def _dodged(text: str, hit: tuple[int, int], window: int, rules: Rules) -> bool:
+    return any(x in text.lower()[max(0, hit[0] - window) : hit[1] + window] for x in rules.dodge)
+
+
+def _negated(text: str, hit: tuple[int, int], rules: Rules) -> bool:
+    return any(_find(text[max(0, hit[0] - rules.before) : hit[0]], x) for x in rules.negation)
+
+
+def _confirmed(question: str, answer: str, value: str, variants: list[str], rules: Rules) -> bool:
+    reply = answer.lower().strip()
+    asked = any(_find(question, v) for v in [value, *variants[1:3]])
+    return asked and any(reply.startswith(x) for x in rules.agreement) and not any(x in reply for x in rules.dodge)
+
+
+def grade(question: str, answer: str, name: str, value: str, variants: list[str], rules: Rules = Rules()) -> str | None:
+    """What a statement is to the claim that ``name`` has ``value``: the value near the name, undodged, is 'contradict'
+    if negated and else 'support'; then a confirmed question is 'support'; the wider window, undodged, is 'context'."""
+    text = f"{question} ║ {answer}"
+    if (hit := proximity(text, name, value, rules.near)) is not None and not _dodged(text, hit, rules.near, rules):
+        return "contradict" if _negated(text, hit, rules) else "support"
+    if _confirmed(question, answer, value, variants, rules):
+        return "support"
+    if (hit := proximity(text, name, value, rules.wide)) is not None and not _dodged(text, hit, rules.wide, rules):
+        return "context"
+    return None
+
+
 def evaluate(question: str, answer: str, name: str, value: str, variants: list[str], rules: Rules = Rules()) -> tuple[str, str, str] | None:
     """(tier, intent, rule) of a statement as evidence that ``name`` has ``value``; None where it is rejected or silent.
 
@@ -111,18 +138,15 @@ def evaluate(question: str, answer: str, name: str, value: str, variants: list[s
     an answer that opens with agreement, undodged; the wider window; variants there, undodged; digit groups there.
     """
     text = f"{question} ║ {answer}"
-    low, reply = text.lower(), answer.lower().strip()
-    dodged = lambda a, b, w: any(x in low[max(0, a - w) : b + w] for x in rules.dodge)
-    negated = lambda a: any(_find(text[max(0, a - rules.before) : a], x) for x in rules.negation)
-    intent = "joke" if any(x in reply for x in rules.joke) else None
+    dodged = lambda a, b, w: _dodged(text, (a, b), w, rules)
+    intent = "joke" if any(x in answer.lower() for x in rules.joke) else None
     said = lambda tier, kind, rule: (tier, intent or kind, rule)
     if (hit := proximity(text, name, value, rules.near)) is not None:
-        return None if dodged(*hit, rules.near) or negated(hit[0]) else said("canon", "serious", "near")
-    asked = any(_find(question, v) for v in [value, *variants[1:3]])
-    if asked and any(reply.startswith(x) for x in rules.agreement) and not any(x in reply for x in rules.dodge):
+        return None if dodged(*hit, rules.near) or _negated(text, hit, rules) else said("canon", "serious", "near")
+    if _confirmed(question, answer, value, variants, rules):
         return said("canon", "confirmation", "confirmed")
     if (hit := proximity(text, name, value, rules.wide)) is not None:
-        return None if dodged(*hit, rules.wide) or negated(hit[0]) else said("likely", "serious", "wide")
+        return None if dodged(*hit, rules.wide) or _negated(text, hit, rules) else said("likely", "serious", "wide")
     for v in variants:
         if (hit := proximity(text, name, v, rules.wide)) is not None and not dodged(*hit, rules.wide):
             return said("likely", "serious", "variant")
@@ -158,17 +182,21 @@ def evaluate_evidence(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return rows.mapInPandas(run, f"{fields}, tier string, intent string, rule string")
 
 
+def _mentioning(claims: DataFrame, statements: DataFrame) -> DataFrame:
+    """Each claim with each statement that mentions its name."""
+    text = statements.withColumn("_text", F.concat_ws(" ║ ", "question", "answer"))
+    named = claims.select("name", F.col("name").alias("form")).distinct()
+    met = mentions(named, text, "statement_id", "_text")
+    return met.join(claims, "name").join(statements, "statement_id").select("claim_id", "statement_id", "ordinal", "question", "answer", "name", "value")
+
+
 def verify_claims(claims: DataFrame, statements: DataFrame, rules: Rules = Rules(), strict: bool = False) -> DataFrame:
     """Columns claim_id, statement_id, tier, intent and rule: the best evidence for each claim (claim_id, name, value).
 
     Candidates are the statements that mention the name. The earliest canon statement wins, else the earliest likely
     one; ``strict`` keeps canon only. Pairs of a frequent name are dealt out by statement before they are graded.
     """
-    text = statements.withColumn("_text", F.concat_ws(" ║ ", "question", "answer"))
-    named = claims.select("name", F.col("name").alias("form")).distinct()
-    met = mentions(named, text, "statement_id", "_text")
-    pairs = met.join(claims, "name").join(statements, "statement_id").select("claim_id", "statement_id", "ordinal", "question", "answer", "name", "value")
-    graded = evaluate_evidence(pairs.repartition("statement_id"), rules)
+    graded = evaluate_evidence(_mentioning(claims, statements).repartition("statement_id"), rules)
     if strict:
         graded = graded.where("tier = 'canon'")
     best = graded.groupBy("claim_id").agg(F.min(F.struct(F.when(F.col("tier") == "canon", 0).otherwise(1).alias("_t"), "ordinal", "statement_id", "tier", "intent", "rule")).alias("_b"))
@@ -188,21 +216,27 @@ def apply_decisions(queue: DataFrame, facts: DataFrame, ledger: DataFrame) -> tu
 
 
 def prove_claims(claims: DataFrame, facts: DataFrame, statements: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Columns claim_id, support, contradict, verdict and tier of claims (claim_id, name, predicate, value).
+    """Columns claim_id, support, contradict, verdict, tier and context of claims (claim_id, name, predicate, value).
 
-    Facts of the same name and predicate support with an equivalent value, else contradict; statements as graded.
-    A canon contradiction settles it; then canon support, any support, unknown.
+    Facts of the same name and predicate support with an equivalent value, else contradict. Every statement that
+    mentions the name counts as ``grade`` has it, as of tier canon if it supports or contradicts; context is counted
+    up to 8 and gives no verdict. A canon contradiction settles it; then canon support, any support, unknown.
     """
     f = facts.select("name", "predicate", F.col("value").alias("_v"), F.col("tier").alias("_t"))
     by_fact = claims.join(f, ["name", "predicate"]).select("claim_id", F.when(equivalent(F.col("value"), F.col("_v")), "support").otherwise("contradict").alias("side"), F.col("_t").alias("tier"))
-    by_text = verify_claims(claims, statements, rules).select("claim_id", F.lit("support").alias("side"), "tier")
+
+    def graded(*columns: pd.Series) -> pd.Series:
+        return pd.Series([grade(q or "", a or "", n or "", v or "", list(w) if w is not None else [], rules) for q, a, n, v, w in zip(*columns)], dtype=object)
+
+    pairs = _mentioning(claims, statements).repartition("statement_id").withColumn("_v", value_variants(F.col("value")))
+    by_text = pairs.select("claim_id", F.pandas_udf(graded, StringType())("question", "answer", "name", "value", "_v").alias("side"), F.lit("canon").alias("tier"))
     both = by_fact.unionByName(by_text)
     n = lambda side, tier=None: F.count_if((F.col("side") == side) & (F.lit(True) if tier is None else F.col("tier") == tier))
-    per = both.groupBy("claim_id").agg(n("support").alias("support"), n("contradict").alias("contradict"), n("support", "canon").alias("_cs"), n("contradict", "canon").alias("_cc"))
+    per = both.groupBy("claim_id").agg(n("support").alias("support"), n("contradict").alias("contradict"), n("support", "canon").alias("_cs"), n("contradict", "canon").alias("_cc"), F.least(n("context"), F.lit(8).cast("long")).alias("context"))
     all_ = claims.select("claim_id").join(per, "claim_id", "left").na.fill(0)
     verdict = F.when(F.col("_cc") > 0, "contradicted").when(F.col("_cs") > 0, "confirmed").when(F.col("support") > 0, "likely").otherwise("unknown")
     tier = F.when(verdict == "contradicted", "disproven").when(verdict == "confirmed", "canon").when(verdict == "likely", "likely").otherwise("speculation")
-    return all_.select("claim_id", "support", "contradict", verdict.alias("verdict"), tier.alias("tier"))
+    return all_.select("claim_id", "support", "contradict", verdict.alias("verdict"), tier.alias("tier"), "context")
 
 
 def parse_claims(texts: DataFrame, names: DataFrame, predicates: list[tuple[str, str, str]]) -> DataFrame:

@@ -43,6 +43,16 @@ def test_verify_takes_the_earliest_canon_statement(spark):
     assert verdicts[1] == "confirmed" and verdicts[2] == "contradicted"
 
 
+def test_prove_counts_every_statement(spark):
+    far = "Adah " + "x " * 50 + "plums"
+    rows = [("s1", 1, "What?", "Adah likes pears."), ("s2", 2, "Does Adah like pears?", "Yes"), ("s3", 3, "What?", "Adah never likes figs."), ("s4", 4, "What?", "Adah likes figs."), ("s5", 5, "What?", far)]
+    s = spark.createDataFrame(rows, "statement_id string, ordinal long, question string, answer string")
+    claims = spark.createDataFrame([(1, "Adah", "likes", "pears"), (2, "Adah", "likes", "figs"), (3, "Adah", "likes", "plums"), (4, "Adah", "likes", None)], "claim_id long, name string, predicate string, value string")
+    f = spark.createDataFrame([("Bert", "likes", "sleep", "canon")], "name string, predicate string, value string, tier string")
+    got = {r["claim_id"]: tuple(r)[1:] for r in evidence.prove_claims(claims, f, s).collect()}
+    assert got == {1: (2, 0, "confirmed", "canon", 0), 2: (1, 1, "contradicted", "disproven", 0), 3: (0, 0, "unknown", "speculation", 1), 4: (0, 0, "unknown", "speculation", 0)}
+
+
 def test_authority_only_overrides_from_the_gap_on(spark):
     first = spark.createDataFrame([("A", 10, "cover"), ("B", 10, "cover"), ("C", 10, "cover")], "subject string, position int, kind string")
     records = spark.createDataFrame([("a", 5), ("b", 6), ("c", 90)], "subject string, position int")
