@@ -382,16 +382,9 @@ def test_similar_documents(spark, docs, none, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(texts)) + [(None, "x")], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(rows).collect()}
     assert all(got[i] == 0 for i in range(120)) and all(got[i] == i for i in range(120, 200))
-    assert got[201] == 200 and got[203] == 202 and None not in got
+    assert got[201] == 200 and got[203] == 202 and got[None] is None
     assert similar.similar_documents(none).count() == 0
-    assert {r["doc_id"] for r in similar.similar_documents(docs).collect()} == {r["doc_id"] for r in docs.collect()} - {None}
-
-
-def test_similarity_plan():
-    from factloom.llm.similar import Plan
-
-    assert Plan.of(10, 0.8, 0.95).width == 16 and Plan.of(10**8, 0.8, 0.95).width == 21
-    assert Plan.of(10, 0.9, 0.95).blocks < Plan.of(10, 0.8, 0.95).blocks
+    assert sorted(map(repr, (r["doc_id"] for r in similar.similar_documents(docs).collect()))) == sorted(map(repr, (r["doc_id"] for r in docs.collect())))
 
 
 def _family(sizes, seed):
@@ -432,6 +425,35 @@ def test_similar_documents_of_hot_groups_keep_their_chains(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == _components(texts)
 
 
+def test_three_thousand_drifting_versions_are_one_component(spark):
+    from factloom.llm import similar
+
+    # each version changes one word of the one before it: neighbours have 0.95, the first and the last share nothing
+    rng, words, texts = np.random.default_rng(6), [f"v{i}" for i in range(204)], []
+    for n in range(3000):
+        words[int(rng.integers(0, 204))] = f"n{n}"
+        texts.append(" ".join(words))
+    order = rng.permutation(3000)
+    rows = spark.createDataFrame([(int(i), texts[i]) for i in order], "doc_id long, text string")
+    assert {r["component_id"] for r in similar.similar_documents(rows).collect()} == {0}
+
+
+def test_distinct_documents_keep_one_row_of_each_class(spark):
+    from factloom.llm import similar
+
+    words = [f"w{i}" for i in range(100)]
+    near = " ".join([*words[:99], "other"])
+    rows = [(2, near, "b"), (1, " ".join(words), "a"), (1, " ".join(words), "A"), (1, "quite another text under the same number", "c")]
+    rows += [(None, "text without number one two three", "d"), (None, "text  without number ONE two three", "e"), (None, near, "f"), (9, None, "g"), (8, "", "h"), (7, "quite another text under the same number", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `_copy.x` string").withColumn("row", F.lit(1)).withColumn("digest", F.map_from_arrays(F.array(F.lit("k")), F.array(F.lit("v"))))
+    got = similar.distinct_documents(docs)
+    assert got.columns == docs.columns
+    kept = sorted((str(r["doc_id"]), r["text"], r["_copy.x"]) for r in got.collect())
+    assert len(kept) == 4 and {k[2] for k in kept} & {"d", "e"}
+    assert {k for k in kept if k[0] != "None"} == {("1", " ".join(words), "A"), ("1", "quite another text under the same number", "c"), ("8", "", "h")}
+    assert similar.distinct_documents(docs.where("doc_id < 0")).count() == 0
+
+
 def test_similar_documents_takes_the_bar_exactly(spark):
     from factloom.llm import similar
 
@@ -453,12 +475,14 @@ def test_similar_documents_deals_large_keys(spark):
     from factloom.llm import similar
 
     rows = [(1, i, 0 if i < 700 else i - i % 2) for i in range(1000)] + [(2, i, i % 3) for i in range(9)] + [(3, i, 0) for i in range(500)]
+    rows += [(4, i, i % 4) for i in range(20)]  # few members of very large sets
     cells = {}
-    for r in similar._dealt_cells(spark.createDataFrame(rows, "key long, node long, comp long"), 32).collect():
+    held = spark.createDataFrame([(*r, 5000 if r[0] == 4 else 10) for r in rows], "key long, node long, comp long, n long")
+    for r in similar._dealt_cells(held, 32, 30_000).collect():
         cells.setdefault((r["key"], r["lo"], r["hi"]), []).append(r)
     met = {}
     for (key, lo, hi), members in cells.items():
-        assert len(members) <= 4 * 32
+        assert len(members) <= 4 * 32 and (key != 4 or len(members) < 20)
         for x in (m for m in members if m["side"] == lo):
             for y in (m for m in members if m["side"] == hi):
                 if x["comp"] != y["comp"] and (lo != hi or x["node"] < y["node"]):
