@@ -65,30 +65,41 @@ def tokenizer_from_ranks(path: str, pattern: str):
     return out
 
 
-def token_bytes(path: str) -> list[bytes]:
-    """The bytes of each id, by reversing the table of byte characters where the file holds characters."""
+def token_characters(path: str) -> list[str]:
+    """The byte characters of each id, special tokens by those of their own bytes; of a tiktoken or a ``tokenizers`` file."""
+    char = byte_characters()
+    spell = lambda data: "".join(map(char.__getitem__, data))
     if path.endswith(".tiktoken"):
-        ranks = load_ranks(path)
-        out = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            out[rank] = token
-        return out
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    byte = {c: i for i, c in enumerate(byte_characters())}
-    special = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
-    vocab = {i: t for t, i in spec["model"]["vocab"].items()}
-    return [special[i] if i in special else bytes(map(byte.__getitem__, vocab[i])) for i in range(max(max(vocab), *special, 0) + 1)]
+        named = {rank: spell(token) for token, rank in load_ranks(path).items()}
+    else:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        named = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: spell(t["content"].encode()) for t in spec["added_tokens"]}
+    return [named.get(i, "") for i in range(max(named, default=-1) + 1)]
+
+
+def byte_reader() -> Callable[[str], bytes]:
+    """Byte characters -> bytes, by the table of byte characters reversed."""
+    table = np.zeros(512, dtype="u1")
+    for b, c in enumerate(byte_characters()):
+        table[ord(c)] = b
+    return lambda text: table[np.frombuffer(text.encode("utf-16-le"), dtype="<u2")].tobytes()
+
+
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id."""
+    return list(map(byte_reader(), token_characters(path)))
 
 
 class Chunked:
     """Values of whole texts joined from those of their chunks.
 
-    ``many`` maps a list of strings to their values. A chunk but a text's first one stands for itself with a space
-    before it. A text with a chunk that is empty, or has white space at an end, isn't cut.
+    ``many`` maps a list of strings to their values; it is told how many of them, from the first, begin with a space
+    that no other white space follows. A chunk but a text's first one stands for itself with a space before it. A text
+    with a chunk that is empty, or has white space at an end, isn't cut.
     """
 
-    def __init__(self, many: Callable[[list[str]], list], bound: int = CACHE):
+    def __init__(self, many: Callable[[list[str], int], list], bound: int = CACHE):
         self.many, self.bound, self.known, self.first = many, bound, {}, {}
 
     def values(self, texts: list[str]) -> list[list]:
@@ -110,7 +121,7 @@ class Chunked:
                     first[start] = None
         heads = [x for x, v in first.items() if v is None]
         if new or whole or heads:
-            values = self.many([*[" " + x for x in new], *heads, *whole])
+            values = self.many([*[" " + x for x in new], *heads, *whole], len(new))
             known.update(zip(new, values))
             first.update(zip(heads, values[len(new) :]))
             whole.update(zip(whole, values[len(new) + len(heads) :]))
@@ -135,16 +146,28 @@ def _slices(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
         yield part
 
 
-def encoder(tokenizer) -> Chunked:
-    """Ids as little-endian unsigned 32-bit bytes, by the ``tokenizers`` library."""
+def encoder(tokenizer, lengths: np.ndarray, bound: int = CACHE // 2) -> Chunked:
+    """Ids as little-endian unsigned 32-bit bytes, by the ``tokenizers`` library; ``lengths`` has the bytes of each token.
+
+    Chunks that begin with a space are encoded many at once, as one text, and its ids are dealt out by their bytes.
+    """
 
-    def many(parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def ids(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return Chunked(many, CACHE // 2)
+    def many(parts: list[str], spaced: int = 0) -> list[bytes]:
+        out = []
+        for chunks in _slices(parts[:spaced], 1 << 16):
+            found = ids(["".join(chunks)])[0]
+            ends = np.searchsorted(np.cumsum(lengths[found]), np.cumsum([len(c.encode()) for c in chunks])) + 1
+            data, ends = found.tobytes(), (4 * ends).tolist()
+            out += [data[a:b] for a, b in zip([0, *ends], ends)]
+        return out + [x.tobytes() for x in ids(parts[spaced:])] if len(parts) > spaced else out
 
+    return Chunked(many, bound)
 
-def _quiet() -> None:
+
+def quiet() -> None:
     """One thread for each worker: Spark deals out the cores."""
     import os
 
@@ -160,12 +183,12 @@ def encode(docs: DataFrame, vocabulary: str = MULTI, pattern: str | None = None,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _quiet()
+        quiet()
         import public_tokenizers
 
         path = vocabulary_path(vocabulary)
-        ids_of = encoder(tokenizer_from_ranks(path, pattern or public_tokenizers.PATTERN))
-        lengths = np.array([len(t) for t in token_bytes(path)], dtype="i8")
+        lengths = np.array(list(map(len, token_characters(path))), dtype="i8")
+        ids_of = encoder(tokenizer_from_ranks(path, pattern or public_tokenizers.PATTERN), lengths)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             at = 0
@@ -191,15 +214,18 @@ def _starts(text: str, lengths: np.ndarray) -> np.ndarray:
 
 
 def decode(encoded: DataFrame, vocabulary: str = MULTI, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in ``keep`` and bytes, from ids. Bytes are joined before they are read as text, so that characters
-    split between tokens come out whole; ``to_text`` gives the string. Null ids give no bytes."""
+    """The columns in ``keep`` and bytes, from ids: their byte characters, read back through the reversed byte table.
+
+    A text's characters are joined before they become bytes, and its bytes before they are read as text, so that
+    characters split between tokens come out whole; ``to_text`` gives the string. Null ids give no bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(vocabulary_path(vocabulary))
+        table, read = token_characters(vocabulary_path(vocabulary)), byte_reader()
         for batch in batches:
             lists = batch.column(0)
             flat, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            out = [b"".join(map(table.__getitem__, flat[a:b].tolist())) for a, b in zip(bounds[:-1], bounds[1:])]
+            out = [read("".join(map(table.__getitem__, flat[a:b].tolist()))) for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.binary())], names=[*keep, "bytes"])
 
     rows = encoded.select(F.coalesce("ids", F.array().cast("array<int>")).alias("_token_ids"), *keep)
@@ -285,7 +311,7 @@ def counter(vocabulary: str, pattern: str, bound: int = CACHE) -> Callable[[list
             return pieces(text)
         return sum(map(pieces, special.split(text))) + len(special.findall(text))
 
-    chunks = Chunked(lambda parts: list(map(one, parts)), bound)
+    chunks = Chunked(lambda parts, _: list(map(one, parts)), bound)
     return lambda texts: [sum(v) for part in _slices(texts) for v in chunks.values(part)]
 
 

@@ -11,7 +11,6 @@ so that each cut point is put in and taken out once.
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.bpe import GPT, token_bytes, vocabulary_path
+from factloom.llm.bpe import CACHE, GPT, encoder, quiet, token_bytes, vocabulary_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -49,12 +48,14 @@ def best_cuts(position: list[int], penalty: list[float], capacity: int) -> list[
     return cuts[::-1]
 
 
-def cut_points(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray, sentence_penalty: float, token_penalty: float, gap: int = 128, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
+def cut_points(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray, sentence_penalty: float, token_penalty: float, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where the stream may be cut, its start and end included, with their penalties.
 
-    They are the ends of documents (no penalty) and sentences; where those lie over ``gap`` tokens apart, every
-    ``step`` tokens may be cut too, at ``token_penalty``.
+    They are the ends of documents (no penalty) and sentences; where those lie over a 16th of ``capacity`` apart (a
+    gap), every quarter of a gap may be cut too, at ``token_penalty``.
     """
+    gap = max(1, capacity // 16)
+    step = max(1, gap // 4)
     penalty = np.full(len(ids) + 1, np.inf)
     penalty[1:][sentence_end[ids]] = sentence_penalty
     penalty[ends] = 0.0
@@ -87,7 +88,7 @@ class Packer:
             return []
         ids = np.concatenate(self.ids)
         ends = np.cumsum([total - start for _, start, total in self.docs])
-        at, penalty = cut_points(ids, ends, *self.options)
+        at, penalty = cut_points(ids, ends, *self.options, self.capacity)
         cuts = at[best_cuts(at.tolist(), penalty.tolist(), self.capacity)]
         rest = np.zeros(0, ids.dtype), []
         if not last:
@@ -112,30 +113,15 @@ class Packer:
 
 
 def library_encoder(path: str):
-    """Text -> ids as the ``tokenizers`` library gives them for its byte-level file ``path``.
+    """Text -> ids as the ``tokenizers`` library gives them for its file ``path``, and the bytes of each token.
 
-    Such a file's ids are its merges' ranks, which tiktoken merges by several times faster, and the pattern is the
-    one that byte-level files imply. ``tokenizers`` itself takes texts of over a million characters, whose long runs
-    tiktoken's pattern engine may refuse. Special strings in a text become their ids, as is that library's default.
+    Special strings in a text become their ids, as is that library's default.
     """
-    import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
-    with open(path, encoding="utf-8") as f:
-        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-    ranks = {t: i for i, t in enumerate(token_bytes(path)) if i not in set(added.values())}
-    fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-    plain = Tokenizer.from_file(path)
-
-    def ids(text: str) -> list[int]:
-        if len(text) > 1_000_000:
-            return plain.encode(text, add_special_tokens=False).ids
-        if any(s in text for s in added):
-            return fast.encode(text, allowed_special="all")
-        return fast.encode_ordinary(text)
-
-    return ids
+    tokens = token_bytes(path)
+    chunks = encoder(Tokenizer.from_file(path), np.array(list(map(len, tokens)), dtype="i8"), CACHE)
+    return lambda text: np.frombuffer(b"".join(chunks.values([text])[0]), dtype="<u4"), tokens
 
 
 def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = GPT, end_id: int = 1, sentence_penalty: float = 8.0, token_penalty: float = 48.0, buffer_tokens: int = 1 << 19) -> DataFrame:
@@ -150,15 +136,19 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = GPT, end_id: i
     columns are not read; an empty table gives no rows.
     """
 
+    if capacity < 1:
+        raise ValueError("a sequence holds one token at least")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = vocabulary_path(vocabulary)
-        encode, ends = library_encoder(path), np.array([t.rstrip(b" ")[-1:] in (b".", b"!", b"?", b"\n") for t in token_bytes(path)])
+        quiet()
+        encode, tokens = library_encoder(vocabulary_path(vocabulary))
+        ends = np.array([t.rstrip(b" ")[-1:] in (b".", b"!", b"?", b"\n") for t in tokens])
         ends = np.concatenate([ends, np.zeros(max(0, end_id + 1 - len(ends)), bool)])
         packer = None
         for batch in batches:
             for doc_id, text, partition in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 packer = packer or Packer(partition, capacity, ends, sentence_penalty, token_penalty)
-                packer.add(doc_id, np.array([*encode(text), end_id], dtype="<u4"))
+                packer.add(doc_id, np.append(encode(text), np.uint32(end_id)).astype("<u4"))
                 if packer.size >= buffer_tokens:
                     yield _batch(packer.close(False))
         if packer:
