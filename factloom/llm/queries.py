@@ -34,12 +34,12 @@ def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every whole text's ids and of the bytes decoded from them."""
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), bpe.MULTI, offsets=False)
-    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
-    encoded = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"))
-    decoded = bpe.decode(encoded, bpe.MULTI, keep=("doc_id", "n_tokens", "ids_sha256"))
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    """Digests of every whole text's ids, of the bytes decoded from them, and of the tokens' offsets."""
+    digest = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), ",").cast("binary"), 256)
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), bpe.MULTI)
+    encoded = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), digest("starts").alias("starts_sha256"))
+    decoded = bpe.decode(encoded, bpe.MULTI, keep=("doc_id", "n_tokens", "ids_sha256", "starts_sha256"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"), "starts_sha256")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, digest and spans of the secrets in every whole text."""
     docs = table(spark, sf_dir, "documents")
-    found = secrets.scan_secrets(docs, secrets.trained_weights(spark, docs))
+    found = secrets.scan_secrets(docs, secrets.trained_model(spark, docs))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",

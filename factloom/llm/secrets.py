@@ -1,12 +1,15 @@
 """Secret scans with DataFrame functions only: fixed patterns, and character Markov models for the rest.
 
-Two first-order Markov models over characters, one of random strings and one of ordinary identifiers, are compared
-by the log-likelihood ratio of a token. Both are trained from labelled samples; the trained table has one weight
-for each pair of characters, which bounds what comes to the driver and goes back as a literal.
+First-order Markov models over characters, of random strings and of ordinary identifiers, are compared by the mean
+log-likelihood ratio of a token. Tokens are of four classes (digits, capitals, small letters, mixed), since what is
+ordinary in one is odd in another; each class has its own pair of models, trained from labelled samples, and its bars by length,
+set on samples that were not trained on. The trained table has one weight for each class and pair of characters,
+which bounds what comes to the driver and goes back as a literal.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +21,50 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16))
 
-#: What may be a secret of no fixed form: long runs of the characters that encodings use.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: What may be a secret of no fixed form: long runs of the characters that encodings use, and what parts them.
+SHORTEST = 20
+TOKEN = rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
+SEPARATORS = "[+/_=-]"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-SAMPLE_DOCS, SAMPLE_RANDOM = 2000, 4000
-#: Mean ratio above which a token counts as random: random letters and digits give 1.8 to 4, identifiers and words of
-#: natural language -3 to 1.6, with models trained on 2000 documents.
-THRESHOLD = 1.7
+#: Classes by their letters: none, capitals only, small ones only, both. Lengths from which on a bar holds.
+CLASSES, LENGTHS = 4, (20, 28, 40)
+#: Documents that ordinary words are taken from, about; random strings and identifiers made for each form.
+SAMPLE_DOCS, SAMPLE_MADE = 2000, 3000
+#: Share of held-out ordinary identifiers that a bar leaves alone.
+SPARED = 0.997
+
+#: Words that identifiers are made of.
+WORDS = """access account action active address agent alias align allow amount append apply archive array assert attribute
+audio author backup balance bank base batch block body bound branch bridge browser buffer build bundle button cache
+call cancel canvas capture card catalog category cell center chain change channel character check child chunk class clean
+client clock clone close cloud code collection color column command comment commit compare complete component compute
+config connect console constant container content context control convert copy count create current cursor custom data
+database date debug decode default delete delta deploy detail device digest directory disable dispatch display document
+domain double download draft driver dump dynamic edit element email empty enable encode engine entry error event example
+exception execute export extension factory failure feature field file filter final flag folder font format frame function
+generate global graph group handler hash header height history host icon image import include index input insert install
+instance integer interface internal invoice item iterator keyboard label language layer layout length level library
+limit line link list load local location lock logger login lookup machine manager mapping margin master match matrix
+maximum member memory menu merge message method metric minimum mode model module monitor mount name network node
+notify number object offset option order output owner package packet page parameter parent parse partition path pattern
+payment pending permission pixel plugin point policy pool position prefix preview print priority process product profile
+project property protocol provider proxy public query queue random range reader record reference region register release
+remote remove render replace report request reset resolve resource response result retry return role rotate route
+sample schedule schema scope screen script search section segment select sender sequence server service session setting
+shadow shape share signal size snapshot socket sort source space split stack stage start state static status storage
+stream string style submit summary switch symbol sync system table target task template test text theme thread threshold
+timeout timestamp title toggle total trace track transfer transform transport trigger type update upload user utility
+validate value variable vector version video view virtual visible volume warning watch weight widget width window worker
+wrapper write""".split()
+
+
+@dataclass(frozen=True)
+class Model:
+    """Weights log P(b | a, random) - log P(b | a, ordinary), at index (class * n + a) * n + b, and a bar for each class and length."""
+
+    weights: tuple[float, ...]
+    bars: tuple[tuple[float, ...], ...]
+    alphabet: str = ALPHABET
 
 
 def _no_shorter(pattern: str, least: int) -> str:
@@ -57,91 +97,158 @@ def match_spans(text: Column, kind: str, order: int, pattern: str, group: int |
     return F.when(text.rlike(used), F.aggregate(steps, start, step, lambda acc: acc["spans"])).otherwise(none)
 
 
-def labelled_samples(docs: DataFrame, docs_bound: int = SAMPLE_DOCS, random_bound: int = SAMPLE_RANDOM) -> DataFrame:
-    """Labelled samples (token, label): 1 for random strings, 0 for ordinary identifiers.
+def labelled_samples(docs: DataFrame, docs_bound: int = SAMPLE_DOCS, made: int = SAMPLE_MADE) -> DataFrame:
+    """Labelled samples (token, label, n): 1 for random strings, 0 for ordinary identifiers, n to tell what is held out.
 
-    Random strings are digests of running numbers, in hexadecimal, Base64 and capitals with digits. Ordinary
-    identifiers are the words of 8 or more letters of about ``docs_bound`` documents, those whose ids' hashes are
-    below a bar set by their number, as they stand and joined by ``_`` and ``-``.
+    Random strings are digests of running numbers in base 10, 36 (of either case) and 64. Ordinary identifiers are joined
+    from three words, of ``WORDS`` and of about ``docs_bound`` documents (those whose ids' hashes are below a bar set by
+    their number), in the ways that names are written: in small letters or capitals with separators, camel case, paths,
+    with and without a number; and numbers as they are written: padded, counted up, dates.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.col("id").cast("string"), 256)
-    random = spark.range(random_bound).select(
-        F.explode(
-            F.array(
-                F.substring(digest, 1, 40),
-                F.substring(F.base64(F.unhex(digest)), 1, 40),
-                F.substring(F.translate(F.upper(F.base64(F.unhex(digest))), "+/=", "234"), 1, 24),
-                F.substring(F.translate(F.base64(F.unhex(digest)), "+/=", "-_x"), 1, 32),
-            )
-        ).alias("token"),
-        F.lit(1).alias("label"),
-    )
+    n = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 20)).cast("int")
+    base = lambda to: F.concat(*[F.conv(F.substring(digest, 1 + 15 * k, 15), 16, to) for k in range(4)])
+    size = lambda k: F.lit(SHORTEST) + n(k) % 24
+    cut = lambda c, k: F.substring(c, F.lit(1), size(k))
+    binary = F.base64(F.unhex(digest))
+    random = F.array(cut(base(10), 1), cut(base(36), 2), F.lower(cut(base(36), 3)), cut(binary, 4), cut(F.translate(binary, "+/=", "-_x"), 5), cut(F.translate(binary, "+/=", "abC"), 6))
+    rows = spark.range(made).select("id", F.explode(random).alias("token"), F.lit(1).alias("label"))
+
+    def written(words: Column, number: Column) -> Column:
+        """The ways that three words are written as one name."""
+        low, up, camel = F.transform(words, F.lower), F.transform(words, F.upper), F.array_join(F.transform(words, F.initcap), "")
+        one, joined = number.cast("string"), lambda w, sep: F.array_join(w, sep)
+        return F.array(
+            joined(low, "_"), joined(low, "-"), joined(low, "/"), joined(low, ""), F.concat(joined(low, "_"), F.lit("_"), one), F.concat(joined(low, "-"), F.lit("-v"), one),
+            joined(up, "_"), F.concat(joined(up, "_"), F.lit("_"), one), joined(up, ""), F.concat(joined(up, "-"), one),
+            camel, F.concat(F.lower(F.substring(camel, 1, 1)), F.substring(camel, 2, 99)), F.concat(camel, one), F.concat(camel, F.lit("/"), joined(low, "_")), F.concat(joined(low, "/"), F.lit("/"), camel),
+        )
+
+    listed = F.split(F.lit(" ".join(WORDS)), " ")
+    pick = lambda k: F.get(listed, n(k) % len(WORDS))
+    named = spark.range(made).select("id", F.explode(written(F.array(pick(7), pick(8), pick(9)), n(10) % 2100)).alias("token"))
+    padded = F.array(F.lpad(n(11).cast("string"), 20, "0"), F.lpad(n(12).cast("string"), 32, "0"), F.date_format(F.timestamp_seconds(n(13).cast("long") * 1500), "yyyyMMddHHmmssyyyyMMdd"), F.date_format(F.timestamp_seconds(n(14).cast("long") * 1500), "yyyy-MM-dd-HH-mm-ss"), F.concat_ws("-", n(15) % 100, n(16) % 100, n(17) % 1000, F.lit("00000000000")), F.repeat((n(18) % 10).cast("string"), 24))
+    numbers = spark.range(made).select("id", F.explode(padded).alias("token"))
     share = min(1.0, docs_bound / max(1, docs.count()))
     few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
-    words = few.select(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z][A-Za-z]{7,}"), F.lit(0)).alias("w"))
-    joined = words.select(F.explode(F.concat(F.col("w"), F.transform("w", lambda x, i: F.concat(x, F.lit("_"), F.lower(F.coalesce(F.get("w", i + 1), x)))), F.transform("w", lambda x, i: F.concat(F.lower(x), F.lit("-"), F.lower(F.coalesce(F.get("w", i + 1), x)))))).alias("token"))
-    built_in = ["get_user_name_by_id", "max_retry_count_seconds", "content-security-policy-report", "HttpRequestHandlerFactory", "DEFAULT_CONNECTION_TIMEOUT", "application/octet-stream", "usr/local/share/applications", "test_case_2024_first_half", "version-2-final-draft-3", "BufferedInputStreamReader"]
-    ordinary = joined.union(spark.createDataFrame([(x,) for x in built_in * 20], "token string"))
-    return random.unionByName(ordinary.select("token", F.lit(0).alias("label")))
+    found = few.select(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z]{3,}"), F.lit(0)).alias("w"))
+    # each document gives what begins at every eighth word, so that long ones don't outweigh the rest by much more
+    three = found.select(F.posexplode(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: i % 8 == 1), lambda i: F.slice("w", i, F.lit(3)))).alias("i", "w")).where(F.size("w") == 3)
+    corpus = three.select(F.xxhash64("w").alias("id"), F.explode(written(F.col("w"), F.col("i"))).alias("token"))
+    ordinary = named.union(numbers).union(corpus).select("id", "token", F.lit(0).alias("label"))
+    return rows.unionByName(ordinary).select("token", "label", F.pmod(F.xxhash64("id", "label"), F.lit(4)).cast("int").alias("n"))
 
 
-def train_markov(samples: DataFrame, alphabet: str = ALPHABET, smoothing: float = 0.5) -> list[float]:
-    """Weights log P(b | a, random) - log P(b | a, ordinary), at index a * len(alphabet) + b.
+def token_class(token: Column) -> Column:
+    """0 without letters, 1 with capitals only, 2 with small ones only, 3 with both."""
+    return F.when(token.rlike("[A-Z]"), F.when(token.rlike("[a-z]"), 3).otherwise(1)).when(token.rlike("[a-z]"), 2).otherwise(0)
 
-    At most 2 * len(alphabet)^2 counts come to the driver. Samples of one label only, or none, give even weights
-    for the label that lacks.
+
+def _length_class(token: Column) -> Column:
+    return F.coalesce(*[F.when(F.length(token) >= LENGTHS[i], i) for i in range(len(LENGTHS) - 1, -1, -1)], F.lit(0))
+
+
+def train_markov(samples: DataFrame, alphabet: str = ALPHABET, smoothing: float = 0.5, spared: float = SPARED) -> Model:
+    """A model from labelled samples (token, label, n): trained where n isn't 0, its bars set where n is 0.
+
+    A bar leaves the share ``spared`` of the ordinary held-out tokens of its class and length below it. At most
+    2 * CLASSES * len(alphabet)^2 counts come to the driver. Classes without samples get even weights, and no token of theirs
+    passes; neither does one below a ratio of 0.
     """
     n = len(alphabet)
-    pairs = samples.where(F.length("token") >= 2).select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, F.lit(2)))).alias("pair"))
-    counts = [[[smoothing] * n for _ in range(n)] for _ in range(2)]
+    kind = token_class(F.col("token"))
+    pairs = samples.where((F.length("token") >= 2) & (F.col("n") != 0)).select("label", kind.alias("kind"), F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, F.lit(2)))).alias("pair"))
+    counts = [[[[smoothing] * n for _ in range(n)] for _ in range(CLASSES)] for _ in range(2)]
     at = {c: i for i, c in enumerate(alphabet)}
-    for row in pairs.where(F.col("pair").rlike(f"^[{_class(alphabet)}]{{2}}$")).groupBy("label", "pair").count().collect():
-        counts[row["label"]][at[row["pair"][0]]][at[row["pair"][1]]] += row["count"]
-    logs = [[[log(x / sum(line)) for x in line] for line in table] for table in counts]
-    return [round(r - o, 6) for one, other in zip(logs[1], logs[0]) for r, o in zip(one, other)]
+    for row in pairs.where(F.col("pair").rlike(f"^[{_class(alphabet)}]{{2}}$")).groupBy("label", "kind", "pair").count().collect():
+        counts[row["label"]][row["kind"]][at[row["pair"][0]]][at[row["pair"][1]]] += row["count"]
+    logs = [[log(x / sum(line)) for table in label for line in table for x in line] for label in counts]
+    weights = tuple(round(r - o, 4) for r, o in zip(logs[1], logs[0]))
+    open_ = Model(weights, ((0.0,) * len(LENGTHS),) * CLASSES, alphabet)
+    held = samples.where((F.col("n") == 0) & (F.col("label") == 0) & (F.length("token") >= SHORTEST))
+    ratio = held.select(kind.alias("kind"), _length_class(F.col("token")).alias("size"), markov_ratio(F.col("token"), open_).alias("ratio"))
+    bars = {(r["kind"], r["size"]): r["bar"] for r in ratio.groupBy("kind", "size").agg(F.percentile("ratio", spared).alias("bar")).collect()}
+    widest = {k: max((v for (c, _), v in bars.items() if c == k), default=float("inf")) for k in range(CLASSES)}
+    return Model(weights, tuple(tuple(max(0.0, bars.get((k, i), widest[k])) for i in range(len(LENGTHS))) for k in range(CLASSES)), alphabet)
 
 
 def _class(alphabet: str) -> str:
     return "".join("\\" + c if c in "-]^\\/+" else c for c in alphabet)
 
 
-def markov_ratio(token: Column, weights: list[float], alphabet: str = ALPHABET) -> Column:
-    """Mean log-likelihood ratio of random against ordinary for each pair of characters of an ASCII token."""
-    places = [alphabet.find(chr(i)) for i in range(128)]
-    place = F.array(*[F.lit(x) for x in places])
-    table = F.array(*[F.lit(x) for x in weights])
+def _literal(values) -> Column:
+    """An array of doubles as one constant."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def markov_ratio(token: Column, model: Model) -> Column:
+    """Mean log-likelihood ratio of random against ordinary for each pair of characters of an ASCII token, by its class's models."""
+    n = len(model.alphabet)
+    place = F.split(F.lit(",".join(str(model.alphabet.find(chr(i))) for i in range(128))), ",").cast("array<int>")
+    table, first = _literal(model.weights), token_class(token) * (n * n)
     chars = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.get(place, F.ascii(c)))
     start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
 
     def step(acc: Column, c: Column) -> Column:
         known = (acc["last"] >= 0) & (c >= 0)
-        return F.struct(c.alias("last"), (acc["sum"] + F.when(known, F.get(table, acc["last"] * len(alphabet) + c)).otherwise(0.0)).alias("sum"))
+        return F.struct(c.alias("last"), (acc["sum"] + F.when(known, F.get(table, first + acc["last"] * n + c)).otherwise(0.0)).alias("sum"))
 
     return F.aggregate(chars, start, step, lambda acc: acc["sum"]) / F.greatest(F.length(token) - 1, F.lit(1))
 
 
-def _scanned(docs: DataFrame, weights: list[float], threshold: float) -> DataFrame:
-    """The rows with columns _text (null as empty), _base and _spans."""
-    text = F.col("_text")
-    rows = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("_base", F.array_sort(F.concat(*[match_spans(text, k, i, p, g, n) for i, (k, p, g, n) in enumerate(KINDS)])))
-    tokens = match_spans(text, "markov", len(KINDS), TOKEN, None, 20)
-    rows = rows.withColumn("_free", F.filter(tokens, lambda t: ~F.exists("_base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))))
-    random = F.filter("_free", lambda t: markov_ratio(t["value"], weights) > threshold)
-    return rows.withColumn("_spans", F.when(F.size("_free") == 0, F.col("_base")).otherwise(F.array_sort(F.concat("_base", random)))).drop("_free")
+def is_random(token: Column, model: Model) -> Column:
+    """True where the ratio passes the bar of the token's class and length."""
+    bars = _literal([b for line in model.bars for b in line])
+    return markov_ratio(token, model) > F.get(bars, token_class(token) * len(LENGTHS) + _length_class(token))
+
+
+def _uncovered(text: Column, spans: Column) -> Column:
+    """The text with blanks for what the spans, in order of start, cover; of the same length."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        gap = F.substring(text, acc["at"] + 1, fresh - acc["at"])
+        return F.struct(end.alias("at"), F.concat(acc["parts"], F.array(gap, F.repeat(F.lit(" "), end - fresh))).alias("parts"))
+
+    whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(whole)
+
+
+def _pieces(token: Column) -> Column:
+    """The parts of a token between separators that are long enough, as spans of their own."""
+    start = F.struct(token["start"].alias("at"), F.array().cast("array<struct<start:int,order:int,kind:string,end:int,value:string>>").alias("spans"))
+
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["at"] + F.length(x)
+        span = F.struct(acc["at"].alias("start"), token["order"].alias("order"), token["kind"].alias("kind"), end.alias("end"), x.alias("value"))
+        return F.struct((end + 1).alias("at"), F.when(F.length(x) >= SHORTEST, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    return F.aggregate(F.split(token["value"], SEPARATORS, -1), start, step, lambda acc: acc["spans"])
+
+
+def _scanned(docs: DataFrame, model: Model) -> DataFrame:
+    """Columns row (all of the table's), text (null as empty), base and spans."""
+    text = F.col("text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("base", F.array_sort(F.concat(*[match_spans(text, k, i, p, g, n) for i, (k, p, g, n) in enumerate(KINDS)])))
+    rows = rows.withColumn("free", _uncovered(text, F.col("base")))
+    rows = rows.withColumn("tokens", match_spans(F.col("free"), "markov", len(KINDS), TOKEN, None, SHORTEST)).drop("free")
+    test = lambda t: is_random(t["value"], model)
+    random = F.flatten(F.transform("tokens", lambda t: F.when(test(t), F.array(t)).otherwise(F.filter(_pieces(t), test))))
+    return rows.withColumn("spans", F.when(F.size("tokens") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", random)))).drop("tokens")
 
 
-def scan_secrets(docs: DataFrame, weights: list[float], threshold: float = THRESHOLD) -> DataFrame:
+def scan_secrets(docs: DataFrame, model: Model) -> DataFrame:
     """Columns doc_id, text, base and spans: arrays of (start, order, kind, end, value) in order of start, then kind.
 
-    ``base`` has the matches of the fixed patterns, ``spans`` those and the tokens that the Markov models take for
-    random (kind "markov": mean ratio above ``threshold``, and no base span inside). Null texts count as empty;
-    a null doc_id stays null; repeated rows are scanned each; other columns are not read; an empty table gives no
-    rows.
+    ``base`` has the matches of the fixed patterns, ``spans`` those and what the Markov models take for random in the
+    rest (kind "markov"): runs of 20 or more characters, or else their parts of that length between separators. Null
+    texts count as empty; a null doc_id stays null; repeated rows are scanned each; other columns are not read; an
+    empty table gives no rows.
     """
-    rows = _scanned(docs.select("doc_id", "text"), weights, threshold)
-    return rows.select("doc_id", F.col("_text").alias("text"), F.col("_base").alias("base"), F.col("_spans").alias("spans"))
+    return _scanned(docs.select("doc_id", "text"), model).select("row.doc_id", "text", "base", "spans")
 
 
 def span_text(spans: Column) -> Column:
@@ -149,21 +256,23 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, weights: list[float], mask: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
+def redact(docs: DataFrame, model: Model, mask: str = "[SECRET]") -> DataFrame:
     """The same rows and columns, with ``mask`` in ``text`` for each stretch that secrets cover; those that overlap
-    share one. Texts without a secret, and null ones, stay as they are."""
-    rows = _scanned(docs, weights, threshold)
+    share one. Texts without a secret, and null ones, stay as they are; other columns may have any names; an empty
+    table gives no rows."""
+    rows = _scanned(docs, model)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"])
+        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
         inside = (s["start"] < acc["at"]) & (acc["at"] > 0)
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["parts"]).otherwise(F.concat(acc["parts"], F.array(gap, F.lit(mask)))).alias("parts"))
 
-    whole = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
-    return rows.withColumn("text", F.when(F.size("_spans") == 0, F.col("text")).otherwise(whole)).drop("_text", "_base", "_spans")
+    whole = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    kept = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(whole)
+    return rows.select(*[kept.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
-def trained_weights(spark: SparkSession, docs: DataFrame) -> list[float]:
-    """Weights from the default labelled samples of ``docs``."""
+def trained_model(spark: SparkSession, docs: DataFrame) -> Model:
+    """The model from the default labelled samples of ``docs``."""
     return train_markov(labelled_samples(docs.select("doc_id", "text")))
