@@ -1,7 +1,9 @@
-"""Labelled rows for fitting classifiers: folds by checksum, and samples of bounded size."""
+"""Labelled rows for fitting classifiers: folds by checksum, samples of bounded size, and scores of whole tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +18,38 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
     return key.isNotNull() & (F.pmod(checksum(key), F.lit(folds)) == fold)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, bound: int) -> tuple[list[str], list[int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, bound: int, chars: int = 40_000_000) -> tuple[list[str], list[int]]:
     """Texts and labels of at most ``bound`` labelled documents for each label, never of the held-out fold.
 
-    They are those whose ids have the smallest hashes, so that the choice is the same for any partitioning. Only the ids are sorted; the texts of the chosen ones, a broadcast of at most two bounds of ids,
-    are then read. A document labelled twice counts with its larger label; null labels don't count.
+    They are those whose ids have the smallest hashes, so that the choice is the same for any partitioning, as many of
+    them as have ``chars`` characters together for each label, so that what comes to the driver is bounded by rows and
+    by size; chosen texts are whole. Only ids and lengths are sorted; the texts of the chosen ones, a broadcast of at
+    most two bounds of ids, are then read. A document labelled twice counts with its larger label, a repeated one with
+    its least text; null labels and null texts don't count.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
     known = known.where(~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.max("label").alias("label"))
-    order = F.xxhash64("doc_id")
-    chosen = [known.where(F.col("label") == y).orderBy(order, "doc_id").limit(bound) for y in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    rows = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
-    got = sorted(rows.collect(), key=lambda r: r["doc_id"])
-    return [r["text"] for r in got], [r["label"] for r in got]
+    sizes = texts.select("doc_id", F.length("text").alias("n")).join(known, "doc_id").groupBy("doc_id").agg(F.max("n").alias("n"), F.max("label").alias("label"))
+    order, chosen = (F.xxhash64("doc_id"), F.col("doc_id")), {}
+    for y in (0, 1):
+        room = chars
+        for r in sizes.where(F.col("label") == y).orderBy(*order).limit(bound).select("doc_id", "n").collect():
+            room -= r["n"]
+            if room >= 0:
+                chosen[r["doc_id"]] = y
+    if not chosen:
+        return [], []
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
+    got = sorted(texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect(), key=lambda r: r["doc_id"])
+    return [r["text"] for r in got], [chosen[r["doc_id"]] for r in got]
+
+
+def scored(docs: DataFrame, run: Callable, threshold: float, keep: tuple[str, ...], into: tuple[str, str]) -> DataFrame:
+    """The columns in ``keep`` with the scores that ``run`` gives over Arrow batches of (text, kept columns), and whether
+    they reach ``threshold``. Kept columns go by number meanwhile, so that their names may be any; those in ``into`` are added."""
+    kept = [docs.schema[c] for c in keep]
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)])
+    fields = ", ".join([*[f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kept)], "score double"])
+    out = rows.mapInArrow(run, fields)
+    return out.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(kept)], F.col("score").alias(into[0]), (F.col("score") >= threshold).cast("int").alias(into[1]))

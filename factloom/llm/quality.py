@@ -14,7 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from factloom.llm.labelled import scored
 
 #: Labelled rows that a model is fitted to, at most for each label; buckets of hashed words; factors.
 SAMPLE, BUCKETS, RANK = 1500, 1024, 8
@@ -133,8 +134,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, keep: tuple[str
             for i in range(0, len(texts), 256):
                 out.append(model.score(np.stack([features.row(t) for t in texts[i : i + 256]])))
             scores = np.concatenate([*out, np.zeros(0)]).astype("f8")
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], names=[*keep, into[0]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], names=[*batch.schema.names[1:], "score"])
 
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("_whole_text"), *keep)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{fields}, {into[0]} double").withColumn(into[1], (F.col(into[0]) >= threshold).cast("int"))
+    return scored(docs, run, threshold, keep, into)

@@ -1,7 +1,7 @@
 """Toxicity by compression distance: windows of a text are compressed with two zstandard dictionaries.
 
 One dictionary is trained on ordinary text, the other on what toxic text has more of. A window that the second
-shortens holds such words. Compressed lengths are whole bytes, and a dictionary match costs about three, which is
+shortens, against no dictionary, holds such words; what the first shortens is the measure. Compressed lengths are whole bytes, and a dictionary match costs about three, which is
 what a short word costs anyway; so texts are compressed as fixed-width codes of 8 bytes, one for each lower-cased word
 and each of its longer beginnings, of which a match saves five or more. Words of no dictionary would cost the same
 either way, and are left out.
@@ -18,12 +18,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from factloom.llm.labelled import scored
 
 #: Labelled rows that a model is fitted to, at most for each label; codes in a window; beginnings of words, in letters.
 SAMPLE, WINDOW, STEMS = 2500, 96, (3, 4, 5, 7)
 WORD = re.compile(r"[^\W\d_]+")
-CACHE = 300_000
+CACHE, FEATURES = 300_000, 5
+#: Bytes of code windows that the trainer takes for a dictionary, a few hundred times its size; slots for counting terms.
+TRAINED, SLOTS = 4 << 20, 1 << 22
 
 
 def terms(word: str) -> list[str]:
@@ -35,6 +38,10 @@ def code(term: str) -> bytes:
     return hashlib.blake2b(term.encode(), digest_size=8).digest()
 
 
+def _slot(term: str) -> int:
+    return int.from_bytes(code(term)[:4], "little") % SLOTS
+
+
 def _windows(codes: bytes) -> list[bytes]:
     """Windows of ``WINDOW`` codes; the last one ends with the text, and overlaps the one before it."""
     width = 8 * WINDOW
@@ -51,19 +58,23 @@ class Model:
     ordinary: bytes
     toxic: bytes
     vocabulary: dict[str, bytes]
-    weights: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0, 0.0])
+    weights: list[float] = field(default_factory=lambda: [0.0] * FEATURES)
     level: int = 3
 
     def scorer(self):
-        """Text -> features: mean, largest and total saving of its windows by the toxic dictionary, damped."""
+        """Text -> features: total and largest saving of its windows by the toxic dictionary, by words and by what the
+        ordinary one saves, damped."""
         import zstandard
 
-        def compressor(content: bytes):
+        def compressor(content: bytes | None):
+            flags = {"level": self.level, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+            if content is None:
+                return zstandard.ZstdCompressor(**flags).compress
             dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             dictionary.precompute_compress(level=self.level)
-            return zstandard.ZstdCompressor(level=self.level, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+            return zstandard.ZstdCompressor(dict_data=dictionary, **flags).compress
 
-        one, other, known, vocabulary = compressor(self.ordinary), compressor(self.toxic + self.ordinary), {}, self.vocabulary
+        plain, ordinary, toxic, known, vocabulary = compressor(None), compressor(self.ordinary), compressor(self.toxic), {}, self.vocabulary
 
         def of(word: str) -> bytes:
             if (c := known.get(word)) is None:
@@ -78,10 +89,13 @@ class Model:
             words = WORD.findall(text.lower())
             codes = b"".join(map(of, words))
             if not codes:
-                return [1.0, 0.0, 0.0, 0.0]
-            saved = [len(one(w)) - len(other(w)) for w in _windows(codes)]
-            total = max(0, sum(saved))
-            return [1.0, np.log1p(total), np.log1p(max(0, *saved, 0)), np.log1p(1000.0 * total / (8 * len(words)))]
+                return [1.0] + [0.0] * (FEATURES - 1)
+            windows = _windows(codes)
+            alone = [len(plain(w)) for w in windows]
+            saved = [max(0, n - len(toxic(w))) for n, w in zip(alone, windows)]
+            usual = sum(max(0, n - len(ordinary(w))) for n, w in zip(alone, windows))
+            total = sum(saved)
+            return [1.0, np.log1p(total), np.log1p(max(saved)), np.log1p(1000.0 * total / (8 * len(words))), np.log1p(1000.0 * total / (total + usual + 1))]
 
         return features
 
@@ -103,37 +117,52 @@ def fit(texts: list[str], labels: list[int], ordinary_size: int = 8192, toxic_si
     """A model from labelled texts. Odd rows train the dictionaries, even rows calibrate the score.
 
     The toxic dictionary is trained on toxic texts' terms that at least ``least`` of them hold, and that are
-    ``ratio`` times as frequent there as in ordinary texts. Without both labels the score is the share of label 1.
+    ``ratio`` times as frequent there as in ordinary texts; the other one on the ordinary texts' terms that are not of
+    these. Without both labels the score is the share of label 1.
     """
     share = (sum(labels) + 0.5) / (len(labels) + 1)
-    empty = Model(b"\0" * 8, b"\0" * 8, {}, [float(np.log(share / (1 - share))), 0.0, 0.0, 0.0])
+    empty = Model(b"\0" * 8, b"\0" * 8, {}, [float(np.log(share / (1 - share)))] + [0.0] * (FEATURES - 1))
     if len(set(labels)) < 2:
         return empty
     words = lambda i: map(str.lower, WORD.findall(texts[i]))
     odd = [i for label in (0, 1) for i in [i for i, y in enumerate(labels) if y == label][::2]]
-    held = [Counter(), Counter()]
     n = [1, 1]
-    for i in odd:
-        held[labels[i]].update({t for w in set(words(i)) for t in terms(w)})
-        n[labels[i]] += 1
-        if len(held[0]) > 1_000_000:  # terms held once so far would not be used; this bounds the table
-            held[0] = Counter({t: c for t, c in held[0].items() if c > 1})
-    marked = {t for t, c in held[1].items() if c >= least and c / n[1] >= ratio * (held[0][t] + 0.5) / n[0]}
-    common = {t for t, c in held[0].items() if c >= least} - marked
-    codes = {t: code(t) for t in sorted(marked | common)}
-    del held
-
-    def parts(label: int, keep: set[str], most: int = 4 << 20) -> list[bytes]:
-        """Code windows of one label's odd rows; the trainer needs a few hundred times a dictionary's size, not more."""
-        out, size = [], 0
+    in_toxic, in_ordinary = Counter(), Counter()  # ordinary documents' counts of the terms that toxic ones hold
+    common = np.zeros(SLOTS, dtype="i4")  # of all terms in ordinary ones, by slots of a hash
+    for label, count in ((1, in_toxic), (0, in_ordinary)):
+        for i in odd:
+            if labels[i] == label:
+                found = {t for w in set(words(i)) for t in terms(w)}
+                n[label] += 1
+                if label:
+                    count.update(found)
+                else:
+                    count.update(found & in_toxic.keys())
+                    np.add.at(common, np.fromiter(map(_slot, found), dtype="i8", count=len(found)), 1)
+    marked = {t for t, c in in_toxic.items() if c >= least and c / n[1] >= ratio * (in_ordinary[t] + 0.5) / n[0]}
+
+    def parts(label: int, keep) -> list[bytes]:
+        """Code windows of one label's odd rows, those with the smallest hashes where they exceed what the trainer takes."""
+        out, known = [], {}
+
+        def of(word: str) -> bytes:
+            if (c := known.get(word)) is None:
+                if len(known) > CACHE:
+                    known.clear()
+                c = known[word] = b"".join(code(t) for t in terms(word) if keep(t))
+            return c
+
         for i in odd:
-            if labels[i] == label and size < most:
-                s = b"".join(codes[t] for w in words(i) for t in terms(w) if t in keep)
+            if labels[i] == label:
+                s = b"".join(map(of, words(i)))
                 out += [s[k : k + 8 * WINDOW] for k in range(0, len(s), 8 * WINDOW)]
-                size += len(s)
-        return out
+        out.sort(key=lambda x: hashlib.blake2b(x, digest_size=8).digest())
+        return out[: TRAINED // (8 * WINDOW)]
 
-    ordinary, toxic = _dictionary(parts(0, common), ordinary_size), _dictionary(parts(1, marked), toxic_size)
+    ordinary = _dictionary(parts(0, lambda t: t not in marked and common[_slot(t)] >= least), ordinary_size)
+    toxic = _dictionary(parts(1, marked.__contains__), toxic_size)
+    seen = {t for i in odd for w in set(words(i)) for t in terms(w) if t in marked or common[_slot(t)] >= least}
+    codes = {t: code(t) for t in seen}
     inside = {t for t, c in codes.items() if c in ordinary or c in toxic}
     model = Model(ordinary, toxic, {t: codes[t] for t in sorted(inside)})
     features, rest = model.scorer(), sorted(set(range(len(texts))) - set(odd))
@@ -165,8 +194,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str
         features = model.scorer()
         for batch in batches:
             out = pa.array([model.score(features(x)) for x in batch.column(0).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], out], names=[*keep, into[0]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], out], names=[*batch.schema.names[1:], "score"])
 
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("_whole_text"), *keep)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{fields}, {into[0]} double").withColumn(into[1], (F.col(into[0]) >= threshold).cast("int"))
+    return scored(docs, run, threshold, keep, into)
