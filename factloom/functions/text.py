@@ -49,11 +49,9 @@ def name_variants(c: Column) -> Column:
     return distinct_by(F.filter(forms, lambda x: x != ""), F.lower)
 
 
-def word_runs(words: Column, n: int) -> Column:
-    """All runs of n words of an array, joined by spaces; none where it is shorter."""
-    last = F.size(words) - n + 1
-    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-    return F.when(last >= 1, runs).otherwise(F.array().cast("array<string>"))
+def words(c: Column) -> Column:
+    """Runs of letters and digits in lower case, in order."""
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def squeeze(c: Column) -> Column:
@@ -215,6 +213,12 @@ def rank(role: Column, ranks: list[tuple[str, int]], default: int = 60) -> Colum
     return F.when(first.rlike(r"\b(former|ex)\b"), default).otherwise(F.coalesce(*[F.when(first.rlike(p), n) for p, n in ranks], F.lit(default)))
 
 
+def priority(status: Column, priorities: dict[str, int], default: int = 60) -> Column:
+    """The priority of a status, trimmed and in lower case; the default's for others and none."""
+    low = F.lower(F.trim(status))
+    return F.coalesce(*[F.when(low == s, n) for s, n in priorities.items()], F.lit(default))
+
+
 def tags(text: Column, keywords: dict[str, str], count: Column, main: int = 100, recurring: int = 20) -> Column:
     """Tags of the keywords that a text contains, and one for the count: main, recurring or minor."""
     found = [F.when(F.contains(F.lower(text), F.lit(k)), tag) for k, tag in keywords.items()]
@@ -222,13 +226,13 @@ def tags(text: Column, keywords: dict[str, str], count: Column, main: int = 100,
 
 
 def equivalent(a: Column, b: Column) -> Column:
-    """Loosely equal: in lower case; without brackets; by their digit groups; or one's set of these within the other's."""
+    """Loosely equal: in lower case; without brackets, if something is left; or one's set of digit groups within the other's."""
     low = lambda c: squeeze(F.lower(c))
     bare = lambda c: squeeze(F.regexp_replace(F.lower(c), r"\([^)]*\)", ""))
     groups = lambda c: F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1))
     x, y = groups(a), groups(b)
     inside = (F.size(x) > 0) & (F.size(y) > 0) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
-    return F.coalesce((low(a) == low(b)) | (bare(a) == bare(b)) | inside, F.lit(False))
+    return F.coalesce((low(a) == low(b)) | ((bare(a) != "") & (bare(a) == bare(b))) | inside, F.lit(False))
 
 
 def entry_text(texts: list[Column], lists: list[Column]) -> Column:

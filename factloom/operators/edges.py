@@ -119,6 +119,17 @@ def group_dossier(members: DataFrame, names: DataFrame) -> DataFrame:
     return named.groupBy("group_id").agg(F.array_join(F.sort_array(F.collect_set(F.coalesce("name", F.col("member_id").cast("string")))), "|").alias("members"), F.count_if("current").alias("current"), F.count_if(~F.col("current")).alias("former"))
 
 
+def item_dossier(owners: DataFrame, names: DataFrame) -> DataFrame:
+    """Columns item_id, owner_id, owner, current and holder of links (item_id, owner_id, current, ordinal): a row for each owner.
+
+    ``holder`` is the item's first current owner by ordinal, null where none is current. Owners without a name
+    (owner_id, name) go by their id.
+    """
+    first = owners.where("current").groupBy("item_id").agg(F.min_by("owner_id", "ordinal").alias("holder"))
+    named = owners.join(names.select("owner_id", "name"), "owner_id", "left").join(first, "item_id", "left")
+    return named.select("item_id", "owner_id", F.coalesce("name", F.col("owner_id").cast("string")).alias("owner"), "current", "holder")
+
+
 def entity_dossier(shards: dict[str, DataFrame], names: DataFrame) -> DataFrame:
     """One row for each entity in ``names`` (entity_id, name): for each shard (entity_id, item) its count and sorted items.
 
@@ -168,16 +179,18 @@ def link_positions(edges: DataFrame, facts: DataFrame, default: Column) -> DataF
     """Columns edge_id, tier, match and fact_id of edges (edge_id, entity_id, position, kind) by facts (fact_id, entity_id, position, kind, ordinal).
 
     The best fact of the entity wins: same position and kind (canon, exact), same position (likely, type-mismatch),
-    another position (the default tier, chapter-mismatch); without a fact the default tier stands alone.
+    another position (the default tier, chapter-mismatch); without a fact the default tier stands alone. Facts are
+    reduced to the best of each key before they meet an edge, by equality, so that no edge sees all facts of its entity.
     """
-    f = facts.select("fact_id", "entity_id", F.col("position").alias("_p"), F.col("kind").alias("_k"), F.col("ordinal").alias("_o"))
-    both = edges.join(f, "entity_id", "left")
-    grade = F.when(F.col("fact_id").isNull(), 3).when((F.col("_p") == F.col("position")) & (F.col("_k") == F.col("kind")), 0).when(F.col("_p") == F.col("position"), 1).otherwise(2)
-    best = both.withColumn("_grade", grade).groupBy("edge_id").agg(F.min(F.struct("_grade", "_o", "fact_id")).alias("_b"), F.any_value(default).alias("_default"))
-    g = F.col("_b._grade")
-    tier = F.when(g == 0, "canon").when(g == 1, "likely").otherwise(F.col("_default"))
-    match = F.when(g == 0, "exact").when(g == 1, "type-mismatch").when(g == 2, "chapter-mismatch").otherwise("none")
-    return best.select("edge_id", tier.alias("tier"), match.alias("match"), F.col("_b.fact_id").alias("fact_id"))
+    best = lambda *keys: facts.where(F.col("entity_id").isNotNull()).groupBy(*keys).agg(F.min(F.struct("ordinal", "fact_id")).alias(f"_by{len(keys)}"))
+    keys = ("entity_id", "position", "kind")
+    both = edges.select("edge_id", *keys, default.alias("_default"))
+    for n in (3, 2, 1):
+        both = both.join(best(*keys[:n]), list(keys[:n]), "left")
+    exact, place, other = (F.col(f"_by{n}") for n in (3, 2, 1))
+    tier = F.when(exact.isNotNull(), "canon").when(place.isNotNull(), "likely").otherwise(F.col("_default"))
+    match = F.when(exact.isNotNull(), "exact").when(place.isNotNull(), "type-mismatch").when(other.isNotNull(), "chapter-mismatch").otherwise("none")
+    return both.select("edge_id", tier.alias("tier"), match.alias("match"), F.coalesce(exact, place, other)["fact_id"].alias("fact_id"))
 
 
 def link_values(edges: DataFrame, facts: DataFrame, partial: bool) -> DataFrame:
@@ -186,11 +199,13 @@ def link_values(edges: DataFrame, facts: DataFrame, partial: bool) -> DataFrame:
     Composite values are split at `` · ``. A match gives the edge the fact's own tier; facts that name another
     target are a conflict, or partial coverage where ``partial``.
     """
-    parts = facts.select("fact_id", "entity_id", F.col("tier").alias("_tier"), F.explode(F.split("value", " · ")).alias("_value"))
-    both = edges.join(parts, "entity_id", "left").withColumn("_hit", F.coalesce(F.lower(F.trim("_value")) == F.lower(F.trim("target")), F.lit(False)))
-    per = both.groupBy("edge_id").agg(F.bool_or("_hit").alias("_any"), F.min(F.when(F.col("_hit"), F.struct("fact_id", "_tier"))).alias("_best"), F.count("fact_id").alias("_n"))
-    outcome = F.when(F.col("_any"), "match").when(F.col("_n") == 0, "no-fact").otherwise("partial" if partial else "conflict")
-    return per.select("edge_id", F.col("_best._tier").alias("tier"), outcome.alias("outcome"), F.col("_best.fact_id").alias("evidence"))
+    low = lambda c: F.lower(F.trim(c))
+    parts = facts.where(F.col("entity_id").isNotNull()).select("fact_id", "entity_id", "tier", F.explode(F.split("value", " · ")).alias("_value"))
+    hits = parts.groupBy("entity_id", low(F.col("_value")).alias("_key")).agg(F.min(F.struct("fact_id", "tier")).alias("_best"))
+    known = parts.select("entity_id", F.lit(True).alias("_known")).distinct()
+    both = edges.withColumn("_key", low(F.col("target"))).join(hits, ["entity_id", "_key"], "left").join(known, "entity_id", "left")
+    outcome = F.when(F.col("_best").isNotNull(), "match").when(F.col("_known").isNull(), "no-fact").otherwise("partial" if partial else "conflict")
+    return both.select("edge_id", F.col("_best.tier").alias("tier"), outcome.alias("outcome"), F.col("_best.fact_id").alias("evidence"))
 
 
 def facts_without_edge(facts: DataFrame, links: DataFrame) -> DataFrame:
@@ -214,20 +229,37 @@ def check_edges(edges: DataFrame, ids: DataFrame, unique: tuple[str, ...]) -> Da
     return bad.unionByName(repeated)
 
 
-def diff_tables(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
+def _plain_number(c: Column) -> Column:
+    """A value as text, numbers in one form: 2 and 2.0 are alike, as is no other text."""
+    text = c.cast("string")
+    number = F.when(text.rlike(r"^-?\d{1,18}(\.\d{1,18})?$"), text.try_cast("decimal(38,18)"))
+    return F.coalesce(F.regexp_replace(F.regexp_replace(number.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""), text)
+
+
+def diff_tables(a: DataFrame, b: DataFrame, key: str | list[str], fields: list[str], order: str | None = None) -> DataFrame:
     """Columns key, change, field, old and new: lost and added rows, and each field that drifted.
 
-    The first of repeated keys wins, by its fields. Rows are compared by a hash before their fields are.
+    Of repeated keys the first by ``order`` counts; without one, the least by its fields. With the place in a list as key, lists are
+    compared by position. Numbers are compared as numbers, and rows by a hash before their fields are. Null keys meet.
     """
+    keys = [key] if isinstance(key, str) else list(key)
+
     def once(df: DataFrame, tag: str) -> DataFrame:
         values = F.struct(*[F.col(f).cast("string").alias(f) for f in fields])
-        return df.groupBy(key).agg(F.min(values).alias(tag)).withColumn(f"{tag}_hash", F.xxhash64(*[F.coalesce(f"{tag}.{f}", F.lit("\0")) for f in fields]))
-
-    both = once(a, "_a").join(once(b, "_b"), key, "full").where("not (_a_hash <=> _b_hash)")
+        first = F.min_by(values, F.struct(order, values)) if order else F.min(values)
+        rows = df.groupBy(*[F.col(k).alias(f"{tag}_{k}") for k in keys]).agg(first.alias(tag))
+        return rows.withColumn(f"{tag}_hash", F.xxhash64(*[F.coalesce(_plain_number(F.col(f"{tag}.{f}")), F.lit("\0")) for f in fields]))
+
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"_a_{k}").eqNullSafe(F.col(f"_b_{k}"))
+    both = once(a, "_a").join(once(b, "_b"), same, "full").where("not (_a_hash <=> _b_hash)")
     change = F.when(F.col("_b").isNull(), "lost").when(F.col("_a").isNull(), "added").otherwise("drift")
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_a.{f}").alias("old"), F.col(f"_b.{f}").alias("new")) for f in fields])
-    rows = both.select(key, change.alias("change"), F.explode(F.when(change == "drift", F.filter(cells, lambda c: ~c["old"].eqNullSafe(c["new"]))).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new"))))).alias("_c"))
-    return rows.select(key, "change", "_c.field", "_c.old", "_c.new")
+    none = F.lit(None).cast("string")
+    drifted = F.filter(cells, lambda c: ~_plain_number(c["old"]).eqNullSafe(_plain_number(c["new"])))
+    rows = both.select(*[F.coalesce(f"_a_{k}", f"_b_{k}").alias(k) for k in keys], change.alias("change"), F.explode(F.when(change == "drift", drifted).otherwise(F.array(F.struct(none.alias("field"), none.alias("old"), none.alias("new"))))).alias("_c"))
+    return rows.select(*keys, "change", "_c.field", "_c.old", "_c.new")
 
 
 def ingest_entries(entries: DataFrame, registry: DataFrame, tiers: tuple[str, ...] = ("canon", "likely", "speculation", "rumour", "disproven")) -> DataFrame:
@@ -244,27 +276,28 @@ def ingest_entries(entries: DataFrame, registry: DataFrame, tiers: tuple[str, ..
     return both.select(F.concat_ws(":", "id_prefix", F.col("ordinal").cast("string")).alias("id"), "subject", "predicate", "value", tier.alias("tier"), error.alias("error"))
 
 
-def asof_position(events: DataFrame, mapping: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+def asof_position(events: DataFrame, mapping: DataFrame, group: tuple[str, ...] = (), ranges: int = 1 << 12) -> DataFrame:
     """Columns group, key, position and how of events (key) by mapping (key, positions): exact, else the next later key, else the one before.
 
-    Both sides are stacked in ranges of keys, so that windows see one range; what a range lacks at its ends comes
-    from the least and largest mapped keys of its neighbours, a table with a row for each range.
+    Equal events are one row until the end. Both sides are stacked in at most ``ranges`` ranges of keys, so that a window
+    sees one range, in one pass over its order each way; what a range lacks at its ends comes from the least and largest
+    mapped keys of its neighbours, a table with a row for each range. Null keys give no row.
     """
-    width = 1 << 12
-    bucket = F.expr(f"cast(key div {width} as long)")
-    m = mapping.select(*group, "key", F.array_max("positions").alias("_p")).groupBy(*group, "key").agg(F.max("_p").alias("_p"))
-    rows = events.select(*group, "key", F.lit(1).alias("_e")).unionByName(m.withColumn("_e", F.lit(0)), allowMissingColumns=True).withColumn("_b", bucket)
+    m = mapping.select(*group, F.col("key").cast("long").alias("key"), F.array_max("positions").alias("_p")).groupBy(*group, "key").agg(F.max("_p").alias("_p"))
+    asked = events.select(*group, F.col("key").cast("long").alias("key")).distinct()
+    rows = asked.withColumn("_e", F.lit(1)).unionByName(m.withColumn("_e", F.lit(0)), allowMissingColumns=True).where("key is not null")
+    ends = rows.agg(F.min("key").alias("_low"), F.max("key").alias("_high")).select("_low", F.expr(f"greatest(1, (_high - _low) div {ranges} + 1)").alias("_width"))
+    rows = rows.crossJoin(F.broadcast(ends)).withColumn("_b", F.expr("(key - _low) div _width")).drop("_low", "_width")
     mark = F.when(F.col("_e") == 0, F.struct("key", "_p"))
-    ends = rows.where("_e = 0").groupBy(*group, "_b").agg(F.min(mark).alias("_lo"), F.max(mark).alias("_hi"))
-    spans = rows.select(*group, "_b").distinct().join(ends, [*group, "_b"], "left")
-    order = Window.partitionBy(*group).orderBy("_b")
-    near = spans.select(*group, "_b", F.first("_lo", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_next"), F.last("_hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev"))
-    inside = Window.partitionBy(*group, "_b").orderBy("key")
-    later = F.first(mark, True).over(inside.rangeBetween(0, Window.unboundedFollowing))
-    earlier = F.last(mark, True).over(inside.rangeBetween(Window.unboundedPreceding, 0))
-    seen = rows.withColumn("_l", later).withColumn("_f", earlier).where("_e = 1").join(near, [*group, "_b"])
+    spans = rows.groupBy(*group, "_b").agg(F.min(mark).alias("_lo"), F.max(mark).alias("_hi"))
+    before, after = Window.partitionBy(*group).orderBy("_b"), Window.partitionBy(*group).orderBy(F.desc("_b"))
+    gone = (Window.unboundedPreceding, -1)
+    near = spans.select(*group, "_b", F.last("_lo", True).over(after.rowsBetween(*gone)).alias("_next"), F.last("_hi", True).over(before.rowsBetween(*gone)).alias("_prev"))
+    up, down = (Window.partitionBy(*group, "_b").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("key"), F.desc("key")))
+    seen = rows.withColumn("_f", F.last(mark, True).over(up)).withColumn("_l", F.last(mark, True).over(down)).where("_e = 1").join(near, [*group, "_b"])
     found = F.coalesce("_l", "_next", "_f", "_prev")
-    return seen.select(*group, "key", found["_p"].alias("position"), F.when(found["key"] == F.col("key"), "exact").when(found.isNotNull(), "filler").alias("how"))
+    told = seen.select(*group, "key", found["_p"].alias("position"), F.when(found["key"] == F.col("key"), "exact").when(found.isNotNull(), "filler").alias("how"))
+    return events.select(*group, F.col("key").cast("long").alias("key")).join(told, [*group, "key"])
 
 
 def range_position(points: DataFrame, ranges: DataFrame, latest: int, open_end: int = 9999) -> DataFrame:

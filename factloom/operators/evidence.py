@@ -2,45 +2,36 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from factloom.functions.text import equivalent, value_variants, word_runs
+from factloom.functions.text import equivalent, value_variants, words
+from factloom.operators.matching import find_forms
 
-SPLIT = r"[^\p{L}\p{N}]+"
 
-
-def _words(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), SPLIT), lambda w: w != "")
-
-
-def mentions(names: DataFrame, docs: DataFrame, key: str, text: str, longest: int = 4) -> DataFrame:
-    """Columns name and key: documents that hold a name (name, form) as whole words, in any case.
-
-    Documents are cut into runs of up to ``longest`` words, which meet the forms by equality: no form is looked for in
-    a text that lacks it. Forms with more words are not found.
-    """
-    forms = names.select("name", F.array_join(_words(F.col("form")), " ").alias("_g"), F.size(_words(F.col("form"))).alias("_n")).where("_g <> ''").distinct()
-    rows = docs.select(key, _words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
-    grams = F.concat(F.col("_w"), *[word_runs(F.col("_w"), n) for n in range(2, longest + 1)])
-    return rows.select(key, F.explode(F.array_distinct(grams)).alias("_g")).join(forms, "_g").select("name", key).distinct()
+def mentions(names: DataFrame, docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Columns name, key and ``carry``: documents that hold a name (name, form) as whole words, in any case."""
+    forms = names.select("name", "form").distinct()
+    return find_forms(docs, tuple(dict.fromkeys((key, *carry))), text, forms, "form").select("name", key, *[c for c in carry if c != key]).distinct()
 
 
 def mention_index(names: DataFrame, docs: DataFrame, key: str, text: str, order: str, cap: int = 20, snippet: int = 160) -> DataFrame:
     """Columns name, key, rank and snippet: the first ``cap`` documents, in source order, that mention a name (name, form).
 
-    Names shorter than 3 characters, or 4 without another form, are skipped.
+    Names shorter than 3 characters, or 4 without another form, are skipped. Only the ranked documents' texts are read again.
     """
     usable = names.join(names.groupBy("name").agg(F.count_distinct("form").alias("_forms")), "name").where(F.length("name") >= F.when(F.col("_forms") > 1, 3).otherwise(4))
-    found = mentions(usable, docs, key, text).join(docs.select(key, order, *([text] if text not in (key, order) else [])), key)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(order, key))).where(F.col("rank") <= cap)
-    at = F.greatest(F.lit(1), F.instr(F.lower(text), F.lower(F.col("name"))) - snippet // 4)
-    return ranked.select("name", key, "rank", F.substring(F.col(text), at, F.lit(snippet)).alias("snippet"))
+    found = mentions(usable, docs, key, text, (order,))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(order, key))).where(F.col("rank") <= cap).select("name", key, "rank")
+    at = F.greatest(F.lit(1), F.instr(F.lower("_t"), F.lower(F.col("name"))) - snippet // 4)
+    return ranked.join(docs.select(key, F.col(text).alias("_t")), key).select("name", key, "rank", F.substring(F.col("_t"), at, F.lit(snippet)).alias("snippet"))
 
 
 def linkify(docs: DataFrame, key: str, text: str, names: DataFrame, link: str = "[[{}]]") -> DataFrame:
@@ -52,8 +43,6 @@ def linkify(docs: DataFrame, key: str, text: str, names: DataFrame, link: str =
     own = met.groupBy(key).agg(F.sort_array(F.collect_set("name")).alias("_forms"))
 
     def wrap(texts: pd.Series, forms: pd.Series) -> pd.Series:
-        import re
-
         def one(s: str | None, found) -> str | None:
             if s is None or found is None or not len(found):
                 return s
@@ -79,10 +68,13 @@ class Rules:
     before: int = 30
 
 
-def _find(text: str, needle: str) -> list[tuple[int, int]]:
-    import re
+@lru_cache(1 << 14)
+def _whole(needle: str) -> re.Pattern:
+    return re.compile(r"(?<!\w)" + re.escape(needle) + r"(?!\w)", re.I)
+
 
-    return [m.span() for m in re.finditer(r"(?<!\w)" + re.escape(needle) + r"(?!\w)", text, re.I)] if needle else []
+def _find(text: str, needle: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _whole(needle).finditer(text)] if needle else []
 
 
 def proximity(text: str, name: str, value: str, window: int) -> tuple[int, int] | None:
@@ -96,8 +88,6 @@ def proximity(text: str, name: str, value: str, window: int) -> tuple[int, int]
 
 def digit_proximity(text: str, name: str, value: str, window: int) -> tuple[int, int] | None:
     """As ``proximity``, by the value's groups of two digits or more, the longest first."""
-    import re
-
     for group in sorted(set(re.findall(r"\d{2,}", value)), key=lambda g: (-len(g), g)):
         if (hit := proximity(text, name, group, window)) is not None:
             return hit
@@ -121,7 +111,7 @@ def _confirmed(question: str, answer: str, value: str, variants: list[str], rule
 def grade(question: str, answer: str, name: str, value: str, variants: list[str], rules: Rules = Rules()) -> str | None:
     """What a statement is to the claim that ``name`` has ``value``: the value near the name, undodged, is 'contradict'
     if negated and else 'support'; then a confirmed question is 'support'; the wider window, undodged, is 'context'."""
-    text = f"{question} ║ {answer}"
+    text = f"{question} / {answer}"
     if (hit := proximity(text, name, value, rules.near)) is not None and not _dodged(text, hit, rules.near, rules):
         return "contradict" if _negated(text, hit, rules) else "support"
     if _confirmed(question, answer, value, variants, rules):
@@ -137,7 +127,7 @@ def evaluate(question: str, answer: str, name: str, value: str, variants: list[s
     In order: the value near the name, unless dodged or negated, which ends the matter; a question that holds it and
     an answer that opens with agreement, undodged; the wider window; variants there, undodged; digit groups there.
     """
-    text = f"{question} ║ {answer}"
+    text = f"{question} / {answer}"
     dodged = lambda a, b, w: _dodged(text, (a, b), w, rules)
     intent = "joke" if any(x in answer.lower() for x in rules.joke) else None
     said = lambda tier, kind, rule: (tier, intent or kind, rule)
@@ -155,12 +145,21 @@ def evaluate(question: str, answer: str, name: str, value: str, variants: list[s
     return None
 
 
-def proximity_matches(pairs: DataFrame, window: int, around: int = 80) -> DataFrame:
-    """The pairs (text, name, value) with ``at`` and ``snippet`` of the first hit; null where there is none."""
+def proximity_matches(pairs: DataFrame, window: int, around: int = 80, digits: bool = False) -> DataFrame:
+    """The pairs (text, name, value) with ``at`` and ``snippet`` of the first hit; null where there is none.
+
+    ``name`` may be an array of forms, of which any will do. With ``digits``, a value that isn't found is looked for by its digit groups.
+    """
 
     @F.pandas_udf("struct<at:int,snippet:string>")
     def hits(text: pd.Series, name: pd.Series, value: pd.Series) -> pd.DataFrame:
-        found = [proximity(t, n, v, window) if t and n and v else None for t, n, v in zip(text, name, value)]
+        def one(t, names, v):
+            for look in (proximity, *[digit_proximity] * digits):
+                if hits := [h for n in names if n and (h := look(t, n, v, window)) is not None]:
+                    return min(hits)
+            return None
+
+        found = [one(t, [n] if isinstance(n, str) else n, v) if t and n is not None and v else None for t, n, v in zip(text, name, value)]
         return pd.DataFrame({"at": pd.array([f[0] if f else None for f in found], dtype="Int32"), "snippet": [t[max(0, f[0] - around) : f[1] + around] if f else None for t, f in zip(text, found)]})
 
     return pairs.withColumn("_h", hits("text", "name", "value")).select(*pairs.columns, "_h.at", "_h.snippet")
@@ -184,7 +183,7 @@ def evaluate_evidence(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def _mentioning(claims: DataFrame, statements: DataFrame) -> DataFrame:
     """Each claim with each statement that mentions its name."""
-    text = statements.withColumn("_text", F.concat_ws(" ║ ", "question", "answer"))
+    text = statements.withColumn("_text", F.concat_ws(" / ", "question", "answer"))
     named = claims.select("name", F.col("name").alias("form")).distinct()
     met = mentions(named, text, "statement_id", "_text")
     return met.join(claims, "name").join(statements, "statement_id").select("claim_id", "statement_id", "ordinal", "question", "answer", "name", "value")
@@ -203,6 +202,39 @@ def verify_claims(claims: DataFrame, statements: DataFrame, rules: Rules = Rules
     return best.select("claim_id", "_b.statement_id", "_b.tier", "_b.intent", "_b.rule")
 
 
+def top_subjects(observations: DataFrame, subject: str, n: int) -> DataFrame:
+    """Columns name and observations of the ``n`` most observed subjects, ties by name."""
+    per = observations.where(F.col(subject).isNotNull()).groupBy(F.col(subject).alias("name")).agg(F.count(F.lit(1)).alias("observations"))
+    return per.orderBy(F.desc("observations"), "name").limit(n)
+
+
+def verified_facts(best: DataFrame, claims: DataFrame, page: Column) -> DataFrame:
+    """Columns claim_id, name, predicate, value, tier, intent and sources of what ``verify_claims`` found (best).
+
+    Two sources each: the statement with its rule, and the record (``page`` of the claim, its predicate as field) with
+    the value as it was, by which a later change shows.
+    """
+    both = best.join(claims, "claim_id")
+    none = F.lit(None).cast("string")
+    source = lambda kind, item, rule, page, field, value: F.struct(F.lit(kind).alias("type"), item.alias("item_id"), rule.alias("match_type"), page.alias("page"), field.alias("field"), value.alias("value_at_verify"))
+    said = source("statement", F.col("statement_id").cast("string"), F.col("rule"), none, none, none)
+    record = source("record", none, none, page, F.col("predicate"), F.col("value"))
+    return both.select("claim_id", "name", "predicate", "value", "tier", "intent", F.array(said, record).alias("sources"))
+
+
+def changed_since(facts: DataFrame, records: DataFrame) -> DataFrame:
+    """Columns claim_id, then and now of facts whose record (page, field, value) has another value than their snapshot."""
+    source = facts.select("claim_id", F.explode("sources").alias("_s")).where("_s.type = 'record'")
+    both = source.select("claim_id", F.col("_s.page").alias("page"), F.col("_s.field").alias("field"), F.col("_s.value_at_verify").alias("then")).join(records, ["page", "field"])
+    return both.where(~F.col("then").eqNullSafe(F.col("value"))).select("claim_id", "then", F.col("value").alias("now"))
+
+
+def curation_queue(best: DataFrame, claims: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Columns claim_id, evidence_id, name, predicate, value and rule: ambiguous evidence that the ledger (claim_id, evidence_id) hasn't decided."""
+    open_ = best.where("intent = 'ambiguous'").withColumnRenamed("statement_id", "evidence_id").join(ledger.select("claim_id", "evidence_id"), ["claim_id", "evidence_id"], "left_anti")
+    return open_.join(claims, "claim_id").select("claim_id", "evidence_id", "name", "predicate", "value", "rule")
+
+
 def apply_decisions(queue: DataFrame, facts: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The queue without decided items, and the facts with approved likely ones lifted to canon.
 
@@ -254,32 +286,57 @@ def parse_claims(texts: DataFrame, names: DataFrame, predicates: list[tuple[str,
     return both.withColumn("_p", pick).where("_p is not null and _p.value <> ''").select("text_id", F.col("_n.name").alias("name"), "_p.predicate", "_p.value")
 
 
-def retrieve_evidence(posts: DataFrame, statements: DataFrame, k: int = 5, stop: tuple[str, ...] = ("the", "and", "this", "that")) -> DataFrame:
+def retrieve_evidence(posts: DataFrame, statements: DataFrame, k: int = 5, stop: tuple[str, ...] = ("the", "and", "this", "that"), topics: DataFrame | None = None) -> DataFrame:
     """Columns post_id, statement_id, score and rank: statements by the post's keywords they hold, those of the question half more.
 
-    Keywords are a post's (post_id, text) distinct capitalised words of 3 letters or more, less stop words; they meet
-    the statements' words by equality.
+    Keywords are a post's (post_id, text) distinct capitalised words of 3 letters or more, less stop words, and the
+    ``topics`` (term) that it holds, in any case and of any number of words. They meet what statements hold by equality.
     """
-    keys = posts.select("post_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(\p{Lu}\p{L}{2,})"), F.lit(1)), F.lower))).alias("_w")).where(~F.col("_w").isin(*stop))
-    s = statements.select("statement_id", "ordinal", F.array_distinct(_words(F.col("question"))).alias("_q"), F.array_distinct(_words(F.concat_ws(" ", "question", "answer"))).alias("_all"))
-    words = s.select("statement_id", "ordinal", F.explode("_all").alias("_w"), F.col("_q")).withColumn("_in_q", F.array_contains("_q", F.col("_w"))).drop("_q")
-    scored = keys.join(words, "_w").groupBy("post_id", "statement_id", "ordinal").agg((F.count(F.lit(1)) + 0.5 * F.count_if("_in_q")).alias("score"))
+    held = lambda c: F.array_distinct(words(c))
+    both = F.concat_ws(" ", "question", "answer")
+    capital = F.transform(F.regexp_extract_all("text", F.lit(r"(\p{Lu}\p{L}{2,})"), F.lit(1)), F.lower)
+    keys = posts.select("post_id", F.explode(F.array_distinct(capital)).alias("_w")).where(~F.col("_w").isin(*stop))
+    s = statements.select("statement_id", "ordinal", held(F.col("question")).alias("_q"), held(both).alias("_all"))
+    said = s.select("statement_id", "ordinal", F.explode("_all").alias("_w"), F.col("_q")).withColumn("_in_q", F.array_contains("_q", F.col("_w"))).drop("_q")
+    if topics is not None:
+        terms = topics.select("term", F.array_join(words(F.col("term")), " ").alias("_w")).distinct()
+        keys = keys.union(find_forms(posts, ("post_id",), "text", terms, "term").select("post_id", "_w")).distinct()
+        several = terms.where(F.contains("_w", F.lit(" ")))  # single words are there already
+        asked = find_forms(statements, ("statement_id",), "question", several, "term").select("statement_id", "_w", F.lit(True).alias("_in_q")).distinct()
+        found = find_forms(statements.select("statement_id", "ordinal", both.alias("_both")), ("statement_id", "ordinal"), "_both", several, "term").select("statement_id", "ordinal", "_w").distinct()
+        said = said.unionByName(found.join(asked, ["statement_id", "_w"], "left").na.fill(False, ["_in_q"]))
+    scored = keys.join(said, "_w").groupBy("post_id", "statement_id", "ordinal").agg((F.count(F.lit(1)) + 0.5 * F.count_if("_in_q")).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("post_id").orderBy(F.desc("score"), "ordinal")))
     return ranked.where(F.col("rank") <= k).select("post_id", "statement_id", "score", "rank")
 
 
-def search(queries: DataFrame, catalogue: DataFrame, caps: dict[str, int], open_kinds: tuple[str, ...] = ("subject",)) -> DataFrame:
+def search(queries: DataFrame, catalogue: DataFrame, caps: dict[str, int], open_kinds: tuple[str, ...] = ("subject",), latest: int | None = None, small: int = 10_000) -> DataFrame:
     """Columns query_id, kind, item_id and rank: hits of a query's text in titles (kind, item_id, title, first) under its cutoff.
 
-    Queries (query_id, text, cutoff) are a reader's few; items past the cutoff, and those of other than open kinds
-    without a first position, stay hidden. A kind gives its cap at most, in order of title.
+    Items past the cutoff, and those of other than open kinds without a first position, stay hidden. A kind gives its
+    cap at most, in order of title. With ``latest``, a query that is a number from 1 to it, of four digits at most, also hits that position (kind
+    ``position``). Up to ``small`` queries (query_id, text, cutoff) are sent to the catalogue, where each title is held
+    against them; more of them meet the titles by the three-letter parts of both, and shorter ones by themselves.
     """
     q = queries.withColumn("_t", F.lower(F.trim("text"))).where("_t <> ''")
     seen = F.coalesce(F.col("first") <= F.col("cutoff"), F.col("kind").isin(*open_kinds) & F.col("first").isNull())
-    hits = catalogue.join(F.broadcast(q), F.contains(F.lower("title"), F.col("_t"))).where(seen)
+    inside = F.contains(F.lower("title"), F.col("_t"))
+    if q.limit(small + 1).count() <= small:
+        hits = catalogue.join(F.broadcast(q), inside).where(seen)
+    else:
+        part = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))
+        title = F.lower("title")
+        grams = F.flatten(F.array(*[F.when(F.length(title) >= n, part(title, n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
+        asked = q.withColumn("_g", F.substring("_t", 1, 3))
+        hits = catalogue.withColumn("_g", F.explode(F.array_distinct(grams))).join(asked, "_g").where(inside & seen)
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("title", "item_id")))
     cap = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in caps.items()], F.lit(5))
-    return ranked.where(F.col("rank") <= cap).select("query_id", "kind", "item_id", "rank")
+    found = ranked.where(F.col("rank") <= cap).select("query_id", "kind", "item_id", "rank")
+    if latest is None:
+        return found
+    number = F.when(F.col("_t").rlike(r"^\d{1,4}$"), F.col("_t").cast("long"))
+    places = q.withColumn("_n", number).where(F.col("_n").between(1, latest))
+    return found.unionByName(places.select("query_id", F.lit("position").alias("kind"), F.col("_n").cast(catalogue.schema["item_id"].dataType).alias("item_id"), F.lit(1).alias("rank")))
 
 
 def build_cards(sources: dict[str, DataFrame], title: int = 120, tokens: int = 400) -> DataFrame:

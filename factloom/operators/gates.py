@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import word_runs
+from factloom.operators.edges import asof_position
+from factloom.operators.matching import find_forms
 
 
 def derive_reveal(facts: DataFrame, volumes: DataFrame, overrides: DataFrame, debuts: DataFrame) -> DataFrame:
@@ -31,26 +32,41 @@ def derive_reveal(facts: DataFrame, volumes: DataFrame, overrides: DataFrame, de
     return both.select("fact_id", F.coalesce(*[c for _, c in steps]).alias("reveal"), reason.alias("reason"))
 
 
-def derive_gates(entries: DataFrame, debuts: DataFrame) -> DataFrame:
-    """Columns entry_id, gate and source of entries (entry_id, rungs, explicit, users): the least rung, else the first number
-    of the explicit text, else the earliest debut (name, debut) of the named users."""
+def derive_gates(entries: DataFrame, debuts: DataFrame, films: DataFrame | None = None, episodes: DataFrame | None = None) -> DataFrame:
+    """Columns entry_id, gate and source of entries (entry_id, rungs, explicit, users): the least rung, else what the explicit
+    text says, else the earliest debut (name, debut) of the named users.
+
+    A text names a film's year, whose gate ``films`` (year, gate) has or lacks; an episode, without a word of a chapter,
+    which ``episodes`` (key, positions) turns into a position (source ``episode`` or ``episode-filler``); or else its
+    first number of up to four digits counts.
+    """
     named = entries.select("entry_id", F.explode("users").alias("_u")).join(debuts, F.lower(F.trim("_u")) == F.lower("name")).groupBy("entry_id").agg(F.min("debut").alias("_debut"))
     both = entries.join(named, "entry_id", "left")
-    rung, stated = F.array_min(F.transform("rungs", lambda r: r["ch"])), F.regexp_extract("explicit", r"(\d+)", 1).try_cast("int")
-    source = F.when(rung.isNotNull(), "rungs").when(stated.isNotNull(), "explicit").when(F.col("_debut").isNotNull(), "users").otherwise("none")
-    return both.select("entry_id", F.coalesce(rung, stated, F.col("_debut")).alias("gate"), source.alias("source"))
+    rung, stated = F.array_min(F.transform("rungs", lambda r: r["ch"])), F.regexp_extract("explicit", r"(\d{1,4})", 1).try_cast("int")
+    found = [(F.lit("rungs"), rung, rung.isNotNull())]
+    is_film, is_episode = F.lit(False), F.lit(False)
+    if films is not None:
+        year = F.regexp_extract("explicit", r"(?i)film[^0-9]*(\d{4})", 1)
+        both = both.withColumn("_year", F.when(year != "", year.cast("int"))).join(films.select(F.col("year").alias("_year"), F.col("gate").alias("_film")), "_year", "left")
+        is_film = F.col("_year").isNotNull()
+        found.append((F.lit("film"), F.col("_film"), is_film))
+    if episodes is not None:
+        number = F.regexp_extract("explicit", r"(?i)episode\s*(\d{1,9})", 1)
+        told = F.when((number != "") & ~F.col("explicit").rlike(r"(?i)\bch\b|chapter") & ~is_film, number.cast("long"))
+        both = both.withColumn("key", told)
+        at = asof_position(both.where("key is not null").select("key").distinct(), episodes)
+        both = both.join(at.withColumnRenamed("how", "_how"), "key", "left")
+        is_episode = F.col("key").isNotNull()
+        found.append((F.when(F.col("_how") == "exact", "episode").otherwise("episode-filler"), F.col("position").cast("int"), is_episode))
+    found.append((F.lit("explicit"), stated, ~is_film & ~is_episode))
+    found.append((F.lit("users"), F.col("_debut"), F.lit(True)))
+    told = F.coalesce(*[F.when(F.coalesce(when, F.lit(False)) & gate.isNotNull(), F.struct(gate.alias("gate"), source.alias("source"))) for source, gate, when in found], F.struct(F.lit(None).cast("int").alias("gate"), F.lit("none").alias("source")))
+    return both.select("entry_id", told.alias("_g")).select("entry_id", "_g.gate", "_g.source")
 
 
 def _hits(texts: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """Columns key, term and ch: the lexicon's terms (term, ch) that a text contains as whole words, in any case.
-
-    Texts are split once, and terms of one to three words meet their words by equality, so that a lexicon of any
-    size costs no scan of the texts for each term.
-    """
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = texts.select(F.col(key), words.alias("_w")).where(F.size("_w") > 0)
-    grams = F.array_distinct(F.concat(F.col("_w"), word_runs(F.col("_w"), 2), word_runs(F.col("_w"), 3)))
-    return rows.select(key, F.explode(grams).alias("_g")).join(lexicon.select(F.lower("term").alias("_g"), "term", "ch"), "_g").select(key, "term", "ch").distinct()
+    """Columns key, term and ch: the lexicon's terms (term, ch) that a text contains as whole words, in any case."""
+    return find_forms(texts, (key,), text, lexicon.select("term", "ch"), "term").select(key, "term", "ch").distinct()
 
 
 def raise_for_terms(entries: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -87,6 +103,17 @@ def visibility_matrix(entries: DataFrame, cutoffs: list[int]) -> DataFrame:
     return entries.groupBy("page").agg(*[F.count_if(F.col("gate") <= c).alias(f"at_{c}") for c in cutoffs], F.min("gate").alias("first_gate"))
 
 
+def blank_pages(entries: DataFrame, pages: DataFrame, cutoffs: list[int]) -> DataFrame:
+    """Columns page, worst and recommended: pages (page, gate) that a reader reaches at a cutoff and finds empty.
+
+    ``worst`` is the highest such cutoff, ``recommended`` the least gate of the page's entries (page, gate), null without any.
+    """
+    low = entries.groupBy("page").agg(F.min("gate").alias("_low"))
+    both = pages.select("page", F.coalesce("gate", F.lit(0)).alias("_gate")).join(low, "page", "left")
+    empty = F.filter(F.array(*[F.lit(c) for c in cutoffs]), lambda c: (c >= F.col("_gate")) & (F.col("_low").isNull() | (c < F.col("_low"))))
+    return both.select("page", F.array_max(empty).alias("worst"), F.col("_low").alias("recommended")).where("worst is not null")
+
+
 def leak_audit(strings: DataFrame, lexicon: DataFrame, cutoffs: list[int]) -> DataFrame:
     """Columns string_id, term and cutoff: the first cutoff at which a visible string (string_id, text, gate) holds a term not yet safe.
 
@@ -97,21 +124,41 @@ def leak_audit(strings: DataFrame, lexicon: DataFrame, cutoffs: list[int]) -> Da
     return hits.select("string_id", "term", first.alias("cutoff")).where("cutoff is not null")
 
 
-def effective_cutoff(latest: int, unset: int = 597, detail: str = "detail") -> Column:
-    """A reader's cutoff from mode, cutoff, episode_position, buffer and surface; null where nothing is hidden."""
+def rung_leaks(entries: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Columns entry_id, ch, term and until: terms that a rung of an entry (entry_id, rungs with ch and label) shows at its own
+    position, before they are safe (``until``)."""
+    each = entries.select("entry_id", F.explode("rungs").alias("_r")).select("entry_id", F.col("_r.ch").alias("ch"), F.col("_r.label").alias("text"))
+    hits = find_forms(each, ("entry_id", "ch"), "text", lexicon.select("term", F.col("ch").alias("until")), "term")
+    return hits.where(F.col("until") > F.col("ch")).select("entry_id", "ch", "term", "until").distinct()
+
+
+def gate_audit(entries: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Columns entry_id, gate, needed and verdict of entries (entry_id, text, gate) with terms: at its own gate an entry ``leaks`` if
+    it holds a later term, is ``over-hidden`` if the latest of its terms is safe before, and else ``fits``."""
+    top = _hits(entries, "entry_id", "text", lexicon).groupBy("entry_id").agg(F.max("ch").alias("needed"))
+    both = entries.join(top, "entry_id").where("gate is not null")
+    verdict = F.when(F.col("needed") > F.col("gate"), "leaks").when(F.col("needed") < F.col("gate"), "over-hidden").otherwise("fits")
+    return both.select("entry_id", "gate", "needed", verdict.alias("verdict"))
+
+
+def effective_cutoff(latest: int, unset: int, detail: str = "detail") -> Column:
+    """A reader's cutoff from mode, cutoff, episode_position, buffer and surface; null where nothing is hidden.
+
+    ``unset`` is the cutoff of readers who have set none.
+    """
     strict = F.col("mode") == "strict"
     base = F.coalesce(F.least("cutoff", "episode_position"), F.when(strict, 0).otherwise(unset))
     less = F.when((F.col("surface") != detail) | strict, F.coalesce("buffer", F.lit(0))).otherwise(0)
     return F.when(F.col("mode") == "off", F.lit(None).cast("int")).otherwise(F.greatest(F.lit(0), F.least(F.lit(latest), base - less)))
 
 
-def filter_for_readers(items: DataFrame, readers: DataFrame, latest: int) -> DataFrame:
+def filter_for_readers(items: DataFrame, readers: DataFrame, latest: int, unset: int) -> DataFrame:
     """Columns reader_id, cutoff and visible: how many items (item_id, reveal) each reader sees.
 
     Readers share few effective cutoffs: items are counted by reveal, summed over cutoffs, and mapped back. Items
     without a reveal, or past the latest position, are hidden; without a cutoff everything shows.
     """
-    reader = readers.withColumn("_cut", effective_cutoff(latest))
+    reader = readers.withColumn("_cut", effective_cutoff(latest, unset))
     per = items.groupBy("reveal").agg(F.count(F.lit(1)).alias("_n"))
     seen = reader.select(F.col("_cut").alias("_at")).distinct().join(per, F.col("_at").isNull() | ((F.col("reveal") <= F.col("_at")) & (F.col("reveal") <= latest)), "left")
     counts = seen.groupBy("_at").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("visible"))

@@ -33,6 +33,12 @@ def membership_groups(members: DataFrame, group: str, member: str, status: str,
     return distinct.groupBy(group).agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col(status) == current).alias("current"))
 
 
+def keep_ids(groups: DataFrame, previous: DataFrame, key: str, kept: list[str]) -> DataFrame:
+    """The groups with the ``kept`` columns that they had in ``previous``, if they had an id there; the first row of a key counts."""
+    old = previous.where("id is not null").groupBy(key).agg(F.min(F.struct("id", *[c for c in kept if c != "id"])).alias("_old"))
+    return groups.join(old, key, "left").select(*groups.columns, *[F.col(f"_old.{c}").alias(c) for c in kept])
+
+
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """The first k rows in an order that leaves no ties."""
     return df.orderBy(*order).limit(k)
@@ -105,6 +111,19 @@ def coverage(expected: DataFrame, present: DataFrame, key: str, category: str, b
     return per.select(category, "expected", "missing", rate.alias("rate"), (rate < baseline - 0.001).alias("regressed"))
 
 
+def missing_keys(expected: DataFrame, present: DataFrame, key: str, category: str) -> DataFrame:
+    """Columns category, key and missing (of its category): expected keys that aren't present, trimmed and in lower case."""
+    norm = F.lower(F.trim(F.col(key)))
+    lost = expected.select(category, norm.alias(key)).distinct().join(present.select(norm.alias(key)).distinct(), key, "left_anti")
+    return lost.join(lost.groupBy(category).agg(F.count(F.lit(1)).alias("missing")), category).select(category, key, "missing")
+
+
+def ratchet(baseline: DataFrame, rates: DataFrame, key: str = "category") -> DataFrame:
+    """Columns key and rate: the better of each recorded and each new rate, so that a baseline never falls."""
+    both = baseline.select(key, F.col("rate").alias("_old")).join(rates.select(key, F.round("rate", 4).alias("_new")), key, "full")
+    return both.select(key, F.greatest("_old", "_new").alias("rate"))
+
+
 def compare_membership(a: DataFrame, b: DataFrame) -> DataFrame:
     """Columns grp and verdict of two tables (grp, name, flag): identical, names, flags or both differ."""
     both = a.select("grp", "name", F.col("flag").alias("_a"), F.lit(1).alias("_in_a")).join(b.select("grp", "name", F.col("flag").alias("_b"), F.lit(1).alias("_in_b")), ["grp", "name"], "full")

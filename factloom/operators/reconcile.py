@@ -74,6 +74,14 @@ def stale_items(cache: DataFrame, current: DataFrame) -> DataFrame:
     return both.select("key", state.alias("state"))
 
 
+def stale_checks(checks: DataFrame, data: DataFrame) -> DataFrame:
+    """Columns check, last and stale of dated checks (check, on) against dated data (on): stale if never made or before the data's last day."""
+    last = checks.groupBy("check").agg(F.max("on").alias("last"))
+    newest = data.agg(F.max("on").alias("_newest"))  # one row
+    both = last.crossJoin(F.broadcast(newest))
+    return both.select("check", "last", F.coalesce(F.col("last").isNull() | (F.col("last") < F.col("_newest")), F.lit(False)).alias("stale"))
+
+
 def changed_inputs(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Columns stage and needed: stages with a file (stage, path, content) whose digest isn't the manifest's (path, digest)."""
     now = files.select("stage", "path", F.sha2(F.col("content").cast("binary"), 256).alias("_now"))

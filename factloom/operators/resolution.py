@@ -152,6 +152,14 @@ def resolve_places(df: DataFrame, column: str, places: DataFrame) -> DataFrame:
     return best.select(F.col("_raw").alias(column), F.col("_best.place_id").alias("place_id"), F.col("_best.how").alias("how"))
 
 
+def match_rate(names: DataFrame, column: str, resolved: DataFrame, least: float = 0.95) -> DataFrame:
+    """One row, columns total, matched, rate and passed: rows of ``names`` with a value, and those that ``resolved`` has."""
+    both = names.where(F.col(column).isNotNull()).join(resolved.select(F.col(column), F.lit(True).alias("_hit")), column, "left")
+    counts = both.agg(F.count(F.lit(1)).alias("total"), F.count("_hit").alias("matched"))
+    rate = F.when(F.col("total") > 0, F.col("matched") / F.col("total")).otherwise(0.0)
+    return counts.select("total", "matched", rate.alias("rate"), (rate >= least).alias("passed"))
+
+
 def summarise_unresolved(resolved: DataFrame, name: str, position: str, logged: DataFrame) -> DataFrame:
     """Columns name, n and first of names without entity_id that aren't logged yet."""
     missed = resolved.where("entity_id is null").groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("first"))
@@ -210,6 +218,32 @@ def align_by_similarity(left: DataFrame, right: DataFrame, group: str, window: i
     return left.select(group, "pos", "text").groupBy(group).cogroup(right.select(group, "pos", "text").groupBy(group)).applyInPandas(align, f"{group} {kind}, left_pos long, right_pos long, ratio double")
 
 
+def best_by_similarity(left: DataFrame, right: DataFrame, group: str, accept: float = 0.5, length: int = 60) -> DataFrame:
+    """Columns group, left_pos, right_pos and ratio: for each left text (pos, text) the most alike right one of its group.
+
+    Texts are compared by their squeezed first ``length`` characters in any case, and the first of equally good ones
+    counts, if its ratio exceeds ``accept``. The left side is dealt by text, and a group's right side, which a volume's
+    entries bound, goes with it.
+    """
+    print_ = lambda c: F.substring(F.regexp_replace(F.lower(c), r"\s+", " "), 1, length)
+    rights = right.where(F.col("text").isNotNull()).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("pos", print_(F.col("text")).alias("t")))).alias("_r"))
+    rows = left.where(F.col("text").isNotNull()).select(group, F.col("pos").alias("left_pos"), print_(F.col("text")).alias("_l")).join(rights, group)
+
+    @F.pandas_udf("struct<at:int,ratio:double>")
+    def best(texts: pd.Series, others: pd.Series) -> pd.DataFrame:
+        from difflib import SequenceMatcher
+
+        out = []
+        for text, found in zip(texts, others):
+            ratios = [SequenceMatcher(None, text, o).ratio() for o in found]
+            top = max(range(len(ratios)), key=lambda i: (ratios[i], -i))
+            out.append((top, ratios[top]))
+        return pd.DataFrame(out, columns=["at", "ratio"])
+
+    found = rows.withColumn("_b", best("_l", F.transform("_r", lambda r: r["t"]))).where(F.col("_b.ratio") > accept)
+    return found.select(group, "left_pos", F.get("_r", F.col("_b.at"))["pos"].alias("right_pos"), F.col("_b.ratio").alias("ratio"))
+
+
 def fold_aliases(df: DataFrame, column: str, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows with aliases (alias, canonical) folded, and the changes (alias, canonical, rows)."""
     joined = df.join(aliases, df[column] == aliases["alias"], "left")

@@ -28,6 +28,17 @@ def interpolate_ranges(ranges: DataFrame, lead: int = 60, cadence: int = 7) -> D
     return each.select("series", "position", day.alias("day"), inside.alias("approximate"))
 
 
+def interpolate_seasons(seasons: DataFrame) -> DataFrame:
+    """Columns season, position, day and approximate of seasons (season, first, last, begins, ends): the first position lies at
+    the beginning, the last at the end, those between are spread evenly, half-days rounded to even."""
+    each = seasons.select("*", F.explode(F.sequence("first", "last")).alias("position"))
+    steps, since = F.col("last") - F.col("first"), F.col("position") - F.col("first")
+    inside = (since > 0) & (F.col("position") < F.col("last"))
+    spread = F.bround(F.date_diff("ends", "begins") * since / F.greatest(steps, F.lit(1)), 0)
+    day = F.when(since == 0, F.col("begins")).when(F.col("position") == F.col("last"), F.col("ends")).otherwise(_add(F.col("begins"), spread))
+    return each.select("season", "position", day.alias("day"), inside.alias("approximate"))
+
+
 def interpolate_pins(positions: DataFrame, pins: DataFrame, cadence: int = 7) -> DataFrame:
     """Columns series, position, day and approximate of positions (series, position) by pins (series, position, day).
 
@@ -35,9 +46,9 @@ def interpolate_pins(positions: DataFrame, pins: DataFrame, cadence: int = 7) ->
     no later than the earlier; those past the last pin step on from it, those before the first step back.
     """
     rows = positions.join(pins, ["series", "position"], "left")
-    order = Window.partitionBy("series").orderBy("position")
     mark = F.when(F.col("day").isNotNull(), F.struct("position", "day"))
-    rows = rows.withColumn("_a", F.last(mark, True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first(mark, True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    up, down = (Window.partitionBy("series").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("position"), F.desc("position")))
+    rows = rows.withColumn("_a", F.last(mark, True).over(up)).withColumn("_b", F.last(mark, True).over(down))
     span = F.date_diff("_b.day", "_a.day")
     since, until, steps = F.col("position") - F.col("_a.position"), F.col("_b.position") - F.col("position"), F.col("_b.position") - F.col("_a.position")
     between = F.when(span > 0, _add(F.col("_a.day"), F.bround(span * since / F.greatest(steps, F.lit(1)), 0))).otherwise(_add(F.col("_b.day"), -cadence * until))

@@ -227,14 +227,26 @@ def check(spark, sf_dir):
     return e.check_edges(ed, table(spark, sf_dir, "part").where("p_partkey < 55").select(F.concat(F.lit("p:"), "p_partkey").alias("id")), ("family",))
 
 
-@query("e24_diff_tables", """WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_orderpriority AS prio FROM orders WHERE o_orderkey % 10 <> 1), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 = 0 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS prio FROM orders WHERE o_orderkey % 10 <> 2),
-  j AS (SELECT coalesce(a.k, b.k) AS k, a.k AS ak, b.k AS bk, a.status AS s1, b.status AS s2, a.prio AS p1, b.prio AS p2 FROM a FULL JOIN b ON a.k = b.k)
+@query("e24_diff_tables", """WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_orderpriority AS prio, CAST(o_custkey AS VARCHAR) AS cust FROM orders WHERE o_orderkey % 10 <> 1),
+  b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 = 0 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS prio, CASE o_orderkey % 5 WHEN 0 THEN o_custkey || '.0' WHEN 3 THEN o_custkey || '.5' ELSE CAST(o_custkey AS VARCHAR) END AS cust FROM orders WHERE o_orderkey % 10 <> 2),
+  j AS (SELECT coalesce(a.k, b.k) AS k, a.k AS ak, b.k AS bk, a.status AS s1, b.status AS s2, a.prio AS p1, b.prio AS p2, a.cust AS c1, b.cust AS c2 FROM a FULL JOIN b ON a.k = b.k), mt AS (SELECT * FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL)
   SELECT k, CASE WHEN bk IS NULL THEN 'lost' ELSE 'added' END AS change, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS VARCHAR) AS old, CAST(NULL AS VARCHAR) AS new FROM j WHERE ak IS NULL OR bk IS NULL
-  UNION ALL SELECT k, 'drift', 'status', s1, s2 FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND s1 IS DISTINCT FROM s2 UNION ALL SELECT k, 'drift', 'prio', p1, p2 FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND p1 IS DISTINCT FROM p2""")
+  UNION ALL SELECT k, 'drift', 'status', s1, s2 FROM mt WHERE s1 IS DISTINCT FROM s2 UNION ALL SELECT k, 'drift', 'prio', p1, p2 FROM mt WHERE p1 IS DISTINCT FROM p2 UNION ALL SELECT k, 'drift', 'cust', c1, c2 FROM mt WHERE CAST(c1 AS DOUBLE) <> CAST(c2 AS DOUBLE)""")
 def diff(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("prio"))
-    b = o.where("k % 10 <> 2").select("k", F.when(F.col("k") % 6 == 0, "X").otherwise(F.col("status")).alias("status"), F.when(F.col("k") % 4 != 0, F.col("prio")).alias("prio"))
-    return e.diff_tables(o.where("k % 10 <> 1"), b, "k", ["status", "prio"])
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("prio"), F.col("o_custkey").cast("string").alias("cust"), F.lit(0).alias("n"))
+    a = o.where("k % 10 <> 1")
+    a = a.unionByName(a.where("k % 7 = 0").withColumn("status", F.lit("A")).withColumn("n", F.lit(1)))  # later rows of a key don't count
+    k = F.col("k")
+    b = o.where("k % 10 <> 2").select("k", F.when(k % 6 == 0, "X").otherwise(F.col("status")).alias("status"), F.when(k % 4 != 0, F.col("prio")).alias("prio"), F.concat("cust", F.when(k % 5 == 0, ".0").when(k % 5 == 3, ".5").otherwise("")).alias("cust"), "n")
+    return e.diff_tables(a, b, "k", ["status", "prio", "cust"], "n")
+
+
+@query("e15_item_dossier", """WITH w AS (SELECT l_partkey AS item, l_suppkey AS owner, l_returnflag = 'N' AS cur, l_orderkey * 10 + l_linenumber AS o FROM lineitem), h AS (SELECT item, arg_min(owner, o) AS holder FROM w WHERE cur GROUP BY 1)
+  SELECT w.item AS item_id, owner AS owner_id, coalesce(s_name, CAST(owner AS VARCHAR)) AS owner, cur AS current, holder FROM w LEFT JOIN supplier ON s_suppkey = owner AND s_suppkey % 4 <> 0 LEFT JOIN h ON h.item = w.item""")
+def items(spark, sf_dir):
+    l, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    owners = l.select(F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("owner_id"), (F.col("l_returnflag") == "N").alias("current"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"))
+    return e.item_dossier(owners, s.where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("owner_id"), F.col("s_name").alias("name")))
 
 
 @query("e25_ingest_entries", """WITH x AS (SELECT o_orderkey AS ordinal, CASE o_orderstatus WHEN 'F' THEN 'book' WHEN 'O' THEN 'film' ELSE 'rumour-mill' END AS t, CASE o_orderkey % 4 WHEN 0 THEN 'canon' WHEN 1 THEN 'rumour' END AS tier, o_orderkey % 5 AS r, o_custkey FROM orders)

@@ -8,10 +8,14 @@ from factloom.operators import evidence as e
 from factloom.operators import reconcile as r
 from factloom.plans.registry import query
 from factloom.session import table
-from factloom.sources.tables import STATEMENTS, statements
+from factloom.sources.tables import OBS, STATEMENTS, observations, statements
 
 _NAMES = "names AS (SELECT DISTINCT regexp_extract(text, '^(\\S+ \\S+)', 1) AS name FROM benchmark)"
-_MET = r"""met AS (SELECT name, doc_id FROM names JOIN documents ON regexp_matches(lower(text), '(^|[^\p{L}\p{N}])' || replace(regexp_replace(lower(name), '[^\p{L}\p{N} ]', '', 'g'), ' ', '[^\p{L}\p{N}]+') || '([^\p{L}\p{N}]|$)'))"""
+_WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+_RUN = lambda n: f"list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i : i + {n - 1}], ' '))"
+#: Names met with the documents that hold their words in a row; the names of these tables have up to five words.
+_MET = f"""dw AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), fm AS (SELECT name, array_to_string({_WORDS.format('name')}, ' ') AS g FROM names),
+  gr AS (SELECT doc_id, unnest(list_distinct(list_concat({', '.join(map(_RUN, (1, 2)))}))) AS g FROM dw UNION SELECT doc_id, unnest(list_distinct(list_concat({', '.join(map(_RUN, (3, 4)))}))) FROM dw UNION SELECT doc_id, unnest({_RUN(5)}) FROM dw), met AS (SELECT DISTINCT name, doc_id FROM fm JOIN gr USING (g) WHERE g <> '')"""
 
 
 def _names(spark, sf_dir):
@@ -39,7 +43,7 @@ def _claims(spark, sf_dir):
 
 @query("f3_proximity_matches")
 def proximity(spark, sf_dir):
-    s = statements(spark, sf_dir).select("statement_id", F.concat_ws(" ║ ", "question", "answer").alias("text"))
+    s = statements(spark, sf_dir).select("statement_id", F.concat_ws(" / ", "question", "answer").alias("text"))
     pairs = _claims(spark, sf_dir).join(s, F.col("claim_id") == F.col("statement_id")).select("claim_id", "text", "name", "value")
     return e.proximity_matches(pairs, 80).select("claim_id", "at", "snippet")
 
@@ -55,6 +59,42 @@ def verify(spark, sf_dir):
     return e.verify_claims(_claims(spark, sf_dir), statements(spark, sf_dir))
 
 
+@query("f5_verified_facts")
+def verified(spark, sf_dir):
+    """Facts with their two sources, of the claims on the hundred names most often asked about."""
+    claims, s = _claims(spark, sf_dir), statements(spark, sf_dir)
+    top = e.top_subjects(claims, "name", 100)
+    claims = claims.join(top.select("name"), "name", "left_semi")
+    found = e.verified_facts(e.verify_claims(claims, s), claims, F.concat(F.lit("page/"), "name"))
+    record = F.element_at("sources", 2)
+    return found.select("claim_id", "name", "tier", "intent", F.element_at("sources", 1)["item_id"].alias("statement_id"), record["page"].alias("page"), record["field"].alias("field"), record["value_at_verify"].alias("value_at_verify"))
+
+
+@query("f5_top_subjects", f"WITH {OBS} SELECT subject AS name, count(*) AS observations FROM obs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+def top_subjects(spark, sf_dir):
+    return e.top_subjects(observations(spark, sf_dir), "subject", 50)
+
+
+@query("f5_curation_queue", """WITH b AS (SELECT o_orderkey AS claim_id, o_custkey AS evidence_id, CASE WHEN o_orderstatus = 'F' THEN 'ambiguous' ELSE 'serious' END AS intent FROM orders), led AS (SELECT DISTINCT l_orderkey AS claim_id FROM lineitem WHERE l_returnflag = 'A')
+  SELECT claim_id, evidence_id, 'n' || claim_id AS name, 'says' AS predicate, 'v' || claim_id AS value, 'digits' AS rule FROM b WHERE intent = 'ambiguous' AND claim_id NOT IN (SELECT claim_id FROM led)""")
+def curation(spark, sf_dir):
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    k = F.col("o_orderkey")
+    best = o.select(k.alias("claim_id"), F.col("o_custkey").alias("statement_id"), F.when(F.col("o_orderstatus") == "F", "ambiguous").otherwise("serious").alias("intent"), F.lit("digits").alias("rule"))
+    claims = o.select(k.alias("claim_id"), F.concat(F.lit("n"), k).alias("name"), F.lit("says").alias("predicate"), F.concat(F.lit("v"), k).alias("value"))
+    ledger = l.where("l_returnflag = 'A'").join(o, F.col("l_orderkey") == k).select(k.alias("claim_id"), F.col("o_custkey").alias("evidence_id"))
+    return e.curation_queue(best, claims, ledger)
+
+
+@query("f5_changed_since", "SELECT p_partkey AS claim_id, p_name AS then, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS now FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 3 <> 1 AND (p_partkey % 3 = 2 OR p_type <> p_name)")
+def changed_values(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    claims = p.select(k.alias("claim_id"), k.cast("string").alias("name"), F.lit("title").alias("predicate"), F.col("p_name").alias("value"))
+    best = p.select(k.alias("claim_id"), k.alias("statement_id"), F.lit("canon").alias("tier"), F.lit("serious").alias("intent"), F.lit("near").alias("rule"))
+    records = p.where(k % 4 != 0).select(k.cast("string").alias("page"), F.lit("title").alias("field"), F.when(k % 3 == 0, F.col("p_type")).when(k % 3 == 1, F.col("p_name")).alias("value"))
+    return e.changed_since(e.verified_facts(best, claims, F.col("name")), records)
+
+
 _QUEUE = """q AS (SELECT o_orderkey AS claim_id, o_custkey AS evidence_id FROM orders), led AS (SELECT l_orderkey AS claim_id, o_custkey AS evidence_id, arg_max(l_returnflag, l_linenumber * 100000000 + l_partkey) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'N' GROUP BY 1, 2)"""
 
 
@@ -98,6 +138,19 @@ def retrieve(spark, sf_dir):
     return e.retrieve_evidence(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("post_id"), "text"), statements(spark, sf_dir)).withColumn("score", F.col("score").cast("double"))
 
 
+@query("f9_retrieve_by_topics", f"""WITH {STATEMENTS}, t AS (SELECT DISTINCT lower(regexp_extract(text, '^(\\p{{L}}+) (\\p{{L}}+)', 1) || ' ' || regexp_extract(text, '^(\\p{{L}}+) (\\p{{L}}+)', 2)) AS w FROM benchmark WHERE regexp_matches(text, '^\\p{{L}}+ \\p{{L}}+')),
+  pw AS (SELECT item_id AS post_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS a FROM benchmark), k AS (SELECT DISTINCT item_id AS post_id, lower(unnest(regexp_extract_all(text, '(\\p{{Lu}}\\p{{L}}{{2,}})', 1))) AS w FROM benchmark),
+  kk AS (SELECT * FROM k WHERE w NOT IN ('the', 'and', 'this', 'that') UNION SELECT post_id, w FROM pw JOIN t ON contains(' ' || array_to_string(a, ' ') || ' ', ' ' || w || ' ')),
+  st AS (SELECT statement_id, ordinal, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(question || ' ' || answer), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), ' ') || ' ' AS b, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(question), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), ' ') || ' ' AS q FROM statements),
+  ws AS (SELECT DISTINCT w FROM kk), m AS (SELECT statement_id, ordinal, w, contains(q, ' ' || w || ' ') AS in_q FROM st JOIN ws ON contains(b, ' ' || w || ' ')),
+  sc AS (SELECT post_id, statement_id, ordinal, CAST(count(*) + 0.5::DOUBLE * count(*) FILTER (in_q) AS DOUBLE) AS score FROM kk JOIN m USING (w) GROUP BY 1, 2, 3),
+  rk AS (SELECT post_id, statement_id, score, CAST(row_number() OVER (PARTITION BY post_id ORDER BY score DESC, ordinal) AS INTEGER) AS rank FROM sc) SELECT * FROM rk WHERE rank <= 5""")
+def retrieve_topics(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    topics = b.select(F.lower(F.regexp_extract("text", r"^(\p{L}+ \p{L}+)", 1)).alias("term")).where("term <> ''").distinct()
+    return e.retrieve_evidence(b.select(F.col("item_id").alias("post_id"), "text"), statements(spark, sf_dir), topics=topics).withColumn("score", F.col("score").cast("double"))
+
+
 _CATALOGUE = "cat AS (SELECT 'subject' AS kind, p_partkey AS item_id, p_name AS title, CASE WHEN p_size > 5 THEN p_size END AS first FROM part UNION ALL SELECT 'item', s_suppkey, s_name, CASE WHEN s_nationkey > 3 THEN s_nationkey END FROM supplier)"
 
 
@@ -111,6 +164,16 @@ def search(spark, sf_dir):
     return e.search(q, cat, {"subject": 6, "item": 10})
 
 
+@query("f10_search_positions", f"""WITH {_CATALOGUE}, q AS (SELECT c_custkey AS query_id, CAST(c_custkey % 2500 AS VARCHAR) AS text, 30 AS cutoff FROM customer),
+  h AS (SELECT query_id, kind, item_id, CAST(row_number() OVER (PARTITION BY query_id, kind ORDER BY title, item_id) AS INTEGER) AS rank FROM cat JOIN q ON contains(lower(title), text) WHERE coalesce(first <= cutoff, kind = 'subject' AND first IS NULL))
+  SELECT * FROM h WHERE rank <= 5 UNION ALL SELECT query_id, 'position', CAST(text AS BIGINT), 1 FROM q WHERE CAST(text AS BIGINT) BETWEEN 1 AND 1200""")
+def search_positions(spark, sf_dir):
+    p, s, c = (table(spark, sf_dir, n) for n in ("part", "supplier", "customer"))
+    cat = p.select(F.lit("subject").alias("kind"), F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.when(F.col("p_size") > 5, F.col("p_size")).alias("first")).union(s.select(F.lit("item"), "s_suppkey", "s_name", F.when(F.col("s_nationkey") > 3, F.col("s_nationkey"))))
+    q = c.select(F.col("c_custkey").alias("query_id"), (F.col("c_custkey") % 2500).cast("string").alias("text"), F.lit(30).alias("cutoff"))
+    return e.search(q, cat, {}, latest=1200, small=100)
+
+
 @query("f11_build_cards", """SELECT 'doc:' || doc_id AS id, 'doc' AS type, CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '…' ELSE text END AS title, source AS subtitle, substr(lower(text || ' ' || source || ' ' || lang), 1, 400) AS tokens FROM documents
   UNION ALL SELECT 'part:' || p_partkey, 'part', p_name, p_brand, lower(p_name || ' ' || p_brand || ' ' || p_type) FROM part""")
 def cards(spark, sf_dir):
@@ -172,6 +235,12 @@ def stale(spark, sf_dir):
     return r.stale_items(o.where("key % 4 <> 0").withColumn("revision", F.when(F.col("key") % 4 != 1, F.lit("F"))), o)
 
 
+@query("f17_stale_checks", """WITH c AS (SELECT o_orderpriority AS "check", max(CASE WHEN o_orderstatus = 'F' OR o_orderpriority LIKE '1%' THEN CAST(o_orderdate AS DATE) END) AS last FROM orders GROUP BY 1) SELECT "check", last, last IS NULL OR last < (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) AS stale FROM c""")
+def stale_checks(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("check"), F.to_date("o_orderdate").alias("on"), "o_orderstatus")
+    return r.stale_checks(o.withColumn("on", F.when((F.col("o_orderstatus") == "F") | F.col("check").startswith("1"), F.col("on"))), o)
+
+
 @query("f18_changed_inputs", "SELECT source AS stage, bool_or(doc_id % 37 = 0 OR doc_id % 41 = 0) AS needed FROM documents GROUP BY 1")
 def changed(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

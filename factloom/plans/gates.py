@@ -48,6 +48,23 @@ def _entries(spark, sf_dir):
     return s.join(p, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("entry_id"), F.col("p_name").alias("text"), F.col("s_nationkey").alias("gate"))
 
 
+@query("g2_gates_from_texts", """WITH x AS (SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'Film: Gold (' || (1990 + o_custkey % 20) || ')' WHEN 1 THEN 'Episode ' || o_custkey WHEN 2 THEN 'Episode 7, Chapter ' || o_custkey % 1000 WHEN 3 THEN 'after ' || o_custkey % 1000 WHEN 4 THEN 'some day' END AS t FROM orders),
+  m AS (SELECT DISTINCT p_partkey AS key, p_partkey * 2 + 1 AS p FROM part WHERE p_partkey % 13 = 5), e AS (SELECT k, o_orderkey % 6 AS r, o_custkey, 1990 + o_custkey % 20 AS y FROM x JOIN orders ON o_orderkey = k),
+  a AS (SELECT k, r, CASE WHEN r = 1 THEN coalesce((SELECT arg_min(p, key) FROM m WHERE key >= o_custkey), (SELECT arg_max(p, key) FROM m WHERE key < o_custkey)) END AS ep, CASE WHEN r = 1 THEN o_custkey IN (SELECT key FROM m) END AS hit, o_custkey, y FROM e)
+  SELECT k AS entry_id, CAST(CASE r WHEN 0 THEN CASE WHEN y % 4 <> 0 THEN y - 1900 END WHEN 1 THEN ep WHEN 2 THEN 7 WHEN 3 THEN o_custkey % 1000 END AS INTEGER) AS gate,
+    CASE r WHEN 0 THEN CASE WHEN y % 4 <> 0 THEN 'film' ELSE 'none' END WHEN 1 THEN CASE WHEN hit THEN 'episode' ELSE 'episode-filler' END WHEN 2 THEN 'explicit' WHEN 3 THEN 'explicit' ELSE 'none' END AS source FROM a""")
+def gates_from_texts(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 6
+    cust = F.col("o_custkey")
+    text = F.when(k == 0, F.concat(F.lit("Film: Gold ("), 1990 + cust % 20, F.lit(")"))).when(k == 1, F.concat(F.lit("Episode "), cust)).when(k == 2, F.concat(F.lit("Episode 7, Chapter "), cust % 1000)).when(k == 3, F.concat(F.lit("after "), cust % 1000)).when(k == 4, "some day")
+    rungs = F.lit(None).cast("array<struct<ch:int,max_ch:int,label:string>>")
+    entries = o.select(F.col("o_orderkey").alias("entry_id"), rungs.alias("rungs"), text.alias("explicit"), F.array().cast("array<string>").alias("users"))
+    years = o.select((1990 + cust % 20).cast("int").alias("year")).distinct().where("year % 4 <> 0")
+    parts = table(spark, sf_dir, "part").where("p_partkey % 13 = 5").select(F.col("p_partkey").alias("key"), F.array(F.col("p_partkey"), F.col("p_partkey") * 2 + 1).alias("positions"))
+    debuts = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("debut"))
+    return g.derive_gates(entries, debuts, years.withColumn("gate", F.col("year") - 1900), parts)
+
+
 @query("g3_raise_for_terms", f"WITH {_LEX}, {_ENTRIES} SELECT entry_id, CASE WHEN ch > gate THEN ch ELSE gate END AS gate, CASE WHEN ch > gate THEN term END AS blocked_by FROM entries LEFT JOIN lexicon ON term = string_split(text, ' ')[2]")
 def raise_terms(spark, sf_dir):
     return g.raise_for_terms(_entries(spark, sf_dir), _lexicon(spark, sf_dir))
@@ -80,6 +97,25 @@ def leaks(spark, sf_dir):
     return g.leak_audit(_entries(spark, sf_dir).withColumnRenamed("entry_id", "string_id"), _lexicon(spark, sf_dir), [1, 5, 20, 31, 35])
 
 
+@query("g6_blank_pages", """WITH p AS (SELECT DISTINCT p_brand AS page, CASE WHEN p_brand LIKE '%1' THEN 1 WHEN p_brand LIKE '%2' THEN 9 END AS gate FROM part), e AS (SELECT p_brand AS page, min(p_size) AS low FROM part WHERE p_size > 6 AND p_brand NOT LIKE '%3' GROUP BY 1), c AS (SELECT unnest([1, 5, 8, 20]) AS c)
+  SELECT page, max(c) AS worst, any_value(low) AS recommended FROM p LEFT JOIN e USING (page) JOIN c ON c >= coalesce(gate, 0) AND (low IS NULL OR c < low) GROUP BY 1""")
+def blank(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumnRenamed("p_brand", "page")
+    pages = p.select("page", F.when(F.col("page").endswith("1"), 1).when(F.col("page").endswith("2"), 9).alias("gate")).distinct()
+    return g.blank_pages(p.where("p_size > 6 AND page NOT LIKE '%3'").select("page", F.col("p_size").alias("gate")), pages, [1, 5, 8, 20])
+
+
+@query("g7_rung_leaks", f"WITH {_LEX}, r AS (SELECT p_partkey AS k, p_size AS ch, lower(string_split(p_name, ' ')[2]) AS term FROM part UNION SELECT p_partkey, p_size + 20, lower(string_split(p_name, ' ')[1]) FROM part) SELECT DISTINCT k AS entry_id, r.ch, term, lexicon.ch AS until FROM r JOIN lexicon USING (term) WHERE lexicon.ch > r.ch")
+def rung_leaks(spark, sf_dir):
+    rung = lambda ch, n: F.struct(ch.alias("ch"), F.upper(F.split_part("p_name", F.lit(" "), F.lit(n))).alias("label"))
+    return g.rung_leaks(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), F.array(rung(F.col("p_size"), 2), rung(F.col("p_size") + 20, 1)).alias("rungs")), _lexicon(spark, sf_dir))
+
+
+@query("g7_gate_audit", f"WITH {_LEX}, {_ENTRIES} SELECT entry_id, gate, ch AS needed, CASE WHEN ch > gate THEN 'leaks' WHEN ch < gate THEN 'over-hidden' ELSE 'fits' END AS verdict FROM (SELECT entry_id, gate + 20 AS gate, text FROM entries) JOIN lexicon ON term = string_split(text, ' ')[2]")
+def gate_audit(spark, sf_dir):
+    return g.gate_audit(_entries(spark, sf_dir).withColumn("gate", F.col("gate") + 20), _lexicon(spark, sf_dir))
+
+
 _READERS = """readers AS (SELECT c_custkey AS reader_id, CASE c_custkey % 5 WHEN 0 THEN 'off' WHEN 1 THEN 'strict' ELSE 'on' END AS mode, CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_nationkey * 2 AS INTEGER) END AS cutoff, CASE WHEN c_custkey % 3 = 0 THEN 20 END AS ep, CASE WHEN c_custkey % 2 = 0 THEN 'detail' ELSE 'list' END AS surface FROM customer),
   eff AS (SELECT reader_id, CASE WHEN mode <> 'off' THEN greatest(0, least(45, coalesce(least(cutoff, ep), CASE WHEN mode = 'strict' THEN 0 ELSE 597 END) - CASE WHEN surface <> 'detail' OR mode = 'strict' THEN 3 ELSE 0 END)) END AS cut FROM readers)"""
 
@@ -92,7 +128,7 @@ def _readers(spark, sf_dir):
 @query("g8_filter_for_readers", f"WITH {_READERS}, items AS (SELECT CASE WHEN p_partkey % 9 <> 0 THEN p_size END AS reveal FROM part), u AS (SELECT DISTINCT cut FROM eff), n AS (SELECT cut, (SELECT count(*) FROM items WHERE cut IS NULL OR (reveal <= cut AND reveal <= 45)) AS visible FROM u) SELECT reader_id, eff.cut AS cutoff, visible FROM eff JOIN n ON eff.cut IS NOT DISTINCT FROM n.cut")
 def readers(spark, sf_dir):
     items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_partkey") % 9 != 0, F.col("p_size")).alias("reveal"))
-    return g.filter_for_readers(items, _readers(spark, sf_dir), 45)
+    return g.filter_for_readers(items, _readers(spark, sf_dir), 45, 597)
 
 
 @query("g9_pick_version", """WITH v AS (SELECT p_brand AS item, p_size AS f, max(p_partkey) AS version FROM part GROUP BY 1, 2), r AS (SELECT c_custkey AS reader_id, CAST(c_nationkey AS INTEGER) AS cutoff, 'Brand#' || (c_custkey % 25 + 1) AS item FROM customer)

@@ -117,3 +117,29 @@ def heaviest(spark, sf_dir):
 def findings(spark, sf_dir):
     severity = F.when(F.col("n_chars") > 20000, "error").when(F.col("n_chars") > 5000, "warning").otherwise("note")
     return profile.summarise_findings(table(spark, sf_dir, "documents").select(F.col("source").alias("section"), severity.alias("severity")))
+
+
+@query("d7_keep_ids", """WITH g AS (SELECT c_nationkey AS grp, count(*) AS members FROM customer GROUP BY 1), o AS (SELECT n_nationkey AS grp, CASE WHEN n_nationkey % 3 <> 0 THEN 'g:' || n_nationkey END AS id, n_name AS slug FROM nation WHERE n_nationkey % 5 <> 0)
+  SELECT g.grp, members, o.id, o.slug FROM g LEFT JOIN o ON o.grp = g.grp AND o.id IS NOT NULL""")
+def kept_ids(spark, sf_dir):
+    groups = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("grp")).agg(F.count(F.lit(1)).alias("members"))
+    n = F.col("n_nationkey")
+    old = table(spark, sf_dir, "nation").where(n % 5 != 0).select(n.alias("grp"), F.when(n % 3 != 0, F.concat(F.lit("g:"), n)).alias("id"), F.col("n_name").alias("slug"))
+    return profile.keep_ids(groups, old, "grp", ["id", "slug"])
+
+
+@query("d16_missing_keys", """WITH x AS (SELECT DISTINCT p_brand AS brand, CAST(p_partkey AS VARCHAR) AS k FROM part), m AS (SELECT * FROM x WHERE k NOT IN (SELECT CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_quantity > 40 AND l_returnflag = 'R'))
+  SELECT brand, k, count(*) OVER (PARTITION BY brand) AS missing FROM m""")
+def missing(spark, sf_dir):
+    expected = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.concat(F.lit(" "), F.col("p_partkey").cast("string")).alias("k"))
+    present = table(spark, sf_dir, "lineitem").where("l_quantity > 40 AND l_returnflag = 'R'").select(F.col("l_partkey").cast("string").alias("k"))
+    return profile.missing_keys(expected, present, "k", "brand")
+
+
+@query("d16_ratchet", """WITH a AS (SELECT p_brand AS category, round(avg(CASE WHEN p_size > 10 THEN 1.0::DOUBLE ELSE 0 END), 4) AS rate FROM part WHERE p_brand <> 'Brand#3' GROUP BY 1), b AS (SELECT p_brand AS category, round(avg(CASE WHEN p_retailprice > 1000 THEN 1.0::DOUBLE ELSE 0 END), 4) AS rate FROM part WHERE p_brand <> 'Brand#4' GROUP BY 1)
+  SELECT category, greatest(a.rate, b.rate) AS rate FROM a FULL JOIN b USING (category)""")
+def ratchet(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumnRenamed("p_brand", "category")
+    share = lambda cond: F.avg(cond.cast("double")).alias("rate")
+    old = p.where("category <> 'Brand#3'").groupBy("category").agg(share(F.col("p_size") > 10)).withColumn("rate", F.round("rate", 4))
+    return profile.ratchet(old, p.where("category <> 'Brand#4'").groupBy("category").agg(share(F.col("p_retailprice") > 1000)))

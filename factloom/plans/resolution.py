@@ -160,3 +160,22 @@ def validate(spark, sf_dir):
     rec = p.select(F.when(k % 100 == 1, F.concat(F.lit("part"), k)).otherwise(F.concat(F.lit("part:"), F.lpad(k.cast("string"), 5, "0"))).alias("id"), F.when(k % 90 == 0, "").otherwise(F.col("p_name")).alias("name"), F.when(k % 80 == 0, "a--b").otherwise(F.concat(F.lit("p-"), k % 1900)).alias("slug"), F.col("p_type").alias("type"), F.array(F.concat("p_brand", "p_size")).alias("aliases"))
     allowed = p.where("p_brand like 'Brand#1%'").select(F.lower(F.concat("p_brand", "p_size")).alias("alias")).distinct()
     return r.validate_identities(rec, spark.createDataFrame([("part", 1900)], "prefix string, next long"), allowed)
+
+
+@query("c9_match_rate", """WITH r AS (SELECT CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN 'nowhere ' || n_name WHEN 2 THEN NULL ELSE r_name END AS raw FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), p AS (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region)
+  SELECT count(*) AS total, count(name) AS matched, count(name) / count(*)::DOUBLE AS rate, count(name) / count(*)::DOUBLE >= 0.95 AS passed FROM r LEFT JOIN p ON lower(raw) = lower(name) WHERE raw IS NOT NULL""")
+def place_rate(spark, sf_dir):
+    c, n, g = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    k = F.col("c_custkey") % 4
+    raw = F.when(k == 0, F.col("n_name")).when(k == 1, F.concat(F.lit("nowhere "), "n_name")).when(k == 3, F.col("r_name"))
+    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(g, F.col("n_regionkey") == F.col("r_regionkey")).select(raw.alias("raw"))
+    places = n.select(F.col("n_name").alias("name"), F.concat(F.lit("nation:"), "n_nationkey").alias("place_id")).union(g.select("r_name", F.concat(F.lit("region:"), "r_regionkey")))
+    return r.match_rate(rows, "raw", r.resolve_places(rows, "raw", places))
+
+
+@query("c12_best_by_similarity")
+def best_alike(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    left = t.select(F.col("conv_id").alias("grp"), F.col("turn").alias("pos"), "text")
+    right = t.where("(conv_id + turn) % 3 <> 0").select(F.col("conv_id").alias("grp"), F.col("turn").alias("pos"), F.upper("text").alias("text"))
+    return r.best_by_similarity(left, right, "grp")

@@ -181,15 +181,27 @@ def rank(spark, sf_dir):
     return p.select("k", t.rank(F.col("c"), [("^economy", 1), ("^promo", 2)]).alias("rank"))
 
 
+@query("b27_priority", "SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN 60 WHEN p_type = 'ECONOMY' THEN 0 WHEN p_type = 'PROMO' THEN 80 ELSE 60 END AS priority FROM part")
+def priority(spark, sf_dir):
+    p = _parts(spark, sf_dir, c="if(p_partkey % 5 = 0, NULL, ' ' || lower(p_type) || ' ')")
+    return p.select("k", t.priority(F.col("c"), {"economy": 0, "promo": 80}).alias("priority"))
+
+
 @query("b28_tags", "SELECT p_partkey AS k, array_to_string(list_concat(CASE WHEN p_name LIKE '%red%' THEN ['colour'] ELSE [] END, CASE WHEN p_name LIKE '%small%' THEN ['size'] ELSE [] END, [CASE WHEN p_size * 3 >= 100 THEN 'main' WHEN p_size * 3 >= 20 THEN 'recurring' ELSE 'minor' END]), ',') AS tags FROM part")
 def tags(spark, sf_dir):
     p = _parts(spark, sf_dir, c="upper(p_name)", n="p_size * 3")
     return p.select("k", F.array_join(t.tags(F.col("c"), {"red": "colour", "small": "size"}, F.col("n")), ",").alias("tags"))
 
 
-@query("b29_equivalent", "SELECT p_partkey AS k, p_partkey % 4 < 3 OR p_size = 7 AS same FROM part")
+_LOOSE = """CASE p_partkey % 8 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || ' (' || p_type || ')' WHEN 2 THEN '900 and ' || p_size || ' or 5' WHEN 3 THEN '7 things' WHEN 4 THEN '(' || p_type || ')' WHEN 5 THEN NULL WHEN 6 THEN ' ' || p_name || '  (x) (y)' ELSE '' END"""
+_PLAIN = """CASE p_partkey % 8 WHEN 2 THEN p_size || ' of 900' WHEN 3 THEN p_name || ' ' || p_size WHEN 4 THEN '(' || p_brand || ')' WHEN 7 THEN '' ELSE p_name END"""
+
+
+@query("b29_equivalent", f"""WITH x AS (SELECT p_partkey AS k, lower({_PLAIN}) AS a, lower({_LOOSE}) AS b FROM part),
+  y AS (SELECT k, trim(regexp_replace(a, '\\s+', ' ', 'g')) AS la, trim(regexp_replace(b, '\\s+', ' ', 'g')) AS lb, trim(regexp_replace(regexp_replace(a, '\\([^)]*\\)', '', 'g'), '\\s+', ' ', 'g')) AS ba, trim(regexp_replace(regexp_replace(b, '\\([^)]*\\)', '', 'g'), '\\s+', ' ', 'g')) AS bb, regexp_extract_all(a, '\\d+') AS da, regexp_extract_all(b, '\\d+') AS db FROM x)
+  SELECT k, coalesce(la = lb OR (ba <> '' AND ba = bb) OR (len(da) > 0 AND len(db) > 0 AND (list_has_all(da, db) OR list_has_all(db, da))), false) AS same FROM y""")
 def equivalent(spark, sf_dir):
-    p = _parts(spark, sf_dir, a="if(p_partkey % 4 = 2, p_size || ' of 900', p_name || if(p_partkey % 4 = 3, ' ' || p_size, ''))", b="case p_partkey % 4 when 0 then upper(p_name) when 1 then p_name || ' (' || p_type || ')' when 2 then '900 and ' || p_size || ' or 5' else '7 things' end")
+    p = _parts(spark, sf_dir, a=_PLAIN, b=_LOOSE)
     return p.select("k", t.equivalent(F.col("a"), F.col("b")).alias("same"))
 
 
