@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.profile import sliced_lists
 from factloom.operators.resolution import resolve_exact
+from factloom.session import sent_if_small
 
 
 def edges_observed(obs: DataFrame, index: DataFrame) -> DataFrame:
@@ -21,7 +23,7 @@ def edges_relation(rows: DataFrame, vocabulary: DataFrame, index: DataFrame) ->
     of which an end has no entity are unresolved. A citation ``Chapter N`` becomes a position, another one a note.
     """
     ix = index.select("alias_key", "entity_id")
-    both = rows.join(F.broadcast(vocabulary.withColumn("_known", F.lit(True)).withColumnRenamed("relation", "_relation")), F.lower("relation") == F.col("word"), "left")
+    both = rows.join(sent_if_small(vocabulary.withColumn("_known", F.lit(True)).withColumnRenamed("relation", "_relation")), F.lower("relation") == F.col("word"), "left")
     both = both.join(ix.select(F.col("alias_key").alias("_ka"), F.col("entity_id").alias("from_id")), F.lower(F.trim("a")) == F.col("_ka"), "left")
     both = both.join(ix.select(F.col("alias_key").alias("_kb"), F.col("entity_id").alias("to_id")), F.lower(F.trim("b")) == F.col("_kb"), "left")
     position = F.regexp_extract("cite", r"Chapter (\d+)", 1).try_cast("int")
@@ -31,7 +33,7 @@ def edges_relation(rows: DataFrame, vocabulary: DataFrame, index: DataFrame) ->
 
 def edges_relation_facts(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Columns subject, predicate, value and tier: canon with a chapter cited, likely with another source, else speculation."""
-    mapped = rows.join(F.broadcast(vocabulary.withColumnRenamed("relation", "predicate")), F.lower("relation") == F.col("word")).where("predicate is not null")
+    mapped = rows.join(sent_if_small(vocabulary.withColumnRenamed("relation", "predicate")), F.lower("relation") == F.col("word")).where("predicate is not null")
     cite = F.trim(F.coalesce("cite", F.lit("")))
     tier = F.when(cite.rlike(r"Chapter \d+"), "canon").when((cite == "") | F.lower(cite).contains("alleged"), "speculation").otherwise("likely")
     return mapped.select(F.col("a").alias("subject"), "predicate", F.col("b").alias("value"), tier.alias("tier"))
@@ -100,11 +102,16 @@ def edges_cites(posts: DataFrame, stance: DataFrame) -> DataFrame:
     """Columns post_id, to_id and stance: distinct positions cited in posts (post_id, positions, status)."""
     tokens = F.filter(F.split("positions", r"[\s,;]+"), lambda t: t.rlike(r"^\d{1,4}$"))
     rows = posts.select("post_id", "status", F.explode(tokens).alias("_t")).select("post_id", "status", F.col("_t").cast("int").alias("_n")).distinct()
-    return rows.join(F.broadcast(stance), "status", "left").select("post_id", F.concat(F.lit("ch:"), F.col("_n").cast("string")).alias("to_id"), "stance")
+    return rows.join(sent_if_small(stance), "status", "left").select("post_id", F.concat(F.lit("ch:"), F.col("_n").cast("string")).alias("to_id"), "stance")
 
 
-def lookup(edges: DataFrame, side: str, other: str) -> DataFrame:
-    """Columns side, others (sorted) and n: what each end of the edges is tied to."""
+def lookup(edges: DataFrame, side: str, other: str, per: int | None = None) -> DataFrame:
+    """Columns side, others (sorted) and n: what each end of the edges is tied to.
+
+    With ``per``, an end with more others has several rows, told by ``slice``; without it, an end's others are one row.
+    """
+    if per:
+        return sliced_lists(edges, side, other, per).withColumnRenamed("items", "others")
     return edges.groupBy(side).agg(F.sort_array(F.collect_list(other)).alias("others"), F.count(F.lit(1)).alias("n"))
 
 
@@ -130,15 +137,18 @@ def item_dossier(owners: DataFrame, names: DataFrame) -> DataFrame:
     return named.select("item_id", "owner_id", F.coalesce("name", F.col("owner_id").cast("string")).alias("owner"), "current", "holder")
 
 
-def entity_dossier(shards: dict[str, DataFrame], names: DataFrame) -> DataFrame:
+def entity_dossier(shards: dict[str, DataFrame], names: DataFrame, rows_only: bool = False) -> DataFrame:
     """One row for each entity in ``names`` (entity_id, name): for each shard (entity_id, item) its count and sorted items.
 
-    All shards are stacked and grouped once by entity, so that another shard costs no other shuffle.
+    All shards are stacked and grouped once by entity, so that another shard costs no other shuffle. An entity's items
+    are one row; with ``rows_only`` each item is a row (entity_id, name, shard, item), for entities of any size.
     """
     stacked = None
     for shard, df in shards.items():
         rows = df.select("entity_id", F.lit(shard).alias("_shard"), F.col("item").cast("string").alias("_item"))
         stacked = rows if stacked is None else stacked.unionByName(rows)
+    if rows_only:
+        return names.join(stacked, "entity_id").select("entity_id", "name", F.col("_shard").alias("shard"), F.col("_item").alias("item"))
     cells = [x for s in shards for x in (F.count_if(F.col("_shard") == s).alias(f"n_{s}"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("_shard") == s, F.col("_item")))), ",").alias(s))]
     per = stacked.groupBy("entity_id").agg(*cells)
     out = names.join(per, "entity_id", "left")
@@ -269,7 +279,7 @@ def ingest_entries(entries: DataFrame, registry: DataFrame, tiers: tuple[str, ..
     stronger than the source's default is an error, as are unknown types and missing keys.
     """
     rank = lambda c: F.array_position(F.array(*[F.lit(t) for t in tiers]), c)
-    both = entries.join(F.broadcast(registry), "source_type", "left")
+    both = entries.join(sent_if_small(registry), "source_type", "left")
     lacking = F.exists("required", lambda k: F.coalesce(F.trim(F.get(F.map_values(F.map_filter("ref", lambda a, _: a == k)), F.lit(0))), F.lit("")) == "")
     tier = F.coalesce("tier", "default_tier")
     error = F.when(F.col("default_tier").isNull(), "unknown-source").when(lacking, "missing-field").when(rank(tier) < rank(F.col("default_tier")), "tier-too-strong")

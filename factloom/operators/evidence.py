@@ -182,11 +182,17 @@ def evaluate_evidence(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def _mentioning(claims: DataFrame, statements: DataFrame) -> DataFrame:
-    """Each claim with each statement that mentions its name."""
+    """Each claim with each statement that mentions its name, and holds a form of its value or one of its digit groups.
+
+    No rule finds evidence in other statements, so these never leave the JVM.
+    """
     text = statements.withColumn("_text", F.concat_ws(" / ", "question", "answer"))
     named = claims.select("name", F.col("name").alias("form")).distinct()
     met = mentions(named, text, "statement_id", "_text")
-    return met.join(claims, "name").join(statements, "statement_id").select("claim_id", "statement_id", "ordinal", "question", "answer", "name", "value")
+    both = met.join(claims, "name").join(statements, "statement_id")
+    forms = F.concat(value_variants(F.col("value")), F.regexp_extract_all("value", F.lit(r"(\d{2,})"), F.lit(1)))
+    said = F.exists(F.transform(forms, F.lower), lambda v: F.contains(F.lower(F.concat_ws(" / ", "question", "answer")), v))
+    return both.where(said).select("claim_id", "statement_id", "ordinal", "question", "answer", "name", "value")
 
 
 def verify_claims(claims: DataFrame, statements: DataFrame, rules: Rules = Rules(), strict: bool = False) -> DataFrame:
@@ -322,7 +328,7 @@ def search(queries: DataFrame, catalogue: DataFrame, caps: dict[str, int], open_
     seen = F.coalesce(F.col("first") <= F.col("cutoff"), F.col("kind").isin(*open_kinds) & F.col("first").isNull())
     inside = F.contains(F.lower("title"), F.col("_t"))
     if q.limit(small + 1).count() <= small:
-        hits = catalogue.join(F.broadcast(q), inside).where(seen)
+        hits = catalogue.join(F.broadcast(q), inside).where(seen)  # its size is counted
     else:
         part = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))
         title = F.lower("title")

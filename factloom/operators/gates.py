@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators.edges import asof_position
 from factloom.operators.matching import find_forms
+from factloom.session import sent_if_small
 
 
 def derive_reveal(facts: DataFrame, volumes: DataFrame, overrides: DataFrame, debuts: DataFrame) -> DataFrame:
@@ -23,10 +24,10 @@ def derive_reveal(facts: DataFrame, volumes: DataFrame, overrides: DataFrame, de
     kinds = [("_f", "fact_id", F.col("_f").isNotNull()), ("_s", "subject", F.col("_f").isNull() & F.col("_s").isNotNull()), ("_p", "predicate", F.col("_f").isNull() & F.col("_s").isNull() & F.col("_p").isNotNull())]
     met = None
     for name, column, which in kinds:
-        part = facts.join(o.where(which), F.col(column) == F.col(name)).where(fits("_f", "fact_id") & fits("_s", "subject") & fits("_p", "predicate")).select("fact_id", weight.alias("_w"), "ordinal", "_reveal")
+        part = facts.join(sent_if_small(o.where(which)), F.col(column) == F.col(name)).where(fits("_f", "fact_id") & fits("_s", "subject") & fits("_p", "predicate")).select("fact_id", weight.alias("_w"), "ordinal", "_reveal")
         met = part if met is None else met.unionByName(part)
     best = met.groupBy("fact_id").agg(F.min_by("_reveal", F.struct(-F.col("_w"), "ordinal")).alias("_over"))
-    both = facts.join(best, "fact_id", "left").join(volumes.select("volume", "last"), "volume", "left").join(debuts.select("subject", "debut"), "subject", "left")
+    both = facts.join(best, "fact_id", "left").join(sent_if_small(volumes.select("volume", "last")), "volume", "left").join(sent_if_small(debuts.select("subject", "debut")), "subject", "left")
     steps = [("kept", "reveal"), ("override", "_over"), ("first-position", "own"), ("citation", "cited"), ("volume", "last"), ("debut", "debut")]
     reason = F.coalesce(*[F.when(F.col(c).isNotNull(), n) for n, c in steps], F.lit("none"))
     return both.select("fact_id", F.coalesce(*[c for _, c in steps]).alias("reveal"), reason.alias("reason"))

@@ -72,9 +72,24 @@ def headline_stats(**counts: DataFrame) -> DataFrame:
     return out
 
 
-def invert_multivalue(df: DataFrame, key: str, values: Column, name: str = "value") -> DataFrame:
-    """Columns value, keys and n: for each value in an array column, the sorted distinct keys that hold it."""
+def sliced_lists(df: DataFrame, key: str, item: str, per: int) -> DataFrame:
+    """Columns key, slice, items (sorted) and n: the items of each key, those of a key with over ``per`` in several rows.
+
+    Items are dealt to a key's slices by a hash, so that no row, and no task, holds more than about ``per`` of a key.
+    """
+    counts = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias("_slices"))
+    rows = df.join(counts, key).withColumn("slice", F.pmod(F.xxhash64(item), F.greatest("_slices", F.lit(1))).cast("int"))
+    return rows.groupBy(key, "slice").agg(F.sort_array(F.collect_list(item)).alias("items"), F.count(F.lit(1)).alias("n"))
+
+
+def invert_multivalue(df: DataFrame, key: str, values: Column, name: str = "value", per: int | None = None) -> DataFrame:
+    """Columns value, keys and n: for each value in an array column, the sorted distinct keys that hold it.
+
+    With ``per``, a value of more keys has several rows, told by ``slice``; without it, a value's keys are one row.
+    """
     one = df.select(key, F.explode(values).alias(name)).distinct()
+    if per:
+        return sliced_lists(one, name, key, per).withColumnRenamed("items", "keys")
     return one.groupBy(name).agg(F.sort_array(F.collect_list(key)).alias("keys"), F.count(F.lit(1)).alias("n"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import equivalent
+from factloom.functions.text import INVISIBLE, equivalent
+from factloom.session import sent_if_small
 
 
 def find_conflicts(facts: DataFrame, multi_valued: tuple[str, ...] = ()) -> DataFrame:
@@ -26,10 +27,15 @@ def record_conflicts(records: DataFrame, facts: DataFrame) -> DataFrame:
     return both.where(~equivalent(F.col("value"), F.col("verified"))).select("subject", "predicate", F.col("value").alias("recorded"), "verified")
 
 
-def classify_conflicts(conflicts: DataFrame) -> DataFrame:
-    """Columns shard, kind, class, n and entities of conflicts (shard, kind, entity, name, delta)."""
+def classify_conflicts(conflicts: DataFrame, labels: tuple[str, str, str, str], count_gap: int, position_gap: int) -> DataFrame:
+    """Columns shard, kind, class, n and entities of conflicts (shard, kind, entity, name, delta).
+
+    ``labels`` are the classes in the order they are asked: a name with invisible characters; counts over ``count_gap``, or
+    positions over ``position_gap``, apart; smaller differences of these; other values.
+    """
     d = F.abs("delta")
-    kind = F.when(F.col("name").rlike("[\\u200B-\\u200F\\u2060\\uFEFF]"), "lrm-duplicate").when((F.col("kind") == "count") & (d > 10) | (F.col("kind") == "position") & (d > 30), "alias-collapse").when(F.col("kind").isin("count", "position"), "small-drift").otherwise("value-mismatch")
+    unseen, wide, narrow, other = labels
+    kind = F.when(F.col("name").rlike(INVISIBLE), unseen).when((F.col("kind") == "count") & (d > count_gap) | (F.col("kind") == "position") & (d > position_gap), wide).when(F.col("kind").isin("count", "position"), narrow).otherwise(other)
     return conflicts.groupBy("shard", "kind", kind.alias("class")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("entities"))
 
 
@@ -98,5 +104,5 @@ def stamp_age(docs: DataFrame, key: str, text: str, today: Column, oldest: int)
 def claim_drift(docs: DataFrame, key: str, text: str, patterns: dict[str, str], stats: DataFrame, tolerance: float) -> DataFrame:
     """Columns key, stat, claimed, live: numbers claimed in texts (stat -> pattern) beyond a tolerance of the live ones (stat, live)."""
     found = F.array(*[F.struct(F.lit(s).alias("stat"), F.replace(F.regexp_extract(F.col(text), p, 1), F.lit(","), F.lit("")).try_cast("long").alias("claimed")) for s, p in patterns.items()])
-    rows = docs.select(key, F.inline(found)).where("claimed is not null").join(F.broadcast(stats), "stat")
+    rows = docs.select(key, F.inline(found)).where("claimed is not null").join(sent_if_small(stats), "stat")
     return rows.where(F.abs(F.col("claimed") - F.col("live")) > F.col("live") * tolerance).select(key, "stat", "claimed", "live")

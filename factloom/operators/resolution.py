@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import name_variants, normalise_key, strip_invisible
+from factloom.session import sent_if_small
 
 
 def numbered(df: DataFrame, order: str, start: int | F.Column, into: str, buckets: int = 1024) -> DataFrame:
@@ -39,7 +40,7 @@ def assign_ids(records: DataFrame, registry: DataFrame, prefix: str) -> DataFram
     marked = records.withColumn("_c", clean).join(keys, F.col("_c") == F.col("_clean"), "left")
     wanted = F.col("id").isNull() & ((F.col("name") == F.col("_c")) | F.col("_clean").isNull())
     next_id = registry.where(F.col("prefix") == prefix).select(F.col("next").alias("_next"))
-    new = numbered(marked.where(wanted).select("name", "ordinal").crossJoin(F.broadcast(next_id)), "ordinal", F.col("_next"), "_n")
+    new = numbered(marked.where(wanted).select("name", "ordinal").crossJoin(sent_if_small(next_id)), "ordinal", F.col("_next"), "_n")
     new = new.select("name", "ordinal", F.concat(F.lit(prefix + ":"), F.lpad(F.col("_n").cast("string"), 5, "0")).alias("id"))
     return new.unionByName(marked.where(~wanted).select("name", "ordinal", "id"))
 
@@ -52,15 +53,29 @@ def assign_ordinals(df: DataFrame, number: str, order: str, sort: str) -> DataFr
     return fresh.select(*df.columns).unionByName(df.where(F.col(number).isNotNull()))
 
 
+def _rank_within(df: DataFrame, key: str, order: str, into: str, buckets: int = 1024) -> DataFrame:
+    """Rows numbered from 1 within a key in the order of an integer column, a hot key by ranges of the order's span."""
+    ends = df.agg(F.min(order).alias("_low"), F.max(order).alias("_high")).select("_low", F.expr(f"greatest(1, (_high - _low) div {buckets} + 1)").alias("_width"))
+    rows = df.crossJoin(F.broadcast(ends)).withColumn("_range", F.expr(f"cast(({order} - _low) div _width as int)")).drop("_low", "_width")  # one row
+    counts = rows.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(key, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    number = F.row_number().over(Window.partitionBy(key, "_range").orderBy(order))
+    return rows.withColumn("_k", number).join(starts, [key, "_range"]).withColumn(into, F.col("_start") + F.col("_k")).drop("_range", "_start", "_k")
+
+
 def unique_slugs(df: DataFrame, taken: DataFrame) -> DataFrame:
     """Columns slug and ordinal of rows (base, ordinal): the base itself, or the first free of base-2, base-3 and so on.
 
-    ``taken`` (slug) counts as used. Rows meet by the base without its number, so that natural numbered names are
-    seen; a group is then as large as its names are many, and its names are given in source order.
+    ``taken`` (slug) counts as used. Rows meet by the base without its number, so that natural numbered names are seen.
+    A stem with one base and nothing taken has no conflict: its rows are numbered, in ranges where they are many. Only
+    the stems that have one are given out in source order, each as a group.
     """
     stem = lambda c: F.regexp_replace(c, r"-\d+$", "")
-    rows = df.select(stem("base").alias("_stem"), "base", "ordinal", F.lit(False).alias("_used"))
-    used = taken.select(stem("slug").alias("_stem"), F.col("slug").alias("base"), F.lit(None).cast("long").alias("ordinal"), F.lit(True).alias("_used"))
+    rows = df.select(stem("base").alias("_stem"), "base", "ordinal")
+    used = taken.select(stem("slug").alias("_stem"), F.col("slug").alias("base")).distinct()
+    bases = rows.groupBy("_stem").agg((F.min("base") != F.max("base")).alias("_several")).join(used.select("_stem", F.lit(True).alias("_taken")).distinct(), "_stem", "left")
+    hard = bases.where(F.col("_several") | F.col("_taken").isNotNull()).select("_stem")
 
     def give(group: pd.DataFrame) -> pd.DataFrame:
         names, next_free, out = set(group.loc[group["_used"], "base"]), {}, []
@@ -73,7 +88,10 @@ def unique_slugs(df: DataFrame, taken: DataFrame) -> DataFrame:
             out.append((slug, int(ordinal)))
         return pd.DataFrame(out, columns=["slug", "ordinal"])
 
-    return rows.unionByName(used).groupBy("_stem").applyInPandas(give, "slug string, ordinal long")
+    plain = _rank_within(rows.join(hard, "_stem", "left_anti"), "base", "ordinal", "_n")
+    plain = plain.select(F.when(F.col("_n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("_n").cast("string"))).alias("slug"), F.col("ordinal").cast("long").alias("ordinal"))
+    group = rows.withColumn("_used", F.lit(False)).unionByName(used.select("_stem", "base", F.lit(None).cast("long").alias("ordinal"), F.lit(True).alias("_used")))
+    return plain.unionByName(group.join(hard, "_stem", "left_semi").groupBy("_stem").applyInPandas(give, "slug string, ordinal long"))
 
 
 def natural_keys(df: DataFrame, position: str, volume: str, item: str) -> DataFrame:
@@ -279,7 +297,7 @@ def validate_identities(records: DataFrame, registry: DataFrame, allowed: DataFr
     """
     number = F.regexp_extract("id", r":(\d+)$", 1).try_cast("long")
     counter = registry.select(F.col("prefix").alias("_p"), "next")
-    base = records.join(F.broadcast(counter), F.split_part(F.col("id"), F.lit(":"), F.lit(1)) == F.col("_p"), "left")
+    base = records.join(sent_if_small(counter), F.split_part(F.col("id"), F.lit(":"), F.lit(1)) == F.col("_p"), "left")
     row = lambda check, severity, cond: base.where(cond).agg(F.count(F.lit(1)).alias("n")).select(F.lit(check).alias("check"), F.lit(severity).alias("severity"), "n")
     missing = F.coalesce(F.col("name"), F.lit("")) == ""
     found = row("missing-field", "error", missing | F.col("id").isNull() | F.col("slug").isNull())

@@ -130,6 +130,14 @@ def lookup(spark, sf_dir):
     return e.lookup(c, "from_id", "to_id").withColumn("others", F.array_join(F.col("others").cast("array<string>"), ","))
 
 
+@query("e12_lookup_slices", "SELECT c_nationkey AS from_id, array_to_string(list(c_custkey ORDER BY c_custkey), ',') AS others, count(*) AS n FROM customer GROUP BY 1")
+def sliced_lookup(spark, sf_dir):
+    """Slices put together again: they hold each end's others once."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("from_id"), F.col("c_custkey").alias("to_id"))
+    per = e.lookup(c, "from_id", "to_id", per=20).groupBy("from_id").agg(F.array_sort(F.flatten(F.collect_list("others"))).alias("others"), F.sum("n").alias("n"))
+    return per.select("from_id", F.array_join(F.col("others").cast("array<string>"), ",").alias("others"), "n")
+
+
 @query("e13_both_directions", "SELECT s_suppkey AS id, CAST(s_nationkey AS BIGINT) AS other, 'located' AS relation FROM supplier UNION ALL SELECT s_nationkey, s_suppkey, 'located' FROM supplier")
 def both(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
@@ -144,6 +152,14 @@ def dossier(spark, sf_dir):
     return e.entity_dossier({"orders": shard(o, "o_orderkey"), "pending": shard(o.where("o_orderstatus = 'P'"), "o_orderpriority")}, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name")))
 
 
+@query("e14_dossier_rows", """SELECT c_custkey AS entity_id, c_name AS name, 'orders' AS shard, CAST(o_orderkey AS VARCHAR) AS item FROM customer JOIN orders ON o_custkey = c_custkey
+  UNION ALL SELECT c_custkey, c_name, 'pending', o_orderpriority FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'P'""")
+def dossier_rows(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    shard = lambda df, item: df.select(F.col("o_custkey").alias("entity_id"), F.col(item).alias("item"))
+    return e.entity_dossier({"orders": shard(o, "o_orderkey"), "pending": shard(o.where("o_orderstatus = 'P'"), "o_orderpriority")}, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name")), rows_only=True)
+
+
 @query("e15_group_dossier", "SELECT c_nationkey AS group_id, array_to_string(list_sort(list(DISTINCT CASE WHEN c_custkey % 9 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE c_name END)), '|') AS members, count(*) FILTER (c_acctbal > 0) AS current, count(*) FILTER (c_acctbal <= 0) AS former FROM customer GROUP BY 1")
 def groups(spark, sf_dir):
     c = table(spark, sf_dir, "customer")

@@ -198,12 +198,12 @@ def record_conflicts(spark, sf_dir):
 
 
 @query("f13_classify_conflicts", """WITH c AS (SELECT l_returnflag AS shard, CASE l_linenumber % 3 WHEN 0 THEN 'count' WHEN 1 THEN 'position' ELSE 'value' END AS kind, l_partkey AS entity, CAST(l_quantity AS INTEGER) - 20 AS delta, l_suppkey FROM lineitem)
-  SELECT shard, kind, CASE WHEN l_suppkey = 7 THEN 'lrm-duplicate' WHEN kind = 'count' AND abs(delta) > 10 OR kind = 'position' AND abs(delta) > 25 + 5 THEN 'alias-collapse' WHEN kind <> 'value' THEN 'small-drift' ELSE 'value-mismatch' END AS class, count(*) AS n, count(DISTINCT entity) AS entities FROM c GROUP BY 1, 2, 3""")
+  SELECT shard, kind, CASE WHEN l_suppkey = 7 THEN 'unseen' WHEN kind = 'count' AND abs(delta) > 10 OR kind = 'position' AND abs(delta) > 25 + 5 THEN 'wide' WHEN kind <> 'value' THEN 'narrow' ELSE 'other' END AS class, count(*) AS n, count(DISTINCT entity) AS entities FROM c GROUP BY 1, 2, 3""")
 def classify(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
     n = F.col("l_linenumber") % 3
     c = l.select(F.col("l_returnflag").alias("shard"), F.when(n == 0, "count").when(n == 1, "position").otherwise("value").alias("kind"), F.col("l_partkey").alias("entity"), (F.col("l_quantity").cast("int") - 20).alias("delta"), F.when(F.col("l_suppkey") == 7, "a‎").otherwise("a").alias("name"))
-    return r.classify_conflicts(c)
+    return r.classify_conflicts(c, ("unseen", "wide", "narrow", "other"), 10, 30)
 
 
 @query("f14_first_position_disagreement", """WITH f AS (SELECT o_custkey AS subject, min(day(o_orderdate)) AS fact, max(month(o_orderdate)) AS record FROM orders GROUP BY 1)

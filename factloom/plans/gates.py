@@ -21,8 +21,9 @@ def reveal(spark, sf_dir):
     k = F.col("p_partkey")
     over = table(spark, sf_dir, "part").where(k % 50 == 0).select(F.lit(None).cast("long").alias("fact_id"), (k % 200).cast("int").alias("subject"), F.when(k % 2 == 0, "R").alias("predicate"), F.col("p_size").alias("reveal"), k.alias("ordinal"))
     over = over.union(spark.createDataFrame([(None, None, "N", 99, 100000000)], over.schema))
-    small = spark.range(100).select(F.col("id").cast("int").alias("i"))
-    return g.derive_reveal(facts, small.where("i < 20").select(F.col("i").alias("volume"), (F.col("i") * 10).alias("last")), over, small.select(F.col("i").alias("subject"), F.col("i").alias("debut")))
+    of = lambda column, n, most: table(spark, sf_dir, "lineitem").select((F.col(column) % n).cast("int").alias("i")).distinct().where(F.col("i") < most)
+    volumes, subjects = of("l_suppkey", 40, 20), of("l_partkey", 200, 100)
+    return g.derive_reveal(facts, volumes.select(F.col("i").alias("volume"), (F.col("i") * 10).alias("last")), over, subjects.select(F.col("i").alias("subject"), F.col("i").alias("debut")))
 
 
 @query("g2_derive_gates", """SELECT p_partkey AS entry_id, CASE p_partkey % 4 WHEN 0 THEN least(p_size, 20) WHEN 1 THEN CAST(p_size AS INTEGER) WHEN 2 THEN CASE WHEN s_suppkey IS NOT NULL THEN s_nationkey END END AS gate,

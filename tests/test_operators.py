@@ -160,3 +160,37 @@ def test_links_take_the_longest_form(spark):
     names = spark.createDataFrame([("blue",), ("blue ring",), ("an",)], "form string")
     got = {r["k"]: r["text"] for r in evidence.linkify(docs, "k", "text", names).collect()}
     assert got == {1: "[[Blue Ring]] and [[blue]] sea, bluering", 2: None, 3: "none"}
+
+
+def test_forms_of_any_length(spark):
+    long = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, f"Well, {long.upper()}; eight"), (2, "one two three four five six"), (3, None), (4, "Émile-Zola street")], "k long, text string")
+    names = spark.createDataFrame([("L", long), ("Z", "émile zola"), ("none", "..."), ("S", "street")], "name string, form string")
+    assert sorted((r["name"], r["k"]) for r in evidence.mentions(names, docs, "k", "text").collect()) == [("L", 1), ("S", 4), ("Z", 4)]
+    assert evidence.mentions(names.where("name = 'none'"), docs, "k", "text").count() == 0
+    entries = spark.createDataFrame([(1, f"of {long}", 3)], "entry_id long, text string, gate int")
+    assert gates.visible_at(entries, 5, spark.createDataFrame([(long, 9)], "term string, ch int"), 100).count() == 0
+
+
+def test_brackets_alone_are_no_value(spark):
+    rows = spark.createDataFrame([("(x)", "(y)"), ("(x)", "(X)"), ("", ""), (None, "a"), ("a (x)", "A (y)"), ("1 (x)", "2 (y)")], "a string, b string")
+    assert [r["s"] for r in rows.select(t.equivalent(F.col("a"), F.col("b")).alias("s")).collect()] == [False, True, True, False, True, False]
+
+
+def test_first_of_repeated_keys_and_equal_numbers(spark):
+    a = spark.createDataFrame([(1, "2", 0), (1, "1", 1), (2, "x", 0), (None, "9", 0)], "k long, v string, n int")
+    b = spark.createDataFrame([(1, "2.0", 0), (2, "x.0", 0), (None, "9.00", 0)], "k long, v string, n int")
+    assert [(r["k"], r["field"], r["old"], r["new"]) for r in edges.diff_tables(a, b, "k", ["v"], "n").collect()] == [(2, "v", "x", "x.0")]
+
+
+def test_plain_slugs_are_numbered(spark):
+    base = spark.createDataFrame([("unknown", i * 7) for i in range(50)] + [("y", 3)], "base string, ordinal long")
+    got = {r["ordinal"]: r["slug"] for r in resolution.unique_slugs(base, spark.createDataFrame([], "slug string")).collect()}
+    assert got[0] == "unknown" and got[7] == "unknown-2" and got[49 * 7] == "unknown-50" and got[3] == "y"
+
+
+def test_repeated_events_and_groups_of_positions(spark):
+    events = spark.createDataFrame([("a", 5), ("a", 5), ("b", 5), ("a", None)], "g string, key long")
+    mapping = spark.createDataFrame([("a", 9, [1, 4]), ("b", 2, [8])], "g string, key long, positions array<int>")
+    got = sorted((r["g"], r["key"], r["position"], r["how"]) for r in edges.asof_position(events, mapping, ("g",)).collect())
+    assert got == [("a", 5, 4, "filler"), ("a", 5, 4, "filler"), ("b", 5, 8, "filler")]
