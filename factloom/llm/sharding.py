@@ -9,9 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import ensure_checkpoint_dir
+
 #: Multiplier of the 64-bit linear congruential generator in the published algorithm (Lamping and Veach, 2014).
 LCG = 2862933555777941757
 LOW32 = 0xFFFFFFFF
+#: Copies of one row that a task lays out at once.
+RUN = 1 << 16
 
 
 def _next(hi: Column, lo: Column) -> tuple[Column, Column]:
@@ -55,13 +59,16 @@ def jump_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: st
     Returns key, size (UTF-8 bytes of the text plus 8; a null text has none), text_crc32 (unsigned, a null text as
     empty), law ("key"), shard, slot (gapless from 0 in each shard) and grown_shard.
 
-    Slots come from two levels: each shard is cut into ``buckets`` parts by a checksum of key and text, rows are
-    numbered inside a part, and a part starts where those before it end. So no task holds a shard; the table of
-    parts has at most ``shards * buckets`` rows, which bounds what is broadcast.
+    Equal rows (key, size, checksum) are one row with their number until the end, so that copies cost no more than one.
+    Slots come from two levels: each shard is cut into ``buckets`` parts by a checksum of key and text, the copies
+    before a row are added up inside a part, and a part starts where those before it end. So no task holds a shard; the
+    table of parts has at most ``shards * buckets`` rows, which bounds what is broadcast. Copies are laid out in runs
+    of at most ``RUN``, dealt over tasks. Texts are read once; what is kept of them goes to the checkpoint folder.
 
     Null keys count as key 0; null and empty texts have size 8 and checksum 0. Repeated rows each get a slot of
     their own. Other columns are not read, so that their names cannot clash. An empty table gives no rows.
     """
+    ensure_checkpoint_dir(docs.sparkSession)
     text_bytes = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     jump = jump_hash(F.col(key), shards)
     rows = docs.select(
@@ -77,18 +84,22 @@ def jump_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: st
         F.when(F.col("_jump.j") == shards, F.lit(shards)).otherwise(F.col("_jump.b")).cast("int").alias("_grown"),
         F.pmod(F.crc32(F.concat_ws(":", F.col("_key").cast("string"), F.col("_crc").cast("string")).cast("binary")), F.lit(buckets)).cast("int").alias("_part"),
     )
-    rows = rows.repartition("_shard", "_part")
-    parts = rows.groupBy("_shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = "sum(_n) over (partition by _shard order by _part rows between unbounded preceding and 1 preceding)"
+    groups = rows.groupBy("_shard", "_part", "_key", "_size", "_crc", "_grown").agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    parts = groups.groupBy("_shard", "_part").agg(F.sum("_n").alias("_all"))
+    before = "sum(_all) over (partition by _shard order by _part rows between unbounded preceding and 1 preceding)"
     parts = parts.select("_shard", "_part", F.coalesce(F.expr(before), F.lit(0)).alias("_start"))
-    number = "row_number() over (partition by _shard, _part order by _key, _size, _crc)"
-    numbered = rows.withColumn("_number", F.expr(number))
-    return numbered.join(F.broadcast(parts), ["_shard", "_part"]).select(
+    inside = "sum(_n) over (partition by _shard, _part order by _key, _size, _crc rows between unbounded preceding and 1 preceding)"
+    placed = groups.withColumn("_at", F.coalesce(F.expr(inside), F.lit(0))).join(F.broadcast(parts), ["_shard", "_part"]).withColumn("_at", F.col("_start") + F.col("_at"))
+    many = placed.where(F.col("_n") > RUN).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(RUN).cast("long"))))
+    many = many.select("*", (F.col("_at") + F.col("_run")).alias("_from"), F.least(F.lit(RUN).cast("long"), F.col("_n") - F.col("_run")).alias("_some")).repartition("_key", "_crc", "_run")
+    few = placed.where(F.col("_n") <= RUN).select("*", F.col("_at").alias("_from"), F.col("_n").alias("_some"))
+    out = [
         F.col("_key").alias(key),
         F.col("_size").alias("size"),
         F.col("_crc").alias("text_crc32"),
         F.lit("key").alias("law"),
         F.col("_shard").alias("shard"),
-        (F.col("_start") + F.col("_number") - 1).cast("long").alias("slot"),
+        F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("_some") - 1)).alias("slot"),
         F.col("_grown").alias("grown_shard"),
-    )
+    ]
+    return few.select(*out).unionAll(many.select(*out))

@@ -118,9 +118,9 @@ def fit(texts: list[str], labels: list[int], ordinary_size: int = 8192, toxic_si
 
     The toxic dictionary is trained on toxic texts' terms that at least ``least`` of them hold, and that are
     ``ratio`` times as frequent there as in ordinary texts; the other one on the ordinary texts' terms that are not of
-    these. Without both labels the score is the share of label 1.
+    these. Without both labels the score is about the share of label 1, and near 0 without any.
     """
-    share = (sum(labels) + 0.5) / (len(labels) + 1)
+    share = (sum(labels) + 0.01) / (len(labels) + 1)
     empty = Model(b"\0" * 8, b"\0" * 8, {}, [float(np.log(share / (1 - share)))] + [0.0] * (FEATURES - 1))
     if len(set(labels)) < 2:
         return empty

@@ -63,6 +63,15 @@ def test_shards_and_slots(docs, none):
     assert sharding.jump_shards(none).count() == 0
 
 
+def test_many_copies_of_one_row_have_slots_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 10)
+    docs = spark.range(503).select(F.lit(7).cast("long").alias("doc_id"), F.lit("copy").alias("text")).union(spark.range(60).select("id", F.lit("other")))
+    rows = sharding.jump_shards(docs, shards=3, buckets=2).collect()
+    assert len(rows) == 563
+    for shard in {r["shard"] for r in rows}:
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
+
+
 # --- byte-level BPE ------------------------------------------------------------------------------------------
 
 
@@ -593,26 +602,3 @@ def test_similar_documents_deals_large_keys(spark):
                     met[pair] = met.get(pair, 0) + 1
     assert set(met.values()) == {1}
     assert set(met) == {(k, a, b) for k, a, ca in rows for k2, b, cb in rows if k == k2 and a < b and ca != cb}
-
-
-# --- pipeline ------------------------------------------------------------------------------------------------
-
-
-def test_pipeline_stages(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    folder = "/root/testdata/sf0.001"
-    source = spark.read.parquet(f"{folder}/documents.parquet")
-    docs, seen = source, []
-    for name, stage in corpus_pipeline.STAGES[:4]:
-        kept = stage(spark, docs, folder)
-        assert kept.columns == source.columns
-        rows = kept.toPandas()
-        assert set(rows["doc_id"]) <= set(docs.toPandas()["doc_id"]) and rows["doc_id"].is_unique
-        seen.append((name, len(rows)))
-        docs = spark.createDataFrame(rows, source.schema)
-    counts = [n for _, n in seen]
-    assert counts == sorted(counts, reverse=True) and counts[2] < source.count() and counts[3] == counts[2]
-    assert not [t for t in rows["text"] if base_spans(t)]
-    assert all(len(t) == n for t, n in zip(rows["text"], rows["n_chars"]))
-    pieces = corpus_pipeline.pack_sequences(spark, docs, folder).collect()
-    assert {r["doc_id"] for r in pieces} == set(rows["doc_id"])
