@@ -25,6 +25,8 @@ from factloom.llm.labelled import scored
 SAMPLE, WINDOW, STEMS = 2500, 96, (3, 4, 5, 7)
 WORD = re.compile(r"[^\W\d_]+")
 CACHE, FEATURES = 300_000, 5
+#: Score from which on a text counts as toxic.
+BAR = 0.3
 #: Bytes of code windows that the trainer takes for a dictionary, a few hundred times its size; slots for counting terms.
 TRAINED, SLOTS = 4 << 20, 1 << 22
 
@@ -38,8 +40,19 @@ def code(term: str) -> bytes:
     return hashlib.blake2b(term.encode(), digest_size=8).digest()
 
 
-def _slot(term: str) -> int:
-    return int.from_bytes(code(term)[:4], "little") % SLOTS
+class Codes:
+    """Codes of terms and their slots for counting, those met lately at hand."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[bytes, int]] = {}
+
+    def __call__(self, term: str) -> tuple[bytes, int]:
+        if (found := self.known.get(term)) is None:
+            if len(self.known) > CACHE:
+                self.known.clear()
+            c = code(term)
+            found = self.known[term] = c, int.from_bytes(c[:4], "little") % SLOTS
+        return found
 
 
 def _windows(codes: bytes) -> list[bytes]:
@@ -126,20 +139,22 @@ def fit(texts: list[str], labels: list[int], ordinary_size: int = 8192, toxic_si
         return empty
     words = lambda i: map(str.lower, WORD.findall(texts[i]))
     odd = [i for label in (0, 1) for i in [i for i, y in enumerate(labels) if y == label][::2]]
-    n = [1, 1]
+    n, at = [1, 1], Codes()
     in_toxic, in_ordinary = Counter(), Counter()  # ordinary documents' counts of the terms that toxic ones hold
-    common = np.zeros(SLOTS, dtype="i4")  # of all terms in ordinary ones, by slots of a hash
-    for label, count in ((1, in_toxic), (0, in_ordinary)):
-        for i in odd:
-            if labels[i] == label:
-                found = {t for w in set(words(i)) for t in terms(w)}
-                n[label] += 1
-                if label:
-                    count.update(found)
-                else:
-                    count.update(found & in_toxic.keys())
-                    np.add.at(common, np.fromiter(map(_slot, found), dtype="i8", count=len(found)), 1)
+    common = np.zeros(SLOTS, dtype="i4")  # ordinary documents that hold a term, by slots of its code
+    held = lambda i: {t for w in set(words(i)) for t in terms(w)}
+    for i in odd:
+        if labels[i]:
+            in_toxic.update(held(i))
+            n[1] += 1
+    for i in odd:
+        if not labels[i]:
+            found = held(i)
+            in_ordinary.update(found & in_toxic.keys())
+            common[np.unique(np.fromiter((at(t)[1] for t in found), dtype="i8", count=len(found)))] += 1
+            n[0] += 1
     marked = {t for t, c in in_toxic.items() if c >= least and c / n[1] >= ratio * (in_ordinary[t] + 0.5) / n[0]}
+    usual = lambda t: t not in marked and common[at(t)[1]] >= least
 
     def parts(label: int, keep) -> list[bytes]:
         """Code windows of one label's odd rows, those with the smallest hashes where they exceed what the trainer takes."""
@@ -149,7 +164,7 @@ def fit(texts: list[str], labels: list[int], ordinary_size: int = 8192, toxic_si
             if (c := known.get(word)) is None:
                 if len(known) > CACHE:
                     known.clear()
-                c = known[word] = b"".join(code(t) for t in terms(word) if keep(t))
+                c = known[word] = b"".join(at(t)[0] for t in terms(word) if keep(t))
             return c
 
         for i in odd:
@@ -159,11 +174,10 @@ def fit(texts: list[str], labels: list[int], ordinary_size: int = 8192, toxic_si
         out.sort(key=lambda x: hashlib.blake2b(x, digest_size=8).digest())
         return out[: TRAINED // (8 * WINDOW)]
 
-    ordinary = _dictionary(parts(0, lambda t: t not in marked and common[_slot(t)] >= least), ordinary_size)
-    toxic = _dictionary(parts(1, marked.__contains__), toxic_size)
-    seen = {t for i in odd for w in set(words(i)) for t in terms(w) if t in marked or common[_slot(t)] >= least}
-    codes = {t: code(t) for t in seen}
-    inside = {t for t, c in codes.items() if c in ordinary or c in toxic}
+    ordinary, toxic = _dictionary(parts(0, usual), ordinary_size), _dictionary(parts(1, marked.__contains__), toxic_size)
+    content = {d[k : k + 8] for d in (ordinary, toxic) for k in range(len(d) - 7)}
+    codes = {t: at(t)[0] for i in odd for t in held(i) if at(t)[0] in content}
+    inside = {t for t in codes if t in marked or usual(t)}
     model = Model(ordinary, toxic, {t: codes[t] for t in sorted(inside)})
     features, rest = model.scorer(), sorted(set(range(len(texts))) - set(odd))
     x, y = np.array([features(texts[i]) for i in rest]), np.array([labels[i] for i in rest], dtype=float)
@@ -183,7 +197,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
     return w
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",), into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+def score(docs: DataFrame, model: Model, threshold: float = BAR, keep: tuple[str, ...] = ("doc_id",), into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """The columns in ``keep``, score (0 to 1, higher: more toxic) and predicted (1 from ``threshold`` on), of whole texts.
 
     Null and empty texts have no window, and get the score of one that nothing shortens. What is kept stays as it is, null doc_ids too; the names in ``into`` must not be kept ones;
