@@ -30,8 +30,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CLASSES, LENGTHS = 4, (20, 28, 40)
 #: Documents that ordinary words are taken from, about; random strings and identifiers made for each form.
 SAMPLE_DOCS, SAMPLE_MADE = 2000, 3000
-#: Share of held-out ordinary identifiers that a bar leaves alone.
-SPARED = 0.997
+#: Share of held-out random strings that a bar may leave out, and of held-out ordinary identifiers that it has to leave alone.
+MISSED, SPARED = 0.02, 0.997
 
 #: Words that identifiers are made of.
 WORDS = """access account action active address agent alias align allow amount append apply archive array assert attribute
@@ -117,18 +117,21 @@ def labelled_samples(docs: DataFrame, docs_bound: int = SAMPLE_DOCS, made: int =
 
     def written(words: Column, number: Column) -> Column:
         """The ways that three words are written as one name."""
-        low, up, camel = F.transform(words, F.lower), F.transform(words, F.upper), F.array_join(F.transform(words, F.initcap), "")
+        low, up, camel_words = F.transform(words, F.lower), F.transform(words, F.upper), F.transform(words, F.initcap)
+        camel = F.array_join(camel_words, "")
         one, joined = number.cast("string"), lambda w, sep: F.array_join(w, sep)
         return F.array(
             joined(low, "_"), joined(low, "-"), joined(low, "/"), joined(low, ""), F.concat(joined(low, "_"), F.lit("_"), one), F.concat(joined(low, "-"), F.lit("-v"), one),
             joined(up, "_"), F.concat(joined(up, "_"), F.lit("_"), one), joined(up, ""), F.concat(joined(up, "-"), one),
+            F.concat(joined(low, "_"), F.lit("="), joined(low, "_")), F.concat(joined(low, "_"), F.lit("="), joined(up, "_")), F.concat(F.lit("/"), joined(low, "/")), F.concat(F.lit("_"), joined(up, "__")), F.concat(F.lit("_"), camel),
+            F.concat(F.get(camel_words, F.lit(0)), F.lit("/"), F.get(camel_words, F.lit(1)), F.lit("_"), F.get(low, F.lit(2))), F.concat(F.get(up, F.lit(0)), F.get(camel_words, F.lit(1)), F.get(camel_words, F.lit(2))), 
             camel, F.concat(F.lower(F.substring(camel, 1, 1)), F.substring(camel, 2, 99)), F.concat(camel, one), F.concat(camel, F.lit("/"), joined(low, "_")), F.concat(joined(low, "/"), F.lit("/"), camel),
         )
 
     listed = F.split(F.lit(" ".join(WORDS)), " ")
     pick = lambda k: F.get(listed, n(k) % len(WORDS))
     named = spark.range(made).select("id", F.explode(written(F.array(pick(7), pick(8), pick(9)), n(10) % 2100)).alias("token"))
-    padded = F.array(F.lpad(n(11).cast("string"), 20, "0"), F.lpad(n(12).cast("string"), 32, "0"), F.date_format(F.timestamp_seconds(n(13).cast("long") * 1500), "yyyyMMddHHmmssyyyyMMdd"), F.date_format(F.timestamp_seconds(n(14).cast("long") * 1500), "yyyy-MM-dd-HH-mm-ss"), F.concat_ws("-", n(15) % 100, n(16) % 100, n(17) % 1000, F.lit("00000000000")), F.repeat((n(18) % 10).cast("string"), 24))
+    padded = F.array(F.lpad(n(11).cast("string"), 20, "0"), F.lpad(n(12).cast("string"), 32, "0"), F.date_format(F.timestamp_seconds(n(13).cast("long") * 1500), "yyyyMMddHHmmssyyyyMMdd"), F.date_format(F.timestamp_seconds(n(14).cast("long") * 1500), "yyyy-MM-dd-HH-mm-ss"), F.concat_ws("-", n(15) % 100, n(16) % 100, n(17) % 1000, F.lit("00000000000")), F.repeat((n(18) % 10).cast("string"), 24), F.repeat(F.get(F.split(F.lit("- = _ / + x"), " "), n(19) % 6), F.lit(20) + n(20) % 40))
     numbers = spark.range(made).select("id", F.explode(padded).alias("token"))
     share = min(1.0, docs_bound / max(1, docs.count()))
     few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
@@ -149,10 +152,11 @@ def _length_class(token: Column) -> Column:
     return F.coalesce(*[F.when(F.length(token) >= LENGTHS[i], i) for i in range(len(LENGTHS) - 1, -1, -1)], F.lit(0))
 
 
-def train_markov(samples: DataFrame, alphabet: str = ALPHABET, smoothing: float = 0.5, spared: float = SPARED) -> Model:
+def train_markov(samples: DataFrame, alphabet: str = ALPHABET, smoothing: float = 0.5, missed: float = MISSED, spared: float = SPARED) -> Model:
     """A model from labelled samples (token, label, n): trained where n isn't 0, its bars set where n is 0.
 
-    A bar leaves the share ``spared`` of the ordinary held-out tokens of its class and length below it. At most
+    A bar leaves the share ``missed`` of the random held-out tokens of its class and length below it, and at least the share
+    ``spared`` of the ordinary ones: where both are far apart, what lies between is left alone. At most
     2 * CLASSES * len(alphabet)^2 counts come to the driver. Classes without samples get even weights, and no token of theirs
     passes; neither does one below a ratio of 0.
     """
@@ -166,9 +170,11 @@ def train_markov(samples: DataFrame, alphabet: str = ALPHABET, smoothing: float
     logs = [[log(x / sum(line)) for table in label for line in table for x in line] for label in counts]
     weights = tuple(round(r - o, 4) for r, o in zip(logs[1], logs[0]))
     open_ = Model(weights, ((0.0,) * len(LENGTHS),) * CLASSES, alphabet)
-    held = samples.where((F.col("n") == 0) & (F.col("label") == 0) & (F.length("token") >= SHORTEST))
-    ratio = held.select(kind.alias("kind"), _length_class(F.col("token")).alias("size"), markov_ratio(F.col("token"), open_).alias("ratio"))
-    bars = {(r["kind"], r["size"]): r["bar"] for r in ratio.groupBy("kind", "size").agg(F.percentile("ratio", spared).alias("bar")).collect()}
+    held = samples.where((F.col("n") == 0) & (F.length("token") >= SHORTEST))
+    ratio = held.select("label", kind.alias("kind"), _length_class(F.col("token")).alias("size"), markov_ratio(F.col("token"), open_).alias("ratio"))
+    at = lambda label, share: F.percentile(F.when(F.col("label") == label, F.col("ratio")), share)
+    found = ratio.groupBy("kind", "size").agg(F.greatest(at(1, missed), at(0, spared)).alias("bar")).where("bar is not null")
+    bars = {(r["kind"], r["size"]): r["bar"] for r in found.collect()}
     widest = {k: max((v for (c, _), v in bars.items() if c == k), default=float("inf")) for k in range(CLASSES)}
     return Model(weights, tuple(tuple(max(0.0, bars.get((k, i), widest[k])) for i in range(len(LENGTHS))) for k in range(CLASSES)), alphabet)
 
