@@ -2,8 +2,7 @@
 
 Texts are cut at single spaces between two other characters before anything else is done. The pre-tokenizer's
 pattern always begins a new piece there, so that each chunk has the same ids wherever it stands, and a worker keeps
-those of the chunks it has met in a bounded table. Texts with other runs of white space take the library's plain
-path as a whole.
+those of the chunks it has met in a bounded table. Other runs of white space stay inside their chunk.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -91,12 +91,20 @@ def token_bytes(path: str) -> list[bytes]:
     return list(map(byte_reader(), token_characters(path)))
 
 
+#: A space beside other white space or at an end, and one that has neither: where texts are cut.
+ODD, BETWEEN = re.compile(r" \s|\s |^ | $"), re.compile(r"(?<=\S) (?=\S)")
+
+
+def cut(text: str) -> list[str]:
+    """The text's chunks: what lies between single spaces that stand between two other characters."""
+    return BETWEEN.split(text) if ODD.search(text) else text.split(" ")
+
+
 class Chunked:
     """Values of whole texts joined from those of their chunks.
 
     ``many`` maps a list of strings to their values; it is told how many of them, from the first, begin with a space
-    that no other white space follows. A chunk but a text's first one stands for itself with a space before it. A text
-    with a chunk that is empty, or has white space at an end, isn't cut.
+    that no other white space follows. A chunk but a text's first one stands for itself with a space before it.
     """
 
     def __init__(self, many: Callable[[list[str], int], list], bound: int = CACHE):
@@ -104,28 +112,21 @@ class Chunked:
 
     def values(self, texts: list[str]) -> list[list]:
         """For each text, the values of its chunks in order."""
-        known, first, new, whole = self.known, self.first, {}, {}
+        known, first, new, heads = self.known, self.first, set(), {}
         for table in (known, first):
             if len(table) > self.bound:
                 table.clear()
-        cut = [text.split(" ") for text in texts]
-        for i, chunks in enumerate(cut):
-            start = chunks[0]
-            missing = [x for x in chunks[1:] if x not in known]
-            if missing and any(not x or x[0].isspace() or x[-1].isspace() for x in missing) or len(chunks) > 1 and (not start or start[-1].isspace()):
-                cut[i] = None
-                whole[texts[i]] = None
-            else:
-                new.update(dict.fromkeys(missing))
-                if start not in first:
-                    first[start] = None
-        heads = [x for x, v in first.items() if v is None]
-        if new or whole or heads:
-            values = self.many([*[" " + x for x in new], *heads, *whole], len(new))
-            known.update(zip(new, values))
-            first.update(zip(heads, values[len(new) :]))
-            whole.update(zip(whole, values[len(new) + len(heads) :]))
-        out = [[whole[text]] if chunks is None else [first[chunks[0]], *map(known.__getitem__, chunks[1:])] for text, chunks in zip(texts, cut)]
+        chunked = list(map(cut, texts))
+        for chunks in chunked:
+            if chunks[0] not in first:
+                heads[chunks[0]] = None
+            new |= set(chunks[1:]).difference(known)
+        if new or heads:
+            names = sorted(new)
+            values = self.many([*[" " + x for x in names], *heads], len(names))
+            known.update(zip(names, values))
+            first.update(zip(heads, values[len(names) :]))
+        out = [[first[chunks[0]], *map(known.__getitem__, chunks[1:])] for chunks in chunked]
         for x in [*new, *heads]:  # long ones aren't met again, and would fill the memory
             if len(x) > 100:
                 known.pop(x, None)
@@ -133,7 +134,7 @@ class Chunked:
         return out
 
 
-def _slices(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
+def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
     """The texts in lists of about so many characters."""
     part, size = [], 0
     for text in texts:
@@ -157,7 +158,7 @@ def encoder(tokenizer, lengths: np.ndarray, bound: int = CACHE // 2) -> Chunked:
 
     def many(parts: list[str], spaced: int = 0) -> list[bytes]:
         out = []
-        for chunks in _slices(parts[:spaced], 1 << 16):
+        for chunks in slices(parts[:spaced], 1 << 16):
             found = ids(["".join(chunks)])[0]
             ends = np.searchsorted(np.cumsum(lengths[found]), np.cumsum([len(c.encode()) for c in chunks])) + 1
             data, ends = found.tobytes(), (4 * ends).tolist()
@@ -192,7 +193,7 @@ def encode(docs: DataFrame, vocabulary: str = MULTI, pattern: str | None = None,
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             at = 0
-            for part in _slices(texts):
+            for part in slices(texts):
                 flat = [np.frombuffer(b"".join(v), dtype="<u4").astype("i4") for v in ids_of.values(part)]
                 bounds = np.cumsum([0, *map(len, flat)], dtype="i4")
                 columns = [keys.slice(at, len(part)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*flat, np.zeros(0, "i4")])))]
@@ -312,7 +313,7 @@ def counter(vocabulary: str, pattern: str, bound: int = CACHE) -> Callable[[list
         return sum(map(pieces, special.split(text))) + len(special.findall(text))
 
     chunks = Chunked(lambda parts, _: list(map(one, parts)), bound)
-    return lambda texts: [sum(v) for part in _slices(texts) for v in chunks.values(part)]
+    return lambda texts: [sum(v) for part in slices(texts) for v in chunks.values(part)]
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = GPT, limit: int = 512, pattern: str | None = None) -> DataFrame:

@@ -112,10 +112,24 @@ def test_counts(docs, none, library):
     assert bpe.count_tokens(none).count() == 0
 
 
-def test_chunks_forget_whole_texts():
-    table = bpe.Chunked(lambda parts, _: [[p] for p in parts])
-    assert table.values([" "]) == [[[" "]]]
-    assert table.values(["a  b", "a b"]) == [[["a  b"]], [["a"], [" b"]]]
+def test_chunks():
+    table = bpe.Chunked(lambda parts, spaced: [[p, n < spaced] for n, p in enumerate(parts)])
+    assert table.values([" ", "", "a  b", "a b", "x y  z\n w v "]) == [[[" ", False]], [["", False]], [["a  b", False]], [["a", False], [" b", True]], [["x", False], [" y  z\n w", True], [" v ", True]]]
+    assert table.values(["q b"])[0][1] == [" b", True]
+
+
+def test_chunks_of_any_white_space_have_the_libraries_ids(library):
+    import public_tokenizers
+
+    rng, marks = np.random.default_rng(9), [" ", "  ", "\n", " \n", "\t", "\u00a0", "\u2003", "\x1c", "a", "it's", "99", "é", "日", "<|endoftext|>", "!?", "\r\n", " x"]
+    texts = ["".join(rng.choice(marks, rng.integers(0, 12))) for _ in range(3000)]
+    path = public_tokenizers.path(bpe.GPT)
+    ids = bpe.encoder(library[1], np.array(list(map(len, bpe.token_bytes(path)))))
+    assert [np.frombuffer(b"".join(v), "<u4").tolist() for v in ids.values(texts)] == [e.ids for e in library[1].encode_batch(texts, add_special_tokens=False)]
+    multi = public_tokenizers.path(bpe.MULTI)
+    ids = bpe.encoder(bpe.tokenizer_from_ranks(multi, public_tokenizers.PATTERN), np.array(list(map(len, bpe.token_bytes(multi)))))
+    assert [np.frombuffer(b"".join(v), "<u4").tolist() for v in ids.values(texts)] == [library[0].encode_ordinary(t) for t in texts]
+    assert bpe.counter(bpe.GPT, public_tokenizers.PATTERN)(texts) == [len(e.ids) for e in library[1].encode_batch(texts, add_special_tokens=False)]
 
 
 # --- packing -------------------------------------------------------------------------------------------------
@@ -157,9 +171,9 @@ def test_packing_into_short_sequences(spark, library, capacity):
 
 def test_texts_of_over_a_million_characters(spark, library):
     texts = [("many words of prose, " * 60_000)[:1_200_000], "".join(chr(97 + i % 7) for i in range(150_000)), " \n" * 50_000, "naïve日本" * 30_000]
-    docs = spark.createDataFrame([(0, "".join(texts)), (1, texts[1]), (2, texts[2])], "doc_id long, text string")
-    whole = {0: "".join(texts), 1: texts[1], 2: texts[2]}
-    assert len(whole[0]) > 1_000_000
+    docs = spark.createDataFrame([(0, "".join(texts)), (1, texts[1]), (2, texts[2]), (3, texts[0])], "doc_id long, text string")
+    whole = {0: "".join(texts), 1: texts[1], 2: texts[2], 3: texts[0]}
+    assert min(len(whole[0]), len(whole[3])) > 1_000_000 and max(map(len, whole[1].split(' '))) > packing.LONG
     for r in bpe.decode(bpe.encode(docs), keep=("doc_id", "ids")).collect():
         assert list(r["ids"]) == library[0].encode_ordinary(whole[r["doc_id"]]) and bytes(r["bytes"]).decode() == whole[r["doc_id"]]
     counted = {r["doc_id"]: r["n_tokens"] for r in bpe.count_tokens(docs).collect()}
