@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.bpe import CACHE, GPT, encoder, quiet, token_bytes, vocabulary_path
+from factloom.llm.bpe import GPT, cut, quiet, token_bytes, vocabulary_path
 
+LONG = 100_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -113,15 +114,29 @@ class Packer:
 
 
 def library_encoder(path: str):
-    """Text -> ids as the ``tokenizers`` library gives them for its file ``path``, and the bytes of each token.
+    """Text -> ids as the ``tokenizers`` library gives them for its byte-level file ``path``, and the bytes of each token.
 
-    Special strings in a text become their ids, as is that library's default.
+    Such a file's ids are its merges' ranks, by which tiktoken merges several times as fast to the same ids; the pattern
+    is the one that byte-level files imply. Runs of over ``LONG`` characters without a place to cut, which tiktoken's pattern
+    engine may refuse, are left to ``tokenizers`` with their text. Special strings become their ids, as is that library's default.
     """
+    import public_tokenizers
+    import tiktoken
     from tokenizers import Tokenizer
 
-    tokens = token_bytes(path)
-    chunks = encoder(Tokenizer.from_file(path), np.array(list(map(len, tokens)), dtype="i8"), CACHE)
-    return lambda text: np.frombuffer(b"".join(chunks.values([text])[0]), dtype="<u4"), tokens
+    plain, tokens = Tokenizer.from_file(path), token_bytes(path)
+    added = {t.content: i for i, t in plain.get_added_tokens_decoder().items()}
+    ranks = {t: i for i, t in enumerate(tokens) if i not in set(added.values())}
+    fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+    def ids(text: str) -> list[int]:
+        if len(text) > LONG and max(map(len, cut(text))) > LONG:
+            return plain.encode(text, add_special_tokens=False).ids
+        if any(s in text for s in added):
+            return fast.encode(text, allowed_special="all")
+        return fast.encode_ordinary(text)
+
+    return ids, tokens
 
 
 def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = GPT, end_id: int = 1, sentence_penalty: float = 8.0, token_penalty: float = 48.0, buffer_tokens: int = 1 << 19) -> DataFrame:
@@ -148,7 +163,7 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = GPT, end_id: i
         for batch in batches:
             for doc_id, text, partition in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 packer = packer or Packer(partition, capacity, ends, sentence_penalty, token_penalty)
-                packer.add(doc_id, np.append(encode(text), np.uint32(end_id)).astype("<u4"))
+                packer.add(doc_id, np.array([*encode(text), end_id], dtype="<u4"))
                 if packer.size >= buffer_tokens:
                     yield _batch(packer.close(False))
         if packer:
