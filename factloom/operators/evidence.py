@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 
 from factloom.functions.text import equivalent, value_variants, words
 from factloom.operators.matching import find_forms
+from factloom.session import ensure_checkpoint_dir
 
 
 def mentions(names: DataFrame, docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -182,24 +183,37 @@ def evaluate_evidence(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def _mentioning(claims: DataFrame, statements: DataFrame) -> DataFrame:
-    """Each claim with each statement that mentions its name, and holds a form of its value or one of its digit groups.
+    """Each claim with each statement that mentions its name, and holds a form of its value or one of its digit groups;
+    no rule finds evidence in others.
 
-    No rule finds evidence in other statements, so these never leave the JVM.
+    What names and forms the statements hold is found once. A claim then takes the shorter list, of its name's
+    statements or of its value's, and is held against the other by an equality join: a frequent name meets only
+    what may speak of its value.
     """
-    text = statements.withColumn("_text", F.concat_ws(" / ", "question", "answer"))
-    named = claims.select("name", F.col("name").alias("form")).distinct()
-    met = mentions(named, text, "statement_id", "_text")
-    both = met.join(claims, "name").join(statements, "statement_id")
-    forms = F.concat(value_variants(F.col("value")), F.regexp_extract_all("value", F.lit(r"(\d{2,})"), F.lit(1)))
-    said = F.exists(F.transform(forms, F.lower), lambda v: F.contains(F.lower(F.concat_ws(" / ", "question", "answer")), v))
-    return both.where(said).select("claim_id", "statement_id", "ordinal", "question", "answer", "name", "value")
+    ensure_checkpoint_dir(claims.sparkSession)
+    raw = F.concat(value_variants(F.col("value")), F.regexp_extract_all("value", F.lit(r"(\d{2,})"), F.lit(1)))
+    plain = lambda c: F.array_join(words(c), " ")
+    c = claims.select("claim_id", "name", "value", plain(F.col("name")).alias("_n"), F.filter(F.array_distinct(F.transform(raw, plain)), lambda v: v != "").alias("_v"), F.transform(raw, F.lower).alias("_raw"))
+    terms = c.select(F.explode(F.array_append("_v", F.col("_n"))).alias("term")).where("term <> ''").distinct()
+    text = statements.select("statement_id", F.concat_ws(" / ", "question", "answer").alias("_text"))
+    posted = find_forms(text, ("statement_id",), "_text", terms, "term").select("term", "statement_id").checkpoint()
+    counts = posted.groupBy("term").agg(F.count(F.lit(1)).alias("_k"))
+    names = c.select("claim_id", F.col("_n").alias("term")).join(counts, "term").select("claim_id", F.col("_k").alias("_named"))
+    values = c.select("claim_id", F.explode("_v").alias("term")).join(counts, "term").groupBy("claim_id").agg(F.sum("_k").alias("_valued"))
+    sized = c.join(names, "claim_id").join(values, "claim_id")
+    by_name = sized.where("_named <= _valued").select("claim_id", F.col("_n").alias("term")).join(posted, "term").select("claim_id", "statement_id")
+    by_value = sized.where("_named > _valued").select("claim_id", "_n", F.explode("_v").alias("term")).join(posted, "term").select("claim_id", "_n", "statement_id").distinct()
+    by_value = by_value.join(posted.withColumnRenamed("term", "_n"), ["_n", "statement_id"], "left_semi").select("claim_id", "statement_id")
+    both = by_name.union(by_value).join(c, "claim_id").join(statements, "statement_id")
+    low = F.lower(F.concat_ws(" / ", "question", "answer"))
+    return both.where(F.exists("_raw", lambda v: F.contains(low, v))).select("claim_id", "statement_id", "ordinal", "question", "answer", "name", "value")
 
 
 def verify_claims(claims: DataFrame, statements: DataFrame, rules: Rules = Rules(), strict: bool = False) -> DataFrame:
     """Columns claim_id, statement_id, tier, intent and rule: the best evidence for each claim (claim_id, name, value).
 
     Candidates are the statements that mention the name. The earliest canon statement wins, else the earliest likely
-    one; ``strict`` keeps canon only. Pairs of a frequent name are dealt out by statement before they are graded.
+    one; ``strict`` keeps canon only. Pairs are dealt out by statement before they are graded.
     """
     graded = evaluate_evidence(_mentioning(claims, statements).repartition("statement_id"), rules)
     if strict:
