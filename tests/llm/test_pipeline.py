@@ -20,7 +20,7 @@ def awkward(spark):
     """Given documents with nulls, empties, repeated rows, two texts under one id, a very long text, and columns of any name."""
     source = spark.read.parquet(f"{FOLDER}/documents.parquet")
     rows = [tuple(r) for r in source.collect()]
-    long = "x" * 20_000 + " " + "words of a very long text, " * 45_000
+    long = "x" * 20_000 + " " + "words of a very long text, " * 8_000
     rows += [(9001, None, "en", None, None), (9002, "", None, "s", 0), (None, "a row without an id", "en", "s", 19), rows[0], rows[0], (9003, long, "en", "s", None), (9004, "password = abcdefgh12345678 in 0123456789abcdef01", "en", "s", 1)]
     rows += [(9005, "one text of its own under a number", "en", "s", 1), (9005, "quite another one under the same number", "en", "s", 1)]
     names = [*source.columns, *CLASH]
