@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import ensure_checkpoint_dir
+
 
 def checksum(key: Column) -> Column:
     """CRC-32 of a key's text; 0 for a null key."""
@@ -31,6 +33,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     known = known.where(~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     sizes = texts.select("doc_id", F.length("text").alias("n")).join(known, "doc_id").groupBy("doc_id").agg(F.max("n").alias("n"), F.max("label").alias("label"))
+    ensure_checkpoint_dir(docs.sparkSession)
+    sizes = sizes.checkpoint()  # a row for each labelled document, so that the table is read once for them
     order, chosen = (F.xxhash64("doc_id"), F.col("doc_id")), {}
     for y in (0, 1):
         room = chars
