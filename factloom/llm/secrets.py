@@ -136,8 +136,8 @@ def labelled_samples(docs: DataFrame, docs_bound: int = SAMPLE_DOCS, made: int =
     share = min(1.0, docs_bound / max(1, docs.count()))
     few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
     found = few.select(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z]{3,}"), F.lit(0)).alias("w"))
-    # each document gives what begins at every eighth word, so that long ones don't outweigh the rest by much more
-    three = found.select(F.posexplode(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: i % 8 == 1), lambda i: F.slice("w", i, F.lit(3)))).alias("i", "w")).where(F.size("w") == 3)
+    # each document gives what begins at every 64th word, so that long ones don't outweigh the rest by much more
+    three = found.select(F.posexplode(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: i % 64 == 1), lambda i: F.slice("w", i, F.lit(3)))).alias("i", "w")).where(F.size("w") == 3)
     corpus = three.select(F.xxhash64("w").alias("id"), F.explode(written(F.col("w"), F.col("i"))).alias("token"))
     ordinary = named.union(numbers).union(corpus).select("id", "token", F.lit(0).alias("label"))
     return rows.unionByName(ordinary).select("token", "label", F.pmod(F.xxhash64("id", "label"), F.lit(4)).cast("int").alias("n"))
