@@ -1,15 +1,16 @@
-"""The ten registered queries on the smallest given tables against plain Python."""
+"""The registered queries on the smallest given tables against plain Python."""
 
 import hashlib
 import os
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from test_llm import all_spans, base_spans, components, fingerprint, jump, library  # noqa: F401
 
-from factloom.llm import quality, secrets, toxicity
-from factloom.llm.queries import QUERIES, quality_model, toxicity_model
+from factloom.llm import langid, quality, secrets, toxicity
+from factloom.llm.queries import ORACLES, QUERIES, language_model, quality_model, toxicity_model
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the given tables aren't here")
@@ -109,3 +110,30 @@ def test_packing_and_counts(spark, texts, library):  # noqa: F811
         used[r["sequence_id"]] = r["offset"] + r["length"]
         assert r["ids_crc32"] == zlib.crc32(tokens[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
     assert max(used.values()) <= 2048 and sum(used.values()) / (2048 * len(used)) > 0.9
+
+
+@pytest.mark.parametrize("name", ["op8_exact_top_k", "op11_divergence_audit", "op13_hard_negatives"])
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
+    want, got = con.sql(ORACLES[name]), QUERIES[name](spark, FOLDER)
+    assert want.columns == got.columns and sorted(want.fetchall()) == sorted(tuple(r) for r in got.collect())
+
+
+def test_language_crf(spark, texts):
+    rows = {r["doc_id"]: r for r in result(spark, "op12_language_crf")}
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    fitted, langs = language_model(spark, docs, FOLDER), {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    assert rows.keys() == texts.keys()
+    hits = []
+    for i, r in rows.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+        if not any(c.isalpha() for c in texts[i]):
+            assert r["lang_pred"] == "und"
+        elif r["held_out"] and langs[i]:
+            hits.append(r["lang_pred"] == langs[i])
+        if len(texts[i]) < 2000:
+            shares = langid._labelled([texts[i]], fitted).to_pylist()[0]["shares"]
+            assert r["lang_pred"] == "und" or (fitted.langs[int(np.argmax(shares))] == r["lang_pred"] and abs(max(shares) - r["score"]) < 1e-5)
+    assert np.mean(hits) > 0.97
