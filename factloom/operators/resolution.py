@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -184,28 +186,121 @@ def summarise_unresolved(resolved: DataFrame, name: str, position: str, logged:
     return missed.join(logged.select("name"), "name", "left_anti")
 
 
-def suggest_aliases(unresolved: DataFrame, known: DataFrame, n: int = 5, cutoff: float = 0.5, prefix: int = 4) -> DataFrame:
-    """Columns name, alias, ratio and rank: the n most alike of known names that share a beginning or a three-letter part.
+class _Alike:
+    """Strings of one cell, with what bounds their matching characters with another: how many of each class of character
+    they have, and their codes for a longest common subsequence, which 64 bits hold for all of them at once."""
+
+    CLASSES = 40
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.sizes = texts, np.array(list(map(len, texts)))
+        self.bags = np.stack([self._bag(t) for t in texts])
+        self.codes = np.zeros((max(map(len, texts)), len(texts)), "u4")
+        for i, t in enumerate(texts):
+            self.codes[: len(t), i] = np.fromiter(map(ord, t), "u4", len(t))
+
+    def _bag(self, text: str) -> np.ndarray:
+        return np.bincount([ord(c) % self.CLASSES for c in text], minlength=self.CLASSES).astype("u2")
+
+    def _common(self, text: str, rows: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common subsequences with the strings at ``rows`` (bit-parallel, Hyyrö 2004)."""
+        marks = {}
+        for i, c in enumerate(text):
+            marks[ord(c)] = marks.get(ord(c), 0) | 1 << i
+        known = np.array(sorted(marks), "u4")
+        masks = np.array([*(marks[c] for c in known.tolist()), 0], "u8")
+        v = np.full(len(rows), 2**64 - 1, "u8")
+        for line in self.codes[: self.sizes[rows].max(initial=0), rows]:
+            at = np.searchsorted(known, line)
+            met = v & masks[np.where(known[np.minimum(at, len(known) - 1)] == line, at, len(known))]
+            v = (v + met) | (v - met)
+        return np.bitwise_count(~v & np.uint64((1 << len(text)) - 1)).astype("i8")
+
+    def closest(self, text: str, n: int, cutoff: float) -> list[tuple[float, str]]:
+        """The ``n`` best ratios from ``cutoff`` on, ties to the later string. Strings are looked at by falling bound, until
+        none that is left can come in."""
+        from difflib import SequenceMatcher
 
-    A ratio of ``cutoff`` or more needs lengths within a factor of 2 / cutoff - 1, so that others aren't compared.
+        whole = np.maximum(1, self.sizes + len(text))
+        bound = 2 * np.minimum(self.bags, self._bag(text)).sum(axis=1) / whole
+        if not text:
+            bound = np.where(self.sizes == 0, 1.0, 0.0)
+        rows = np.flatnonzero(bound >= cutoff)
+        bound = bound[rows]
+        if 0 < len(text) <= 64 and len(rows):
+            bound = 2 * self._common(text, rows) / whole[rows]
+        order, matcher, found = np.argsort(-bound, kind="stable"), SequenceMatcher(b=text), []
+        for i in order.tolist():
+            if bound[i] < (found[0][0] if len(found) == n else cutoff):
+                break
+            matcher.set_seq1(self.texts[rows[i]])
+            hit = matcher.ratio(), self.texts[rows[i]]
+            if hit[0] >= cutoff:
+                (heapq.heappush if len(found) < n else heapq.heappushpop)(found, hit)
+        return sorted(found, reverse=True)
+
+
+def suggest_aliases(unresolved: DataFrame, known: DataFrame, n: int = 8, cutoff: float = 0.5, prefix: int = 4, begins: int = 4, cell: int = 1 << 14) -> DataFrame:
+    """Columns name, alias, ratio and rank: the ``n`` most alike of the known names, then those that begin alike.
+
+    First come names (alias) whose sequence ratio with the unresolved name (name, trimmed, both in lower case) reaches
+    ``cutoff``, the best first and ties to the later one in order; then, while there is room, the first ``begins`` by
+    ``ordinal`` (by alias, without that column) that start with the name's first ``prefix`` characters. Aliases that are
+    the same in lower case count once.
+
+    No pair is lost: known names lie in cells of about ``cell`` of nearly equal length, names are streamed past the cells
+    whose lengths allow the ratio, and in a cell all but those that an upper bound rules out are compared.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(F.lower(c), i, F.lit(3))))
-    a = unresolved.select(F.col("name")).distinct().select("name", F.explode(grams(F.col("name"))).alias("_g"))
-    b = known.select(F.col("alias")).distinct().select("alias", F.explode(grams(F.col("alias"))).alias("_g"))
-    far = F.lit(2 / cutoff - 1)
-    pairs = a.join(b, "_g").where((F.length("name") <= far * F.length("alias")) & (F.length("alias") <= far * F.length("name"))).select("name", "alias").distinct()
-
-    def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    low = lambda c: F.lower(F.trim(c))
+    order = F.col("ordinal") if "ordinal" in known.columns else F.lit(0)
+    pool = known.where("alias is not null").select("alias", F.lower("alias").alias("_a"), order.alias("_o")).groupBy("_a").agg(F.min(F.struct("_o", "alias")).alias("_f")).select("_a", F.col("_f.alias").alias("alias"), F.col("_f._o").alias("_o"))
+    names = unresolved.where("name is not null").select("name", low(F.col("name")).alias("_q")).distinct()
+
+    # bands of lengths that grow by a quarter, and cells of each: as many bands as the logarithm of the longest name
+    band = F.floor(F.log(F.length("_a") + 1.0) / F.log(F.lit(1.25))).cast("int")
+    banded = pool.withColumn("_band", band)
+    sizes = {r["_band"]: (-(-r["n"] // cell), r["low"], r["high"]) for r in banded.groupBy("_band").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("_a")).alias("low"), F.max(F.length("_a")).alias("high")).collect()}
+    table = F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(("b", "cells", "low", "high"), (b, *v))]) for b, v in sorted(sizes.items())]) if sizes else F.array().cast("array<struct<b:int,cells:int,low:int,high:int>>")
+    mine = F.aggregate(F.transform(F.filter(table, lambda t: t["b"] == F.col("_band")), lambda t: t["cells"]), F.lit(1), lambda _, c: c)
+    far, size = 2 / cutoff - 1, F.length("_q")
+    fits = F.filter(table, lambda t: (t["low"] <= far * size) & (size <= far * t["high"]))
+    asked = names.select("_q").distinct().select("_q", F.explode(F.flatten(F.transform(fits, lambda t: F.transform(F.sequence(F.lit(0), t["cells"] - 1), lambda c: F.struct(t["b"].alias("b"), c.alias("c")))))).alias("_k"))
+    sides = banded.select("_band", F.pmod(F.xxhash64("_a"), mine).cast("int").alias("_cell"), F.lit(0).alias("_side"), F.col("_a").alias("_t")).unionAll(asked.select("_k.b", "_k.c", F.lit(1), "_q"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, cell_ = None, [], None
+        for batch in batches:
+            out = []
+            for b, c, side, t in batch.itertuples(index=False):
+                if (b, c) != at:
+                    at, held, cell_ = (b, c), [], None
+                if side == 0:
+                    held.append(t)
+                elif held:
+                    cell_ = cell_ or _Alike(held)
+                    out += [(t, alias, ratio) for ratio, alias in cell_.closest(t, n, cutoff)]
+            yield pd.DataFrame(out, columns=["_q", "_a", "ratio"])
+
+    dealt = sides.repartition("_band", "_cell").sortWithinPartitions("_band", "_cell", "_side")
+    near = dealt.mapInPandas(run, "_q string, _a string, ratio double")
+    best = Window.partitionBy("_q").orderBy(F.desc("ratio"), F.desc("_a"))
+    near = near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= n)
+
+    # the first few of each beginning, so that a common one meets no more
+    starts = pool.select("_a", "_o", F.explode(F.sequence(F.lit(0), F.lit(prefix))).alias("_k")).where(F.col("_k") <= F.length("_a")).withColumn("_p", F.substring("_a", F.lit(1), F.col("_k")))
+    starts = starts.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_p").orderBy("_o", "_a"))).where(F.col("_n") <= begins)
+    q = names.select("_q").distinct().withColumn("_k", F.least(F.length("_q"), F.lit(prefix))).withColumn("_p", F.substring("_q", F.lit(1), F.col("_k")))
+    begun = q.join(starts, ["_k", "_p"]).join(near.select("_q", "_a"), ["_q", "_a"], "left_anti").select("_q", "_a", (F.col("_n") + n).alias("_n"))
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        for batch in batches:
-            yield batch.assign(ratio=[SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(batch["name"], batch["alias"])])
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
-    scored = pairs.mapInPandas(ratios, "name string, alias string, ratio double")
-    alike = F.col("ratio") >= cutoff
-    begins = F.lower(F.substring("name", 1, prefix)) == F.lower(F.substring("alias", 1, prefix))
-    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.when(alike, 0).otherwise(1), F.desc("ratio"), "alias"))
-    return scored.where(alike | begins).withColumn("rank", rank).where(F.col("rank") <= n)
+    both = near.select("_q", "_a", "ratio", "_n").unionByName(begun.select("_q", "_a", ratio("_a", "_q").alias("ratio"), "_n"))
+    both = both.withColumn("rank", F.row_number().over(Window.partitionBy("_q").orderBy("_n"))).where(F.col("rank") <= n)
+    return names.join(both, "_q").join(pool.select("_a", "alias"), "_a").select("name", "alias", "ratio", "rank")
 
 
 def align_by_similarity(left: DataFrame, right: DataFrame, group: str, window: int = 5, accept: float = 0.7, length: int = 60) -> DataFrame:

@@ -1,11 +1,13 @@
 """Queries that SQL cannot express, on the smallest given tables, against plain Python that looks at every pair."""
 
 import os
+import random
 import re
-from difflib import SequenceMatcher
+from difflib import SequenceMatcher, get_close_matches
 
 import pytest
 
+from factloom.operators.resolution import suggest_aliases
 from factloom.plans import registry
 from factloom.sources.tables import statements
 
@@ -190,17 +192,33 @@ def test_alignment(spark):
     assert {(r["grp"], r["left_pos"], r["right_pos"]) for r in run(spark, "c12_best_by_similarity")} == best
 
 
+def close(names, known, n=8, begins=4):
+    """The n closest by ratio of all known names, then the first few that begin alike."""
+    out = set()
+    for name in names:
+        query = name.lower().strip()
+        found = get_close_matches(query, [k.lower() for k, _ in known], n=n, cutoff=0.5)
+        first = [k.lower() for k, _ in sorted(known, key=lambda k: (k[1], k[0].lower())) if k.lower().startswith(query[:4])][:begins]
+        out |= {(name, k, rank) for rank, k in enumerate(list(dict.fromkeys(found + first))[:n], 1)}
+    return out
+
+
 def test_suggested_aliases(spark):
     known = sorted({r["p_name"] for r in table(spark, "part")})
     names = sorted({" ".join(reversed(k.split(" "))) for k in known})
-    grams = lambda x: {x.lower()[i : i + 3] for i in range(max(1, len(x) - 2))}
-    want = set()
-    for n in names:
-        found = []
-        for k in known:
-            if grams(n) & grams(k) and len(n) <= 3 * len(k) and len(k) <= 3 * len(n):
-                ratio = SequenceMatcher(None, n.lower(), k.lower()).ratio()
-                if ratio >= 0.5 or n[:4].lower() == k[:4].lower():
-                    found.append((ratio < 0.5, -ratio, k))
-        want |= {(n, k, rank) for rank, (_, _, k) in enumerate(sorted(found)[:5], 1)}
-    assert {(r["name"], r["alias"], r["rank"]) for r in run(spark, "c11_suggest_aliases")} == want
+    assert {(r["name"], r["alias"].lower(), r["rank"]) for r in run(spark, "c11_suggest_aliases")} == close(names, [(k, 0) for k in known])
+
+
+@pytest.mark.parametrize("cell", [1 << 14, 7])
+def test_suggestions_miss_no_pair(spark, cell):
+    rng = random.Random(5)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    known = ["ab1cd2ef", "Zed", "z", "abcd", "x" * 90, "the same start one", "the same start two", "the same start 3", "the same start 4", "the same start 5", "été", ""]
+    known += sorted({word("abcde ", rng.randint(1, 12)).strip() or "q" for _ in range(150)} | {word("abcdefghij0123", rng.randint(4, 30)) for _ in range(80)} | {"comm" + word("xyz", 6) for _ in range(60)})
+    known = [(k, i * 7 % 311) for i, k in enumerate(dict.fromkeys(known))]
+    names = ["ab3cd4ef", " ABCD ", "a", "", "zzzz", "the same start", "x" * 100, "Été!", "comm", "qwertz"] + [word("abcde ", rng.randint(1, 12)) for _ in range(60)] + [word("abcdefghij0123", rng.randint(4, 30)) for _ in range(40)]
+    got = suggest_aliases(spark.createDataFrame([(x,) for x in names] + [(None,), ("a",)], "name string"), spark.createDataFrame(known + [(None, 1)], "alias string, ordinal long"), cell=cell).collect()
+    assert len(got) == len({(r["name"], r["alias"]) for r in got})
+    assert {(r["name"], r["alias"].lower(), r["rank"]) for r in got} == close(set(names), known)
+    assert all(abs(r["ratio"] - SequenceMatcher(None, r["alias"].lower(), r["name"].lower().strip()).ratio()) < 1e-12 for r in got)
+    assert ("ab3cd4ef", "ab1cd2ef") in {(r["name"], r["alias"]) for r in got}
