@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.edges import asof_position
@@ -79,24 +79,54 @@ def raise_for_terms(entries: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def earned_rung(cutoff: Column) -> Column:
-    """The rung of ``rungs`` with the highest ch that the cutoff has reached and max_ch hasn't retired; the last on ties."""
-    open_ = F.filter("rungs", lambda r: (r["ch"] <= cutoff) & (r["max_ch"].isNull() | (cutoff <= r["max_ch"])))
-    return F.reduce(open_, F.lit(None).cast("struct<ch:int,max_ch:int,label:string>"), lambda a, r: F.when(a.isNull() | (r["ch"] >= a["ch"]), r).otherwise(a))
+    """Place in ``rungs`` (ch, max_ch and any more) of the one with the highest ch that the cutoff has reached and max_ch hasn't
+    retired, the last on ties; null where none is earned."""
+    open_ = lambda r: (r["ch"] <= cutoff) & (r["max_ch"].isNull() | (cutoff <= r["max_ch"]))
+    return F.array_max(F.filter(F.transform("rungs", lambda r, i: F.when(open_(r), F.struct(r["ch"].alias("ch"), i.alias("i")))), lambda x: x.isNotNull()))["i"]
+
+
+def _bare() -> Column:
+    return F.coalesce(F.size("rungs") <= 0, F.lit(True))
+
+
+def _laid_over(place: Column) -> tuple[Column, Column]:
+    """Fields and gate of an entry with the rung at ``place``: its fields replace those of their names, be they null, and add new ones."""
+    rung = F.get("rungs", place)
+    over, base = F.coalesce(rung["fields"], F.map_filter("fields", lambda k, _: F.lit(False))), F.coalesce("fields", F.map_filter(rung["fields"], lambda k, _: F.lit(False)))
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k)), over), rung["ch"]
 
 
 def resolve_rungs(entries: DataFrame, cutoff: int) -> DataFrame:
-    """Columns entry_id, label and gate: the earned rung over the base label; entries with rungs of which none is earned go."""
-    rows = entries.withColumn("_r", earned_rung(F.lit(cutoff)))
-    bare = F.size(F.coalesce("rungs", F.array())) <= 0
-    return rows.where(bare | F.col("_r").isNotNull()).select("entry_id", F.coalesce(F.col("_r.label"), F.col("label")).alias("label"), F.when(bare, F.col("gate")).otherwise(F.col("_r.ch")).alias("gate"))
+    """Columns entry_id, fields and gate of entries (entry_id, fields, gate, rungs) as a reader at the cutoff has them.
+
+    ``fields`` is a map of texts, ``rungs`` an array of (ch, max_ch, fields): the earned rung's fields lie over those of the
+    entry, and its ch is the gate. Entries with rungs of which none is earned go, those without rungs stay as they are.
+    """
+    fields, gate = _laid_over(F.col("_r"))
+    rows = entries.withColumn("_r", earned_rung(F.lit(cutoff))).where(_bare() | F.col("_r").isNotNull())
+    return rows.select("entry_id", F.when(F.col("_r").isNull(), F.col("fields")).otherwise(fields).alias("fields"), F.when(F.col("_r").isNull(), F.col("gate")).otherwise(gate).alias("gate"))
 
 
-def visible_at(entries: DataFrame, cutoff: int, lexicon: DataFrame, cap: int) -> DataFrame:
-    """Entries (entry_id, text, gate) seen at a cutoff: all from ``cap`` on; else gate reached, and no later term inside."""
+def shown(fields: Column, unseen: tuple[str, ...] = ()) -> Column:
+    """The fields that readers see: not null, with names that don't begin with ``_`` and aren't ``unseen``."""
+    return F.map_filter(fields, lambda k, v: v.isNotNull() & ~k.startswith("_") & ~k.isin(*unseen) if unseen else v.isNotNull() & ~k.startswith("_"))
+
+
+def visible_at(entries: DataFrame, cutoff: int, lexicon: DataFrame, cap: int, unseen: tuple[str, ...] = ()) -> DataFrame:
+    """Columns entry_id, fields and gate: entries (as for ``resolve_rungs``) that a reader at the cutoff sees, as they are for that reader.
+
+    Rungs are resolved first; then the gate has to be reached, and no text that is shown may hold a term of the lexicon
+    (term, ch) that comes later. From ``cap`` on all are seen, those without an earned rung in their base form. Entries
+    without a gate are hidden before that.
+    """
     if cutoff >= cap:
-        return entries.select("entry_id")
-    late = _hits(entries, "entry_id", "text", lexicon).where(F.col("ch") > cutoff).select("entry_id").distinct()
-    return entries.where(F.col("gate") <= cutoff).select("entry_id").join(late, "entry_id", "left_anti")
+        fields, gate = _laid_over(F.col("_r"))
+        rows = entries.withColumn("_r", earned_rung(F.lit(cap)))
+        return rows.select("entry_id", F.when(F.col("_r").isNull(), F.col("fields")).otherwise(fields).alias("fields"), F.when(F.col("_r").isNull(), F.col("gate")).otherwise(gate).alias("gate"))
+    open_ = resolve_rungs(entries, cutoff).where(F.col("gate") <= cutoff)
+    text = F.concat_ws(" ", F.map_values(shown(F.col("fields"), unseen)))
+    late = _hits(open_.select("entry_id", text.alias("_text")), "entry_id", "_text", lexicon.where(F.col("ch") > cutoff)).select("entry_id").distinct()
+    return open_.join(late, "entry_id", "left_anti")
 
 
 def visibility_matrix(entries: DataFrame, cutoffs: list[int]) -> DataFrame:
@@ -125,12 +155,34 @@ def leak_audit(strings: DataFrame, lexicon: DataFrame, cutoffs: list[int]) -> Da
     return hits.select("string_id", "term", first.alias("cutoff")).where("cutoff is not null")
 
 
-def rung_leaks(entries: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Columns entry_id, ch, term and until: terms that a rung of an entry (entry_id, rungs with ch and label) shows at its own
-    position, before they are safe (``until``)."""
-    each = entries.select("entry_id", F.explode("rungs").alias("_r")).select("entry_id", F.col("_r.ch").alias("ch"), F.col("_r.label").alias("text"))
-    hits = find_forms(each, ("entry_id", "ch"), "text", lexicon.select("term", F.col("ch").alias("until")), "term")
-    return hits.where(F.col("until") > F.col("ch")).select("entry_id", "ch", "term", "until").distinct()
+def version_leaks(entries: DataFrame, lexicon: DataFrame, cutoffs: list[int], unseen: tuple[str, ...] = (), snippet: int = 70) -> DataFrame:
+    """Columns entry_id, field, snippet, term and cutoff: the first cutoff at which a text that entries (as for ``resolve_rungs``) show
+    then holds a term not yet safe.
+
+    Each form that an entry takes at some cutoff is searched once, whatever the number of cutoffs; these are then
+    compared as numbers. The same text in several forms of an entry is one.
+    """
+    picks = F.transform(F.array(*[F.lit(c) for c in cutoffs]), lambda c: F.struct(c.alias("c"), F.when(_bare(), F.lit(-1)).otherwise(earned_rung(c)).alias("i")))
+    rows = entries.withColumn("_p", F.filter(picks, lambda p: p["i"].isNotNull())).withColumn("_i", F.explode(F.array_distinct(F.transform("_p", lambda p: p["i"]))))
+    fields, gate = _laid_over(F.when(F.col("_i") >= 0, F.col("_i")))
+    forms = rows.select(
+        "entry_id",
+        F.transform(F.filter("_p", lambda p: p["i"] == F.col("_i")), lambda p: p["c"]).alias("_cuts"),
+        F.when(F.col("_i") < 0, F.col("gate")).otherwise(gate).alias("_gate"),
+        F.explode(shown(F.when(F.col("_i") < 0, F.col("fields")).otherwise(fields), unseen)).alias("field", "_text"),
+    )
+    forms = forms.withColumn("_cuts", F.filter("_cuts", lambda c: c >= F.col("_gate"))).where(F.size("_cuts") > 0).withColumn("snippet", F.substring("_text", 1, snippet))
+    hits = find_forms(forms, ("entry_id", "field", "snippet", "_cuts"), "_text", lexicon.select("term", F.col("ch").alias("_ch")), "term")
+    first = F.array_min(F.filter("_cuts", lambda c: c < F.col("_ch")))
+    return hits.withColumn("_first", first).where("_first is not null").groupBy("entry_id", "field", "snippet", "term").agg(F.min("_first").alias("cutoff"))
+
+
+def rung_leaks(entries: DataFrame, lexicon: DataFrame, unseen: tuple[str, ...] = ()) -> DataFrame:
+    """Columns entry_id, ch, field, term and until: terms that a rung of an entry (entry_id, rungs with ch and fields) brings at its
+    own position, before they are safe (``until``)."""
+    each = entries.select("entry_id", F.explode("rungs").alias("_r")).select("entry_id", F.col("_r.ch").alias("ch"), F.explode(shown(F.col("_r.fields"), unseen)).alias("field", "_text"))
+    hits = find_forms(each.where("ch is not null"), ("entry_id", "ch", "field"), "_text", lexicon.select("term", F.col("ch").alias("until")), "term")
+    return hits.where(F.col("until") > F.col("ch")).select("entry_id", "ch", "field", "term", "until").distinct()
 
 
 def gate_audit(entries: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -160,10 +212,13 @@ def filter_for_readers(items: DataFrame, readers: DataFrame, latest: int, unset:
     without a reveal, or past the latest position, are hidden; without a cutoff everything shows.
     """
     reader = readers.withColumn("_cut", effective_cutoff(latest, unset))
-    per = items.groupBy("reveal").agg(F.count(F.lit(1)).alias("_n"))
-    seen = reader.select(F.col("_cut").alias("_at")).distinct().join(per, F.col("_at").isNull() | ((F.col("reveal") <= F.col("_at")) & (F.col("reveal") <= latest)), "left")
-    counts = seen.groupBy("_at").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("visible"))
-    return reader.join(counts, F.col("_cut").eqNullSafe(F.col("_at"))).select("reader_id", F.col("_cut").alias("cutoff"), "visible")
+    # reveals that count lie between the first and the latest position, so their running counts are a small table
+    per = items.where(F.col("reveal") <= latest).groupBy("reveal").agg(F.count(F.lit(1)).alias("_n"))
+    cuts = reader.where("_cut is not null").select(F.col("_cut").alias("reveal")).distinct()
+    both = per.withColumn("_at", F.lit(False)).unionByName(cuts.select("reveal", F.lit(0).cast("long").alias("_n"), F.lit(True).alias("_at")))
+    running = both.withColumn("visible", F.sum("_n").over(Window.orderBy("reveal").rangeBetween(Window.unboundedPreceding, 0))).where("_at").select(F.col("reveal").alias("_cut"), "visible")
+    all_ = items.agg(F.count(F.lit(1)).alias("_all"))
+    return reader.join(running, "_cut", "left").crossJoin(F.broadcast(all_)).select("reader_id", F.col("_cut").alias("cutoff"), F.when(F.col("_cut").isNull(), F.col("_all")).otherwise(F.col("visible")).alias("visible"))
 
 
 def pick_version(versions: DataFrame, readers: DataFrame, latest: int) -> DataFrame:

@@ -71,21 +71,50 @@ def raise_terms(spark, sf_dir):
     return g.raise_for_terms(_entries(spark, sf_dir), _lexicon(spark, sf_dir))
 
 
+#: What an entry is at a cutoff: part names, of which a third has no rungs (an empty array or null), a fifteenth one that comes late.
+_FORMS = """raw AS (SELECT p_partkey AS k, p_size, p_name, p_brand, p_type FROM part),
+  picked AS (SELECT raw.*, CASE WHEN k % 3 = 0 THEN 0 WHEN k % 15 = 1 THEN CASE WHEN p_size <= {cut} THEN 1 END WHEN p_size <= {cut} AND p_size > 10 THEN 1 WHEN {cut} >= 10 THEN 3 WHEN p_size <= {cut} THEN 1 END AS i FROM raw),
+  forms AS (SELECT k AS entry_id, CASE WHEN i = 1 THEN 'late ' || p_brand ELSE p_name END AS label, CASE i WHEN 0 THEN 'plain' WHEN 1 THEN upper(p_name) ELSE p_type END AS text, CASE i WHEN 0 THEN 'none.png' WHEN 3 THEN p_brand || '.png' END AS image,
+    CASE WHEN i = 3 THEN p_name END AS caption, CAST(CASE WHEN i = 3 THEN 10 WHEN i = 1 THEN p_size WHEN k % 9 <> 0 THEN p_size END AS INTEGER) AS gate FROM picked WHERE i IS NOT NULL)"""
+
+
 def _runged(spark, sf_dir):
     k = F.col("p_partkey")
-    rung = lambda ch, end, label: F.struct(ch.cast("int").alias("ch"), end.cast("int").alias("max_ch"), label.alias("label"))
-    rungs = F.when(k % 3 == 0, F.array()).otherwise(F.array(rung(F.col("p_size"), F.lit(None), F.lit("late")), rung(F.lit(10), F.lit(25), F.lit("mid")), rung(F.lit(10), F.lit(None), F.col("p_type"))))
-    return table(spark, sf_dir, "part").select(k.alias("entry_id"), F.col("p_name").alias("label"), F.col("p_size").alias("gate"), rungs.cast("array<struct<ch:int,max_ch:int,label:string>>").alias("rungs"))
+    some = lambda **texts: F.map_from_arrays(F.array(*[F.lit(n) for n in texts]), F.array(*[t.cast("string") for t in texts.values()]))
+    rung = lambda ch, end, fields: F.struct(ch.cast("int").alias("ch"), end.cast("int").alias("max_ch"), fields.alias("fields"))
+    none = F.lit(None).cast("string")
+    late = rung(F.col("p_size"), none, some(label=F.concat(F.lit("late "), "p_brand"), text=F.upper("p_name"), image=none))
+    mid, wide = rung(F.lit(10), F.lit(25), some(label=F.lit("mid"))), rung(F.lit(10), none, some(text=F.col("p_type"), image=F.concat("p_brand", F.lit(".png")), caption=F.col("p_name")))
+    rungs = F.when(k % 6 == 0, F.lit(None)).when(k % 3 == 0, F.array()).when(k % 15 == 1, F.array(late)).otherwise(F.array(late, mid, wide))
+    fields = some(label=F.col("p_name"), text=F.lit("plain"), image=F.lit("none.png"), _note=F.col("p_name"))
+    return table(spark, sf_dir, "part").select(k.alias("entry_id"), fields.alias("fields"), F.when(k % 9 != 0, F.col("p_size")).alias("gate"), rungs.cast("array<struct<ch:int,max_ch:int,fields:map<string,string>>>").alias("rungs"))
+
+
+def _named(entries):
+    return entries.select("entry_id", *[F.col("fields")[n].alias(n) for n in ("label", "text", "image", "caption")], "gate")
 
 
-@query("g4_resolve_rungs", "SELECT p_partkey AS entry_id, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_size <= 30 AND p_size > 10 THEN 'late' ELSE p_type END AS label, CASE WHEN p_partkey % 3 = 0 THEN p_size WHEN p_size <= 30 AND p_size > 10 THEN p_size ELSE 10 END AS gate FROM part")
+@query("g4_resolve_rungs", f"WITH {_FORMS.format(cut=30)} SELECT * FROM forms")
 def rungs(spark, sf_dir):
-    return g.resolve_rungs(_runged(spark, sf_dir), 30)
+    return _named(g.resolve_rungs(_runged(spark, sf_dir), 30))
 
 
-@query("g5_visible_at", f"WITH {_LEX}, {_ENTRIES} SELECT entry_id FROM entries LEFT JOIN lexicon ON term = string_split(text, ' ')[2] WHERE gate <= 33 AND (ch IS NULL OR ch <= 33)")
+@query("g5_visible_at", f"""WITH {_LEX}, {_FORMS.format(cut=33)}, w AS (SELECT entry_id, unnest(string_split_regex(lower(concat_ws(' ', label, text, image, caption)), '[^a-z0-9]+')) AS term FROM forms),
+  late AS (SELECT DISTINCT entry_id FROM w JOIN lexicon USING (term) WHERE ch > 33) SELECT forms.* FROM forms ANTI JOIN late USING (entry_id) WHERE gate <= 33""")
 def visible(spark, sf_dir):
-    return g.visible_at(_entries(spark, sf_dir), 33, _lexicon(spark, sf_dir), 1000)
+    return _named(g.visible_at(_runged(spark, sf_dir), 33, _lexicon(spark, sf_dir), 1000))
+
+
+_CUTS = [5, 9, 10, 20, 31, 35, 44]
+
+
+@query("g7_version_leaks", "WITH " + _LEX + ", " + ", ".join(_FORMS.format(cut=c).replace("raw AS", f"raw{c} AS").replace("FROM raw)", f"FROM raw{c})").replace("raw.*", f"raw{c}.*").replace("picked", f"picked{c}").replace("forms AS", f"forms{c} AS") for c in _CUTS)
+       + ", f AS (" + " UNION ALL ".join(f"SELECT *, {c} AS cut FROM forms{c}" for c in _CUTS)
+       + """), s AS (SELECT entry_id, cut, unnest(['label', 'text', 'image', 'caption']) AS field, unnest([label, text, image, caption]) AS v FROM f WHERE gate <= cut),
+  w AS (SELECT entry_id, cut, field, left(v, 70) AS snippet, unnest(string_split_regex(lower(v), '[^a-z0-9]+')) AS term FROM s WHERE v IS NOT NULL)
+  SELECT entry_id, field, snippet, term, min(cut) AS cutoff FROM w JOIN lexicon USING (term) WHERE ch > cut GROUP BY ALL""")
+def version_leaks(spark, sf_dir):
+    return g.version_leaks(_runged(spark, sf_dir), _lexicon(spark, sf_dir), _CUTS)
 
 
 @query("g6_visibility_matrix", "SELECT p_brand AS page, count(*) FILTER (p_size <= 1) AS at_1, count(*) FILTER (p_size <= 10) AS at_10, count(*) FILTER (p_size <= 40) AS at_40, min(p_size) AS first_gate FROM part GROUP BY 1")
@@ -106,10 +135,13 @@ def blank(spark, sf_dir):
     return g.blank_pages(p.where("p_size > 6 AND page NOT LIKE '%3'").select("page", F.col("p_size").alias("gate")), pages, [1, 5, 8, 20])
 
 
-@query("g7_rung_leaks", f"WITH {_LEX}, r AS (SELECT p_partkey AS k, p_size AS ch, lower(string_split(p_name, ' ')[2]) AS term FROM part UNION SELECT p_partkey, p_size + 20, lower(string_split(p_name, ' ')[1]) FROM part) SELECT DISTINCT k AS entry_id, r.ch, term, lexicon.ch AS until FROM r JOIN lexicon USING (term) WHERE lexicon.ch > r.ch")
+@query("g7_rung_leaks", f"""WITH {_LEX}, r AS (SELECT p_partkey AS k, p_size AS ch, 'label' AS field, lower(string_split(p_name, ' ')[2]) AS term FROM part UNION SELECT p_partkey, p_size + 20, 'label', lower(string_split(p_name, ' ')[1]) FROM part
+  UNION SELECT p_partkey, p_size + 20, 'text', lower(string_split(p_name, ' ')[2]) FROM part) SELECT DISTINCT k AS entry_id, r.ch, field, term, lexicon.ch AS until FROM r JOIN lexicon USING (term) WHERE lexicon.ch > r.ch""")
 def rung_leaks(spark, sf_dir):
-    rung = lambda ch, n: F.struct(ch.alias("ch"), F.upper(F.split_part("p_name", F.lit(" "), F.lit(n))).alias("label"))
-    return g.rung_leaks(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), F.array(rung(F.col("p_size"), 2), rung(F.col("p_size") + 20, 1)).alias("rungs")), _lexicon(spark, sf_dir))
+    word = lambda n: F.upper(F.split_part("p_name", F.lit(" "), F.lit(n)))
+    first = F.struct(F.col("p_size").alias("ch"), F.create_map(F.lit("label"), word(2), F.lit("_own"), word(1)).alias("fields"))
+    second = F.struct((F.col("p_size") + 20).alias("ch"), F.create_map(F.lit("label"), word(1), F.lit("text"), F.concat(F.lit("Of "), word(2), F.lit("!"))).alias("fields"))
+    return g.rung_leaks(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), F.array(first, second).alias("rungs")), _lexicon(spark, sf_dir))
 
 
 @query("g7_gate_audit", f"WITH {_LEX}, {_ENTRIES} SELECT entry_id, gate, ch AS needed, CASE WHEN ch > gate THEN 'leaks' WHEN ch < gate THEN 'over-hidden' ELSE 'fits' END AS verdict FROM (SELECT entry_id, gate + 20 AS gate, text FROM entries) JOIN lexicon ON term = string_split(text, ' ')[2]")
@@ -118,7 +150,7 @@ def gate_audit(spark, sf_dir):
 
 
 _READERS = """readers AS (SELECT c_custkey AS reader_id, CASE c_custkey % 5 WHEN 0 THEN 'off' WHEN 1 THEN 'strict' ELSE 'on' END AS mode, CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_nationkey * 2 AS INTEGER) END AS cutoff, CASE WHEN c_custkey % 3 = 0 THEN 20 END AS ep, CASE WHEN c_custkey % 2 = 0 THEN 'detail' ELSE 'list' END AS surface FROM customer),
-  eff AS (SELECT reader_id, CASE WHEN mode <> 'off' THEN greatest(0, least(45, coalesce(least(cutoff, ep), CASE WHEN mode = 'strict' THEN 0 ELSE 597 END) - CASE WHEN surface <> 'detail' OR mode = 'strict' THEN 3 ELSE 0 END)) END AS cut FROM readers)"""
+  eff AS (SELECT reader_id, CASE WHEN mode <> 'off' THEN greatest(0, least(45, coalesce(least(cutoff, ep), CASE WHEN mode = 'strict' THEN 0 ELSE 30 END) - CASE WHEN surface <> 'detail' OR mode = 'strict' THEN 3 ELSE 0 END)) END AS cut FROM readers)"""
 
 
 def _readers(spark, sf_dir):
@@ -129,7 +161,7 @@ def _readers(spark, sf_dir):
 @query("g8_filter_for_readers", f"WITH {_READERS}, items AS (SELECT CASE WHEN p_partkey % 9 <> 0 THEN p_size END AS reveal FROM part), u AS (SELECT DISTINCT cut FROM eff), n AS (SELECT cut, (SELECT count(*) FROM items WHERE cut IS NULL OR (reveal <= cut AND reveal <= 45)) AS visible FROM u) SELECT reader_id, eff.cut AS cutoff, visible FROM eff JOIN n ON eff.cut IS NOT DISTINCT FROM n.cut")
 def readers(spark, sf_dir):
     items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_partkey") % 9 != 0, F.col("p_size")).alias("reveal"))
-    return g.filter_for_readers(items, _readers(spark, sf_dir), 45, 597)
+    return g.filter_for_readers(items, _readers(spark, sf_dir), 45, 30)
 
 
 @query("g9_pick_version", """WITH v AS (SELECT p_brand AS item, p_size AS f, max(p_partkey) AS version FROM part GROUP BY 1, 2), r AS (SELECT c_custkey AS reader_id, CAST(c_nationkey AS INTEGER) AS cutoff, 'Brand#' || (c_custkey % 25 + 1) AS item FROM customer)

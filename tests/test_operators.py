@@ -103,11 +103,42 @@ def test_owner_chain_resets_after_an_unknown_link(spark):
     assert got == {"id:a": None, "id:b": None}
 
 
+ENTRIES = "entry_id long, fields map<string,string>, gate int, rungs array<struct<ch:int,max_ch:int,fields:map<string,string>>>"
+
+
 def test_rungs_take_the_highest_earned(spark):
-    rows = [(1, "base", 5, [(10, 20, "early"), (15, None, "late"), (15, None, "later")]), (2, "base", 7, []), (3, "base", 7, [(99, None, "never")])]
-    e = spark.createDataFrame(rows, "entry_id long, label string, gate int, rungs array<struct<ch:int,max_ch:int,label:string>>")
-    got = {r["entry_id"]: (r["label"], r["gate"]) for r in gates.resolve_rungs(e, 25).collect()}
-    assert got == {1: ("later", 15), 2: ("base", 7)}
+    rows = [
+        (1, {"label": "base", "text": "old", "_note": "x"}, 5, [(10, 20, {"label": "early"}), (15, None, {"label": "late"}), (15, None, {"text": None, "image": "a.png"}), (None, None, {"label": "?"})]),
+        (2, {"label": "base"}, 7, []),
+        (3, {"label": "base"}, 7, [(99, None, {"label": "never"})]),
+        (4, None, None, [(3, None, {"label": "new"})]),
+        (5, {"label": "kept"}, 9, [(3, 8, None), (2, None, None)]),
+        (6, None, None, None),
+    ]
+    e = spark.createDataFrame(rows, ENTRIES)
+    at = lambda c: {r["entry_id"]: (r["fields"], r["gate"]) for r in gates.resolve_rungs(e, c).collect()}
+    same = {2: ({"label": "base"}, 7), 4: ({"label": "new"}, 3), 5: ({"label": "kept"}, 2), 6: (None, None)}
+    assert at(25) == same | {1: ({"label": "base", "_note": "x", "text": None, "image": "a.png"}, 15)}
+    assert at(14) == same | {1: ({"label": "early", "text": "old", "_note": "x"}, 10)}
+    assert at(8)[5] == ({"label": "kept"}, 3) and 1 not in at(8) and at(100)[3] == ({"label": "never"}, 99)
+    assert gates.resolve_rungs(e.limit(0), 5).collect() == []
+
+
+def test_entries_are_judged_as_they_are_resolved(spark):
+    rows = [
+        (1, {"text": "the golden key"}, 2, [(4, None, {"text": "a key"}), (8, None, {"label": "Golden!"})]),
+        (2, {"text": "the golden key"}, 2, []),
+        (3, {"text": "nothing"}, None, []),
+        (4, {"text": "nothing", "_draft": "golden", "secret": "golden"}, 2, None),
+        (5, {"text": "nothing"}, 2, [(7, None, {"text": "something"})]),
+    ]
+    e, lexicon = spark.createDataFrame(rows, ENTRIES), spark.createDataFrame([("golden", 9), ("key", 1)], "term string, ch int")
+    seen = lambda c: {r["entry_id"]: r["fields"].get("text") for r in gates.visible_at(e, c, lexicon, 50, ("secret",)).collect()}
+    assert seen(3) == {4: "nothing"} and seen(5) == {1: "a key", 4: "nothing"} and seen(8) == {4: "nothing", 5: "something"}
+    assert seen(9) == {1: "the golden key", 2: "the golden key", 4: "nothing", 5: "something"} and seen(50) == seen(9) | {3: "nothing"}
+    leaks = {tuple(r) for r in gates.version_leaks(e, lexicon, [1, 3, 5, 8, 9], ("secret",)).select("entry_id", "field", "term", "cutoff").collect()}
+    assert leaks == {(1, "label", "golden", 8), (1, "text", "golden", 8), (2, "text", "golden", 3)}
+    assert {tuple(r) for r in gates.rung_leaks(e, lexicon).collect()} == {(1, 8, "label", "golden", 9)}
 
 
 def test_terms_of_several_words(spark):
@@ -168,7 +199,7 @@ def test_forms_of_any_length(spark):
     names = spark.createDataFrame([("L", long), ("Z", "émile zola"), ("none", "..."), ("S", "street")], "name string, form string")
     assert sorted((r["name"], r["k"]) for r in evidence.mentions(names, docs, "k", "text").collect()) == [("L", 1), ("S", 4), ("Z", 4)]
     assert evidence.mentions(names.where("name = 'none'"), docs, "k", "text").count() == 0
-    entries = spark.createDataFrame([(1, f"of {long}", 3)], "entry_id long, text string, gate int")
+    entries = spark.createDataFrame([(1, {"text": f"of {long}"}, 3, None)], ENTRIES)
     assert gates.visible_at(entries, 5, spark.createDataFrame([(long, 9)], "term string, ch int"), 100).count() == 0
 
 
