@@ -16,13 +16,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of the feature table, longest n-gram, and words of a segment.
 BITS, NGRAM, SEGMENT = 18, 4, 64
-#: Code points that are taken at once, and texts.
-CODES, TEXTS = 1 << 20, 1 << 14
+#: Characters that are taken at once, and texts; a longer text is taken alone.
+CODES, TEXTS = 1 << 19, 1 << 13
 #: Documents of a language and their characters that a model is fitted to, and words of a lexicon, at most.
 SAMPLE, CHARS, LEXICON = 200, 300_000, 5000
 SPANS = "array<struct<start:int,end:int,lang:string,words:int,score:double>>"
@@ -140,7 +141,7 @@ def marginals(emissions: np.ndarray, moves: np.ndarray, sizes: np.ndarray, segme
     cuts = -(-sizes // segment)
     first = np.concatenate([[0], np.cumsum(cuts)]).astype(int)
     n, place = first[-1], np.arange(len(emissions)) + np.repeat(first[:-1] * segment - np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int), sizes)
-    seen = np.ones((n * segment, labels))
+    seen = np.ones((n * segment, labels), "f4")
     seen[place] = np.exp(emissions - emissions.max(axis=1, keepdims=True))
     seen = np.ascontiguousarray(seen.reshape(n, segment, labels).transpose(1, 2, 0))
     real = np.zeros(n * segment, bool)  # the rest fills up the last segments of chains
@@ -165,7 +166,7 @@ def marginals(emissions: np.ndarray, moves: np.ndarray, sizes: np.ndarray, segme
         for k in range(2, int(cuts.max())):
             at = first[1:][cuts > k] - k
             back[:, at - 1] = _scaled(np.einsum("ijs,js->is", carry[:, :, at], back[:, at]))
-    forward, now = np.empty((segment, labels, n)), ahead
+    forward, now = np.empty((segment, labels, n), "f4"), ahead
     for t in range(segment):
         now = moved_in(now, t) * seen[t]
         forward[t] = now = _scaled(now) if t % 8 == 7 else now
@@ -336,8 +337,11 @@ def label_words(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(at, TEXTS)
+            sizes = pc.utf8_length(whole.column(0)).to_numpy()
+            at = 0
+            while at < len(sizes):
+                n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + TEXTS] + 1), CODES, side="right")))
+                batch, at = whole.slice(at, n), at + n
                 found = _labelled(batch.column(0).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], *found.columns], names=[*[f"c{i}" for i in range(len(kept))], *found.schema.names])
 
