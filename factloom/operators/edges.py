@@ -203,19 +203,38 @@ def link_positions(edges: DataFrame, facts: DataFrame, default: Column) -> DataF
     return both.select("edge_id", tier.alias("tier"), match.alias("match"), F.coalesce(exact, place, other)["fact_id"].alias("fact_id"))
 
 
-def link_values(edges: DataFrame, facts: DataFrame, partial: bool) -> DataFrame:
+def value_parts(value: Column) -> Column:
+    """Array of the names in a composite value like ``One · (Two)``: split at dots between spaces, without enclosing brackets."""
+    def bare(x: Column) -> Column:
+        x = F.trim(x)
+        return F.when(x.startswith("(") & x.endswith(")"), F.trim(F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(x)
+
+    return F.filter(F.transform(F.split(value, r"\s+·\s+"), bare), lambda x: x != "")
+
+
+def link_values(edges: DataFrame, facts: DataFrame, partial: bool = False, default: Column | None = None, first_only: bool = False, composite: bool = True) -> DataFrame:
     """Columns edge_id, tier, outcome and evidence of edges (edge_id, entity_id, target) by facts (fact_id, entity_id, value, tier).
 
-    Composite values are split at `` · ``. A match gives the edge the fact's own tier; facts that name another
-    target are a conflict, or partial coverage where ``partial``.
+    A fact matches if one of its value's names (the whole value, unless ``composite``) is the target, in any case; the
+    first that does, by ``ordinal`` or else by fact_id, gives the edge its own tier. Edges whose entity has facts that all
+    name others are a conflict, or partial coverage where ``partial``; those and edges without a fact get the ``default``
+    tier. Where edges and facts have a ``relation``, only facts of the edge's relation count. With ``first_only`` no fact
+    but an entity's first is looked at.
     """
     low = lambda c: F.lower(F.trim(c))
-    parts = facts.where(F.col("entity_id").isNotNull()).select("fact_id", "entity_id", "tier", F.explode(F.split("value", " · ")).alias("_value"))
-    hits = parts.groupBy("entity_id", low(F.col("_value")).alias("_key")).agg(F.min(F.struct("fact_id", "tier")).alias("_best"))
-    known = parts.select("entity_id", F.lit(True).alias("_known")).distinct()
-    both = edges.withColumn("_key", low(F.col("target"))).join(hits, ["entity_id", "_key"], "left").join(known, "entity_id", "left")
+    keys = ["entity_id", *[k for k in ("relation",) if k in edges.columns and k in facts.columns]]
+    order = F.struct(*[F.col(c) for c in ("ordinal", "fact_id") if c in facts.columns])
+    facts = facts.where(" and ".join(f"{k} is not null" for k in keys)).select(*keys, order.alias("_o"), F.struct("fact_id", "tier", "value").alias("_f"))
+    if first_only:
+        facts = facts.groupBy(*keys).agg(F.min_by("_f", "_o").alias("_f"), F.min("_o").alias("_o"))
+    names = value_parts(F.col("_f.value")) if composite else F.array_compact(F.array("_f.value"))
+    parts = facts.select(*keys, "_o", "_f", F.explode(names).alias("_value"))
+    hits = parts.groupBy(*keys, low(F.col("_value")).alias("_key")).agg(F.min_by("_f", "_o").alias("_best"))
+    known = facts.select(*keys).distinct().withColumn("_known", F.lit(True))
+    both = edges.select("edge_id", *keys, (F.lit(None).cast("string") if default is None else default).alias("_default"), low(F.col("target")).alias("_key"))
+    both = both.join(hits, [*keys, "_key"], "left").join(known, keys, "left")
     outcome = F.when(F.col("_best").isNotNull(), "match").when(F.col("_known").isNull(), "no-fact").otherwise("partial" if partial else "conflict")
-    return both.select("edge_id", F.col("_best.tier").alias("tier"), outcome.alias("outcome"), F.col("_best.fact_id").alias("evidence"))
+    return both.select("edge_id", F.when(F.col("_best").isNotNull(), F.col("_best.tier")).otherwise(F.col("_default")).alias("tier"), outcome.alias("outcome"), F.col("_best.fact_id").alias("evidence"))
 
 
 def facts_without_edge(facts: DataFrame, links: DataFrame) -> DataFrame:
@@ -246,19 +265,40 @@ def _plain_number(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.regexp_replace(number.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""), text)
 
 
+def _whole_number(token: Column) -> Column:
+    """A number that JSON text has with a point or an exponent, in plain digits as far as a decimal has them exactly."""
+    small, large, double = token.try_cast("decimal(38,18)"), token.try_cast("decimal(38,0)"), token.try_cast("double")
+    plain = F.regexp_replace(F.regexp_replace(small.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.coalesce(F.when(small.cast("double") == double, F.regexp_replace(plain, "^-0$", "0")), F.when(large.cast("double") == double, large.cast("string")), token)
+
+
+def canonical(c: Column) -> Column:
+    """A value as text in one form: JSON objects and lists with their keys sorted and their numbers plain (1.0 and 1e0 as 1) at every
+    depth, lists in their order; other numbers likewise; any other text, and JSON that can't be read, as it is."""
+    text = c.cast("string")
+    sorted_ = F.to_json(F.try_parse_json(text))
+    tokens = F.regexp_extract_all(sorted_, F.lit(r'("(?:[^"\\]|\\.)*"|-?[0-9][0-9.]*(?:E-?[0-9]+)?|[^"0-9-]+|-)'), F.lit(1))
+    plain = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"^-?[0-9.]+(E.*|\.0)$"), _whole_number(t)).otherwise(t)), "")
+    nested = F.when(sorted_.rlike(r"[0-9](E|\.0)"), plain).otherwise(sorted_)
+    return F.when(text.rlike(r"(?s)^\s*(\{.*\}|\[.*\])\s*$"), F.coalesce(nested, text)).otherwise(_plain_number(text))
+
+
 def diff_tables(a: DataFrame, b: DataFrame, key: str | list[str], fields: list[str], order: str | None = None) -> DataFrame:
     """Columns key, change, field, old and new: lost and added rows, and each field that drifted.
 
     Of repeated keys the first by ``order`` counts; without one, the least by its fields. With the place in a list as key, lists are
-    compared by position. Numbers are compared as numbers, and rows by a hash before their fields are. Null keys meet.
+    compared by position. Values are compared in their canonical form, so that the order of an object's keys and the
+    way a number is written are no drift at any depth; structs, maps and arrays are compared as JSON. Rows are compared by
+    a hash before their fields are. Null keys meet.
     """
     keys = [key] if isinstance(key, str) else list(key)
 
     def once(df: DataFrame, tag: str) -> DataFrame:
-        values = F.struct(*[F.col(f).cast("string").alias(f) for f in fields])
+        kinds = dict(df.dtypes)
+        values = F.struct(*[(F.to_json(f) if kinds[f].startswith(("struct", "map", "array")) else F.col(f).cast("string")).alias(f) for f in fields])
         first = F.min_by(values, F.struct(order, values)) if order else F.min(values)
         rows = df.groupBy(*[F.col(k).alias(f"{tag}_{k}") for k in keys]).agg(first.alias(tag))
-        return rows.withColumn(f"{tag}_hash", F.xxhash64(*[F.coalesce(_plain_number(F.col(f"{tag}.{f}")), F.lit("\0")) for f in fields]))
+        return rows.withColumn(f"{tag}_hash", F.xxhash64(*[F.coalesce(canonical(F.col(f"{tag}.{f}")), F.lit("\0")) for f in fields]))
 
     same = F.lit(True)
     for k in keys:
@@ -267,7 +307,7 @@ def diff_tables(a: DataFrame, b: DataFrame, key: str | list[str], fields: list[s
     change = F.when(F.col("_b").isNull(), "lost").when(F.col("_a").isNull(), "added").otherwise("drift")
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_a.{f}").alias("old"), F.col(f"_b.{f}").alias("new")) for f in fields])
     none = F.lit(None).cast("string")
-    drifted = F.filter(cells, lambda c: ~_plain_number(c["old"]).eqNullSafe(_plain_number(c["new"])))
+    drifted = F.filter(cells, lambda c: ~canonical(c["old"]).eqNullSafe(canonical(c["new"])))
     rows = both.select(*[F.coalesce(f"_a_{k}", f"_b_{k}").alias(k) for k in keys], change.alias("change"), F.explode(F.when(change == "drift", drifted).otherwise(F.array(F.struct(none.alias("field"), none.alias("old"), none.alias("new"))))).alias("_c"))
     return rows.select(*keys, "change", "_c.field", "_c.old", "_c.new")
 

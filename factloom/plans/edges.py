@@ -209,25 +209,50 @@ def link_positions(spark, sf_dir):
     return e.link_positions(ed, f, F.when(F.col("kind") == "F", "likely").otherwise("speculation"))
 
 
-_LINKS = """ed AS (SELECT p_partkey AS edge_id, p_size AS entity_id, p_brand AS target FROM part), f AS (SELECT s_suppkey AS fact_id, CAST(s_suppkey % 60 AS INTEGER) AS entity_id, 'brand#' || (s_suppkey % 25 + 1) || ' · Brand#' || (s_suppkey % 7 + 1) AS value, CASE WHEN s_acctbal > 0 THEN 'canon' ELSE 'likely' END AS tier FROM supplier),
-  p AS (SELECT fact_id, entity_id, tier, lower(unnest(string_split(value, ' · '))) AS v FROM f), j AS (SELECT edge_id, fact_id, p.tier, coalesce(v = lower(target), false) AS hit FROM ed LEFT JOIN p USING (entity_id)),
-  links AS (SELECT edge_id, arg_min(tier, fact_id) FILTER (hit) AS tier, CASE WHEN bool_or(hit) THEN 'match' WHEN count(fact_id) = 0 THEN 'no-fact' ELSE 'partial' END AS outcome, min(fact_id) FILTER (hit) AS evidence FROM j GROUP BY edge_id)"""
+#: Values of one or two names, with and without brackets and spaces, some empty or null; facts of two relations.
+_LINKS = """ed AS (SELECT p_partkey AS edge_id, CASE WHEN p_partkey % 50 <> 0 THEN p_size END AS entity_id, CASE WHEN p_partkey % 2 = 0 THEN 'near' ELSE 'far' END AS relation, p_brand AS target, p_partkey % 3 = 0 AS ok FROM part),
+  f AS (SELECT s_suppkey AS fact_id, CAST(CASE WHEN s_suppkey % 11 <> 0 THEN s_suppkey % 60 END AS INTEGER) AS entity_id, CASE WHEN s_suppkey % 3 = 0 THEN 'far' ELSE 'near' END AS relation,
+    CASE s_suppkey % 5 WHEN 0 THEN 'brand#' || (s_suppkey % 25 + 1) || ' · Brand#' || (s_suppkey % 7 + 11) WHEN 1 THEN '(Brand#' || (s_suppkey % 7 + 11) || ')' WHEN 2 THEN ' Brand#' || (s_suppkey % 25 + 1) || '  ·  ( BRAND#' || (s_suppkey % 9 + 21) || ' )' WHEN 3 THEN CASE WHEN s_suppkey % 2 = 0 THEN '' END ELSE 'Brand#' || (s_suppkey % 25 + 11) END AS value, CASE WHEN s_acctbal > 0 THEN 'canon' ELSE 'likely' END AS tier, 1000000 - s_suppkey AS ordinal FROM supplier),
+  c AS (SELECT fact_id, trim(unnest(string_split_regex(value, '\\s+·\\s+'))) AS v FROM f), p AS (SELECT fact_id, lower(CASE WHEN v LIKE '(%)' THEN trim(v[2:-2]) ELSE v END) AS v FROM c WHERE v <> ''),
+  j AS (SELECT edge_id, ok, f.fact_id, f.tier, f.ordinal, {hit} AS hit FROM ed LEFT JOIN {facts} f ON f.entity_id = ed.entity_id {more}),
+  links AS (SELECT edge_id, CASE WHEN bool_or(hit) THEN arg_min(tier, ordinal) FILTER (hit) WHEN any_value(ok) THEN 'likely' ELSE 'speculation' END AS tier, CASE WHEN bool_or(hit) THEN 'match' WHEN count(fact_id) = 0 THEN 'no-fact' ELSE '{miss}' END AS outcome, arg_min(fact_id, ordinal) FILTER (hit) AS evidence FROM j GROUP BY edge_id)"""
+_HIT = "coalesce((SELECT bool_or(p.v = lower(ed.target)) FROM p WHERE p.fact_id = f.fact_id), false)"
+
+
+def _linked(spark, sf_dir):
+    k = F.col("p_partkey")
+    ed = table(spark, sf_dir, "part").select(k.alias("edge_id"), F.when(k % 50 != 0, F.col("p_size")).alias("entity_id"), F.when(k % 2 == 0, "near").otherwise("far").alias("relation"), F.col("p_brand").alias("target"), (k % 3 == 0).alias("ok"))
+    k = F.col("s_suppkey")
+    brand = lambda n, by, text="Brand#": F.concat(F.lit(text), k % n + by)
+    value = F.when(k % 5 == 0, F.concat(brand(25, 1, "brand#"), F.lit(" · "), brand(7, 11))).when(k % 5 == 1, F.concat(F.lit("("), brand(7, 11), F.lit(")"))).when(k % 5 == 2, F.concat(F.lit(" "), brand(25, 1), F.lit("  ·  ( "), brand(9, 21, "BRAND#"), F.lit(" )")))
+    value = value.when((k % 5 == 3) & (k % 2 == 0), "").when(k % 5 == 4, brand(25, 11))
+    f = table(spark, sf_dir, "supplier").select(k.alias("fact_id"), F.when(k % 11 != 0, k % 60).cast("int").alias("entity_id"), F.when(k % 3 == 0, "far").otherwise("near").alias("relation"), value.alias("value"), F.when(F.col("s_acctbal") > 0, "canon").otherwise("likely").alias("tier"), (1000000 - k).alias("ordinal"))
+    return ed, f, F.when(F.col("ok"), "likely").otherwise("speculation")
 
 
 def _links(spark, sf_dir):
-    ed = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("edge_id"), F.col("p_size").alias("entity_id"), F.col("p_brand").alias("target"))
-    s = table(spark, sf_dir, "supplier")
-    k = F.col("s_suppkey")
-    f = s.select(k.alias("fact_id"), (k % 60).cast("int").alias("entity_id"), F.concat(F.lit("brand#"), k % 25 + 1, F.lit(" · Brand#"), k % 7 + 1).alias("value"), F.when(F.col("s_acctbal") > 0, "canon").otherwise("likely").alias("tier"))
-    return e.link_values(ed, f, True), f
+    ed, f, default = _linked(spark, sf_dir)
+    return e.link_values(ed.drop("relation"), f, True, default), f
 
 
-@query("e21_link_values", f"WITH {_LINKS} SELECT * FROM links")
+@query("e21_link_values", f"WITH {_LINKS.format(hit=_HIT, facts='f', more='', miss='partial')} SELECT * FROM links")
 def link_values(spark, sf_dir):
     return _links(spark, sf_dir)[0]
 
 
-@query("e22_facts_without_edge", f"WITH {_LINKS} SELECT fact_id, value FROM f WHERE fact_id NOT IN (SELECT evidence FROM links WHERE evidence IS NOT NULL)")
+@query("e21_link_relations", f"WITH {_LINKS.format(hit=_HIT, facts='f', more='AND f.relation = ed.relation', miss='conflict')} SELECT * FROM links")
+def link_relations(spark, sf_dir):
+    ed, f, default = _linked(spark, sf_dir)
+    return e.link_values(ed, f, False, default)
+
+
+@query("e21_link_first", f"WITH {_LINKS.format(hit=_HIT, facts='(SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY ordinal) = 1)', more='', miss='conflict')} SELECT * FROM links")
+def link_first(spark, sf_dir):
+    ed, f, default = _linked(spark, sf_dir)
+    return e.link_values(ed, f.drop("relation"), False, default, first_only=True)
+
+
+@query("e22_facts_without_edge", f"WITH {_LINKS.format(hit=_HIT, facts='f', more='', miss='partial')} SELECT fact_id, value FROM f WHERE fact_id NOT IN (SELECT evidence FROM links WHERE evidence IS NOT NULL)")
 def without_edge(spark, sf_dir):
     links, f = _links(spark, sf_dir)
     return e.facts_without_edge(f, links).select("fact_id", "value")
@@ -257,6 +282,21 @@ def diff(spark, sf_dir):
     return e.diff_tables(a, b, "k", ["status", "prio", "cust"], "n")
 
 
+@query("e24_diff_nested", """WITH a AS (SELECT o_orderkey AS k, '{"id":' || o_custkey || ',"to":{"x":[1,2.50,"1.0"],"y":' || o_custkey % 9 || '},"n":100}' AS doc FROM orders),
+  b AS (SELECT o_orderkey AS k, '{ "n":' || CASE o_orderkey % 3 WHEN 0 THEN '1e2' WHEN 1 THEN '100.0' ELSE '100' END || ', "to":{"y":' || o_custkey % 9 || '.0, "x":[' || CASE o_orderkey % 4 WHEN 0 THEN '2.5,1' WHEN 1 THEN '1.0,25e-1' ELSE '1,2.5' END || ',"1.' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '0' END || '"]}, "id":' || o_custkey || CASE WHEN o_orderkey % 7 = 0 THEN '.5' WHEN o_orderkey % 7 = 1 THEN '.00' ELSE '' END || '}' AS doc FROM orders),
+  v AS (SELECT k, a.doc AS old, b.doc AS new, a.doc::JSON AS x, b.doc::JSON AS y FROM a JOIN b USING (k))
+  SELECT k, 'drift' AS change, 'doc' AS field, old, new FROM v WHERE NOT (CAST(x->'id' AS DOUBLE) = CAST(y->'id' AS DOUBLE) AND CAST(x->'n' AS DOUBLE) = CAST(y->'n' AS DOUBLE) AND CAST(x->'to'->'y' AS DOUBLE) = CAST(y->'to'->'y' AS DOUBLE)
+    AND CAST(x->'to'->'x'->0 AS DOUBLE) = CAST(y->'to'->'x'->0 AS DOUBLE) AND CAST(x->'to'->'x'->1 AS DOUBLE) = CAST(y->'to'->'x'->1 AS DOUBLE) AND (x->'to'->'x'->>2) = (y->'to'->'x'->>2))""")
+def diff_nested(spark, sf_dir):
+    k, text = F.col("o_orderkey"), lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    o = table(spark, sf_dir, "orders")
+    a = o.select(k.alias("k"), text('{"id":', F.col("o_custkey"), ',"to":{"x":[1,2.50,"1.0"],"y":', F.col("o_custkey") % 9, '},"n":100}').alias("doc"))
+    n, x = F.when(k % 3 == 0, "1e2").when(k % 3 == 1, "100.0").otherwise("100"), F.when(k % 4 == 0, "2.5,1").when(k % 4 == 1, "1.0,25e-1").otherwise("1,2.5")
+    end = F.when(k % 7 == 0, ".5").when(k % 7 == 1, ".00").otherwise("")
+    b = o.select(k.alias("k"), text('{ "n":', n, ', "to":{"y":', F.col("o_custkey") % 9, '.0, "x":[', x, ',"1.', F.when(k % 5 == 0, "").otherwise("0"), '"]}, "id":', F.col("o_custkey"), end, "}").alias("doc"))
+    return e.diff_tables(a, b, "k", ["doc"])
+
+
 @query("e15_item_dossier", """WITH w AS (SELECT l_partkey AS item, l_suppkey AS owner, l_returnflag = 'N' AS cur, l_orderkey * 10 + l_linenumber AS o FROM lineitem), h AS (SELECT item, arg_min(owner, o) AS holder FROM w WHERE cur GROUP BY 1)
   SELECT w.item AS item_id, owner AS owner_id, coalesce(s_name, CAST(owner AS VARCHAR)) AS owner, cur AS current, holder FROM w LEFT JOIN supplier ON s_suppkey = owner AND s_suppkey % 4 <> 0 LEFT JOIN h ON h.item = w.item""")
 def items(spark, sf_dir):

@@ -225,3 +225,24 @@ def test_repeated_events_and_groups_of_positions(spark):
     mapping = spark.createDataFrame([("a", 9, [1, 4]), ("b", 2, [8])], "g string, key long, positions array<int>")
     got = sorted((r["g"], r["key"], r["position"], r["how"]) for r in edges.asof_position(events, mapping, ("g",)).collect())
     assert got == [("a", 5, 4, "filler"), ("a", 5, 4, "filler"), ("b", 5, 8, "filler")]
+
+
+def test_nested_values_have_one_form(spark):
+    same = [('{"a":1,"b":2}', '{"b":2.0,"a":1}'), ('[1.0, {"z":1e0,"y":[10.50]}]', '[1,{"y":[10.5],"z":1}]'), ("[1E22]", "[10000000000000000000000]"), ("[1e-7, -0.0]", "[0.0000001, 0]"), (" {} ", "{}"), ('{"é":"\\u00e9"}', '{"é":"é"}'), ("2.0", "2"), ('["a\\"1.0"]', '["a\\"1.0"]'), (None, None)]
+    other = [("[1,2]", "[2,1]"), ('{"a":"1.0"}', '{"a":"1"}'), ('{"a":1}', '{"a":"1"}'), ('{"a":null}', "{}"), ("[1.5]", "[1]"), ('["1E2"]', '["100"]'), ('{"a":{"b":1}}', '{"a":{"b":2}}'), ("{bad}", "{bad }"), ("", None), ("[9007199254740993]", "[9007199254740992]")]
+    frame = lambda rows, side: spark.createDataFrame([(i, r[side]) for i, r in enumerate(rows)], "k long, v string")
+    assert edges.diff_tables(frame(same, 0), frame(same, 1), "k", ["v"]).collect() == []
+    assert edges.diff_tables(frame(other, 0), frame(other, 1), "k", ["v"]).count() == len(other)
+    typed = spark.createDataFrame([(1, {"a": 1.0, "b": 2.5}, [1, 2])], "k long, m map<string,double>, l array<int>")
+    text = spark.createDataFrame([(1, '{"b":2.5,"a":1}', "[1, 2.0]")], "k long, m string, l string")
+    assert edges.diff_tables(typed, text, "k", ["m", "l"]).collect() == []
+
+
+def test_values_in_brackets_relations_and_first_facts(spark):
+    e = spark.createDataFrame([(1, 7, "B", "son"), (2, 7, "B", "friend"), (3, 8, "B", "son"), (4, None, "B", "son"), (5, 7, "C", "son")], "edge_id long, entity_id long, target string, relation string")
+    f = spark.createDataFrame([(1, 7, "A · ( b )", "canon", "son", 2), (2, 7, "(C)", "likely", "friend", 1), (3, None, "B", "canon", "son", 3), (4, 8, None, "canon", "son", 4)], "fact_id long, entity_id long, value string, tier string, relation string, ordinal long")
+    got = lambda *a, **b: {r["edge_id"]: (r["tier"], r["outcome"], r["evidence"]) for r in edges.link_values(*a, **b).collect()}
+    assert got(e, f) == {1: ("canon", "match", 1), 2: (None, "conflict", None), 3: (None, "conflict", None), 4: (None, "no-fact", None), 5: (None, "conflict", None)}
+    assert got(e.drop("relation"), f, True, F.lit("low")) == {1: ("canon", "match", 1), 2: ("canon", "match", 1), 3: ("low", "partial", None), 4: ("low", "no-fact", None), 5: ("likely", "match", 2)}
+    assert got(e.drop("relation"), f, first_only=True) == {1: (None, "conflict", None), 2: (None, "conflict", None), 3: (None, "conflict", None), 4: (None, "no-fact", None), 5: ("likely", "match", 2)}
+    assert got(e.drop("relation"), f, composite=False)[1] == (None, "conflict", None)
