@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators.profile import sliced_lists
 from factloom.operators.resolution import resolve_exact
+from factloom.operators.ranges import in_range, splitters
 from factloom.session import sent_if_small
 
 
@@ -326,18 +327,17 @@ def ingest_entries(entries: DataFrame, registry: DataFrame, tiers: tuple[str, ..
     return both.select(F.concat_ws(":", "id_prefix", F.col("ordinal").cast("string")).alias("id"), "subject", "predicate", "value", tier.alias("tier"), error.alias("error"))
 
 
-def asof_position(events: DataFrame, mapping: DataFrame, group: tuple[str, ...] = (), ranges: int = 1 << 12) -> DataFrame:
+def asof_position(events: DataFrame, mapping: DataFrame, group: tuple[str, ...] = (), ranges: int = 1024) -> DataFrame:
     """Columns group, key, position and how of events (key) by mapping (key, positions): exact, else the next later key, else the one before.
 
-    Equal events are one row until the end. Both sides are stacked in at most ``ranges`` ranges of keys, so that a window
-    sees one range, in one pass over its order each way; what a range lacks at its ends comes from the least and largest
-    mapped keys of its neighbours, a table with a row for each range. Null keys give no row.
+    Equal events are one row until the end. Both sides are stacked in ranges of keys that a quantile sketch cuts, so that a
+    window sees one range, in one pass over its order each way; what a range lacks at its ends comes from the least and
+    largest mapped keys of its neighbours, a table with a row for each range. Null keys give no row.
     """
     m = mapping.select(*group, F.col("key").cast("long").alias("key"), F.array_max("positions").alias("_p")).groupBy(*group, "key").agg(F.max("_p").alias("_p"))
     asked = events.select(*group, F.col("key").cast("long").alias("key")).distinct()
     rows = asked.withColumn("_e", F.lit(1)).unionByName(m.withColumn("_e", F.lit(0)), allowMissingColumns=True).where("key is not null")
-    ends = rows.agg(F.min("key").alias("_low"), F.max("key").alias("_high")).select("_low", F.expr(f"greatest(1, (_high - _low) div {ranges} + 1)").alias("_width"))
-    rows = rows.crossJoin(F.broadcast(ends)).withColumn("_b", F.expr("(key - _low) div _width")).drop("_low", "_width")
+    rows = rows.withColumn("_b", in_range(F.col("key"), splitters(rows, "key", ranges)))
     mark = F.when(F.col("_e") == 0, F.struct("key", "_p"))
     spans = rows.groupBy(*group, "_b").agg(F.min(mark).alias("_lo"), F.max(mark).alias("_hi"))
     before, after = Window.partitionBy(*group).orderBy("_b"), Window.partitionBy(*group).orderBy(F.desc("_b"))

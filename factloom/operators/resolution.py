@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,25 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import name_variants, normalise_key, strip_invisible
-from factloom.session import sent_if_small
+from factloom.operators.ranges import running
+from factloom.session import ensure_checkpoint_dir, sent_if_small
 
 
-def numbered(df: DataFrame, order: str, start: int | F.Column, into: str, buckets: int = 1024) -> DataFrame:
-    """Rows numbered from ``start`` in the order of an integer column, without a window over the whole table.
-
-    Rows are cut into ranges of the order's span; each range starts where the counts of those before it end. Only
-    the table of counts, of at most ``buckets`` rows, is ordered in one place.
-    """
-    ends = df.agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("_high") - F.col("_low") + 1) / F.lit(buckets))).cast("long")
-    rows = df.crossJoin(F.broadcast(ends.select("_low", width.alias("_width")))).withColumn("_range", F.expr("cast((" + order + " - _low) div _width as int)"))
-    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+def numbered(df: DataFrame, order: str, start: int | F.Column, into: str, ranges: int = 1024) -> DataFrame:
+    """Rows numbered from ``start`` in the order of an integer column, without a window over the whole table."""
     start = F.lit(start) if isinstance(start, int) else start
-    out = rows.join(F.broadcast(starts), "_range").withColumn(into, (start + F.col("_start") + within - 1).cast("long"))
-    return out.drop("_range", "_low", "_width", "_start")
+    return running(df, [], order, None, "_number", ranges).withColumn(into, (start + F.col("_number") - 1).cast("long")).drop("_number")
 
 
 def assign_ids(records: DataFrame, registry: DataFrame, prefix: str) -> DataFrame:
@@ -55,45 +45,73 @@ def assign_ordinals(df: DataFrame, number: str, order: str, sort: str) -> DataFr
     return fresh.select(*df.columns).unionByName(df.where(F.col(number).isNotNull()))
 
 
-def _rank_within(df: DataFrame, key: str, order: str, into: str, buckets: int = 1024) -> DataFrame:
-    """Rows numbered from 1 within a key in the order of an integer column, a hot key by ranges of the order's span."""
-    ends = df.agg(F.min(order).alias("_low"), F.max(order).alias("_high")).select("_low", F.expr(f"greatest(1, (_high - _low) div {buckets} + 1)").alias("_width"))
-    rows = df.crossJoin(F.broadcast(ends)).withColumn("_range", F.expr(f"cast(({order} - _low) div _width as int)")).drop("_low", "_width")  # one row
-    counts = rows.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(key, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    number = F.row_number().over(Window.partitionBy(key, "_range").orderBy(order))
-    return rows.withColumn("_k", number).join(starts, [key, "_range"]).withColumn(into, F.col("_start") + F.col("_k")).drop("_range", "_start", "_k")
+def raised_counters(registry: DataFrame, ids: DataFrame) -> DataFrame:
+    """The registry (prefix, next) after ids (id, like ``prefix:00012``) were given out: no counter falls, and new prefixes get one."""
+    number = F.regexp_extract("id", r":(\d+)$", 1).try_cast("long")
+    given = ids.where(number.isNotNull()).groupBy(F.split_part("id", F.lit(":"), F.lit(1)).alias("prefix")).agg((F.max(number) + 1).alias("_next"))
+    return registry.join(given, "prefix", "full").select("prefix", F.greatest("next", "_next").alias("next"))
 
 
 def unique_slugs(df: DataFrame, taken: DataFrame) -> DataFrame:
     """Columns slug and ordinal of rows (base, ordinal): the base itself, or the first free of base-2, base-3 and so on.
 
-    ``taken`` (slug) counts as used. Rows meet by the base without its number, so that natural numbered names are seen.
-    A stem with one base and nothing taken has no conflict: its rows are numbered, in ranges where they are many. Only
-    the stems that have one are given out in source order, each as a group.
+    Rows are served in the order of their ordinals, and ``taken`` (slug) counts as used. A base's i-th row gets its i-th
+    free number, 1 being the base itself. A number is used if it is taken; number k also once a row has come whose own base
+    is base-k, unless this base was there first. So each base's used numbers are sought in rising order, each by how many
+    rows have come by then (one number at a time passes through a task), and its rows then count the used ones
+    below. Ranks and counts go over ranges of rows, so that no base or stem is a group. Bases that are numbered forms of
+    other bases are served after these, level by level.
     """
-    stem = lambda c: F.regexp_replace(c, r"-\d+$", "")
-    rows = df.select(stem("base").alias("_stem"), "base", "ordinal")
-    used = taken.select(stem("slug").alias("_stem"), F.col("slug").alias("base")).distinct()
-    bases = rows.groupBy("_stem").agg((F.min("base") != F.max("base")).alias("_several")).join(used.select("_stem", F.lit(True).alias("_taken")).distinct(), "_stem", "left")
-    hard = bases.where(F.col("_several") | F.col("_taken").isNotNull()).select("_stem")
-
-    def give(group: pd.DataFrame) -> pd.DataFrame:
-        names, next_free, out = set(group.loc[group["_used"], "base"]), {}, []
-        for base, ordinal in group.loc[~group["_used"], ["base", "ordinal"]].sort_values("ordinal").itertuples(index=False):
-            slug, n = base, next_free.get(base, 2)
-            while slug in names:
-                slug, n = f"{base}-{n}", n + 1
-            next_free[base] = n
-            names.add(slug)
-            out.append((slug, int(ordinal)))
-        return pd.DataFrame(out, columns=["slug", "ordinal"])
-
-    plain = _rank_within(rows.join(hard, "_stem", "left_anti"), "base", "ordinal", "_n")
-    plain = plain.select(F.when(F.col("_n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("_n").cast("string"))).alias("slug"), F.col("ordinal").cast("long").alias("ordinal"))
-    group = rows.withColumn("_used", F.lit(False)).unionByName(used.select("_stem", "base", F.lit(None).cast("long").alias("ordinal"), F.lit(True).alias("_used")))
-    return plain.unionByName(group.join(hard, "_stem", "left_semi").groupBy("_stem").applyInPandas(give, "slug string, ordinal long"))
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    ranked = running(df.select("base", F.col("ordinal").cast("long").alias("ordinal")), ["base"], "ordinal", None, "i").checkpoint()
+    bases = ranked.where("i = 1").select("base", F.col("ordinal").alias("first"))
+    numbered_form = F.regexp_extract("_s", r"^(.+)-([2-9]|[1-9]\d{1,9})$", 1)
+    parent = lambda frame, c: frame.withColumn("_s", F.col(c)).select("*", numbered_form.alias("parent"), F.regexp_extract("_s", r"-(\d+)$", 1).try_cast("long").alias("k")).drop("_s")
+    forms = parent(bases, "base").where("parent <> ''")
+    children = forms.join(bases.select(F.col("base").alias("parent")), "parent").select(F.col("parent").alias("base"), "k", "first", F.col("base").alias("child"))
+    # how many rows of a base have come before a child's first
+    probes = children.select("base", F.col("first").alias("ordinal"), "k", "child", F.lit(0).cast("long").alias("n"))
+    asked = ranked.join(children.select("base").distinct(), "base", "left_semi").select("base", "ordinal", F.lit(None).cast("long").alias("k"), F.lit(None).cast("string").alias("child"), F.lit(1).cast("long").alias("n"))
+    seen = running(probes.unionByName(asked), ["base"], "ordinal", "n", "come").where("n = 0").select("base", "k", "come", "child").checkpoint()
+    used = taken.select("slug").distinct()
+    fixed = used.select(F.col("slug").alias("base"), F.lit(1).cast("long").alias("k")).unionByName(parent(used, "slug").where("parent <> ''").select(F.col("parent").alias("base"), "k"))
+    fixed = fixed.join(bases.select("base"), "base", "left_semi").withColumn("come", F.lit(-1).cast("long")).checkpoint()
+
+    def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Numbers in rising order for each base: used before the base gets there, or not; and how many used ones lie below."""
+        base, last, below = None, None, 0
+        for batch in batches:
+            out = []
+            for b, k, come, child in batch[["base", "k", "come", "child"]].itertuples(index=False):
+                if b != base:
+                    base, last, below = b, None, 0
+                again = k == last  # taken and a child at once: the taken one came first
+                blocked = again or come < k - below
+                out.append((b, k, child, blocked, below))
+                below += blocked and not again
+                last = k
+            yield pd.DataFrame(out, columns=["base", "k", "child", "blocked", "below"])
+
+    level, lost, found = bases.select("base").join(seen.select(F.col("child").alias("base")), "base", "left_anti"), None, []
+    while True:
+        events = seen.unionByName(fixed.withColumn("child", F.lit(None).cast("string"))).join(level, "base", "left_semi")
+        if lost is not None:
+            events = events.unionByName(lost)
+        dealt = events.repartition("base").sortWithinPartitions("base", "k", "come")
+        served = dealt.select("base", "k", "come", "child").mapInPandas(serve, "base string, k long, child string, blocked boolean, below long").checkpoint()
+        found.append(served.where("blocked").select("base", "k", "below").groupBy("base", "k").agg(F.min("below").alias("below")))
+        level = served.where("child is not null").select(F.col("child").alias("base")).distinct()
+        lost = served.where("child is not null and not blocked").select(F.col("child").alias("base"), F.lit(1).cast("long").alias("k"), F.lit(-1).cast("long").alias("come"), F.lit(None).cast("string").alias("child"))
+        if level.isEmpty():
+            break
+    blocks = reduce(DataFrame.unionByName, found).select("base", (2 * (F.col("k") - F.col("below")) - 1).alias("at"), F.lit(None).cast("long").alias("ordinal"), F.lit(None).cast("long").alias("i"), F.lit(1).cast("long").alias("n"))
+    # the i-th row lies after the used numbers that have fewer than i free ones below
+    hard = blocks.select("base").distinct()
+    rows = ranked.join(hard, "base", "left_semi").select("base", (2 * F.col("i")).alias("at"), "ordinal", "i", F.lit(0).cast("long").alias("n"))
+    counted = running(rows.unionByName(blocks), ["base"], "at", "n", "_used").where("n = 0").select("base", "ordinal", (F.col("i") + F.col("_used")).alias("_k"))
+    plain = ranked.join(hard, "base", "left_anti").select("base", "ordinal", F.col("i").alias("_k"))
+    return plain.unionByName(counted).select(F.when(F.col("_k") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("_k").cast("string"))).alias("slug"), "ordinal")
 
 
 def natural_keys(df: DataFrame, position: str, volume: str, item: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,25 +57,94 @@ def interpolate_pins(positions: DataFrame, pins: DataFrame, cadence: int = 7) ->
     return rows.select("series", "position", day.alias("day"), F.col("day").isNull().alias("approximate"))
 
 
-def enforce_increasing(timeline: DataFrame, step: int = 7) -> DataFrame:
+def _walk(d: np.ndarray, free: np.ndarray, state: float, step: int) -> np.ndarray:
+    """States from the newest row to the oldest. ``d`` are days less ``step`` for each position, so that a day that is moved before
+    the next one keeps its state; a day that may stay, or a ``free`` one that no next day binds, brings its own."""
+    out = np.empty(len(d))
+    for i, (x, f) in enumerate(zip(d.tolist(), free.tolist())):
+        state = x if f or x < state + step else state
+        out[i] = state
+    return out
+
+
+def _outcomes(d: np.ndarray, free: np.ndarray, step: int) -> tuple[list[float], list[float]]:
+    """What a block makes of the state that comes in: (bars, ends). The state ends as that of the first bar below it plus ``step``; as
+    itself, if there is none. Bars fall, and a free row is one that anything passes."""
+    stack, ends = [], np.empty(len(d))  # rows that the state of an earlier one may meet: the nearest last, each with a higher bar
+    for i in range(len(d) - 1, -1, -1):
+        x = float(d[i])
+        low, high = 0, len(stack)  # the nearest whose bar is below x + step: bars rise along the stack
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if stack[middle][0] < x + step else (low, middle)
+        ends[i] = stack[low - 1][1] if low else x
+        bar = float("-inf") if free[i] else x
+        while stack and stack[-1][0] >= bar:
+            stack.pop()
+        stack.append((bar, float(ends[i])))
+    bars, results, lowest = [], [], float("inf")
+    for i in range(len(d)):
+        bar = float("-inf") if free[i] else float(d[i])
+        if bar < lowest:
+            bars.append(bar), results.append(float(ends[i]))
+            lowest = bar
+        if free[i]:
+            break
+    return bars, results
+
+
+def enforce_increasing(timeline: DataFrame, step: int = 7, block: int = 4096) -> DataFrame:
     """Columns series, position, day, approximate and warned of a timeline (series, position, day, approximate, hard).
 
-    From the newest to the oldest: a day no earlier than the next one, as adjusted, goes ``step`` days before it and
-    becomes approximate; hard anchors stay, with a warning. This is a recurrence, so a series is taken as a whole.
+    From the newest to the oldest: a day no earlier than that of the next position, as adjusted, goes ``step`` days before it
+    and becomes approximate; hard anchors stay, with a warning. A position without a row or a day binds no other; its row
+    stays as it is.
+
+    This is a recurrence, whose state passes through blocks of ``block`` positions. Each block first gives its outcome as a
+    function of the state that comes in, by the days that would stop it; the functions are applied one after another, a row
+    for each block; then every block is repaired with its own state. So a series spreads over tasks.
     """
+    rows = timeline.select("series", "position", "day", "approximate", F.coalesce("hard", F.lit(False)).alias("hard"))
+    dated = rows.where("day is not null and position is not null").select("series", F.col("position").cast("long").alias("position"), F.unix_date("day").alias("_d"), "approximate", "hard", F.floor(F.col("position") / block).alias("_block"))
+
+    def ordered(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        group = group.sort_values("position", ascending=False)
+        at = group["position"].to_numpy()
+        after_gap = np.concatenate([[False], at[:-1] - at[1:] != 1])
+        return group, group["_d"].to_numpy() - step * at, after_gap | group["hard"].to_numpy(bool)
+
+    def outcome(group: pd.DataFrame) -> pd.DataFrame:
+        group, d, free = ordered(group)
+        bars, ends = _outcomes(d, free, step)
+        return pd.DataFrame({"series": group["series"].iloc[:1], "_block": group["_block"].iloc[:1], "_from": group["position"].iloc[:1], "_to": [group["position"].iloc[-1]], "_bars": [bars], "_ends": [ends]})
+
+    def passed(group: pd.DataFrame) -> pd.DataFrame:
+        state, to, out = float("inf"), None, []
+        for r in group.sort_values("_block", ascending=False).itertuples(index=False):
+            state = state if to == r[2] + 1 else float("inf")
+            out.append((r[0], r[1], state))
+            bars = np.asarray(r[4])
+            first = int((bars >= state + step).sum())  # bars fall
+            state, to = (r[5][first] if first < len(bars) else state), r[3]
+        return pd.DataFrame(out, columns=["series", "_block", "_state"])
 
     def repair(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("position")
-        days, approximate, warned = pd.to_datetime(group["day"]).tolist(), group["approximate"].tolist(), [False] * len(group)
-        for i in range(len(group) - 2, -1, -1):
-            if days[i] >= days[i + 1]:
-                if group["hard"].iloc[i]:
-                    warned[i] = True
-                else:
-                    days[i], approximate[i] = days[i + 1] - pd.Timedelta(days=step), True
-        return pd.DataFrame({"series": group["series"], "position": group["position"], "day": [d.date() for d in days], "approximate": approximate, "warned": warned})
-
-    return timeline.groupBy("series").applyInPandas(repair, "series long, position long, day date, approximate boolean, warned boolean")
+        group, d, free = ordered(group)
+        state, at, hard = float(group["_state"].iloc[0]), group["position"].to_numpy(), group["hard"].to_numpy(bool)
+        states = _walk(d, free, state, step)
+        before = np.concatenate([[state], states[:-1]])
+        before[1:][at[:-1] - at[1:] != 1] = np.inf
+        late = d >= before + step
+        moved = late & ~hard
+        return pd.DataFrame({"series": group["series"], "position": at, "_d": (states + step * at).astype("i8"), "approximate": np.where(moved, True, group["approximate"]), "warned": late & hard})
+
+    kind = timeline.schema["series"].dataType.simpleString()
+    known = dated.groupBy("series", "_block").applyInPandas(outcome, f"series {kind}, _block long, _from long, _to long, _bars array<double>, _ends array<double>")
+    states = known.groupBy("series").applyInPandas(passed, f"series {kind}, _block long, _state double")
+    fixed = dated.join(states, ["series", "_block"]).groupBy("series", "_block").applyInPandas(repair, f"series {kind}, position long, _d long, approximate boolean, warned boolean")
+    fixed = fixed.select("series", "position", F.date_from_unix_date(F.col("_d").cast("int")).alias("day"), "approximate", "warned")
+    rest = rows.where("day is null or position is null").select("series", F.col("position").cast("long").alias("position"), F.lit(None).cast("date").alias("day"), "approximate", F.lit(False).alias("warned"))
+    return fixed.unionByName(rest)
 
 
 def release_timeline(**sources: DataFrame) -> DataFrame:

@@ -39,11 +39,13 @@ def pins(spark, sf_dir):
     return t.interpolate_pins(*_pinned(spark, sf_dir))
 
 
-@query("h3_enforce_increasing", f"""WITH RECURSIVE filled AS ({_FILLED}), r AS (SELECT *, position % 5 = 0 AS hard, row_number() OVER (PARTITION BY series ORDER BY position DESC) AS n FROM filled WHERE day IS NOT NULL),
-  w AS (SELECT series, position, day, approximate, false AS warned, n FROM r WHERE n = 1 UNION ALL SELECT r.series, r.position, CASE WHEN r.day >= w.day AND NOT r.hard THEN w.day - 7 ELSE r.day END, r.approximate OR (r.day >= w.day AND NOT r.hard), r.day >= w.day AND r.hard, r.n FROM w JOIN r ON r.series = w.series AND r.n = w.n + 1)
-  SELECT series, position, CAST(day AS DATE) AS day, approximate, warned FROM w""")
+#: Some positions have no day, some no row: neither binds another.
+@query("h3_enforce_increasing", f"""WITH RECURSIVE filled AS ({_FILLED}), s AS (SELECT series, position, CASE WHEN position % 11 <> 3 THEN day END AS day, approximate, position % 5 = 0 AS hard FROM filled WHERE day IS NOT NULL AND position % 13 <> 4), r AS (SELECT * FROM s WHERE day IS NOT NULL),
+  w AS (SELECT series, position, day, approximate, false AS warned FROM r WHERE NOT EXISTS (SELECT 1 FROM r AS x WHERE x.series = r.series AND x.position = r.position + 1)
+    UNION ALL SELECT r.series, r.position, CASE WHEN r.day >= w.day AND NOT r.hard THEN w.day - 7 ELSE r.day END, r.approximate OR (r.day >= w.day AND NOT r.hard), r.day >= w.day AND r.hard FROM w JOIN r ON r.series = w.series AND r.position = w.position - 1)
+  SELECT series, position, CAST(day AS DATE) AS day, approximate, warned FROM w UNION ALL SELECT series, position, NULL, approximate, false FROM s WHERE day IS NULL""")
 def increasing(spark, sf_dir):
-    rows = t.interpolate_pins(*_pinned(spark, sf_dir)).where("day is not null")
+    rows = t.interpolate_pins(*_pinned(spark, sf_dir)).where("day is not null and position % 13 <> 4").withColumn("day", F.when(F.col("position") % 11 != 3, F.col("day")))
     return t.enforce_increasing(rows.withColumn("hard", F.col("position") % 5 == 0))
 
 
