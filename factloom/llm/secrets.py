@@ -73,6 +73,45 @@ def _no_shorter(pattern: str, least: int) -> str:
     return f"{pattern[:-1]}{{{least - fixed},}}"
 
 
+#: Elements of an array that are folded at once, so that none is appended to beyond that; characters of a text's block.
+FOLD, BLOCK = 64, 1024
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, largest: bool = False) -> Column:
+    """Running sums of an array of whole numbers, or running maxima.
+
+    The array is cut into pieces of ``FOLD``; these are folded each, and raised by what the pieces before them come to, which
+    is found by the same rule. So the cost follows the length of the array, up to millions of elements.
+    """
+
+    def fold(a: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            at = F.greatest(acc["at"], x) if largest else acc["at"] + x
+            return F.struct(at.alias("at"), F.concat(acc["all"], F.array(at)).alias("all"))
+
+        return F.aggregate(a, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), step, lambda acc: acc["all"])
+
+    def raised(pieces: Column, ends: Column) -> Column:
+        before = F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(pieces))
+        return F.flatten(F.zip_with(pieces, before, lambda p, t: F.transform(p, lambda v: F.greatest(v, t) if largest else v + t)))
+
+    def long(a: Column, deeper) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.size(a) - 1, F.lit(FOLD)), lambda i: fold(F.slice(a, i + 1, F.lit(FOLD))))
+        return _let(cut, lambda pieces: raised(pieces, _let(F.transform(pieces, lambda p: F.element_at(p, -1)), deeper)))
+
+    short = lambda a, otherwise: F.when(F.size(a) <= FOLD, fold(a)).otherwise(otherwise(a))
+    return _let(values, lambda a: short(a, lambda a: long(a, lambda t: short(t, lambda t: long(t, fold)))))
+
+
+def _span(start: Column, order: Column, kind: Column, end: Column, value: Column) -> Column:
+    return F.struct(start.alias("start"), order.alias("order"), kind.alias("kind"), end.alias("end"), value.alias("value"))
+
+
 def match_spans(text: Column, kind: str, order: int, pattern: str, group: int | None, least: int) -> Column:
     """Array of (start, order, kind, end, value) of the pattern's leftmost non-overlapping matches, in code points.
 
@@ -82,19 +121,13 @@ def match_spans(text: Column, kind: str, order: int, pattern: str, group: int |
     # A run that is too short holds no longer one, so runs can be asked for at full length at once.
     used = _no_shorter(pattern, least) if group == 0 else pattern
     found = F.regexp_extract_all(text, F.lit(used), F.lit(0))
-    between = F.split(text, used, -1)
-    steps = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
-    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int,value:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        value = F.regexp_extract(x["hit"], used, group) if group else x["hit"]
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(value) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def placed(hits: Column) -> Column:
+        sizes = F.zip_with(F.slice(F.split(text, used, -1), F.lit(1), F.size(hits)), hits, lambda gap, hit: F.length(gap) + F.length(hit))
+        return F.zip_with(hits, _running(sizes), lambda hit, end: _span(end - F.length(hit), F.lit(order), F.lit(kind), end, F.regexp_extract(hit, used, group) if group else hit))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(text.rlike(used), F.aggregate(steps, start, step, lambda acc: acc["spans"])).otherwise(none)
+    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int,value:string>>")
+    return F.when(text.rlike(used), F.filter(_let(found, placed), lambda s: F.length(s["value"]) >= least)).otherwise(none)
 
 
 def labelled_samples(docs: DataFrame, docs_bound: int = SAMPLE_DOCS, made: int = SAMPLE_MADE) -> DataFrame:
@@ -209,37 +242,55 @@ def is_random(token: Column, model: Model) -> Column:
     return markov_ratio(token, model) > F.get(bars, token_class(token) * len(LENGTHS) + _length_class(token))
 
 
-def _uncovered(text: Column, spans: Column) -> Column:
-    """The text with blanks for what the spans, in order of start, cover; of the same length."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+def _blocks(text: Column) -> Column:
+    """The text in blocks of ``BLOCK`` characters, so that a place in it is found without reading what lies before."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _part(blocks: Column, start: Column, end: Column) -> Column:
+    """What stands from ``start`` to ``end`` in a text of these blocks."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    head = F.substring(F.get(blocks, first), start % BLOCK + 1, F.least(end - start, F.lit(BLOCK)))
+    more = F.concat(head, F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), F.substring(F.get(blocks, last), F.lit(1), end - last * BLOCK))
+    return F.when(end <= start, "").when(first == last, head).otherwise(more)
+
+
+def _rewritten(text: str, spans: str, write) -> Column:
+    """The text with ``write(at, start, end, part)`` for each span in order of start, ``at`` being how far those before it reach, and
+    what follows the last. Columns of the names ``text``, ``spans`` and ``_blocks``."""
+    part = lambda a, b: _part(F.col("_blocks"), a, b)
+
+    def whole(reached: Column) -> Column:
+        before = F.slice(F.concat(F.array(F.lit(0)), reached), F.lit(1), F.size(reached))
+        parts = F.zip_with(F.col(spans), before, lambda s, at: write(at, s["start"], s["end"], part))
+        return F.concat(F.array_join(parts, ""), part(F.element_at(reached, -1), F.length(text)))
+
+    return F.when(F.size(spans) == 0, F.col(text)).otherwise(_let(_running(F.transform(spans, lambda s: s["end"]), largest=True), whole))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
-        gap = F.substring(text, acc["at"] + 1, fresh - acc["at"])
-        return F.struct(end.alias("at"), F.concat(acc["parts"], F.array(gap, F.repeat(F.lit(" "), end - fresh))).alias("parts"))
 
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(whole)
+def _blanked(at: Column, start: Column, end: Column, part) -> Column:
+    """What is free before a span, and blanks for what it covers anew."""
+    fresh = F.greatest(at, start)
+    return F.concat(part(at, fresh), F.repeat(F.lit(" "), F.greatest(at, end) - fresh))
 
 
 def _pieces(token: Column) -> Column:
     """The parts of a token between separators that are long enough, as spans of their own."""
-    start = F.struct(token["start"].alias("at"), F.array().cast("array<struct<start:int,order:int,kind:string,end:int,value:string>>").alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x)
-        span = F.struct(acc["at"].alias("start"), token["order"].alias("order"), token["kind"].alias("kind"), end.alias("end"), x.alias("value"))
-        return F.struct((end + 1).alias("at"), F.when(F.length(x) >= SHORTEST, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def placed(parts: Column) -> Column:
+        ends = _running(F.transform(parts, lambda x: F.length(x) + 1))
+        return F.zip_with(parts, ends, lambda x, to: _span(token["start"] + to - 1 - F.length(x), token["order"], token["kind"], token["start"] + to - 1, x))
 
-    return F.aggregate(F.split(token["value"], SEPARATORS, -1), start, step, lambda acc: acc["spans"])
+    return F.filter(_let(F.split(token["value"], SEPARATORS, -1), placed), lambda s: F.length(s["value"]) >= SHORTEST)
 
 
 def _scanned(docs: DataFrame, model: Model) -> DataFrame:
-    """Columns row (all of the table's), text (null as empty), base and spans."""
+    """Columns row (all of the table's), text (null as empty), base, spans and _blocks (of texts with a span)."""
     text = F.col("text")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("base", F.array_sort(F.concat(*[match_spans(text, k, i, p, g, n) for i, (k, p, g, n) in enumerate(KINDS)])))
-    rows = rows.withColumn("free", _uncovered(text, F.col("base")))
+    rows = rows.withColumn("_blocks", F.when((F.size("base") > 0) | text.rlike(TOKEN), _blocks(text)))
+    rows = rows.withColumn("free", _rewritten("text", "base", _blanked))
     rows = rows.withColumn("tokens", match_spans(F.col("free"), "markov", len(KINDS), TOKEN, None, SHORTEST)).drop("free")
     test = lambda t: is_random(t["value"], model)
     random = F.flatten(F.transform("tokens", lambda t: F.when(test(t), F.array(t)).otherwise(F.filter(_pieces(t), test))))
@@ -267,14 +318,11 @@ def redact(docs: DataFrame, model: Model, mask: str = "[SECRET]") -> DataFrame:
     share one. Texts without a secret, and null ones, stay as they are; other columns may have any names; an empty
     table gives no rows."""
     rows = _scanned(docs, model)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        inside = (s["start"] < acc["at"]) & (acc["at"] > 0)
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["parts"]).otherwise(F.concat(acc["parts"], F.array(gap, F.lit(mask)))).alias("parts"))
+    def masked(at: Column, start: Column, end: Column, part) -> Column:
+        return F.when((start < at) & (at > 0), "").otherwise(F.concat(part(at, start), F.lit(mask)))
 
-    whole = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    whole = _rewritten("text", "spans", masked)
     kept = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(whole)
     return rows.select(*[kept.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 

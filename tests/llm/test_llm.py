@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -374,6 +375,33 @@ def test_secrets(spark, none, markov):
     assert secrets.scan_secrets(none, markov).count() == 0
 
 
+def test_many_matches_in_one_text(spark, markov):
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    several = " ".join(f"é{word(18)}" if i % 3 else f"token={word(14)}Z {word(9)}" for i in range(5000))
+    parts = "-".join("Zx9Qk2Lw8Rt5Vb3Nm7Pj4Hs6" if i % 50 == 0 else "word" for i in range(6000))
+    overlaps = " ".join(f"{word(20)}api_key={word(30)}AKIA{'A' * 20}" for _ in range(70))
+    texts = [several, parts, overlaps, several[:3000] + parts[:3000], "x" * 1025 + " " + word(2000)]
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), markov).collect()}
+    for i, t in enumerate(texts):
+        assert [(s["start"], s["order"], s["kind"], s["end"]) for s in got[i]["spans"]] == all_spans(t, markov)
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), markov).collect()}
+    for i, t in enumerate(texts):
+        out, at = [], 0
+        for start, _, _, end in all_spans(t, markov):
+            if not (start < at and at > 0):
+                out += [t[at:start], "[SECRET]"]
+            at = max(at, end)
+        assert masked[i] == "".join(out) + t[at:]
+
+
+def test_the_cost_follows_the_matches(spark, markov):
+    one = "0123456789abcdef9 "
+    began = time.time()
+    rows = secrets.scan_secrets(spark.createDataFrame([(1, one * 100_000)], "doc_id long, text string"), markov).select(F.size("spans").alias("n"), F.element_at("spans", -1)["end"].alias("end")).collect()
+    assert [tuple(r) for r in rows] == [(100_000, len(one) * 100_000 - 1)] and time.time() - began < 60  # appended arrays took many minutes
+
+
 def test_random_strings_are_told_from_identifiers(markov):
     rng = np.random.default_rng(11)
     kinds = {"digits": "0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "lower": "abcdefghijklmnopqrstuvwxyz0123456789", "mixed": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
