@@ -133,7 +133,7 @@ def match_spans(text: Column, kind: str, order: int, pattern: str, group: int |
 def labelled_samples(docs: DataFrame, docs_bound: int = SAMPLE_DOCS, made: int = SAMPLE_MADE) -> DataFrame:
     """Labelled samples (token, label, n): 1 for random strings, 0 for ordinary identifiers, n to tell what is held out.
 
-    Random strings are digests of running numbers in base 10, 36 (of either case) and 64. Ordinary identifiers are joined
+    Random strings are digests of running numbers in base 10, 26 and 36 (of either case) and 64. Ordinary identifiers are joined
     from three words, of ``WORDS`` and of about ``docs_bound`` documents (those whose ids' hashes are below a bar set by
     their number), in the ways that names are written: in small letters or capitals with separators, camel case, paths,
     with and without a number; and numbers as they are written: padded, counted up, dates.
@@ -145,7 +145,8 @@ def labelled_samples(docs: DataFrame, docs_bound: int = SAMPLE_DOCS, made: int =
     size = lambda k: F.lit(SHORTEST) + n(k) % 24
     cut = lambda c, k: F.substring(c, F.lit(1), size(k))
     binary = F.base64(F.unhex(digest))
-    random = F.array(cut(base(10), 1), cut(base(36), 2), F.lower(cut(base(36), 3)), cut(binary, 4), cut(F.translate(binary, "+/=", "-_x"), 5), cut(F.translate(binary, "+/=", "abC"), 6))
+    letters = F.translate(base(26), "0123456789ABCDEFGHIJKLMNOP", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    random = F.array(cut(base(10), 1), cut(base(36), 2), F.lower(cut(base(36), 3)), cut(binary, 4), cut(F.translate(binary, "+/=", "-_x"), 5), cut(F.translate(binary, "+/=", "abC"), 6), cut(letters, 21), F.lower(cut(letters, 22)))
     rows = spark.range(made).select("id", F.explode(random).alias("token"), F.lit(1).alias("label"))
 
     def written(words: Column, number: Column) -> Column:
@@ -169,8 +170,8 @@ def labelled_samples(docs: DataFrame, docs_bound: int = SAMPLE_DOCS, made: int =
     share = min(1.0, docs_bound / max(1, docs.count()))
     few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
     found = few.select(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z]{3,}"), F.lit(0)).alias("w"))
-    # each document gives what begins at every 64th word, so that long ones don't outweigh the rest by much more
-    three = found.select(F.posexplode(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: i % 64 == 1), lambda i: F.slice("w", i, F.lit(3)))).alias("i", "w")).where(F.size("w") == 3)
+    # each document gives what begins at every 16th word, so that long ones don't outweigh the rest by much more
+    three = found.select(F.posexplode(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: i % 16 == 1), lambda i: F.slice("w", i, F.lit(3)))).alias("i", "w")).where(F.size("w") == 3)
     corpus = three.select(F.xxhash64("w").alias("id"), F.explode(written(F.col("w"), F.col("i"))).alias("token"))
     ordinary = named.union(numbers).union(corpus).select("id", "token", F.lit(0).alias("label"))
     return rows.unionByName(ordinary).select("token", "label", F.pmod(F.xxhash64("id", "label"), F.lit(4)).cast("int").alias("n"))
