@@ -306,11 +306,15 @@ def parse_claims(texts: DataFrame, names: DataFrame, predicates: list[tuple[str,
     return both.withColumn("_p", pick).where("_p is not null and _p.value <> ''").select("text_id", F.col("_n.name").alias("name"), "_p.predicate", "_p.value")
 
 
-def retrieve_evidence(posts: DataFrame, statements: DataFrame, k: int = 5, stop: tuple[str, ...] = ("the", "and", "this", "that"), topics: DataFrame | None = None) -> DataFrame:
+def retrieve_evidence(posts: DataFrame, statements: DataFrame, k: int = 5, stop: tuple[str, ...] = ("the", "and", "this", "that"), topics: DataFrame | None = None, heavy: int = 1_000_000, most: int = 6) -> DataFrame:
     """Columns post_id, statement_id, score and rank: statements by the post's keywords they hold, those of the question half more.
 
     Keywords are a post's (post_id, text) distinct capitalised words of 3 letters or more, less stop words, and the
     ``topics`` (term) that it holds, in any case and of any number of words. They meet what statements hold by equality.
+
+    Up to ``most`` keywords that would make over ``heavy`` pairs each do not: by which of them they hold, and have in the
+    question, statements fall into at most 3^most classes of equal scores, of which only the first ``k`` can be among a
+    post's first ``k`` for these words alone. Each set of such words looks its ``k`` best up there, once for all posts.
     """
     held = lambda c: F.array_distinct(words(c))
     both = F.concat_ws(" ", "question", "answer")
@@ -325,7 +329,27 @@ def retrieve_evidence(posts: DataFrame, statements: DataFrame, k: int = 5, stop:
         asked = find_forms(statements, ("statement_id",), "question", several, "term").select("statement_id", "_w", F.lit(True).alias("_in_q")).distinct()
         found = find_forms(statements.select("statement_id", "ordinal", both.alias("_both")), ("statement_id", "ordinal"), "_both", several, "term").select("statement_id", "ordinal", "_w").distinct()
         said = said.unionByName(found.join(asked, ["statement_id", "_w"], "left").na.fill(False, ["_in_q"]))
+    costs = said.groupBy("_w").agg(F.count(F.lit(1)).alias("_s")).join(keys.groupBy("_w").agg(F.count(F.lit(1)).alias("_p")), "_w")
+    common = [r["_w"] for r in costs.where(F.col("_s") * F.col("_p") > heavy).orderBy(F.desc(F.col("_s") * F.col("_p")), "_w").limit(most).collect()]
+    if common:
+        ensure_checkpoint_dir(posts.sparkSession)
+        place = F.array_position(F.array(*[F.lit(w) for w in common]), F.col("_w")).cast("int")
+        bit = F.call_function("shiftleft", F.lit(1), place - 1)
+        often = F.col("_w").isin(*common)
+        masks = said.where(often).groupBy("statement_id", "ordinal").agg(F.bit_or(bit).alias("_all"), F.bit_or(F.when(F.col("_in_q"), bit).otherwise(0)).alias("_q")).checkpoint()
+        sets = keys.where(often).groupBy("post_id").agg(F.bit_or(bit).alias("_set"))
+        common_score = F.bit_count(F.col("_all").bitwiseAND(F.col("_set"))) + 0.5 * F.bit_count(F.col("_q").bitwiseAND(F.col("_set")))
+        kinds = masks.withColumn("_n", F.row_number().over(Window.partitionBy("_all", "_q").orderBy("ordinal", "statement_id"))).where(F.col("_n") <= k)
+        # both sides are bounded: k rows for each class, and 2^most sets
+        tried = kinds.join(F.broadcast(sets.select("_set").distinct()), F.col("_all").bitwiseAND(F.col("_set")) != 0).withColumn("score", common_score)
+        tried = tried.withColumn("_n", F.row_number().over(Window.partitionBy("_set").orderBy(F.desc("score"), "ordinal", "statement_id"))).where(F.col("_n") <= k)
+        known = sets.join(tried.select("_set", "statement_id", "ordinal", "score"), "_set").select("post_id", "statement_id", "ordinal", "score")
+        keys, said = keys.where(~often), said.where(~often)
     scored = keys.join(said, "_w").groupBy("post_id", "statement_id", "ordinal").agg((F.count(F.lit(1)) + 0.5 * F.count_if("_in_q")).alias("score"))
+    if common:
+        whole = scored.join(sets, "post_id", "left").join(masks.drop("ordinal"), "statement_id", "left")
+        whole = whole.select("post_id", "statement_id", "ordinal", (F.col("score") + F.coalesce(common_score, F.lit(0.0))).alias("score"))
+        scored = whole.unionByName(known).groupBy("post_id", "statement_id", "ordinal").agg(F.max("score").alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("post_id").orderBy(F.desc("score"), "ordinal")))
     return ranked.where(F.col("rank") <= k).select("post_id", "statement_id", "score", "rank")
 
