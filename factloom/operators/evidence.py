@@ -58,12 +58,12 @@ def linkify(docs: DataFrame, key: str, text: str, names: DataFrame, link: str =
 
 @dataclass(frozen=True)
 class Rules:
-    """Words that grade a statement, and windows in characters."""
+    """Words that grade a statement, which depend on whose statements they are, and windows in characters."""
 
-    dodge: tuple[str, ...] = ("secret", "not telling", "who knows", "wait and see", "can't say")
-    negation: tuple[str, ...] = ("not", "never", "no longer", "isn't", "wasn't", "didn't")
-    agreement: tuple[str, ...] = ("yes", "correct", "exactly", "that's right", "indeed")
-    joke: tuple[str, ...] = ("just kidding", "joke", "haha")
+    dodge: tuple[str, ...]
+    negation: tuple[str, ...]
+    agreement: tuple[str, ...]
+    joke: tuple[str, ...]
     near: int = 80
     wide: int = 150
     before: int = 30
@@ -109,7 +109,7 @@ def _confirmed(question: str, answer: str, value: str, variants: list[str], rule
     return asked and any(reply.startswith(x) for x in rules.agreement) and not any(x in reply for x in rules.dodge)
 
 
-def grade(question: str, answer: str, name: str, value: str, variants: list[str], rules: Rules = Rules()) -> str | None:
+def grade(question: str, answer: str, name: str, value: str, variants: list[str], rules: Rules) -> str | None:
     """What a statement is to the claim that ``name`` has ``value``: the value near the name, undodged, is 'contradict'
     if negated and else 'support'; then a confirmed question is 'support'; the wider window, undodged, is 'context'."""
     text = f"{question} / {answer}"
@@ -122,7 +122,7 @@ def grade(question: str, answer: str, name: str, value: str, variants: list[str]
     return None
 
 
-def evaluate(question: str, answer: str, name: str, value: str, variants: list[str], rules: Rules = Rules()) -> tuple[str, str, str] | None:
+def evaluate(question: str, answer: str, name: str, value: str, variants: list[str], rules: Rules) -> tuple[str, str, str] | None:
     """(tier, intent, rule) of a statement as evidence that ``name`` has ``value``; None where it is rejected or silent.
 
     In order: the value near the name, unless dodged or negated, which ends the matter; a question that holds it and
@@ -166,7 +166,7 @@ def proximity_matches(pairs: DataFrame, window: int, around: int = 80, digits: b
     return pairs.withColumn("_h", hits("text", "name", "value")).select(*pairs.columns, "_h.at", "_h.snippet")
 
 
-def evaluate_evidence(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def evaluate_evidence(pairs: DataFrame, rules: Rules) -> DataFrame:
     """The pairs (question, answer, name, value) that are evidence, with tier, intent and rule."""
     columns = pairs.columns
     rows = pairs.withColumn("_v", value_variants(F.col("value")))
@@ -209,7 +209,7 @@ def _mentioning(claims: DataFrame, statements: DataFrame) -> DataFrame:
     return both.where(F.exists("_raw", lambda v: F.contains(low, v))).select("claim_id", "statement_id", "ordinal", "question", "answer", "name", "value")
 
 
-def verify_claims(claims: DataFrame, statements: DataFrame, rules: Rules = Rules(), strict: bool = False) -> DataFrame:
+def verify_claims(claims: DataFrame, statements: DataFrame, rules: Rules, strict: bool = False) -> DataFrame:
     """Columns claim_id, statement_id, tier, intent and rule: the best evidence for each claim (claim_id, name, value).
 
     Candidates are the statements that mention the name. The earliest canon statement wins, else the earliest likely
@@ -267,7 +267,7 @@ def apply_decisions(queue: DataFrame, facts: DataFrame, ledger: DataFrame) -> tu
     return queue.join(last, ["claim_id", "evidence_id"], "left_anti"), lifted.withColumn("approved", up).withColumn("tier", F.when(F.col("approved"), "canon").otherwise(F.col("tier"))).drop("_ok")
 
 
-def prove_claims(claims: DataFrame, facts: DataFrame, statements: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def prove_claims(claims: DataFrame, facts: DataFrame, statements: DataFrame, rules: Rules) -> DataFrame:
     """Columns claim_id, support, contradict, verdict, tier and context of claims (claim_id, name, predicate, value).
 
     Facts of the same name and predicate support with an equivalent value, else contradict. Every statement that

@@ -49,12 +49,16 @@ def image_alt_audit(pages: DataFrame) -> DataFrame:
 
 
 def metadata_audit(pages: DataFrame) -> DataFrame:
-    """Columns page_id, has_title, has_description, has_og_title, has_canonical and duplicate (an earlier page has the title)."""
+    """Columns page_id, has_title, has_description, has_og_title, has_canonical and duplicate (an earlier page has the title).
+
+    Each title is met with its first page, so that neither pages without a title nor those of a common one are a group.
+    """
     title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    order = Window.partitionBy("_title").orderBy("page_id")
     has = lambda pattern: F.col("html").rlike(pattern)
     rows = pages.select("page_id", title.alias("_title"), has(r'(?i)<meta[^>]*name="description"').alias("has_description"), has(r'(?i)<meta[^>]*property="og:title"').alias("has_og_title"), has(r'(?i)<link[^>]*rel="canonical"').alias("has_canonical"))
-    return rows.select("page_id", (F.col("_title") != "").alias("has_title"), "has_description", "has_og_title", "has_canonical", ((F.col("_title") != "") & (F.row_number().over(order) > 1)).alias("duplicate"))
+    first = rows.where("_title <> ''").groupBy(F.col("_title").alias("_t")).agg(F.min("page_id").alias("_first"))
+    both = rows.join(first, F.when(F.col("_title") != "", F.col("_title")) == F.col("_t"), "left")
+    return both.select("page_id", (F.col("_title") != "").alias("has_title"), "has_description", "has_og_title", "has_canonical", F.coalesce(F.col("page_id") > F.col("_first"), F.lit(False)).alias("duplicate"))
 
 
 def block_audit(pages: DataFrame, start: str, end: str, placeholder: str = "{}") -> DataFrame:
@@ -74,7 +78,7 @@ def scan_markers(docs: DataFrame, key: str, text: str, patterns: dict[str, str])
 
 
 def term_exposure(pages: DataFrame, lexicon: DataFrame, gates: DataFrame) -> DataFrame:
-    """Columns page_id, term and ch of lexicon terms (one to three words) in visible text that the page's gate doesn't cover."""
+    """Columns page_id, term and ch of lexicon terms (any number of words) in visible text that the page's gate doesn't cover."""
     from factloom.operators.gates import _hits
 
     texts = pages.select("page_id", visible_text(F.col("html")).alias("text"))

@@ -38,7 +38,7 @@ def read_records(spark, sf_dir):
 def write_shard(spark, sf_dir):
     path = _folder(spark, "shard")
     c.write_shard(table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("grp")).agg(F.collect_list("c_custkey").alias("members")), path, ["grp"])
-    back = spark.read.schema("grp int, members array<long>").json(path)
+    back = c.read_shard(spark, path, "grp int, members array<long>")
     return back.select("grp", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
@@ -48,7 +48,7 @@ def publish_slices(spark, sf_dir):
     path = _folder(spark, "slices")
     customers = table(spark, sf_dir, "customer")
     manifest = c.publish_slices(customers, "c_custkey", ["c_name"], path)
-    slices = spark.read.schema("c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string, bucket int").json(f"{path}/slices")
+    index, slices = c.read_slices(spark, path, "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string")
     per = slices.groupBy("c_custkey").agg(F.max("c_nationkey").alias("c_nationkey"), F.max("c_acctbal").alias("c_acctbal"), F.max("c_mktsegment").alias("c_mktsegment"), F.count_distinct("bucket").cast("int").alias("slices"))
-    whole = spark.read.parquet(f"{path}/index").join(per, "c_custkey")
+    whole = index.join(per, "c_custkey")
     return whole.crossJoin(F.broadcast(manifest.agg(F.sum("rows").alias("rows"))))  # one row

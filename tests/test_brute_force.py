@@ -9,6 +9,7 @@ import pytest
 
 from factloom.operators.resolution import suggest_aliases
 from factloom.plans import registry
+from factloom.plans.evidence import RULES
 from factloom.sources.tables import statements
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -55,9 +56,7 @@ def first_near(text, name, value, window):
     return None
 
 
-DODGES = ["secret", "not telling", "who knows", "wait and see", "can't say"]
-NEGATIONS = ["not", "never", "no longer", "isn't", "wasn't", "didn't"]
-YES = ("yes", "correct", "exactly", "that's right", "indeed")
+DODGES, NEGATIONS, YES = RULES.dodge, RULES.negation, RULES.agreement
 
 
 def judged(q, a, name, value):

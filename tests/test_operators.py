@@ -10,46 +10,47 @@ from factloom.operators import edges, evidence, facts, gates, profile, reconcile
 from factloom.operators.pages import image_alt_audit
 from factloom.sources import catalogue
 
+RULES = evidence.Rules(dodge=("ask again", "no comment"), negation=("not", "never"), agreement=("sure", "so it is"), joke=("only teasing",))
 EVIDENCE = [
     ("Does Adah like oranges?", "Adah likes oranges a lot.", ("canon", "serious", "near")),
     ("What of Adah?", "Adah is not fond of oranges.", None),
-    ("What of Adah?", "Oranges? That is a secret, Adah. Later: Adah has oranges.", None),
-    ("Is it true about oranges?", "Yes, exactly.", ("canon", "confirmation", "confirmed")),
-    ("Is it true about oranges?", "Yes, but wait and see.", None),
+    ("What of Adah?", "Oranges? No comment, Adah. Later: Adah has oranges.", None),
+    ("Is it true about oranges?", "So it is, quite.", ("canon", "confirmation", "confirmed")),
+    ("Is it true about oranges?", "Sure, but ask again.", None),
     ("Adah " + "x " * 60 + "oranges", "ok", ("likely", "serious", "wide")),
-    ("Adah likes oranges", "haha, just kidding", ("canon", "joke", "near")),
+    ("Adah likes oranges", "well, only teasing", ("canon", "joke", "near")),
     ("nothing", "at all", None),
 ]
 
 
 @pytest.mark.parametrize("question,answer,want", EVIDENCE)
 def test_evidence_branches(question, answer, want):
-    assert evidence.evaluate(question, answer, "Adah", "oranges", ["oranges", "oranges"]) == want
+    assert evidence.evaluate(question, answer, "Adah", "oranges", ["oranges", "oranges"], RULES) == want
 
 
 def test_evidence_by_variant_and_digits():
-    assert evidence.evaluate("q", "Adah has 1500 coins", "Adah", "1,500 (old)", ["1,500 (old)", "1,500", "1500"]) == ("likely", "serious", "variant")
-    assert evidence.evaluate("q", "Adah is 87 or so", "Adah", "87cm", ["87cm"]) == ("likely", "ambiguous", "digits")
+    assert evidence.evaluate("q", "Adah has 1500 coins", "Adah", "1,500 (old)", ["1,500 (old)", "1,500", "1500"], RULES) == ("likely", "serious", "variant")
+    assert evidence.evaluate("q", "Adah is 87 or so", "Adah", "87cm", ["87cm"], RULES) == ("likely", "ambiguous", "digits")
 
 
 def test_verify_takes_the_earliest_canon_statement(spark):
     rows = [("s1", 1, "Adah", "x " * 60 + "oranges"), ("s2", 2, "What?", "Adah likes oranges."), ("s3", 3, "What?", "Adah likes oranges."), ("s4", 4, "What?", "Bert sleeps.")]
     s = spark.createDataFrame(rows, "statement_id string, ordinal long, question string, answer string")
     claims = spark.createDataFrame([(1, "Adah", "likes", "oranges"), (2, "Bert", "likes", "oranges"), (3, "Adah", "likes", None)], "claim_id long, name string, predicate string, value string")
-    got = evidence.verify_claims(claims, s).collect()
+    got = evidence.verify_claims(claims, s, RULES).collect()
     assert [(r["claim_id"], r["statement_id"], r["tier"]) for r in got] == [(1, "s2", "canon")]
     f = spark.createDataFrame([("Bert", "likes", "sleep", "canon")], "name string, predicate string, value string, tier string")
-    verdicts = {r["claim_id"]: r["verdict"] for r in evidence.prove_claims(claims, f, s).collect()}
+    verdicts = {r["claim_id"]: r["verdict"] for r in evidence.prove_claims(claims, f, s, RULES).collect()}
     assert verdicts[1] == "confirmed" and verdicts[2] == "contradicted"
 
 
 def test_prove_counts_every_statement(spark):
     far = "Adah " + "x " * 50 + "plums"
-    rows = [("s1", 1, "What?", "Adah likes pears."), ("s2", 2, "Does Adah like pears?", "Yes"), ("s3", 3, "What?", "Adah never likes figs."), ("s4", 4, "What?", "Adah likes figs."), ("s5", 5, "What?", far)]
+    rows = [("s1", 1, "What?", "Adah likes pears."), ("s2", 2, "Does Adah like pears?", "Sure"), ("s3", 3, "What?", "Adah never likes figs."), ("s4", 4, "What?", "Adah likes figs."), ("s5", 5, "What?", far)]
     s = spark.createDataFrame(rows, "statement_id string, ordinal long, question string, answer string")
     claims = spark.createDataFrame([(1, "Adah", "likes", "pears"), (2, "Adah", "likes", "figs"), (3, "Adah", "likes", "plums"), (4, "Adah", "likes", None)], "claim_id long, name string, predicate string, value string")
     f = spark.createDataFrame([("Bert", "likes", "sleep", "canon")], "name string, predicate string, value string, tier string")
-    got = {r["claim_id"]: tuple(r)[1:] for r in evidence.prove_claims(claims, f, s).collect()}
+    got = {r["claim_id"]: tuple(r)[1:] for r in evidence.prove_claims(claims, f, s, RULES).collect()}
     assert got == {1: (2, 0, "confirmed", "canon", 0), 2: (1, 1, "contradicted", "disproven", 0), 3: (0, 0, "unknown", "speculation", 1), 4: (0, 0, "unknown", "speculation", 0)}
 
 
@@ -246,3 +247,46 @@ def test_values_in_brackets_relations_and_first_facts(spark):
     assert got(e.drop("relation"), f, True, F.lit("low")) == {1: ("canon", "match", 1), 2: ("canon", "match", 1), 3: ("low", "partial", None), 4: ("low", "no-fact", None), 5: ("likely", "match", 2)}
     assert got(e.drop("relation"), f, first_only=True) == {1: (None, "conflict", None), 2: (None, "conflict", None), 3: (None, "conflict", None), 4: (None, "no-fact", None), 5: ("likely", "match", 2)}
     assert got(e.drop("relation"), f, composite=False)[1] == (None, "conflict", None)
+
+
+def test_a_failed_write_leaves_the_old_version(spark, tmp_path):
+    path = f"{tmp_path}/shard"
+    first = spark.createDataFrame([(1, ["b", "a"]), (2, ["c"])], "grp int, members array<string>")
+    catalogue.write_shard(first, path, ["grp"])
+    read = lambda: sorted((r["grp"], tuple(r["members"])) for r in catalogue.read_shard(spark, path, "grp int, members array<string>").collect())
+    assert read() == [(1, ("a", "b")), (2, ("c",))]
+    broken = first.withColumn("members", F.when(F.col("grp") == 2, F.raise_error(F.lit("broken"))).otherwise(F.col("members")))
+    with pytest.raises(Exception, match="broken"):
+        catalogue.write_shard(broken, path, ["grp"])
+    assert read() == [(1, ("a", "b")), (2, ("c",))]
+    # a shard may be written from itself
+    catalogue.write_shard(catalogue.read_shard(spark, path, "grp int, members array<string>").withColumn("grp", F.col("grp") + 1), path, ["grp"])
+    assert read() == [(2, ("a", "b")), (3, ("c",))]
+    left = [x.name for x in (tmp_path / "shard").iterdir() if not x.name.endswith(".crc")]
+    assert sorted(left)[0] == "CURRENT" and len(left) == 2  # older versions and what failed are gone
+
+    out = f"{tmp_path}/slices"
+    rows = spark.createDataFrame([(i, f"n{i}") for i in range(20)], "k int, name string")
+    catalogue.publish_slices(rows, "k", ["name"], out, 4)
+    with pytest.raises(Exception, match="broken"):
+        catalogue.publish_slices(rows.withColumn("name", F.when(F.col("k") == 7, F.raise_error(F.lit("broken"))).otherwise("x")), "k", ["name"], out, 4)
+    index, slices = catalogue.read_slices(spark, out, "k int, name string")
+    assert {tuple(r) for r in index.select("k", "name").collect()} == {tuple(r) for r in slices.select("k", "name").collect()} == {(i, f"n{i}") for i in range(20)}
+
+
+def test_records_of_one_file_in_parts(spark, tmp_path):
+    (tmp_path / "map.json").write_text('\ufeff{"a, {b": {"x": "1,2", "y": [1, {"z": "}"}]}, "_n": 7, "q\\"k": {"x": null, "y": []},\n "last\\\\": {"x": "e\\\\", "y": ["a,b"]} }')
+    (tmp_path / "list.json").write_text('[{"x": "a"}, 5, [1,2], {"x": "b,{[", "y": [[1], [2]]},{"x":"\\u00e9"}\n]')
+    (tmp_path / "wrapped.json").write_text('{"note": {"items": [1]}, "items": [{"x": "p"}, {"x": "q, r"}], "more": {"items": [{"x": "no"}]}}')
+    (tmp_path / "empty.json").write_text("{}")
+    fields, usual = "x string", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (1 << 26, 7):
+        if size == 7:  # a file is several splits
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "24")
+            assert spark.read.option("lineSep", ",").text(f"{tmp_path}/map.json").rdd.getNumPartitions() > 3
+        rows = lambda name, shape, wrapper=None: {tuple(r) for r in catalogue.read_records(spark, f"{tmp_path}/{name}.json", shape, fields, wrapper, part=size).collect()}  # noqa: B023, E731
+        assert rows("map", "map") == {("a, {b", "1,2"), ('q"k', None), ("last\\", "e\\")}
+        assert rows("list", "list") == {("a",), ("b,{[",), ("é",)}
+        assert rows("wrapped", "wrapped", "items") == {("p",), ("q, r",)}
+        assert rows("empty", "map") == set()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
