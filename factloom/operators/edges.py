@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.profile import sliced_lists
-from factloom.operators.resolution import resolve_exact
 from factloom.operators.ranges import in_range, splitters
-from factloom.session import sent_if_small
+from factloom.operators.resolution import numbered, resolve_exact
+from factloom.session import ensure_checkpoint_dir, sent_if_small
 
 
 def edges_observed(obs: DataFrame, index: DataFrame) -> DataFrame:
@@ -63,21 +63,37 @@ def edges_owns(chains: DataFrame, index: DataFrame, skip: tuple[str, ...] = ("un
     return rows.withColumn("from_owner", before).where("entity_id is not null").select("item_id", F.col("entity_id").alias("from_id"), "from_owner", "current")
 
 
+def new_credits(credits: DataFrame, known: DataFrame, start: int, prefix: str = "va") -> DataFrame:
+    """Columns credit_key, credit_id and name of the credits (credit, and ordinal where there is a source order) that ``known``
+    (credit_key) lacks: registry rows, whose ids ``resolution.raised_counters`` then takes.
+
+    Spellings that differ in case are one credit. With an ordinal, ids are given in the order in which credits first come, and
+    the first spelling is the name; without one, ids go by the folded name, and the least spelling is the name.
+    """
+    key = F.lower(F.trim("credit")).alias("credit_key")
+    placed = "ordinal" in credits.columns
+    order = F.struct("ordinal", F.trim("credit").alias("name")) if placed else F.struct(F.trim("credit").alias("name"))
+    fresh = credits.where(F.trim("credit") != "").groupBy(key).agg(F.min(order).alias("_f")).join(known.select("credit_key"), "credit_key", "left_anti")
+    if placed:
+        numbers = numbered(fresh.select("credit_key", "_f.name", F.col("_f.ordinal").cast("long").alias("_o")), "_o", start, "_n")
+    else:
+        # ids are given in the order of names, which has no numbers of its own: ranges of it are counted
+        ranged = fresh.select("credit_key", "_f.name").repartitionByRange("credit_key").withColumn("_part", F.spark_partition_id()).checkpoint()
+        starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+        within = F.row_number().over(Window.partitionBy("_part").orderBy("credit_key"))
+        numbers = ranged.withColumn("_n", within).join(F.broadcast(starts), "_part").withColumn("_n", F.col("_n") + F.col("_start") + start - 1)  # a row for each partition
+    return numbers.select("credit_key", F.concat(F.lit(prefix + ":"), F.lpad(F.col("_n").cast("string"), 5, "0")).alias("credit_id"), "name")
+
+
 def edges_credits(credits: DataFrame, known: DataFrame, start: int, prefix: str = "va") -> DataFrame:
     """Columns credit_id, subject and lang of credits (credit, subject, lang): one edge each, whatever the case.
 
-    Unseen credits get new ids in order of their folded names; ``known`` has credit_key and credit_id.
+    ``known`` has credit_key and credit_id; unseen credits get the ids of ``new_credits``.
     """
-    once = credits.select(F.lower(F.trim("credit")).alias("_key"), "subject", "lang").where("_key <> ''").distinct()
-    fresh = once.select("_key").distinct().join(known, F.col("_key") == F.col("credit_key"), "left_anti")
-    # credits are few beside their edges, and numbered by ranges of their sort order
-    ranged = fresh.repartitionByRange("_key").withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("_key")))
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-    starts = counts.select("_part", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    new = ranged.join(F.broadcast(starts), "_part").select("_key", F.concat(F.lit(prefix + ":"), F.lpad((F.col("_start") + F.col("_n") + start - 1).cast("string"), 5, "0")).alias("credit_id"))
-    ids = new.unionByName(known.select(F.col("credit_key").alias("_key"), "credit_id"))
-    return once.join(ids, "_key").select("credit_id", "subject", "lang")
+    ensure_checkpoint_dir(credits.sparkSession)
+    once = credits.select(F.lower(F.trim("credit")).alias("credit_key"), "subject", "lang").where("credit_key <> ''").distinct()
+    ids = new_credits(credits, known, start, prefix).select("credit_key", "credit_id").unionByName(known.select("credit_key", "credit_id"))
+    return once.join(ids, "credit_key").select("credit_id", "subject", "lang")
 
 
 def edges_set_in(arcs: DataFrame, places: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -106,10 +122,11 @@ def edges_cites(posts: DataFrame, stance: DataFrame) -> DataFrame:
     return rows.join(sent_if_small(stance), "status", "left").select("post_id", F.concat(F.lit("ch:"), F.col("_n").cast("string")).alias("to_id"), "stance")
 
 
-def lookup(edges: DataFrame, side: str, other: str, per: int | None = None) -> DataFrame:
+def lookup(edges: DataFrame, side: str, other: str, per: int | None = 1000) -> DataFrame:
     """Columns side, others (sorted) and n: what each end of the edges is tied to.
 
-    With ``per``, an end with more others has several rows, told by ``slice``; without it, an end's others are one row.
+    An end with more than ``per`` others has several rows, told by ``slice``. With None, an end's others are one row,
+    which is for ends that are known to have few.
     """
     if per:
         return sliced_lists(edges, side, other, per).withColumnRenamed("items", "others")
@@ -138,22 +155,35 @@ def item_dossier(owners: DataFrame, names: DataFrame) -> DataFrame:
     return named.select("item_id", "owner_id", F.coalesce("name", F.col("owner_id").cast("string")).alias("owner"), "current", "holder")
 
 
-def entity_dossier(shards: dict[str, DataFrame], names: DataFrame, rows_only: bool = False) -> DataFrame:
-    """One row for each entity in ``names`` (entity_id, name): for each shard (entity_id, item) its count and sorted items.
+def entity_dossier(shards: dict[str, DataFrame], names: DataFrame, rows_only: bool = True, debuts: DataFrame | None = None) -> DataFrame:
+    """What each entity in ``names`` (entity_id, name) is tied to: a row for each item (entity_id, name, shard, item).
+
+    A shard has (entity_id, item), or (entity_id, other_id), whose item is the other end's name, or its id where it has
+    none; ``both_directions`` makes a shard of edges that count from either end. ``debuts`` (entity_id, position, kind,
+    ordinal) add the columns debut and debut_kind, of the first row at the least position.
 
-    All shards are stacked and grouped once by entity, so that another shard costs no other shuffle. An entity's items
-    are one row; with ``rows_only`` each item is a row (entity_id, name, shard, item), for entities of any size.
+    Without ``rows_only``, one row for each entity: for each shard its count and its sorted items, which have to be few enough
+    for a row. All shards are stacked and grouped once by entity, so that another shard costs no other shuffle.
     """
     stacked = None
     for shard, df in shards.items():
-        rows = df.select("entity_id", F.lit(shard).alias("_shard"), F.col("item").cast("string").alias("_item"))
+        other = F.col("other_id").cast("string") if "other_id" in df.columns else F.lit(None).cast("string")
+        item = F.lit(None).cast("string") if "other_id" in df.columns else F.col("item").cast("string")
+        rows = df.select("entity_id", F.lit(shard).alias("_shard"), item.alias("_item"), other.alias("_other"))
         stacked = rows if stacked is None else stacked.unionByName(rows)
+    if any("other_id" in df.columns for df in shards.values()):
+        ends = names.where("name is not null").select(F.col("entity_id").cast("string").alias("_other"), F.col("name").alias("_name"))
+        stacked = stacked.join(ends, "_other", "left").withColumn("_item", F.coalesce("_item", "_name", "_other"))
+    more = []
+    if debuts is not None:
+        first = debuts.groupBy("entity_id").agg(F.min_by(F.struct("position", "kind"), F.struct("position", "ordinal")).alias("_d"))
+        names = names.join(first, "entity_id", "left").withColumns({"debut": F.col("_d.position"), "debut_kind": F.col("_d.kind")}).drop("_d")
+        more = ["debut", "debut_kind"]
     if rows_only:
-        return names.join(stacked, "entity_id").select("entity_id", "name", F.col("_shard").alias("shard"), F.col("_item").alias("item"))
+        return names.join(stacked, "entity_id").select("entity_id", "name", *more, F.col("_shard").alias("shard"), F.col("_item").alias("item"))
     cells = [x for s in shards for x in (F.count_if(F.col("_shard") == s).alias(f"n_{s}"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("_shard") == s, F.col("_item")))), ",").alias(s))]
-    per = stacked.groupBy("entity_id").agg(*cells)
-    out = names.join(per, "entity_id", "left")
-    return out.select("entity_id", "name", *[F.coalesce(f"n_{s}", F.lit(0)).alias(f"n_{s}") for s in shards], *[F.coalesce(s, F.lit("")).alias(s) for s in shards])
+    out = names.join(stacked.groupBy("entity_id").agg(*cells), "entity_id", "left")
+    return out.select("entity_id", "name", *more, *[F.coalesce(f"n_{s}", F.lit(0)).alias(f"n_{s}") for s in shards], *[F.coalesce(s, F.lit("")).alias(s) for s in shards])
 
 
 def place_dossier(set_in: DataFrame, born_in: DataFrame, names: DataFrame) -> DataFrame:

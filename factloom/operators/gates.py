@@ -222,11 +222,19 @@ def filter_for_readers(items: DataFrame, readers: DataFrame, latest: int, unset:
 
 
 def pick_version(versions: DataFrame, readers: DataFrame, latest: int) -> DataFrame:
-    """Columns reader_id, item_id and version: the latest with from <= cutoff; caught-up readers get the last one anyway."""
-    per = versions.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("from", "version"))).alias("_all"))
-    usable = F.filter("_all", lambda v: (v["from"] <= F.col("cutoff")) | (F.col("cutoff") >= latest))
-    both = readers.select("reader_id", "cutoff", "item_id").join(per, "item_id")
-    return both.select("reader_id", "item_id", F.try_element_at(F.transform(usable, lambda v: v["version"]), F.lit(-1)).alias("version"))
+    """Columns reader_id, item_id and version: the latest with from <= cutoff; caught-up readers get the last one anyway.
+
+    Versions and the distinct cutoffs at which an item is asked for are put in one order, which is few rows for an item,
+    however many readers it has; readers then look their cutoff up. Items without a version give no row.
+    """
+    at = F.when(F.col("cutoff") < latest, F.col("cutoff").cast("long")).otherwise(F.lit((1 << 62) - 1)).alias("_at")
+    asked = readers.where("cutoff is not null").select("item_id", at).distinct()
+    known = versions.select("item_id", F.col("from").cast("long").alias("_at"), F.struct("from", "version").alias("_v"))
+    order = Window.partitionBy("item_id").orderBy("_at", F.col("_v").isNull(), "_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = known.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    found = found.withColumn("_last", F.last("_v", True).over(order)).where("_asked").select("item_id", "_at", "_last.version")
+    rows = readers.select("reader_id", "item_id", "cutoff").join(versions.select("item_id").distinct(), "item_id", "left_semi")
+    return rows.withColumn("_at", F.when(F.col("cutoff").isNotNull(), at)).join(found, ["item_id", "_at"], "left").select("reader_id", "item_id", "version")
 
 
 def gate_coverage(sources: DataFrame, pattern: str = r"(\d{1,4})") -> DataFrame:

@@ -82,10 +82,11 @@ def sliced_lists(df: DataFrame, key: str, item: str, per: int) -> DataFrame:
     return rows.groupBy(key, "slice").agg(F.sort_array(F.collect_list(item)).alias("items"), F.count(F.lit(1)).alias("n"))
 
 
-def invert_multivalue(df: DataFrame, key: str, values: Column, name: str = "value", per: int | None = None) -> DataFrame:
+def invert_multivalue(df: DataFrame, key: str, values: Column, name: str = "value", per: int | None = 1000) -> DataFrame:
     """Columns value, keys and n: for each value in an array column, the sorted distinct keys that hold it.
 
-    With ``per``, a value of more keys has several rows, told by ``slice``; without it, a value's keys are one row.
+    A value of more than ``per`` keys has several rows, told by ``slice``. With None, a value's keys are one row, which is
+    for values that are known to have few.
     """
     one = df.select(key, F.explode(values).alias(name)).distinct()
     if per:

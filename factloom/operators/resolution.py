@@ -411,10 +411,10 @@ def validate_identities(records: DataFrame, registry: DataFrame, allowed: DataFr
     number = F.regexp_extract("id", r":(\d+)$", 1).try_cast("long")
     counter = registry.select(F.col("prefix").alias("_p"), "next")
     base = records.join(sent_if_small(counter), F.split_part(F.col("id"), F.lit(":"), F.lit(1)) == F.col("_p"), "left")
-    row = lambda check, severity, cond: base.where(cond).agg(F.count(F.lit(1)).alias("n")).select(F.lit(check).alias("check"), F.lit(severity).alias("severity"), "n")
     missing = F.coalesce(F.col("name"), F.lit("")) == ""
-    found = row("missing-field", "error", missing | F.col("id").isNull() | F.col("slug").isNull())
-    found = found.union(row("bad-id", "error", ~F.col("id").rlike(r"^[a-z]+:\d{5,}$"))).union(row("bad-slug", "error", ~F.col("slug").rlike("^[a-z0-9]+(-[a-z0-9]+)*$"))).union(row("past-counter", "error", number >= F.col("next")))
+    checks = {"missing-field": missing | F.col("id").isNull() | F.col("slug").isNull(), "bad-id": ~F.col("id").rlike(r"^[a-z]+:\d{5,}$"), "bad-slug": ~F.col("slug").rlike("^[a-z0-9]+(-[a-z0-9]+)*$"), "past-counter": number >= F.col("next")}
+    counts = base.agg(*[F.count_if(c).alias(n) for n, c in checks.items()])  # all in one pass
+    found = counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.lit("error").alias("severity"), F.col(f"`{n}`").alias("n")) for n in checks])).alias("_c")).select("_c.*")
     clash = records.groupBy("type", "slug").agg(F.count_distinct("id").alias("_n")).where("_n > 1").agg(F.count(F.lit(1)).alias("n"))
     forms = records.select("id", "type", F.explode("aliases").alias("alias")).withColumn("alias", F.lower(F.trim("alias"))).where("alias <> ''")
     claims = forms.groupBy("alias").agg(F.count_distinct("id").alias("_ids"), F.count_distinct("type").alias("_types")).where("_ids > 1").join(allowed.select(F.col("alias"), F.lit(True).alias("_ok")), "alias", "left")

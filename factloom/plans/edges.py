@@ -87,6 +87,14 @@ def credits(spark, sf_dir):
     return e.edges_credits(rows, known, 700)
 
 
+@query("e7_new_credits", """WITH c AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE ' ' || p_name END AS credit, p_partkey AS ordinal FROM part), f AS (SELECT lower(trim(credit)) AS k, min(ordinal) AS o, arg_min(trim(credit), ordinal) AS name FROM c GROUP BY 1)
+  SELECT k AS credit_key, 'va:' || lpad(CAST(row_number() OVER (ORDER BY o) + 41 AS VARCHAR), 5, '0') AS credit_id, name FROM f WHERE k NOT LIKE 'red%'""")
+def new_credits(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    known = p.where("lower(p_name) like 'red%'").select(F.lower("p_name").alias("credit_key")).distinct()
+    return e.new_credits(p.select(F.when(k % 2 == 0, F.upper("p_name")).otherwise(F.concat(F.lit(" "), "p_name")).alias("credit"), k.alias("ordinal")), known, 42)
+
+
 @query("e8_edges_born_in", """SELECT c_custkey AS from_id, CASE WHEN c_custkey % 3 = 2 THEN NULL ELSE 'n:' || n_nationkey END AS to_id, CASE c_custkey % 3 WHEN 0 THEN n_name WHEN 1 THEN 'Sea (' || n_name || ')' ELSE 'elsewhere' END AS raw,
   CASE c_custkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'sub-location' END AS how FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def born_in(spark, sf_dir):
@@ -127,7 +135,7 @@ def cites(spark, sf_dir):
 @query("e12_lookup", "SELECT c_nationkey AS from_id, array_to_string(list(c_custkey ORDER BY c_custkey), ',') AS others, count(*) AS n FROM customer GROUP BY 1")
 def lookup(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("from_id"), F.col("c_custkey").alias("to_id"))
-    return e.lookup(c, "from_id", "to_id").withColumn("others", F.array_join(F.col("others").cast("array<string>"), ","))
+    return e.lookup(c, "from_id", "to_id", per=None).withColumn("others", F.array_join(F.col("others").cast("array<string>"), ","))
 
 
 @query("e12_lookup_slices", "SELECT c_nationkey AS from_id, array_to_string(list(c_custkey ORDER BY c_custkey), ',') AS others, count(*) AS n FROM customer GROUP BY 1")
@@ -149,7 +157,7 @@ def both(spark, sf_dir):
 def dossier(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     shard = lambda df, item: df.select(F.col("o_custkey").alias("entity_id"), F.col(item).alias("item"))
-    return e.entity_dossier({"orders": shard(o, "o_orderkey"), "pending": shard(o.where("o_orderstatus = 'P'"), "o_orderpriority")}, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name")))
+    return e.entity_dossier({"orders": shard(o, "o_orderkey"), "pending": shard(o.where("o_orderstatus = 'P'"), "o_orderpriority")}, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name")), rows_only=False)
 
 
 @query("e14_dossier_rows", """SELECT c_custkey AS entity_id, c_name AS name, 'orders' AS shard, CAST(o_orderkey AS VARCHAR) AS item FROM customer JOIN orders ON o_custkey = c_custkey
@@ -160,6 +168,19 @@ def dossier_rows(spark, sf_dir):
     return e.entity_dossier({"orders": shard(o, "o_orderkey"), "pending": shard(o.where("o_orderstatus = 'P'"), "o_orderpriority")}, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name")), rows_only=True)
 
 
+@query("e14_dossier_names", """WITH ed AS (SELECT o_custkey AS a, o_custkey % 90 + 1 AS b FROM orders WHERE o_orderkey % 3 = 0), n AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS name FROM customer),
+  t AS (SELECT a AS k, 'kin' AS shard, CAST(b AS VARCHAR) AS other FROM ed UNION ALL SELECT b, 'kin', CAST(a AS VARCHAR) FROM ed UNION ALL SELECT o_custkey, 'status', NULL FROM orders WHERE o_orderkey % 7 = 0),
+  s AS (SELECT o_custkey AS k, o_orderstatus AS item, o_orderkey FROM orders WHERE o_orderkey % 7 = 0), d AS (SELECT o_custkey AS k, day(o_orderdate) AS p, o_orderpriority AS kind, row_number() OVER (PARTITION BY o_custkey ORDER BY day(o_orderdate), o_orderkey) AS i FROM orders WHERE o_orderkey % 2 = 0)
+  SELECT n.k AS entity_id, n.name, CAST(d.p AS INTEGER) AS debut, d.kind AS debut_kind, x.shard, x.item FROM n JOIN (SELECT t.k, t.shard, coalesce(m.name, t.other) AS item FROM t LEFT JOIN n m ON CAST(m.k AS VARCHAR) = t.other WHERE t.other IS NOT NULL UNION ALL SELECT k, 'status', item FROM s) x ON x.k = n.k LEFT JOIN d ON d.k = n.k AND d.i = 1""")
+def dossier_names(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_custkey")
+    kin = e.both_directions(o.where("o_orderkey % 3 = 0").select(k.alias("from_id"), (k % 90 + 1).alias("to_id"), F.lit("kin").alias("relation"))).select(F.col("id").alias("entity_id"), F.col("other").alias("other_id"))
+    status = o.where("o_orderkey % 7 = 0").select(k.alias("entity_id"), F.col("o_orderstatus").alias("item"))
+    debuts = o.where("o_orderkey % 2 = 0").select(k.alias("entity_id"), F.dayofmonth("o_orderdate").alias("position"), F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("ordinal"))
+    c = F.col("c_custkey")
+    return e.entity_dossier({"kin": kin, "status": status}, table(spark, sf_dir, "customer").select(c.alias("entity_id"), F.when(c % 5 != 0, F.col("c_name")).alias("name")), debuts=debuts)
+
+
 @query("e15_group_dossier", "SELECT c_nationkey AS group_id, array_to_string(list_sort(list(DISTINCT CASE WHEN c_custkey % 9 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE c_name END)), '|') AS members, count(*) FILTER (c_acctbal > 0) AS current, count(*) FILTER (c_acctbal <= 0) AS former FROM customer GROUP BY 1")
 def groups(spark, sf_dir):
     c = table(spark, sf_dir, "customer")

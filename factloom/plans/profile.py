@@ -60,7 +60,7 @@ def headline(spark, sf_dir):
 
 @query("d12_invert_multivalue", "WITH w AS (SELECT DISTINCT p_brand, unnest(string_split(p_name, ' ')) AS value FROM part) SELECT value, array_to_string(list(p_brand ORDER BY p_brand), ',') AS keys, count(*) AS n FROM w GROUP BY value")
 def invert(spark, sf_dir):
-    out = profile.invert_multivalue(table(spark, sf_dir, "part"), "p_brand", F.split("p_name", " "))
+    out = profile.invert_multivalue(table(spark, sf_dir, "part"), "p_brand", F.split("p_name", " "), per=None)
     return out.withColumn("keys", F.array_join("keys", ","))
 
 

@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that are sent to every executor, at most.
-SMALL = 100_000
+#: Rows that are sent to every executor, at most, and bytes of them.
+SMALL, SMALL_BYTES = 100_000, 32 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -47,9 +47,14 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def sent_if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """The frame with a broadcast hint if it has at most ``rows`` rows, which is counted first; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def sent_if_small(df: DataFrame, rows: int = SMALL, size: int = SMALL_BYTES) -> DataFrame:
+    """The frame with a broadcast hint if it has at most ``rows`` rows and, as text, ``size`` bytes; else as it is.
+
+    That is counted first, which runs the frame: hand over tables, aggregates or checkpoints.
+    """
+    text = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, have = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and have <= size else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
