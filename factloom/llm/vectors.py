@@ -57,8 +57,10 @@ def _parts(n: int, spark) -> int:
 
 def _stream(candidates: DataFrame, queries: DataFrame, dims: int, hold: Callable, score: str) -> DataFrame:
     """Columns query_id, vec_id and score: ``hold(matrix, ids)`` takes a cell's candidates, and gives what finds, for a batch of
-    queries, arrays of these columns. Both sides are (cell, vec_id, v); in a cell, candidates come first."""
-    both = candidates.select("cell", F.lit(0).alias("side"), "vec_id", "v").unionAll(queries.select("cell", F.lit(1).alias("side"), "vec_id", "v"))
+    queries and what is known to bound each, arrays of these columns. Both sides are (cell, vec_id, v), queries may have a
+    ``bound``; in a cell, candidates come first."""
+    bound = F.col("bound") if "bound" in queries.columns else F.lit(float("inf"))
+    both = candidates.select("cell", F.lit(0).alias("side"), "vec_id", "v", F.lit(0.0).alias("bound")).unionAll(queries.select("cell", F.lit(1).alias("side"), "vec_id", "v", bound))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts, find = None, [], None
@@ -75,7 +77,7 @@ def _stream(candidates: DataFrame, queries: DataFrame, dims: int, hold: Callable
                     parts.append(rows)
                 elif parts:
                     find = find or hold(np.concatenate([m for _, m in parts]), np.concatenate([i for i, _ in parts]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in find(rows[1], rows[0])], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in find(rows[1], rows[0], batch.column(4).slice(a, b - a).to_numpy())], names=["query_id", "vec_id", "score"])
 
     return both.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(run, f"query_id long, vec_id long, score {score}")
 
@@ -149,7 +151,7 @@ def exact_top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: f
 
         def hold(x: np.ndarray, ids: np.ndarray) -> Callable:
             laid = Vertical(x, ids)
-            return lambda queries, query_ids: _columns([(q, i, np.rint(s)) for q, i, s in laid.best(queries, query_ids, k)], "i8")
+            return lambda queries, query_ids, _: _columns([(q, i, np.rint(s)) for q, i, s in laid.best(queries, query_ids, k)], "i8")
 
         found.append(_stream(own, asked, dims, hold, "long"))
     return _best(found, k, [F.desc("score"), F.col("vec_id")], "query_id long, rank int, vec_id long, score long", vectors)
@@ -194,26 +196,35 @@ class Index:
         return int(np.sort(at.ravel())[max(0, int(np.ceil(recall * at.size)) - 1)]) + 1
 
 
-def adaptive_scan(x: np.ndarray, ids: np.ndarray, raw: np.ndarray, q: np.ndarray, raw_q: np.ndarray, own: int, k: int, block: int = 16, epsilon: float = 2.4) -> tuple[np.ndarray, np.ndarray]:
+def adaptive_scan(x: np.ndarray, ids: np.ndarray, raw: np.ndarray, q: np.ndarray, raw_q: np.ndarray, own: int, k: int, tau: float = np.inf, block: int = 16, epsilon: float = 1.2, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids and distances of about the ``k`` nearest rows in one list, by partial distances over blocks of dimensions.
 
     ``x`` (dimension by row) and ``q`` are rotated, so that a partial distance over d of D dimensions, times D / d,
     estimates the whole one with a deviation of about 1 / sqrt(d). After each block, a candidate is abandoned if the
     hypothesis that it is as near as the k-th known is rejected: its estimate exceeds that by 1 + epsilon / sqrt(d).
-    The survivors' distances are computed anew on the original vectors.
+    ``tau`` is the square of a distance within which k others are known to lie; after the first block, whole
+    distances of the most promising candidates tighten it. The survivors' distances are computed anew on the original
+    vectors. ``seen`` gets the number of dimensions computed and that of all.
     """
     dims = len(q)
     alive = np.flatnonzero(ids != own)
-    first = alive[: 4 * k]
-    known = ((x[:, first] - q[:, None]) ** 2).sum(axis=0)
-    tau = np.partition(known, k - 1)[k - 1] if len(known) >= k else np.inf
-    partial = np.zeros(len(alive))
+    partial, count, all_ = np.zeros(len(alive)), 0, len(alive) * dims
     for c in range(0, dims, block):
         partial = partial + ((x[c : c + block, alive] - q[c : c + block, None]) ** 2).sum(axis=0)
         d = min(dims, c + block)
+        count += len(alive) * (d - c)
+        if c == 0 and d < dims and len(alive) > 16 * k:
+            few = np.argpartition(partial, 2 * k)[: 2 * k]
+            known = partial[few] + ((x[d:, alive[few]] - q[d:, None]) ** 2).sum(axis=0)
+            count += len(few) * (dims - d)
+            tau = min(tau, np.partition(known, k - 1)[k - 1])
         slack = 1 + 1e-9 if d == dims else (1 + epsilon / np.sqrt(d)) ** 2 * d / dims
-        keep = partial <= tau * slack
+        keep = np.flatnonzero(partial <= tau * slack)
+        if len(keep) < k < len(alive):  # a list gives k, so that a query never has fewer
+            keep = np.argpartition(partial, k - 1)[:k]
         alive, partial = alive[keep], partial[keep]
+    if seen is not None:
+        seen.append((count, all_))
     if len(alive) > k:
         bar = np.partition(partial, k - 1)[k - 1] * (1 + 1e-9)
         alive = alive[partial <= bar]
@@ -230,7 +241,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, query_every: int = 100,
     each list where that is more, those whose ids have the smallest checksums; lists are a quarter of the square root of
     the rows. Every row is put into its list. A list that is large, or full of copies of one vector, is cut into several
     cells, all of which its queries ask. ``recall`` is the share of true neighbours, measured on the sample, that the
-    lists probed have to hold.
+    lists probed have to hold. The k-th nearest row of the sample is what a query knows when it comes to a list.
 
     Scores are in double precision on the original vectors; ties go to the smaller vec_id. Rows with a null id, and
     vectors that are null, empty, zero, or hold null or non-finite components take no part. Repeated query rows count
@@ -248,6 +259,16 @@ def _searched(rows: DataFrame, n: int, dims: int, k: int, query_every: int, samp
         few = rows.limit(sample).toPandas()
     index = Index(np.stack(few["v"].to_numpy()).astype("f8"), n, lists=lists, recall=recall)
 
+    known, known_ids = np.stack(few["v"].to_numpy()).astype("f8"), few["vec_id"].to_numpy("i8")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds = []
+            for own, q in zip(batch.column(0).to_pylist(), _matrix(batch.column(1), dims)):
+                d = ((known[known_ids != own] - q) ** 2).sum(axis=1)
+                bounds.append(float(np.partition(d, k - 1)[k - 1]) * (1 + 1e-9) if len(d) >= k else float("inf"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bounds, pa.float64())], names=["vec_id", "v", "lists", "bound"])
+
     def place(count: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -260,7 +281,7 @@ def _searched(rows: DataFrame, n: int, dims: int, k: int, query_every: int, samp
     schema = "vec_id long, v array<double>, lists array<long>"
     placed = rows.mapInArrow(place(1), schema).select("vec_id", "v", F.get("lists", F.lit(0)).alias("list"))
     queries = _one_each(rows.where(F.col("vec_id") % query_every == 0))
-    asked = queries.mapInArrow(place(index.probes), schema).select("vec_id", "v", F.explode("lists").alias("list"))
+    asked = queries.mapInArrow(place(index.probes), schema).mapInArrow(bounded, f"{schema}, bound double").select("vec_id", "v", "bound", F.explode("lists").alias("list"))
     # a list's share of the rows may be large, so its cells are counted; there are as many counts as lists
     sizes, usual = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}, -(-2 * n // len(index.centroids))
     cells = [max(1, -(-sizes.get(i, 0) // min(CANDIDATES, usual))) for i in range(len(index.centroids))]
@@ -273,9 +294,9 @@ def _searched(rows: DataFrame, n: int, dims: int, k: int, query_every: int, samp
     def hold(raw: np.ndarray, ids: np.ndarray) -> Callable:
         x = np.ascontiguousarray((raw @ index.rotation).T)
 
-        def find(queries: np.ndarray, query_ids: np.ndarray) -> list[np.ndarray]:
+        def find(queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
             turned = queries @ index.rotation
-            return _columns([(int(i), *adaptive_scan(x, ids, raw, q, own_q, i, k)) for q, own_q, i in zip(turned, queries, query_ids)], "f8")
+            return _columns([(int(i), *adaptive_scan(x, ids, raw, q, own_q, i, k, tau)) for q, own_q, i, tau in zip(turned, queries, query_ids, bounds)], "f8")
 
         return find
 
