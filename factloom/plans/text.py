@@ -19,6 +19,18 @@ def _pairs(c, *fields):
     return F.array_join(F.transform(c, lambda p: F.concat_ws("=", *[F.coalesce(p[f].cast("string"), F.lit("-")) for f in fields])), "|")
 
 
+#: Texts of several shapes, some empty or null, in words that both engines read alike; each operator meets all of them.
+_VARIED = """CASE p_partkey % 10 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN p_name || ' the ' || p_brand || ' (' || p_type || ')' WHEN 3 THEN p_type || ', ' || p_name || ' (formerly); ' || p_brand || ' (Sworn) ; x;' || p_name
+  WHEN 4 THEN p_name || ' (Brother); ' || p_brand || '; (alone); y' WHEN 5 THEN 'Voice: ' || p_name || ' (young); unknown · ' || p_type || ' ep. 12-30; 77 · N/A' WHEN 6 THEN p_name || ', of old → ' || p_brand || ' → ' || p_type || ' (destroyed in war)'
+  WHEN 7 THEN p_name || ' (' || p_size || ') · 1,0' || (p_size + 10) || '; ' || p_name || ' , 12' WHEN 8 THEN '  ' || p_name || ' →  ' || p_brand || ' (Captain, alleged)  ' ELSE 'from ' || p_partkey || ' to 2,000 or ' || p_size || ', 3,4; ' || p_brand END"""
+_SQL_VARIED = f"v AS (SELECT p_partkey AS k, {_VARIED} AS c FROM part)"
+_SQL_SQUEEZE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+
+
+def _varied(spark, sf_dir):
+    return _parts(spark, sf_dir, c=_VARIED)
+
+
 @query("b1_strip_invisible", "SELECT doc_id, length(text) AS n FROM documents")
 def strip(spark, sf_dir):
     marked = F.concat(F.lit("​﻿"), "text", F.lit("⁠"))
@@ -38,40 +50,41 @@ def key(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.normalise_key(F.col("text")).alias("key"))
 
 
-@query("b4_name_variants", "SELECT p_partkey AS k, p_name || ' the ' || p_brand || ' (' || p_type || ')' || '|' || p_name || ' the ' || p_brand || '|' || p_name || '|' || p_brand AS forms FROM part")
+@query("b4_name_variants", f"""WITH {_SQL_VARIED}, p AS (SELECT k, c, trim(regexp_replace(c, '\\s*\\([^)]*\\)', '', 'g')) AS plain FROM v), f AS (SELECT k, list_filter([trim(c), plain, trim(split_part(plain, ' the ', 1)), trim(split_part(plain, ',', 1)), list_last(string_split(plain, ' '))], lambda x: x <> '') AS f FROM p)
+  SELECT k, array_to_string(list_filter(f, lambda x, i: list_position(list_transform(f, lambda y: lower(y)), lower(x)) = i), '|') AS forms FROM f""")
 def variants(spark, sf_dir):
-    p = _parts(spark, sf_dir, c="p_name || ' the ' || p_brand || ' (' || p_type || ')'")
-    return p.select("k", F.array_join(t.name_variants(F.col("c")), "|").alias("forms"))
+    return _varied(spark, sf_dir).select("k", F.array_join(t.name_variants(F.col("c")), "|").alias("forms"))
 
 
-@query("b5_split_qualified", "SELECT p_partkey AS k, p_name || '=former|' || p_brand || '=current|' || p_type || '=captain' AS parts FROM part")
+@query("b5_split_qualified", f"""WITH {_SQL_VARIED}, p AS (SELECT k, list_transform(string_split(c, ';'), lambda x: {{'n': {_SQL_SQUEEZE.format("regexp_replace(x, '\\s*\\([^)]*\\)\\s*$', '')")}, 's': lower(trim(regexp_extract(x, '\\(([^)]*)\\)\\s*$', 1)))}}) AS f FROM v)
+  SELECT k, array_to_string(list_transform(list_filter(f, lambda y: length(y.n) >= 3), lambda y: y.n || '=' || CASE WHEN contains(y.s, 'former') THEN 'former' WHEN contains(y.s, 'sworn') THEN 'sworn' WHEN contains(y.s, 'temporary') THEN 'temporary' WHEN contains(y.s, 'alleged') THEN 'alleged' WHEN y.s <> '' THEN y.s ELSE 'current' END), '|') AS parts FROM p""")
 def qualified(spark, sf_dir):
-    p = _parts(spark, sf_dir, c="p_name || ' (formerly);  ' || p_brand || ' ;x; ' || p_type || ' (Captain)'")
-    return p.select("k", _pairs(t.qualified_parts(F.col("c")), "name", "status").alias("parts"))
+    return _varied(spark, sf_dir).select("k", _pairs(t.qualified_parts(F.col("c")), "name", "status").alias("parts"))
 
 
-@query("b6_split_relations", "SELECT p_partkey AS k, p_name || '=brother|' || p_brand || '=-' AS parts FROM part")
+@query("b6_split_relations", f"""WITH {_SQL_VARIED}, p AS (SELECT k, list_transform(string_split(c, ';'), lambda x: {{'n': {_SQL_SQUEEZE.format("regexp_replace(x, '\\s*\\([^)]*\\)\\s*$', '')")}, 's': lower(trim(regexp_extract(x, '\\(([^)]*)\\)\\s*$', 1)))}}) AS f FROM v)
+  SELECT k, array_to_string(list_transform(list_filter(f, lambda y: length(y.n) >= 2), lambda y: y.n || '=' || CASE WHEN y.s <> '' THEN y.s ELSE '-' END), '|') AS parts FROM p""")
 def relations(spark, sf_dir):
-    p = _parts(spark, sf_dir, c="p_name || ' (Brother); ' || p_brand || '; x'")
-    return p.select("k", _pairs(t.relation_parts(F.col("c")), "name", "relation").alias("parts"))
+    return _varied(spark, sf_dir).select("k", _pairs(t.relation_parts(F.col("c")), "name", "relation").alias("parts"))
 
 
-@query("b7_split_credits", "SELECT p_partkey AS k, p_name || '|' || p_type AS names FROM part")
+@query("b7_split_credits", f"""WITH {_SQL_VARIED}, p AS (SELECT k, list_transform(string_split_regex(c, '[;·]'), lambda x: {_SQL_SQUEEZE.format("regexp_replace(regexp_replace(regexp_replace(x, '^\\s*[^:;()]*:\\s*', ''), '[(\\[].*$', ''), '(?i)\\bep\\. .*$', '')")}) AS f FROM v)
+  SELECT k, array_to_string(list_filter(f, lambda n: regexp_matches(n, '\\p{{L}}') AND lower(n) NOT IN ('unknown', 'various', 'n/a')), '|') AS names FROM p""")
 def credit(spark, sf_dir):
-    p = _parts(spark, sf_dir, c="'Voice: ' || p_name || ' (young); unknown · ' || p_type || ' ep. 12-30; 77'")
-    return p.select("k", F.array_join(t.credit_parts(F.col("c")), "|").alias("names"))
+    return _varied(spark, sf_dir).select("k", F.array_join(t.credit_parts(F.col("c")), "|").alias("names"))
 
 
-@query("b8_parse_owner_chain", "SELECT p_partkey AS k, '0=' || p_name || '=false|1=' || p_brand || '=false|2=' || p_type || CASE WHEN p_size > 20 THEN '=false' ELSE '=true' END AS links FROM part")
+@query("b8_parse_owner_chain", f"""WITH {_SQL_VARIED}, p AS (SELECT k, string_split(c, '→') AS l FROM v), q AS (SELECT k, list_transform(l, lambda x, i: {{'o': {_SQL_SQUEEZE.format("regexp_replace(split_part(x, ',', 1), '\\([^)]*\\)', '', 'g')")}, 'i': i - 1, 'c': i = len(l) AND NOT regexp_matches(lower(x), '\\((former|destroyed)[^)]*\\)')}}) AS f FROM p)
+  SELECT k, array_to_string(list_transform(list_filter(f, lambda y: y.o <> ''), lambda y: y.i || '=' || y.o || '=' || y.c), '|') AS links FROM q""")
 def chain(spark, sf_dir):
-    p = _parts(spark, sf_dir, c="p_name || ', of old → ' || p_brand || ' → ' || p_type || if(p_size > 20, ' (destroyed in war)', '')")
-    return p.select("k", _pairs(t.owner_chain(F.col("c")), "pos", "owner", "current").alias("links"))
+    return _varied(spark, sf_dir).select("k", _pairs(t.owner_chain(F.col("c")), "pos", "owner", "current").alias("links"))
 
 
-@query("b9_value_variants", "SELECT p_partkey AS k, p_name || ' (' || p_type || ') · 1,' || lpad(CAST(p_size AS VARCHAR), 3, '0') || '|' || p_name || ' · 1,' || lpad(CAST(p_size AS VARCHAR), 3, '0') || '|' || p_name || ' (' || p_type || ')|' || p_name || '|1,' || lpad(CAST(p_size AS VARCHAR), 3, '0') || '|1' || lpad(CAST(p_size AS VARCHAR), 3, '0') || '|' || p_name || ' (' || p_type || ') · 1' || lpad(CAST(p_size AS VARCHAR), 3, '0') AS forms FROM part")
+@query("b9_value_variants", f"""WITH {_SQL_VARIED}, p AS (SELECT k, c, regexp_replace(c, '\\D', '', 'g') AS d, string_split_regex(c, ' · |; | , ') AS l FROM v),
+  f AS (SELECT k, list_filter(list_concat(list_concat([trim(c), {_SQL_SQUEEZE.format("regexp_replace(c, '\\([^)]*\\)', '', 'g')")}], flatten(list_transform(l, lambda x: [trim(x), {_SQL_SQUEEZE.format("regexp_replace(x, '\\([^)]*\\)', '', 'g')")}]))), [CASE WHEN length(d) >= 3 THEN d END, replace(trim(c), ',', '')]), lambda x: x <> '') AS f, c FROM p)
+  SELECT k, CASE WHEN c IS NOT NULL THEN array_to_string(list_filter(f, lambda x, i: list_position(f, x) = i), '|') END AS forms FROM f""")
 def value_variants(spark, sf_dir):
-    p = _parts(spark, sf_dir, c="p_name || ' (' || p_type || ') · 1,' || lpad(cast(p_size as string), 3, '0')")
-    return p.select("k", F.array_join(t.value_variants(F.col("c")), "|").alias("forms"))
+    return _varied(spark, sf_dir).select("k", F.array_join(t.value_variants(F.col("c")), "|").alias("forms"))
 
 
 @query("b10_position", "SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 AND p_size > 1 THEN CAST(p_size - 1 AS INTEGER) END AS position, CASE WHEN p_partkey % 3 < 2 AND p_size > 1 THEN CAST(p_size - 1 AS INTEGER) END AS loose FROM part")
@@ -86,10 +99,9 @@ def positions(spark, sf_dir):
     return p.select("k", F.array_join(t.position_list(F.col("c")).cast("array<string>"), ",").alias("positions"))
 
 
-@query("b12_largest_amount", "SELECT p_partkey AS k, CASE WHEN p_partkey >= 1000 THEN CAST(greatest(p_partkey, 2000) AS BIGINT) ELSE CAST(2000 AS BIGINT) END AS amount FROM part")
+@query("b12_largest_amount", f"""WITH {_SQL_VARIED} SELECT k, list_max(list_filter(list_transform(regexp_extract_all(c, '(\\d[\\d,]*)', 1), lambda x: TRY_CAST(replace(x, ',', '') AS BIGINT)), lambda n: n >= 1000)) AS amount FROM v""")
 def amount(spark, sf_dir):
-    p = _parts(spark, sf_dir, c="'from ' || p_partkey || ' to 2,000 or ' || p_size")
-    return p.select("k", t.largest_amount(F.col("c")).alias("amount"))
+    return _varied(spark, sf_dir).select("k", t.largest_amount(F.col("c")).alias("amount"))
 
 
 @query("b13_strip_markup", "SELECT p_partkey AS k, 'The ' || p_name || ' of ' || p_brand || ' is ' || p_type || '.' AS text FROM part")
