@@ -110,17 +110,16 @@ def markup(spark, sf_dir):
     return p.select("k", t.strip_markup(F.col("c")).alias("text"))
 
 
-@query("b14_parse_infobox", "SELECT p_partkey AS k, p_name AS name, 'x ' || p_type || ' · ' || p_brand AS kind FROM part")
+@query("b14_parse_infobox", "SELECT p_partkey AS k, p_name AS name, 'x {{nowrap|}}' || p_type || ' · ' || p_brand AS kind FROM part")
 def infobox(spark, sf_dir):
     p = _parts(spark, sf_dir, c="'intro {{Char Box\n| Name = ' || p_name || '\n| kind = x {{nowrap|}}' || p_type || '\n| kind2=' || p_brand || '\n|empty=\n}} tail'")
-    out = x.parse_infobox(p, "k", "c", "char box", {"name": ["ename", "name"], "kind": ["kind", "kind2", "empty"]}, ("kind",))
-    return out.withColumn("kind", F.replace("kind", F.lit("{{nowrap|}}"), F.lit("")))
+    return x.parse_infobox(p, "k", "c", "char box", {"name": ["ename", "name"], "kind": ["kind", "kind2", "empty"]}, ("kind",))
 
 
-@query("b15_extract_mentions", "SELECT p_partkey AS k, p_name AS name, 'flashback' AS kind FROM part UNION ALL SELECT p_partkey, p_brand, 'full' FROM part")
+@query("b15_extract_mentions", "SELECT p_partkey AS k, p_name AS name, 'flashback' AS kind FROM part UNION ALL SELECT p_partkey, p_type, 'full' FROM part")
 def mentions(spark, sf_dir):
-    p = _parts(spark, sf_dir, c="'x [[no]]\n== Characters ==\n* [[' || p_name || '|n]] (Flashback)\n* [[' || p_brand || ']] and [[File:z]]\n* [[' || p_brand || ']]\n[[not a bullet]]\n== Next ==\n* [[after]]'")
-    return x.extract_mentions(p.withColumn("c", F.regexp_replace("c", "Brand#", "Brand ")), "k", "c").withColumn("name", F.regexp_replace("name", "^Brand ", "Brand#"))
+    p = _parts(spark, sf_dir, c="'x [[no]]\n== Characters ==\n* [[' || p_name || '|n]] (Flashback)\n* [[' || p_type || ']] and [[File:z]]\n* [[' || p_type || ']]\n[[not a bullet]]\n== Next ==\n* [[after]]'")
+    return x.extract_mentions(p, "k", "c")
 
 
 @query("b16_pair_turns", f"WITH {STATEMENTS} SELECT statement_id, volume, length(question) AS q, length(answer) AS a FROM statements")
@@ -136,10 +135,10 @@ def pair_markers(spark, sf_dir):
     return pair(p, "k", "c")
 
 
-@query("b17_signature", "SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN p_type END AS name FROM part")
+@query("b17_signature", f"""WITH {_SQL_VARIED}, p AS (SELECT k, [trim(regexp_extract(c, '; ([^;.]*)', 1)), trim(regexp_extract(c, ' (?:to|the|of) ([^(;→]*)', 1)), trim(regexp_extract(c, '^([^(;]*)', 1))] AS f FROM v)
+  SELECT k, list_filter(f, lambda n: length(n) BETWEEN 2 AND 40 AND lower(n) NOT IN ('x', 'y', 'old') AND regexp_matches(n, '\\p{{L}}') AND 2 * length(regexp_replace(n, '[^0-9]', '', 'g')) <= length(n))[1] AS name FROM p""")
 def signature(spark, sf_dir):
-    p = _parts(spark, sf_dir, c="case p_partkey % 3 when 0 then 'P.N. ' || p_name || '.' when 1 then 'P.N. anon. from ' || p_type || '!' else 'P.N. 12345a. from x!' end")
-    return p.select("k", t.signature(F.col("c"), [r"P\.N\. ([^.]*)\.", r"from ([^!]*)!"], ("anon",)).alias("name"))
+    return _varied(spark, sf_dir).select("k", t.signature(F.col("c"), ["; ([^;.]*)", " (?:to|the|of) ([^(;→]*)", "^([^(;]*)"], ("x", "y", "old")).alias("name"))
 
 
 @query("b18_credits_tail", "SELECT p_partkey AS k, p_name AS body, CASE WHEN p_size > 9 THEN p_brand END AS credits FROM part")
@@ -157,7 +156,7 @@ def flatten(spark, sf_dir):
 @query("b20_unpivot_tables", "SELECT p_partkey AS k, p_name AS name, 'age' AS field, CAST(p_size AS VARCHAR) AS value, false AS refused FROM part UNION ALL SELECT p_partkey, p_brand, 'age', '7', false FROM part UNION ALL SELECT p_partkey, NULL, 'type', NULL, true FROM part UNION ALL SELECT p_partkey, 'Z', 'age', p_type, false FROM part")
 def unpivot(spark, sf_dir):
     p = _parts(spark, sf_dir, c="'[Name · ' || p_name || ' · ' || p_brand || ' || Age · ' || p_size || ' · 7 || Type · x || Odd · 1 · 2] and [no · name || Age · Z] [note · Name · Age || x · Z · ' || p_type || '] [a || b]'")
-    return x.unpivot_positional_tables(p, "k", "c", ("age", "type")).where("not (value <=> 'Z')")
+    return x.unpivot_positional_tables(p, "k", "c", ("age", "type"))
 
 
 @query("b21_attribute_attachments", "SELECT p_partkey AS doc, 'd' || p_size AS file, CAST(1 AS BIGINT) AS item, 'deferred' AS part FROM part UNION ALL SELECT p_partkey, 'q', 1, 'question' FROM part UNION ALL SELECT p_partkey, 'a', 1, 'answer' FROM part UNION ALL SELECT p_partkey, 'h', 2, 'deferred' FROM part")
@@ -199,10 +198,11 @@ def priority(spark, sf_dir):
     return p.select("k", t.priority(F.col("c"), {"economy": 0, "promo": 80}).alias("priority"))
 
 
-@query("b28_tags", "SELECT p_partkey AS k, array_to_string(list_concat(CASE WHEN p_name LIKE '%red%' THEN ['colour'] ELSE [] END, CASE WHEN p_name LIKE '%small%' THEN ['size'] ELSE [] END, [CASE WHEN p_size * 3 >= 100 THEN 'main' WHEN p_size * 3 >= 20 THEN 'recurring' ELSE 'minor' END]), ',') AS tags FROM part")
+@query("b28_tags", f"""WITH {_SQL_VARIED}, n AS (SELECT v.k, lower(c) AS c, CASE WHEN p_size % 7 <> 0 THEN p_size * 3 END AS n FROM v JOIN part ON p_partkey = v.k)
+  SELECT k, array_to_string(list_filter([CASE WHEN contains(c, 'brand') THEN 'maker' END, CASE WHEN contains(c, 'formerly') THEN 'past' END, CASE WHEN contains(c, 'red') THEN 'colour' END, CASE WHEN n >= 100 THEN 'main' WHEN n >= 20 THEN 'recurring' ELSE 'minor' END], lambda x: x IS NOT NULL), ',') AS tags FROM n""")
 def tags(spark, sf_dir):
-    p = _parts(spark, sf_dir, c="upper(p_name)", n="p_size * 3")
-    return p.select("k", F.array_join(t.tags(F.col("c"), {"red": "colour", "small": "size"}, F.col("n")), ",").alias("tags"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.expr(_VARIED).alias("c"), F.when(F.col("p_size") % 7 != 0, F.col("p_size") * 3).alias("n"))
+    return p.select("k", F.array_join(t.tags(F.col("c"), {"brand": "maker", "formerly": "past", "red": "colour"}, F.col("n")), ",").alias("tags"))
 
 
 _LOOSE = """CASE p_partkey % 8 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || ' (' || p_type || ')' WHEN 2 THEN '900 and ' || p_size || ' or 5' WHEN 3 THEN '7 things' WHEN 4 THEN '(' || p_type || ')' WHEN 5 THEN NULL WHEN 6 THEN ' ' || p_name || '  (x) (y)' ELSE '' END"""
@@ -217,9 +217,10 @@ def equivalent(spark, sf_dir):
     return p.select("k", t.equivalent(F.col("a"), F.col("b")).alias("same"))
 
 
-@query("b30_entry_text", "SELECT p_partkey AS k, p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_type AS text FROM part")
+@query("b30_entry_text", f"""WITH {_SQL_VARIED} SELECT k, concat_ws(' ', c, p_brand, CASE WHEN k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN concat_ws(' ', p_type, c) ELSE p_name END) AS text FROM v JOIN part ON p_partkey = k""")
 def entry(spark, sf_dir):
-    p = _parts(spark, sf_dir, a="p_name", b="p_brand", c="array(p_type, p_type)")
+    k = F.col("p_partkey") % 3
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.expr(_VARIED).alias("a"), F.col("p_brand").alias("b"), F.when(k == 1, F.array(F.col("p_type"), F.expr(_VARIED))).when(k == 2, F.array("p_name")).alias("c"))
     return p.select("k", t.entry_text([F.col("a"), F.col("b")], [F.col("c")]).alias("text"))
 
 
