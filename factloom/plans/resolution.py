@@ -40,19 +40,12 @@ def slugs(spark, sf_dir):
     return r.unique_slugs(base, base.where("base like 'red-%'").select(F.col("base").alias("slug")).distinct())
 
 
-#: One base beside numbered ones: a number is free for the base's row until the row of its own base has come, or if it was never taken.
-@query("c3_slugs_of_numbered_names", """WITH RECURSIVE b AS (SELECT o_orderkey AS ordinal, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 40 + 2 END AS k FROM orders WHERE o_orderkey <= 600),
-  used AS (SELECT unnest([5, 7]) AS k), f AS (SELECT k, min(ordinal) AS first FROM b WHERE k IS NOT NULL GROUP BY k), rows AS (SELECT ordinal, row_number() OVER (ORDER BY ordinal) AS i FROM b WHERE k IS NULL),
-  w AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ordinal UNION ALL
-    SELECT rows.i, (SELECT min(c) FROM range(w.n + 1, w.n + 100) t(c) WHERE c NOT IN (SELECT k FROM used) AND c NOT IN (SELECT k FROM f WHERE first < rows.ordinal)), rows.ordinal FROM w JOIN rows ON rows.i = w.i + 1),
-  own AS (SELECT k, ordinal, row_number() OVER (PARTITION BY k ORDER BY ordinal) AS i FROM b WHERE k IS NOT NULL),
-  lost AS (SELECT k FROM used UNION SELECT f.k FROM f JOIN w ON w.n = f.k AND w.ordinal < f.first)
-  SELECT CASE n WHEN 1 THEN 'name' ELSE 'name-' || n END AS slug, ordinal FROM w WHERE i > 0
-  UNION ALL SELECT CASE WHEN i + CASE WHEN k IN (SELECT k FROM lost) THEN 1 ELSE 0 END = 1 THEN 'name-' || k ELSE 'name-' || k || '-' || (i + CASE WHEN k IN (SELECT k FROM lost) THEN 1 ELSE 0 END) END, ordinal FROM own""")
+@query("c3_slugs_of_numbered_names")
 def numbered_names(spark, sf_dir):
-    k = F.col("o_orderkey")
-    base = table(spark, sf_dir, "orders").where(k <= 600).select(F.when(k % 3 == 0, F.concat(F.lit("name-"), F.col("o_custkey") % 40 + 2)).otherwise("name").alias("base"), k.alias("ordinal"))
-    return r.unique_slugs(base, base.limit(1).select(F.explode(F.array(F.lit("name-5"), F.lit("name-7"))).alias("slug")))
+    """One base beside numbered ones: a number is free for the base's row until the row of its own base has come, or if it was never taken."""
+    k, orders = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    base = orders.select(F.when(k % 3 == 0, F.concat(F.lit("name-"), F.col("o_custkey") % 400 + 2)).otherwise("name").alias("base"), k.alias("ordinal"))
+    return r.unique_slugs(base, table(spark, sf_dir, "supplier").select(F.concat(F.lit("name-"), F.col("s_suppkey") * 5).alias("slug")))
 
 
 @query("c4_natural_keys", "SELECT conv_id, turn, 'ch:' || turn AS position_key, 'st:vol' || lpad(CAST(conv_id AS VARCHAR), greatest(3, 3), '0') || '-q' || lpad(CAST(turn AS VARCHAR), 4, '0') AS item_key FROM conversations")

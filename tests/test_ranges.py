@@ -1,5 +1,6 @@
 """Ranges that follow the data, numbers across them, slugs and the repair of dates, against plain Python."""
 
+import os
 import random
 from collections import Counter
 from datetime import date, timedelta
@@ -8,6 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import edges, ranges, resolution, timelines
+from factloom.plans import registry
+
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def shares(df, column, n):
@@ -73,6 +77,14 @@ def test_a_base_with_many_rows_is_no_group(spark):
     assert {tuple(r) for r in got.collect()} == served([tuple(r) for r in rows.collect()], [r["slug"] for r in taken.collect()])
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the given tables aren't here")
+def test_query_of_numbered_names(spark):
+    orders, suppliers = (spark.read.parquet(f"{FOLDER}/{t}.parquet").collect() for t in ("orders", "supplier"))
+    rows = [(f"name-{o['o_custkey'] % 400 + 2}" if o["o_orderkey"] % 3 == 0 else "name", o["o_orderkey"]) for o in orders]
+    got = [tuple(r) for r in registry.QUERIES["c3_slugs_of_numbered_names"](spark, FOLDER).collect()]
+    assert len(got) == len(rows) and set(got) == served(rows, [f"name-{s['s_suppkey'] * 5}" for s in suppliers])
+
+
 def test_counters_rise(spark):
     registry = spark.createDataFrame([("chr", 7), ("va", 90)], "prefix string, next long")
     ids = spark.createDataFrame([("chr:00012",), ("chr:00003",), ("va:00005",), ("new:00001",), ("odd",), (None,)], "id string")
