@@ -375,6 +375,18 @@ def test_secrets(spark, none, markov):
     assert secrets.scan_secrets(none, markov).count() == 0
 
 
+def test_a_long_text_empties_no_label(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    kept = [r["doc_id"] for r in labels.where(~labelled.held_out(F.col("doc_id"), 4, 2)).orderBy(F.xxhash64("doc_id")).collect()]
+    first = next(i for i in kept if i % 2)
+    rows = spark.createDataFrame([(i, "x" * 1500 if i == first else "short text") for i in range(60)], "doc_id long, text string")
+    texts, found = labelled.labelled_sample(rows, labels, "toxic", 4, 2, 100, chars=1000)
+    assert "x" * 1500 not in texts and found.count(1) == sum(i % 2 for i in kept) - 1 and found.count(0) == sum(1 - i % 2 for i in kept)
+    texts, found = labelled.labelled_sample(rows, labels, "toxic", 4, 2, 100, chars=5)
+    assert sorted(found) == [0, 1] and set(texts) == {"short text"}  # where nothing fits, the shortest
+    assert labelled.fitting([(1, 9), (2, 3), (3, 4), (4, 3)], 7) == [2, 3] and labelled.fitting([], 7) == []
+
+
 def test_many_matches_in_one_text(spark, markov):
     rng = np.random.default_rng(3)
     word = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
