@@ -226,13 +226,14 @@ def markov_ratio(token: Column, model: Model) -> Column:
     """Mean log-likelihood ratio of random against ordinary for each pair of characters of an ASCII token, by its class's models."""
     n = len(model.alphabet)
     place = F.split(F.lit(",".join(str(model.alphabet.find(chr(i))) for i in range(128))), ",").cast("array<int>")
-    table, first = _literal(model.weights), token_class(token) * (n * n)
+    table = _literal(model.weights)
     chars = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.get(place, F.ascii(c)))
-    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+    # the class's place in the table goes along, so that it is found once for a token
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"), (token_class(token) * (n * n)).alias("first"))
 
     def step(acc: Column, c: Column) -> Column:
         known = (acc["last"] >= 0) & (c >= 0)
-        return F.struct(c.alias("last"), (acc["sum"] + F.when(known, F.get(table, first + acc["last"] * n + c)).otherwise(0.0)).alias("sum"))
+        return F.struct(c.alias("last"), (acc["sum"] + F.when(known, F.get(table, acc["first"] + acc["last"] * n + c)).otherwise(0.0)).alias("sum"), acc["first"].alias("first"))
 
     return F.aggregate(chars, start, step, lambda acc: acc["sum"]) / F.greatest(F.length(token) - 1, F.lit(1))
 

@@ -412,6 +412,9 @@ def test_the_cost_follows_the_matches(spark, markov):
     began = time.time()
     rows = secrets.scan_secrets(spark.createDataFrame([(1, one * 100_000)], "doc_id long, text string"), markov).select(F.size("spans").alias("n"), F.element_at("spans", -1)["end"].alias("end")).collect()
     assert [tuple(r) for r in rows] == [(100_000, len(one) * 100_000 - 1)] and time.time() - began < 60  # appended arrays took many minutes
+    began = time.time()
+    secrets.scan_secrets(spark.createDataFrame([(1, "x" * 200_000)], "doc_id long, text string"), markov).collect()  # one token
+    assert time.time() - began < 60
 
 
 def test_random_strings_are_told_from_identifiers(markov):
