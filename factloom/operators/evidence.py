@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 
 from factloom.functions.text import equivalent, value_variants, words
 from factloom.operators.matching import find_forms
-from factloom.session import ensure_checkpoint_dir
+from factloom.session import ensure_checkpoint_dir, sent_if_small
 
 
 def mentions(names: DataFrame, docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -359,23 +359,27 @@ def search(queries: DataFrame, catalogue: DataFrame, caps: dict[str, int], open_
 
     Items past the cutoff, and those of other than open kinds without a first position, stay hidden. A kind gives its
     cap at most, in order of title. With ``latest``, a query that is a number from 1 to it, of four digits at most, also hits that position (kind
-    ``position``). Up to ``small`` queries (query_id, text, cutoff) are sent to the catalogue, where each title is held
-    against them; more of them meet the titles by the three-letter parts of both, and shorter ones by themselves.
+    ``position``). Equal texts under equal cutoffs are searched once, and their ranked hits given to each query (query_id, text,
+    cutoff; its id is a key). Up to ``small`` of them are sent to the catalogue, where each title is held against them; more of
+    them meet the titles by the three-letter parts of both, and shorter ones by themselves.
     """
     q = queries.withColumn("_t", F.lower(F.trim("text"))).where("_t <> ''")
+    asked = q.select("_t", "cutoff").distinct()
     seen = F.coalesce(F.col("first") <= F.col("cutoff"), F.col("kind").isin(*open_kinds) & F.col("first").isNull())
     inside = F.contains(F.lower("title"), F.col("_t"))
-    if q.limit(small + 1).count() <= small:
-        hits = catalogue.join(F.broadcast(q), inside).where(seen)  # its size is counted
+    if asked.limit(small + 1).count() <= small:
+        hits = catalogue.join(F.broadcast(asked), inside).where(seen)  # its size is counted
     else:
         part = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))
         title = F.lower("title")
         grams = F.flatten(F.array(*[F.when(F.length(title) >= n, part(title, n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
-        asked = q.withColumn("_g", F.substring("_t", 1, 3))
+        asked = sent_if_small(asked.withColumn("_g", F.substring("_t", 1, 3)))
         hits = catalogue.withColumn("_g", F.explode(F.array_distinct(grams))).join(asked, "_g").where(inside & seen)
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("title", "item_id")))
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("_t", "cutoff", "kind").orderBy("title", "item_id"))).where(F.col("rank") <= max(5, *caps.values(), 0))
     cap = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in caps.items()], F.lit(5))
-    found = ranked.where(F.col("rank") <= cap).select("query_id", "kind", "item_id", "rank")
+    ranked = ranked.where(F.col("rank") <= cap).select(F.col("_t").alias("_u"), F.col("cutoff").alias("_c"), "kind", "item_id", "rank")
+    # neither side is known to be small
+    found = q.join(ranked.hint("merge"), (F.col("_t") == F.col("_u")) & F.col("cutoff").eqNullSafe(F.col("_c"))).select("query_id", "kind", "item_id", "rank")
     if latest is None:
         return found
     number = F.when(F.col("_t").rlike(r"^\d{1,4}$"), F.col("_t").cast("long"))
