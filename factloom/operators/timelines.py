@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.session import prepare
+
 
 def _add(day: Column, days: Column) -> Column:
     return F.date_add(day, days.cast("int"))
@@ -57,16 +62,6 @@ def interpolate_pins(positions: DataFrame, pins: DataFrame, cadence: int = 7) ->
     return rows.select("series", "position", day.alias("day"), F.col("day").isNull().alias("approximate"))
 
 
-def _walk(d: np.ndarray, free: np.ndarray, state: float, step: int) -> np.ndarray:
-    """States from the newest row to the oldest. ``d`` are days less ``step`` for each position, so that a day that is moved before
-    the next one keeps its state; a day that may stay, or a ``free`` one that no next day binds, brings its own."""
-    out = np.empty(len(d))
-    for i, (x, f) in enumerate(zip(d.tolist(), free.tolist())):
-        state = x if f or x < state + step else state
-        out[i] = state
-    return out
-
-
 def _outcomes(d: np.ndarray, free: np.ndarray, step: int) -> tuple[list[float], list[float]]:
     """What a block makes of the state that comes in: (bars, ends). The state ends as that of the first bar below it plus ``step``; as
     itself, if there is none. Bars fall, and a free row is one that anything passes."""
@@ -100,48 +95,78 @@ def enforce_increasing(timeline: DataFrame, step: int = 7, block: int = 4096) ->
     and becomes approximate; hard anchors stay, with a warning. A position without a row or a day binds no other; its row
     stays as it is.
 
-    This is a recurrence, whose state passes through blocks of ``block`` positions. Each block first gives its outcome as a
-    function of the state that comes in, by the days that would stop it; the functions are applied one after another, a row
-    for each block; then every block is repaired with its own state. So a series spreads over tasks.
+    This is a recurrence, whose state passes through blocks of ``block`` positions. In a series of several blocks, each first
+    gives its outcome as a function of the state that comes in, by the days that would stop it; the functions are applied one
+    after another, a row for each block; then every block is repaired with its own state. So a series spreads over tasks.
+    Rows come to tasks in order, any number of short series to each, and are read in one pass.
     """
+    prepare(timeline.sparkSession)
     rows = timeline.select("series", "position", "day", "approximate", F.coalesce("hard", F.lit(False)).alias("hard"))
-    dated = rows.where("day is not null and position is not null").select("series", F.col("position").cast("long").alias("position"), F.unix_date("day").alias("_d"), "approximate", "hard", F.floor(F.col("position") / block).alias("_block"))
-
-    def ordered(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-        group = group.sort_values("position", ascending=False)
-        at = group["position"].to_numpy()
-        after_gap = np.concatenate([[False], at[:-1] - at[1:] != 1])
-        return group, group["_d"].to_numpy() - step * at, after_gap | group["hard"].to_numpy(bool)
-
-    def outcome(group: pd.DataFrame) -> pd.DataFrame:
-        group, d, free = ordered(group)
-        bars, ends = _outcomes(d, free, step)
-        return pd.DataFrame({"series": group["series"].iloc[:1], "_block": group["_block"].iloc[:1], "_from": group["position"].iloc[:1], "_to": [group["position"].iloc[-1]], "_bars": [bars], "_ends": [ends]})
-
-    def passed(group: pd.DataFrame) -> pd.DataFrame:
-        state, to, out = float("inf"), None, []
-        for r in group.sort_values("_block", ascending=False).itertuples(index=False):
-            state = state if to == r[2] + 1 else float("inf")
-            out.append((r[0], r[1], state))
-            bars = np.asarray(r[4])
-            first = int((bars >= state + step).sum())  # bars fall
-            state, to = (r[5][first] if first < len(bars) else state), r[3]
-        return pd.DataFrame(out, columns=["series", "_block", "_state"])
-
-    def repair(group: pd.DataFrame) -> pd.DataFrame:
-        group, d, free = ordered(group)
-        state, at, hard = float(group["_state"].iloc[0]), group["position"].to_numpy(), group["hard"].to_numpy(bool)
-        states = _walk(d, free, state, step)
-        before = np.concatenate([[state], states[:-1]])
-        before[1:][at[:-1] - at[1:] != 1] = np.inf
-        late = d >= before + step
-        moved = late & ~hard
-        return pd.DataFrame({"series": group["series"], "position": at, "_d": (states + step * at).astype("i8"), "approximate": np.where(moved, True, group["approximate"]), "warned": late & hard})
-
+    none = F.lit(None).cast("double")
+    dated = rows.where("day is not null and position is not null").select("series", F.floor(F.col("position") / block).alias("_block"), F.col("position").cast("long").alias("position"), F.unix_date("day").alias("_d"), "approximate", "hard", none.alias("_state"))
     kind = timeline.schema["series"].dataType.simpleString()
-    known = dated.groupBy("series", "_block").applyInPandas(outcome, f"series {kind}, _block long, _from long, _to long, _bars array<double>, _ends array<double>")
-    states = known.groupBy("series").applyInPandas(passed, f"series {kind}, _block long, _state double")
-    fixed = dated.join(states, ["series", "_block"]).groupBy("series", "_block").applyInPandas(repair, f"series {kind}, position long, _d long, approximate boolean, warned boolean")
+
+    def outcome(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def told(*groups) -> pa.RecordBatch:
+            made = []
+            for (series, number), group in groups:
+                at, days, hard = (np.array(x) for x in zip(*group))
+                free = np.concatenate([[False], at[:-1] - at[1:] != 1]) | hard.astype(bool)
+                made.append((series, number, int(at[0]), int(at[-1]), *_outcomes(days - step * at, free, step)))
+            columns = list(zip(*made)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (into, *[pa.int64()] * 3, *[pa.list_(pa.float64())] * 2))], ["series", "_block", "_from", "_to", "_bars", "_ends"])
+
+        for batch in batches:
+            into, ready = batch.schema.field("series").type, []
+            for series, number, *row in zip(*(batch.column(c).to_pylist() for c in ("series", "_block", "position", "_d", "hard"))):
+                if key != (series, number):
+                    if held:
+                        ready.append((key, held))
+                    key, held = (series, number), []
+                held.append(row)
+            yield told(*ready)
+        if held:
+            yield told((key, held))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, to = None, float("inf"), None
+        for batch in batches:
+            out = []
+            for series, top, low, bars, ends in zip(*(batch.column(c).to_pylist() for c in ("series", "_from", "_to", "_bars", "_ends"))):
+                state = state if key == (series,) and to == top + 1 else float("inf")
+                out.append(state)
+                first = int((np.asarray(bars) >= state + step).sum())  # bars fall
+                key, state, to = (series,), (ends[first] if first < len(bars) else state), low
+            yield pa.RecordBatch.from_arrays([batch.column("series"), batch.column("_block"), pa.array(out, pa.float64())], ["series", "_block", "_state"])
+
+    def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, bound, state = None, None, float("inf"), float("inf")
+        for batch in batches:
+            days, moved, warned = [], [], []
+            for series, number, at, day, hard, given in zip(*(batch.column(c).to_pylist() for c in ("series", "_block", "position", "_d", "hard", "_state"))):
+                if key != (series, number):
+                    key, last, state = (series, number), None, float("inf")
+                if at is None:
+                    state, late = given, False
+                else:
+                    bound = bound if last == at + 1 else state + step * (at + 1) if last is None else float("inf")
+                    late = day >= bound
+                    day = int(bound) - step if late and not hard else day
+                    last, bound = at, day
+                days.append(day), moved.append(late and not hard), warned.append(late and hard)
+            real = pc.is_valid(batch.column("position"))
+            said = pc.or_kleene(batch.column("approximate"), pa.array(moved, pa.bool_()))  # null or true is true
+            yield pa.RecordBatch.from_arrays([batch.column("series"), batch.column("position"), pa.array(days, pa.int64()), said, pa.array(warned, pa.bool_())], ["series", "position", "_d", "approximate", "warned"]).filter(real)
+
+    several = dated.groupBy("series").agg(F.min("_block").alias("_lo"), F.max("_block").alias("_hi")).where("_lo < _hi").select(F.col("series").alias("_s"))
+    long = dated.join(several, F.col("series").eqNullSafe(F.col("_s")), "left_semi")
+    known = long.repartition("series", "_block").sortWithinPartitions("series", "_block", F.desc("position")).mapInArrow(outcome, f"series {kind}, _block long, _from long, _to long, _bars array<double>, _ends array<double>")
+    states = known.repartition("series").sortWithinPartitions("series", F.desc("_block")).mapInArrow(passed, f"series {kind}, _block long, _state double")
+    # a block's state stands before its rows
+    both = dated.unionByName(states, allowMissingColumns=True).repartition("series", "_block").sortWithinPartitions("series", "_block", F.desc_nulls_first("position"))
+    fixed = both.mapInArrow(repair, f"series {kind}, position long, _d long, approximate boolean, warned boolean")
     fixed = fixed.select("series", "position", F.date_from_unix_date(F.col("_d").cast("int")).alias("day"), "approximate", "warned")
     rest = rows.where("day is null or position is null").select("series", F.col("position").cast("long").alias("position"), F.lit(None).cast("date").alias("day"), "approximate", F.lit(False).alias("warned"))
     return fixed.unionByName(rest)
