@@ -2,7 +2,7 @@
 
 import datetime
 
-from factloom.operators import evidence, timelines
+from factloom.operators import edges, evidence, gates, resolution, timelines
 
 
 def plan(df) -> str:
@@ -64,3 +64,56 @@ def test_words_are_found_as_by_pattern():
     for text in ("Ann_x ann ANN, 'Ann' Río RÍO rí", "ſtone Stone STONE İvan K k", ""):
         for needle in ("ann", "Ann", "río", "stone", "k", "ivan", "'ann'", "", "ann_x"):
             assert evidence._find(text, needle) == ([m.span() for m in evidence._whole(needle).finditer(text)] if needle else [])
+
+
+def test_copies_meet_once(spark):
+    """Equal records, overrides and groups are met once, and what they make is as before."""
+    records = spark.createDataFrame([("ring", 1)] * 7 + [("red ring", 1)] * 5 + [("blue ring", 2), ("ring", None), (None, 1)], "name string, position int")
+    split = resolution.find_split_records(records, run=4)
+    assert sorted(map(tuple, split.collect())) == [("ring", "red ring", 1)] * 35
+    joined = plan(split)[plan(split).index("Join") :]
+    assert joined.count("Aggregate") == 2
+
+    kinds = [(i, n, s) for i in range(4) for n, s in (("A", "b\nB\na"), ("A", None), (None, "c"))]
+    frame = spark.createDataFrame([(j, n, s) for j, (_, n, s) in enumerate(kinds)], "id long, name string, names string")
+    aliases = resolution.build_aliases(frame, spark.createDataFrame([("g", "A"), ("g", "Z"), ("h", "A")], "grp string, name string"))
+    assert not any("Window" in line and "id#" in line for line in plan(aliases).splitlines())
+    want = {(j, *a) for j, (_, n, s) in enumerate(kinds) if n for a in ([("b", 1), ("Z", 2)] if s else [("Z", 1)])}
+    assert {tuple(r) for r in aliases.collect()} == want
+
+
+def test_a_fact_meets_one_override_of_a_kind(spark):
+    facts = spark.createDataFrame([(i, i % 3, "R" if i % 2 else None, None, 6, None, None) for i in range(12)], "fact_id long, subject int, predicate string, reveal int, own int, cited int, volume int")
+    rows = [(None, 0, None, 100 + j, j) for j in range(50)] + [(None, 0, "R", None, 7), (None, None, "R", 50, 3), (4, None, None, 40, 9), (4, 2, None, 41, 1), (None, None, None, 1, 0)]
+    overrides = spark.createDataFrame(rows, "fact_id long, subject int, predicate string, reveal int, ordinal long")
+    none = lambda a, b: spark.createDataFrame([], f"{a} int, {b} int")
+    got = gates.derive_reveal(facts, none("volume", "last"), overrides, none("subject", "debut"))
+    assert "Union" not in plan(got)
+    want = {}
+    for i in range(12):
+        s, p = i % 3, "R" if i % 2 else None
+        fit = [(-(100 * (f is not None) + 10 * (a is not None) + (b is not None)), o, r) for f, a, b, r, o in rows if any(x is not None for x in (f, a, b)) and f in (None, i) and a in (None, s) and b in (None, p)]
+        over = min(fit, key=lambda x: x[:2])[2] if fit else None
+        want[i] = (over, "override") if over is not None else (6, "first-position")
+    assert {r["fact_id"]: (r["reveal"], r["reason"]) for r in got.collect()} == want
+
+
+def test_assets_meet_members_in_lists(spark):
+    assets = spark.createDataFrame([("a", i) for i in range(20)] + [("a", None), ("b", 7), (None, 1)], "grp string, asset int")
+    members = spark.createDataFrame([("a", 1, True), ("b", 2, False), ("b", 3, None), ("c", 4, True), (None, 5, True)], "grp string, member int, current boolean")
+    found = edges.edges_fan_out(assets, members, block=4)
+    assert "repartition" in plan(found).lower() and "collect_list" in plan(found)
+    want = {(1, a, None, "one of 21") for a in [*range(20), None]} | {(2, 7, False, None), (3, 7, None, None)}
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_entries_without_a_key_lie_apart_and_json_is_parsed_once(spark):
+    entries = spark.createDataFrame([(i, None, ["Film 1999", "Episode 5", "some day", None][i % 4], []) for i in range(40)], "entry_id long, rungs array<struct<ch:int>>, explicit string, users array<string>")
+    films = spark.createDataFrame([(1999, 9)], "year int, gate int")
+    episodes = spark.createDataFrame([(5, [50])], "key long, positions array<int>")
+    got = gates.derive_gates(entries, spark.createDataFrame([], "name string, debut int"), films, episodes)
+    assert any("Join LeftOuter" in line and "pmod" in line for line in plan(got).splitlines())
+    assert {r["entry_id"]: (r["gate"], r["source"]) for r in got.collect()} == {i: [(9, "film"), (50, "episode"), (None, "none"), (None, "none")][i % 4] for i in range(40)}
+    text = spark.createDataFrame([('{"b":1.0,"a":[2e0]}',), ("1.50",), ("{x",)], "t string").select(edges.canonical(edges.F.col("t")).alias("c"))
+    assert [r["c"] for r in text.collect()] == ['{"a":[2],"b":1}', "1.5", "{x"] and plan(text).lower().count("parse_json") + plan(text).count("parseJson") == 1
