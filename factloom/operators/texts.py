@@ -8,12 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import clip
+from factloom.functions.text import clip, strip_markup
 
 
-def parse_infobox(df: DataFrame, key: str, text: str, box: str, field_map: dict[str, list[str]], joined: tuple[str, ...] = ()) -> DataFrame:
+def parse_infobox(df: DataFrame, key: str, text: str, box: str, field_map: dict[str, list[str]], joined: tuple[str, ...] = (), cleaned: bool = False) -> DataFrame:
     """Columns key and one for each field of ``field_map`` (field -> keys of the box): the first non-empty key's value,
-    or, for fields in ``joined``, all different ones. A box is found by its depth of braces."""
+    or, for fields in ``joined``, all different ones. A box is found by its depth of braces. With ``cleaned``, values are freed of markup before they are chosen."""
 
     def fields(values: pd.Series) -> pd.Series:
         def one(s: str | None) -> dict[str, str]:
@@ -43,7 +43,8 @@ def parse_infobox(df: DataFrame, key: str, text: str, box: str, field_map: dict[
         return values.map(one)
 
     boxes = df.select(key, F.pandas_udf(fields, "map<string,string>")(F.col(text)).alias("_box"))
-    value = lambda k: F.try_element_at("_box", F.lit(k))
+    raw = lambda k: F.try_element_at("_box", F.lit(k))
+    value = lambda k: F.nullif(strip_markup(raw(k)), F.lit("")) if cleaned else raw(k)
     pick = lambda f, keys: F.concat_ws(" · ", F.array_distinct(F.array_compact(F.array(*[value(k) for k in keys])))) if f in joined else F.coalesce(*[value(k) for k in keys])
     return boxes.select(key, *[pick(f, keys).alias(f) for f, keys in field_map.items()])
 

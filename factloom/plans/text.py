@@ -110,10 +110,10 @@ def markup(spark, sf_dir):
     return p.select("k", t.strip_markup(F.col("c")).alias("text"))
 
 
-@query("b14_parse_infobox", "SELECT p_partkey AS k, p_name AS name, 'x {{nowrap|}}' || p_type || ' · ' || p_brand AS kind FROM part")
+@query("b14_parse_infobox", "SELECT p_partkey AS k, p_name AS name, 'x ' || p_type || ' · ' || p_brand AS kind FROM part")
 def infobox(spark, sf_dir):
     p = _parts(spark, sf_dir, c="'intro {{Char Box\n| Name = ' || p_name || '\n| kind = x {{nowrap|}}' || p_type || '\n| kind2=' || p_brand || '\n|empty=\n}} tail'")
-    return x.parse_infobox(p, "k", "c", "char box", {"name": ["ename", "name"], "kind": ["kind", "kind2", "empty"]}, ("kind",))
+    return x.parse_infobox(p, "k", "c", "char box", {"name": ["ename", "name"], "kind": ["kind", "kind2", "empty"]}, ("kind",), cleaned=True)
 
 
 @query("b15_extract_mentions", "SELECT p_partkey AS k, p_name AS name, 'flashback' AS kind FROM part UNION ALL SELECT p_partkey, p_type, 'full' FROM part")

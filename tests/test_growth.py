@@ -2,7 +2,7 @@
 
 import datetime
 
-from factloom.operators import edges, evidence, gates, resolution, timelines
+from factloom.operators import edges, evidence, gates, resolution, texts, timelines
 
 
 def plan(df) -> str:
@@ -117,3 +117,9 @@ def test_entries_without_a_key_lie_apart_and_json_is_parsed_once(spark):
     assert {r["entry_id"]: (r["gate"], r["source"]) for r in got.collect()} == {i: [(9, "film"), (50, "episode"), (None, "none"), (None, "none")][i % 4] for i in range(40)}
     text = spark.createDataFrame([('{"b":1.0,"a":[2e0]}',), ("1.50",), ("{x",)], "t string").select(edges.canonical(edges.F.col("t")).alias("c"))
     assert [r["c"] for r in text.collect()] == ['{"a":[2],"b":1}', "1.5", "{x"] and plan(text).lower().count("parse_json") + plan(text).count("parseJson") == 1
+
+
+def test_values_of_boxes_are_freed_of_markup(spark):
+    frame = spark.createDataFrame([(1, "{{box|a={{ref|x}}|b=<b>y</b> [[p|q]]|c=y q|d={{n|1|{{m}}}}z}}")], "k int, t string")
+    got = texts.parse_infobox(frame, "k", "t", "box", {"one": ["a", "b"], "two": ["b", "c", "d"]}, ("two",), cleaned=True).first()
+    assert (got["one"], got["two"]) == ("y q", "y q · z")
