@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,15 +33,8 @@ def fitting(rows: list[tuple[int, int]], chars: int) -> list[int]:
     return taken or [i for i, _ in sorted(rows, key=lambda r: r[1])[:1]]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, bound: int, chars: int = 40_000_000) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``bound`` labelled documents for each label, never of the held-out fold.
-
-    They are those whose ids have the smallest hashes, so that the choice is the same for any partitioning. Of these, each
-    that still fits into ``chars`` characters for its label is taken, so that what comes to the driver is bounded by rows
-    and by size; where none fits, the shortest is taken. Chosen texts are whole. Only ids and lengths are sorted; the texts of the chosen ones, a broadcast of at
-    most two bounds of ids, are then read. A document labelled twice counts with its larger label, a repeated one with
-    its least text; null labels and null texts don't count.
-    """
+def _chosen(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, bound: int, chars: int) -> DataFrame | None:
+    """Columns doc_id, text and label of the rows of ``labelled_sample``; None without any."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
     known = known.where(~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
@@ -51,10 +46,42 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         rows = sizes.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select("doc_id", "n").collect()
         chosen |= {i: y for i in fitting([(r["doc_id"], r["n"]) for r in rows], chars)}
     if not chosen:
-        return [], []
-    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
-    got = sorted(texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect(), key=lambda r: r["doc_id"])
-    return [r["text"] for r in got], [chosen[r["doc_id"]] for r in got]
+        return None
+    ids = docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, label int")
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, bound: int, chars: int = 40_000_000) -> tuple[list[str], list[int]]:
+    """Texts and labels of at most ``bound`` labelled documents for each label, never of the held-out fold.
+
+    They are those whose ids have the smallest hashes, so that the choice is the same for any partitioning. Of these, each
+    that still fits into ``chars`` characters for its label is taken, so that what comes to the driver is bounded by rows
+    and by size; where none fits, the shortest is taken. Chosen texts are whole. Only ids and lengths are sorted; the texts of the chosen ones, a broadcast of at
+    most two bounds of ids, are then read. A document labelled twice counts with its larger label, a repeated one with
+    its least text; null labels and null texts don't count.
+    """
+    rows = _chosen(docs, labels, label, folds, fold, bound, chars)
+    got = sorted(rows.collect(), key=lambda r: r["doc_id"]) if rows else []
+    return [r["text"] for r in got], [r["label"] for r in got]
+
+
+def fitted(model: type, fit: Callable, docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, bound: int, chars: int = 40_000_000):
+    """What ``fit`` makes of the texts and labels of ``labelled_sample``, an instance of the dataclass ``model``.
+
+    It is fitted in a task, to which the chosen texts go, so that the driver holds neither them nor what fitting takes; the
+    model's fields come to the driver.
+    """
+    rows = _chosen(docs, labels, label, folds, fold, bound, chars)
+    if rows is None:
+        return fit([], [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns])), key=lambda r: r[0])
+        fields = vars(fit([r[1] for r in got], [r[2] for r in got]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fields)], pa.binary())], names=["fields"])
+
+    (row,) = rows.repartition(1).mapInArrow(run, "fields binary").collect()
+    return model(**pickle.loads(row["fields"]))
 
 
 def language_sample(docs: DataFrame, folds: int, fold: int, bound: int, chars: int) -> tuple[list[str], list[str]]:

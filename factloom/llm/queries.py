@@ -13,12 +13,12 @@ from factloom.session import table
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
     """Fitted to a bounded sample of the labels outside the held-out fold."""
-    return quality.fit(*labelled.labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", 3, 1, quality.SAMPLE))
+    return labelled.fitted(quality.Model, quality.fit, docs, table(spark, sf_dir, "labels"), "quality", 3, 1, quality.SAMPLE)
 
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     """Fitted to a bounded sample of the labels outside the held-out fold."""
-    return toxicity.fit(*labelled.labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2, toxicity.SAMPLE))
+    return labelled.fitted(toxicity.Model, toxicity.fit, docs, table(spark, sf_dir, "labels"), "toxic", 4, 2, toxicity.SAMPLE)
 
 
 def language_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> langid.Model:

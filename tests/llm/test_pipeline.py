@@ -116,3 +116,17 @@ def test_run_against_plain_python(spark):
     assert sum(p["length"] for p in pieces) == sum(want.values())
     left = [d for d in os.listdir(ensure_checkpoint_dir(spark).removeprefix("file:")) if d.startswith("pipeline-")]
     assert all(len(os.listdir(f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/{d}")) == 1 for d in left)
+
+
+def test_classifiers_are_fitted_in_a_task(spark, monkeypatch):
+    from factloom.llm import labelled, toxicity
+    from factloom.session import table
+
+    docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
+    for module, made, sample in ((toxicity, queries.toxicity_model, ("toxic", 4, 2)), (quality, queries.quality_model, ("quality", 3, 1))):
+        want = module.fit(*labelled.labelled_sample(docs, labels, *sample, module.SAMPLE))
+        assert repr(made(spark, docs, FOLDER)) == repr(want)
+        assert repr(made(spark, docs.where("doc_id < 0"), FOLDER)) == repr(module.fit([], []))
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: toxicity.Model(b"", b"", {}, [os.getpid(), len(texts)]))
+    pid, n = queries.toxicity_model(spark, docs, FOLDER).weights
+    assert pid != os.getpid() and n == len(labelled.labelled_sample(docs, labels, "toxic", 4, 2, toxicity.SAMPLE)[0])
