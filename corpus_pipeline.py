@@ -44,7 +44,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id: groups of texts whose shingles of five words have
-    a similarity of 0.8 or more.
+    a similarity of 0.8 or more. SimHash blocks name candidates, MinHash bands those that differ in more bits.
 
     Null and empty texts are one group; rows without an id belong to their text's group, and stay only where none of it
     has one; different texts under one id are told apart; of repeated rows one stays; other columns may have any names;

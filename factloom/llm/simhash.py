@@ -25,6 +25,15 @@ SMALL = 256
 SEED = 42
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Fingerprint of hashes, a signed long: a bit is 1 if it is set in over half of them."""
+    ones = np.zeros(64, dtype="i8")
+    for i in range(0, len(hashes), 1 << 14):
+        part = hashes[i : i + (1 << 14)]
+        ones += np.unpackbits(part.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i4")
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def _fingerprint(data: bytes, shingle: int, digest) -> int:
     words = data.lower().split()  # bytes: A-Z only, and white space is 0x20 and 0x09 to 0x0D
     if not words:
@@ -33,11 +42,7 @@ def _fingerprint(data: bytes, shingle: int, digest) -> int:
         hashes = np.array([digest(b" ".join(words))], dtype="<u8")
     else:
         hashes = np.fromiter(map(digest, map(b" ".join, zip(*[words[i:] for i in range(shingle)]))), dtype="<u8")
-    ones = np.zeros(64, dtype="i8")
-    for i in range(0, len(hashes), 1 << 14):
-        part = hashes[i : i + (1 << 14)]
-        ones += np.unpackbits(part.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i4")
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Near-duplicates at a similarity: MinHash bands name candidates, the sets of shingles themselves decide.
+"""Near-duplicates at a similarity: SimHash blocks and MinHash bands name candidates, the sets of shingles themselves decide.
 
-This is the near-duplicate operator's form for similarities that fingerprints of 64 bits can't tell: texts at Jaccard
-0.8 differ in about 10 of 64 SimHash bits, and no pigeonhole blocks are left at that distance.
+This is the near-duplicate operator's form for a similarity of sets. Texts whose SimHash fingerprints differ in at most 2 bits
+are brought together by that operator's pigeonhole blocks (``simhash.near_links``). Texts at Jaccard 0.8 differ in about 10 of
+64 bits, and no blocks are left at that distance; those links are named by MinHash bands, so that none is lost.
 
 Two sets with Jaccard similarity J have the same least element under a random order with probability J. A document has
 ``HASHES`` such least elements; ``BAND`` of them make a key, so that two documents share a given key with probability
@@ -9,8 +10,8 @@ J^BAND, and one of all keys with 1 - (1 - J^BAND)^keys: 0.998 at J = 0.8 with 16
 Documents with a key in common are then settled in two steps; of the pairs at exactly the similarity, the sketches named below lose
 about 3 in 100,000, and of those above it fewer:
 
-1. Each member of a key is held against the key's least member, which is linear in the group. Verified links give
-   components.
+1. Each member of a key is held against the key's least member, which is linear in the group, and so are the ends of
+   SimHash links. Verified links give components.
 2. Keys whose members lie in more than one component are met again: every two members of different components are
    compared, in cells of bounded size that are dealt over tasks and hold their members' sets. Members of the key's
    largest component meet the others only, so a large family with few outsiders costs little. A cell compares where it
@@ -32,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.components import connected_components
+from factloom.llm.simhash import majority, near_links
 from factloom.session import ensure_checkpoint_dir
 
 #: Members of a cell's side, and the shingles of all of them, on average.
@@ -155,6 +157,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(inter >= F.lit(similarity) * (F.size("_a") + F.size("_b") - inter) - 1e-9).drop("_a", "_b")
 
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp): those of a fingerprint with the least of it, and the least ones of two fingerprints
+    that a block of the near-duplicate operator links."""
+    least = nodes.groupBy("fp").agg(F.min("node").alias("least")).checkpoint()
+    same = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    end = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}"))
+    near = near_links(least.select("fp")).join(end("a"), "a").join(end("b"), "b")
+    return same.union(near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
+
+
 def _classes(docs: DataFrame, shingle: int, similarity: float, recall: float) -> DataFrame:
     """Columns doc_id, digest and comp of each row: the digest tells texts, comp is the class's number."""
     ensure_checkpoint_dir(docs.sparkSession)
@@ -170,18 +182,19 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, recall: float) ->
 
         digest = partial(xxhash.xxh64_intdigest, seed=42)
         for batch in batches:
-            prints, sketches, bands, sizes = [], [], [], []
+            prints, sketches, bands, sizes, fps = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = _shingles(text, shingle, digest)
                 least = _least(found, hashes)
                 sizes.append(len(found))
+                fps.append(majority(found))
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sketches.append(least.astype("u1").tobytes())
                 bands += [xxhash.xxh64_intdigest(least[i * BAND : (i + 1) * BAND].tobytes(), seed=i) for i in range(keys)] if len(found) else [0] * keys
             values = pa.array(np.array(bands, dtype="u8").view("i8"))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, keys, dtype="i4")), values)
-            columns = [batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary()), lists, pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "print", "sketch", "keys", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype="i4") * np.int32(keys)), values)
+            columns = [batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary()), lists, pa.array(sizes, pa.int64()), pa.array(fps, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "print", "sketch", "keys", "n", "fp"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -194,11 +207,12 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, recall: float) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "shingles"])
 
     # numbers of rows are fixed by the checkpoint; a node is the least number of the rows with one set of shingles
-    signed = rows.mapInArrow(sign, "doc_id long, digest binary, print binary, sketch binary, keys array<long>, n long").withColumn("row", F.monotonically_increasing_id()).checkpoint()
-    nodes = signed.groupBy("print").agg(F.min("row").alias("node"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.first("n").alias("n")).checkpoint()
+    signed = rows.mapInArrow(sign, "doc_id long, digest binary, print binary, sketch binary, keys array<long>, n long, fp long").withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    nodes = signed.groupBy("print").agg(F.min("row").alias("node"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("fp").alias("fp")).checkpoint()
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
     groups = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").checkpoint()
-    stars = keyed.join(groups, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct().checkpoint()
+    stars = keyed.join(groups, "key").where("node <> a").select("a", F.col("node").alias("b"))
+    stars = _simhash_pairs(nodes.select("node", "fp")).union(stars).distinct().checkpoint()
     met = stars.select(F.col("a").alias("row")).union(stars.select(F.col("b").alias("row"))).distinct()
     named = signed.join(met, "row").select(F.col("row").alias("node"), F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
     texts = rows.join(named, rows["doc_id"].eqNullSafe(named["_id"]) & (rows["digest"] == named["_digest"])).select("node", "text")
@@ -219,8 +233,8 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, recall: float) ->
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.998) -> DataFrame:
     """Columns doc_id and component_id of each row: the smallest doc_id that it reaches over links of ``similarity`` or more.
 
-    ``recall`` is the expected share of pairs at exactly that similarity that have a key in common; more similar ones
-    meet more surely, and equal sets of shingles always. No pair of lower similarity is a link. Null and empty texts
+    ``recall`` is the expected share of pairs at exactly that similarity that have a MinHash key in common; more similar ones
+    meet more surely, and equal sets of shingles always. At 0 there are SimHash links only. No pair of lower similarity is a link. Null and empty texts
     are alike; rows with a null doc_id take the component of their text, and name none unless no other id is there;
     repeated rows are returned each; other columns are not read; an empty table gives no rows.
     """

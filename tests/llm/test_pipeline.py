@@ -130,3 +130,30 @@ def test_classifiers_are_fitted_in_a_task(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "fit", lambda texts, labels: toxicity.Model(b"", b"", {}, [os.getpid(), len(texts)]))
     pid, n = queries.toxicity_model(spark, docs, FOLDER).weights
     assert pid != os.getpid() and n == len(labelled.labelled_sample(docs, labels, "toxic", 4, 2, toxicity.SAMPLE)[0])
+
+
+def test_simhash_links_near_texts_by_itself(spark):
+    import random
+
+    import xxhash
+
+    from factloom.llm import similar as near
+
+    def fingerprint(text):
+        w = text.split()
+        hashes = [xxhash.xxh64_intdigest(" ".join(x), seed=42) for x in ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else ())]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    chance = random.Random(5)
+    base = [[chance.choice("river stone tower bridge garden harbour lantern valley window copper".split()) + str(chance.randrange(90)) for _ in range(900)] for _ in range(6)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w[:k], "changed", *w[k + 1 :]]) for w in base for k in (0, 899)] + ["", "short text"]
+    prints, label, close = [fingerprint(t) for t in texts], similar(texts), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] == label[j] and (prints[i] ^ prints[j]).bit_count() <= 2:
+                close = [min(close[i], close[j]) if x in (close[i], close[j]) else x for x in close]
+    assert len(set(label)) == 8 and len(set(close)) < 14
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for recall, want in ((0.0, close), (0.998, label)):  # without MinHash keys, what lies within 2 bits; with them, all
+        got = {r["doc_id"]: r["component_id"] for r in near.similar_documents(docs, recall=recall).collect()}
+        assert got == dict(enumerate(want)), recall
