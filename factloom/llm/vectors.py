@@ -203,10 +203,10 @@ def adaptive_scan(x: np.ndarray, ids: np.ndarray, raw: np.ndarray, q: np.ndarray
     estimates the whole one with a deviation of about 1 / sqrt(d). After each block, a candidate is abandoned if the
     hypothesis that it is as near as the k-th known is rejected: its estimate exceeds that by 1 + epsilon / sqrt(d).
     ``tau`` is the square of a distance within which k others are known to lie; after the first block, whole
-    distances of the most promising candidates tighten it. The survivors' distances are computed anew on the original
-    vectors. ``seen`` gets the number of dimensions computed and that of all.
+    distances of the most promising candidates tighten it. What rounding the rotation may add to a distance is allowed for, so
+    that copies of the query's vector stay. The survivors' distances are computed anew on the original vectors. ``seen`` gets the number of dimensions computed and that of all.
     """
-    dims = len(q)
+    dims, noise = len(q), 1e-18 * float(q @ q)
     alive = np.flatnonzero(ids != own)
     partial, count, all_ = np.zeros(len(alive)), 0, len(alive) * dims
     for c in range(0, dims, block):
@@ -219,14 +219,14 @@ def adaptive_scan(x: np.ndarray, ids: np.ndarray, raw: np.ndarray, q: np.ndarray
             count += len(few) * (dims - d)
             tau = min(tau, np.partition(known, k - 1)[k - 1])
         slack = 1 + 1e-9 if d == dims else (1 + epsilon / np.sqrt(d)) ** 2 * d / dims
-        keep = np.flatnonzero(partial <= tau * slack)
-        if len(keep) < k < len(alive):  # a list gives k, so that a query never has fewer
-            keep = np.argpartition(partial, k - 1)[:k]
+        keep = np.flatnonzero(partial <= tau * slack + noise)
+        if len(keep) < k:  # a list gives k, so that a query never has fewer
+            keep = np.argpartition(partial, k - 1)[:k] if k < len(alive) else np.arange(len(alive))
         alive, partial = alive[keep], partial[keep]
     if seen is not None:
         seen.append((count, all_))
     if len(alive) > k:
-        bar = np.partition(partial, k - 1)[k - 1] * (1 + 1e-9)
+        bar = np.partition(partial, k - 1)[k - 1] * (1 + 1e-9) + noise
         alive = alive[partial <= bar]
     score = np.sqrt(((raw[alive] - raw_q) ** 2).sum(axis=1))
     best = np.lexsort((ids[alive], score))[:k]

@@ -295,6 +295,18 @@ def test_exact_top_k(spark, embeddings, monkeypatch):
     assert all((r["query_id"] < 100) == (r["vec_id"] < 100) for r in rows)
 
 
+def test_a_list_gives_k_copies_in_spite_of_rounding():
+    rng = np.random.default_rng(4)
+    raw = np.concatenate([np.repeat(rng.standard_normal((1, 64)), 40, axis=0), rng.standard_normal((40, 64))])
+    ids, turn = np.arange(80)[::-1].copy(), np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    x = (raw @ turn).T * (1 + 1e-15 * rng.standard_normal((64, 80)))  # as another order of the sums would round
+    own = int(ids[0])
+    found, score = vectors.adaptive_scan(x, ids, raw, raw[0] @ turn, raw[0], own, 10, 0.0)
+    assert found.tolist() == list(range(40, 50)) and not score.any()
+    far, score = vectors.adaptive_scan(x, ids, raw, raw[-1] @ turn, raw[-1], int(ids[-1]), 10, 1e-3)
+    assert len(far) == 10 and (np.diff(score) >= 0).all()
+
+
 def test_nearest_neighbours(embeddings):
     ids, v = table(embeddings, False)
     rows, hits, total = vectors.nearest_neighbours(embeddings, query_every=20).collect(), 0, 0
