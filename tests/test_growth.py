@@ -165,3 +165,53 @@ def test_most_alike_texts_meet_in_cells(spark):
         assert resolution._ratio_over(matcher, -1.0) == ratio and resolution._ratio_over(matcher, ratio) is None
         calls = 0
         assert (resolution._ratio_over(matcher, 0.99) is not None) == (ratio > 0.99) and (calls < 3 or ratio > 0.9)
+
+
+def test_plain_words_are_heard_together(spark, monkeypatch):
+    """No pair of a claim and a statement is made for plain words, and each outcome is as by judging every pair."""
+    chance = random.Random(5)
+    rules = evidence.Rules(("no comment", "b", "zzz d"), ("not", "ann-", "Ñu"), ("yes", "to"), ("lol",), 20, 45, 9)
+    vocabulary = "ann Ann ANN bob río RÍO stone Stone 1987 87 not hardly yes to lol no comment zzz d ñu ann- a_b ann_x, so it is. x y straße ÿ".split()
+    odd = ["ſtone", "K", "İstone", "Ÿ", "œuvre", "STRAẞE", "日本"]
+    made = lambda n, more: " ".join(chance.choice(vocabulary + more) for _ in range(chance.randrange(n)))
+    texts = [(f"s{i % 50}{i}", i // 2 if i % 9 else None, made(9, odd * (i % 4 == 0)), chance.choice(["", "yes ", "to "]) + made(30, odd * (i % 4 == 0))) for i in range(150)] + [("none", 5, None, "ann bob")]
+    words = ["Ann", "ann", "bob", "RÍO", "stone", "1987", "87", "not", "x", "straße", "ÿ", "k", "zzz", "œuvre", "a_b", "ann\n", "", None]
+    claims = [(i, n, "says", v) for i, (n, v) in enumerate((n, v) for n in words for v in [*words, "ann bob", "no 87", "1,987"])]
+    statements = spark.createDataFrame(texts, "statement_id string, ordinal long, question string, answer string")
+    frame = spark.createDataFrame(claims, "claim_id long, name string, predicate string, value string")
+    variants = {r["value"]: r["v"] for r in frame.select("value").distinct().select("value", evidence.value_variants(evidence.F.col("value")).alias("v")).collect()}
+    split = lambda t: f" {' '.join(re.findall(r'[^\W_]+', t.lower()))} "
+    strange = re.compile("[İıŸſẞ\u212a\u212b]")
+    held = [(k, o, q or "", a or "", split(f"{q or ''} / {a or ''}")) for k, o, q, a in texts]
+    plain = {tuple(r) for r in frame.where(evidence.plain(evidence.F.col("name"), evidence.F.col("value"))).select("name", "value").distinct().collect()}
+    best, sides, usual = {}, {}, {}
+    for n, v in {(n, v) for _, n, _, v in claims if n and v}:
+        heard = [(k, o, strange.search(q + a), evidence.grade(q, a, n, v, variants[v], rules), evidence.evaluate(q, a, n, v, variants[v], rules)) for k, o, q, a, t in held if split(n) in t]
+        for into, ok in ((best, [x for x in heard if (n, v) in plain]), (usual, [x for x in heard if not x[2]])):
+            if found := [(e[0] != "canon", o is not None, o or 0, k, e) for k, o, _, _, e in ok if e]:
+                into[n, v] = min(found)[3:]
+        sides |= {(n, v, s): c for s in ("support", "contradict", "context") if (n, v) in plain and (c := sum(g == s for *_, g, _ in heard))}
+    assert {e[2] for _, e in best.values()} == {"near", "wide", "confirmed"} and {e[1] for _, e in best.values()} > {"joke", "serious"}
+    odds = sum(bool(strange.search((q or "") + a)) for _, _, q, a in texts)
+    assert len(plain) == 13 * 13 and 0 < odds < 40
+    clear = statements.where(f"not rlike(concat_ws(' ', question, answer), '{strange.pattern}')")
+    alone = frame.where(evidence.plain(evidence.F.col("name"), evidence.F.col("value")))
+    for size, least in ((1 << 19, 1 << 18), (20, 300)):
+        monkeypatch.setitem(evidence.hear.__globals__, "PAIRS", size)
+        monkeypatch.setitem(evidence.hear.__globals__, "CHARACTERS", least)
+        for asked, said, want in ((alone, statements, best), (frame, clear, usual)):
+            got = evidence.verify_claims(asked, said, rules).collect()
+            assert {r["claim_id"]: (r["statement_id"], (r["tier"], r["intent"], r["rule"])) for r in got} == {i: want[n, v] for i, n, _, v in claims if (n, v) in want} and len(got) == len({r["claim_id"] for r in got})
+        calls = spark.sparkContext.accumulator(0)
+
+        def whole(question, answer, name, value, variants):
+            calls.add(1)
+            return (got,) if (got := evidence.grade(question, answer, name, value, variants, rules)) is not None else None
+
+        judge = evidence.Judge(rules, whole, lambda seen: (got,) if (got := evidence.grade_seen(seen)) is not None else None, ("side",))
+        counts = {}
+        for r in evidence._told(alone, statements, judge).collect():
+            counts[r["name"], r["value"], r["side"]] = counts.get((r["name"], r["value"], r["side"]), 0) + r["_k"]
+        assert counts == sides and 0 < calls.value <= odds * len(plain)
+    before = calls.value
+    assert evidence._told(alone, clear, judge).count() and calls.value == before
