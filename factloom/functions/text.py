@@ -235,6 +235,14 @@ def equivalent(a: Column, b: Column) -> Column:
     return F.coalesce((low(a) == low(b)) | ((bare(a) != "") & (bare(a) == bare(b))) | inside, F.lit(False))
 
 
+def equivalence_keys(c: Column) -> Column:
+    """Keys of which values that are ``equivalent`` share one: as they are compared, without brackets, and each group of digits."""
+    low = F.lower(c)
+    bare = squeeze(F.regexp_replace(low, r"\([^)]*\)", ""))
+    groups = F.transform(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)), lambda g: F.concat(F.lit("d"), g))
+    return F.array_distinct(F.array_compact(F.concat(F.array(F.concat(F.lit("l"), squeeze(low)), F.when(bare != "", F.concat(F.lit("b"), bare))), groups)))
+
+
 def entry_text(texts: list[Column], lists: list[Column]) -> Column:
     """All strings of an entry in one, lists laid out."""
     return F.concat_ws(" ", *texts, *[F.array_join(c, " ") for c in lists])

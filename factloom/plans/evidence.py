@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom.operators import evidence as e
 from factloom.operators import reconcile as r
 from factloom.plans.registry import query
-from factloom.session import table
+from factloom.session import ensure_checkpoint_dir, table
 from factloom.sources.tables import OBS, STATEMENTS, observations, statements
 
 _NAMES = "names AS (SELECT DISTINCT regexp_extract(text, '^(\\S+ \\S+)', 1) AS name FROM benchmark)"
@@ -36,7 +36,7 @@ def linkify(spark, sf_dir):
 def _claims(spark, sf_dir):
     """A claim for each statement: its question's first word, with a word of its answer."""
     s = statements(spark, sf_dir)
-    word = lambda c, n: F.regexp_replace(F.get(F.split(c, r"\s+"), F.lit(n)), r"[^\p{L}]", "")
+    word = lambda c, n: F.regexp_replace(F.get(F.split(c, r"\s+", n + 2), F.lit(n)), r"[^\p{L}]", "")
     rows = s.select(F.col("statement_id").alias("claim_id"), word("question", 0).alias("name"), F.lit("says").alias("predicate"), word("answer", 3).alias("value"))
     return rows.where(F.length("name") >= 4).where(F.length("value") >= 4)
 
@@ -122,7 +122,8 @@ def lifted(spark, sf_dir):
 
 @query("f7_prove_claims")
 def prove(spark, sf_dir):
-    claims = _claims(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    claims = _claims(spark, sf_dir).checkpoint()
     facts = claims.select("name", "predicate", "value", F.when(F.length("value") > 6, "canon").otherwise("likely").alias("tier"))
     return e.prove_claims(claims, facts, statements(spark, sf_dir), RULES)
 
