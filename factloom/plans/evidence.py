@@ -66,7 +66,8 @@ def verify(spark, sf_dir):
 @query("f5_verified_facts")
 def verified(spark, sf_dir):
     """Facts with their two sources, of the claims on the hundred names most often asked about."""
-    claims, s = _claims(spark, sf_dir), statements(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    claims, s = _claims(spark, sf_dir).checkpoint(), statements(spark, sf_dir)
     top = e.top_subjects(claims, "name", 100)
     claims = claims.join(top.select("name"), "name", "left_semi")
     found = e.verified_facts(e.verify_claims(claims, s, RULES), claims, F.concat(F.lit("page/"), "name"))

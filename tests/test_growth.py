@@ -1,10 +1,16 @@
 """Jobs whose work has to grow with the input: what they repeat, move and gather."""
 
 import datetime
+import os
 import random
 import re
 
+import pytest
+
 from factloom.operators import edges, evidence, gates, resolution, texts, timelines
+from factloom.plans import registry
+
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def plan(df) -> str:
@@ -239,3 +245,10 @@ def test_facts_meet_values_by_key(spark):
         want[i] = (len(pro), len(con), "contradicted" if "canon" in con else "confirmed" if "canon" in pro else "likely" if pro else "unknown", 0)
     got = found.collect()
     assert {r["claim_id"]: (r["support"], r["contradict"], r["verdict"], r["context"]) for r in got} == want and len(got) == len(claims)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the given tables aren't here")
+def test_statements_are_paired_once_for_all_uses_of_claims(spark):
+    for name in ("f5_verified_facts", "f7_prove_claims"):
+        found = registry.QUERIES[name](spark, FOLDER)
+        assert sum("Window [lead" in line for line in plan(found).splitlines()) == 1 and not any("MapInArrow" in line and "variants" in line for line in plan(found).splitlines())
