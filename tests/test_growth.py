@@ -1,6 +1,8 @@
 """Jobs whose work has to grow with the input: what they repeat, move and gather."""
 
+import collections
 import datetime
+import itertools
 import os
 import random
 import re
@@ -252,3 +254,24 @@ def test_statements_are_paired_once_for_all_uses_of_claims(spark):
     for name in ("f5_verified_facts", "f7_prove_claims"):
         found = registry.QUERIES[name](spark, FOLDER)
         assert sum("Window [lead" in line for line in plan(found).splitlines()) == 1 and not any("MapInArrow" in line and "variants" in line for line in plan(found).splitlines())
+
+
+def test_members_and_assets_meet_list_by_list(spark):
+    """Each member's copies meet each asset's, and a task's rows of a group and of a list of assets lie side by side."""
+    assets = spark.createDataFrame([("a", i) for i in range(40)] + [("b", 7)] + [("c", i % 3 or None) for i in range(9)] + [("d", 1), (None, 1)], "grp string, asset int")
+    members = spark.createDataFrame([("abce"[i % 4] if i % 50 else None, i // 3, i % 2 == 0) for i in range(4000)] + [("c", 5, None), ("c", None, True)] * 3, "grp string, member int, current boolean")
+    groups, own = {}, collections.Counter()
+    for g, a in assets.collect():
+        groups.setdefault(g, []).append(a)
+    for g, m, current in members.collect():
+        for a in groups.get(g, []) if g else []:
+            own[m, a, current if len(groups[g]) == 1 else None, f"one of {len(groups[g])}" if len(groups[g]) > 1 else None] += 1
+    found = edges.edges_fan_out(assets, members, block=16).withColumn("_p", evidence.F.spark_partition_id()).collect()
+    assert collections.Counter(tuple(r)[:4] for r in found) == own
+    tasks = [[r["note"] for r in rows] for _, rows in itertools.groupby(found, lambda r: r["_p"])]
+    assert len(tasks) > 4 and max(map(len, tasks)) < 2.5 * len(found) / 8
+    for rows in tasks:
+        runs = [k for k, _ in itertools.groupby(rows)]
+        assert len(runs) == len(set(runs))
+    lists = [[r["to_id"] for r in rows] for (_, note), rows in itertools.groupby(found, lambda r: (r["_p"], r["note"])) if note == "one of 40"]
+    assert all(len({tuple(x[i : i + 8]) for i in range(0, len(x), 8)}) <= 5 for x in lists)  # the same lists again and again
